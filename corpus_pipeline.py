@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, mixing, near_dedup, packing
-from factloom.llm.common import stored
+from factloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from factloom.llm.common import stored, table
 
 
 def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -18,6 +18,12 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier calls toxic go; it learns from the labels outside the held-out fifth."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(~toxicity.toxic("text", model))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for spacing, the row with the smallest id stays."""
     return _without(docs, exact_dedup.exact_dedup(docs))
@@ -44,6 +50,7 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("near_dedup", drop_near_copies),
     ("mixing", mix),

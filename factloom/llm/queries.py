@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, mixing, near_dedup, packing
+from factloom.llm import chat, exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, toxicity, urls
 from factloom.llm.common import table
 
 
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -26,5 +48,17 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("exponent", F.round("exponent", 9))
 
 
-QUERIES = {f.__name__: f for f in (op4_length_buckets, op7_chunk_recipes, op8_lsh_forest, op9_temperature_mixing)}
-ORACLE_SQL = {"op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    schema = "conv_id long, turn long, role string, text string"
+    probe = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], schema)
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.read_back(chat.format_chats(chats))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mcd_outliers, op2_nnpu_toxicity, op3_license_scan, op4_length_buckets, op5_byte_cnn, op6_path_templates, op7_chunk_recipes, op8_lsh_forest, op9_temperature_mixing, op10_chat_format)
+}
+#: The others rest on trained models, estimates or parsers that SQL cannot express; the tests compare them with brute force.
+ORACLE_SQL = {"op6_path_templates": urls.oracle(), "op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
