@@ -28,7 +28,7 @@ WEIGHT_CUT, REJECT_CUT = 12.83, 35.89
 #: Scatter of a normal sample that is cut off at WEIGHT_CUT, as a part of the whole scatter.
 SHRUNK = 0.9246
 #: Added to each variance, so that constant parts don't make the scatter singular.
-RIDGE = 1e-4
+RIDGE = 1e-3
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{p} double" for p in PARTS)
 
 

@@ -43,7 +43,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     Null urls and urls without ``://`` have an empty host and path; they are a host like others. ``purity`` is the
-    smoothed blocked part of the row's template. Without any labels nothing is blocked beyond the rules. Repeated rows
+    smoothed blocked part of the row's template. On a host without labels nothing is blocked beyond the rules. Repeated rows
     and null ids pass through; an empty table gives an empty result; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -72,7 +72,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         at = at.join(named, ["host", "template", "seg"], "left")
         tree = stored(at.withColumn("template", F.coalesce("to", "template")).drop("seg", "to"), f"paths-{d}")
     hosts = tree.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
-    hosts = hosts.select("host", ((F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)).alias("base"))
+    part = (F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)
+    hosts = hosts.select("host", F.when(F.col("hb") + F.col("ha") > 0, part).otherwise(0.0).alias("base"))
     leaves = stored(tree.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "leaves")
     pure = leaves.join(stored(hosts, "hosts"), "host").select("host", "template", ((F.col("b") + SMOOTH * F.col("base")) / (F.col("b") + F.col("a") + SMOOTH)).alias("purity"))
     judged = stored(tree.select("host", "segs", "template").join(stored(pure, "purity"), ["host", "template"]), "judged")
@@ -102,7 +103,7 @@ m{d} as (select host, template, seg, template || '/' || case when kids > {KIDS}
   from k{d} join o{d} using (host, template)),
 t{d + 1} as (select t.host, t.segs, t.n, t.b, t.a, coalesce(m.nxt, t.template) as template from t{d} t left join m{d} m on t.host = m.host and t.template = m.template and t.segs[{d + 1}] = m.seg)"""
     return sql + f""",
-h as (select host, (sum(b) + {SMOOTH} * any_value(overall)) / (sum(b) + sum(a) + {SMOOTH}) as base from t{DEPTH}, g group by host),
+h as (select host, case when sum(b) + sum(a) > 0 then (sum(b) + {SMOOTH} * any_value(overall)) / (sum(b) + sum(a) + {SMOOTH}) else 0 end as base from t{DEPTH}, g group by host),
 l as (select host, template, sum(b) as b, sum(a) as a from t{DEPTH} group by all),
 p as (select host, template, (b + {SMOOTH} * base) / (b + a + {SMOOTH}) as purity from l join h using (host))
 select page_id, r.host, path, rule, coalesce(said, case when purity >= {CUT} then 'block' else 'allow' end) as verdict, t.template, round(purity, 6)::double as purity
