@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PERFECT = 0.99
 
@@ -38,7 +39,7 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -144,7 +145,8 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 # ---- summaries of runs(row_idx, arm, bucket, status, strict, lenient, latency_ms, ...)
 
-_ok = F.col("status") == "ok"
+def _ok() -> Column:
+    return F.col("status") == "ok"
 
 
 def _mean(c: Column) -> Column:
@@ -157,7 +159,7 @@ def _rate(c: Column, among: Column) -> Column:
 
 def summarize_arms(runs: DataFrame) -> DataFrame:
     """Means and perfect rates of scored rows, for each arm and for each bucket of it, in one pass of grouping sets."""
-    scored = runs.filter(_ok)
+    scored = runs.filter(_ok())
     g = scored.groupingSets([["arm"], ["bucket", "arm"]], "bucket", "arm")
     out = g.agg(F.count("*").alias("n"), _mean("strict").alias("mean_strict"), _mean("lenient").alias("mean_lenient"), _mean((F.col("strict") >= PERFECT).cast("double")).alias("perfect_strict"), _mean((F.col("lenient") >= PERFECT).cast("double")).alias("perfect_lenient"))
     return out
@@ -168,15 +170,15 @@ def analyze_arms(runs: DataFrame) -> DataFrame:
     order = Window.partitionBy("arm").orderBy("latency_ms")
     r = runs.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("arm")))
     return r.groupBy("arm").agg(
-        F.count_if(_ok).alias("n_ok"),
+        F.count_if(_ok()).alias("n_ok"),
         F.count_if(F.col("status") == "context_overflow").alias("n_overflow"),
         F.count_if(~F.col("status").isin("ok", "context_overflow")).alias("n_err"),
-        _rate(F.col("strict"), _ok).alias("strict_mean"),
-        _rate(F.col("lenient"), _ok).alias("lenient_mean"),
-        _rate(F.col("strict") >= PERFECT, _ok).alias("perfect_strict"),
-        _rate(F.col("lenient") >= PERFECT, _ok).alias("perfect_lenient"),
-        F.count_if(_ok & F.col("hallucinated")).alias("hallucinations"),
-        F.count_if(_ok & F.col("truncated")).alias("truncations"),
+        _rate(F.col("strict"), _ok()).alias("strict_mean"),
+        _rate(F.col("lenient"), _ok()).alias("lenient_mean"),
+        _rate(F.col("strict") >= PERFECT, _ok()).alias("perfect_strict"),
+        _rate(F.col("lenient") >= PERFECT, _ok()).alias("perfect_lenient"),
+        F.count_if(_ok() & F.col("hallucinated")).alias("hallucinations"),
+        F.count_if(_ok() & F.col("truncated")).alias("truncations"),
         F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("latency_ms"))).alias("median_latency_ms"),
     )
 
@@ -192,8 +194,8 @@ def summarize_graph(runs: DataFrame) -> DataFrame:
         _mean((F.col("lenient") >= PERFECT).cast("double")).alias("em"),
         _mean("lenient").alias("f1"),
         _mean(F.col("op_match").cast("double")).alias("op_match_rate"),
-        _rate(F.col("strict"), _ok).alias("baseline_over_runnable"),
-        _mean(F.when(_ok, F.col("strict")).otherwise(0.0)).alias("baseline_over_all"),
+        _rate(F.col("strict"), _ok()).alias("baseline_over_runnable"),
+        _mean(F.when(_ok(), F.col("strict")).otherwise(0.0)).alias("baseline_over_all"),
         F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.5)), F.col("latency_ms"))).alias("p50_ms"),
     ).join(per, "bucket")
 
@@ -205,14 +207,14 @@ def summarize_needles(runs: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         _mean("lenient").alias("mean_ours"),
         _mean((F.col("lenient") >= PERFECT).cast("double")).alias("perfect_ours"),
-        _mean(F.when(_ok, F.col("strict")).otherwise(0.0)).alias("baseline_all"),
-        _rate(F.col("strict"), _ok).alias("baseline_runnable"),
+        _mean(F.when(_ok(), F.col("strict")).otherwise(0.0)).alias("baseline_all"),
+        _rate(F.col("strict"), _ok()).alias("baseline_runnable"),
     ).join(p50, "bucket")
 
 
 def summarize_multikey(runs: DataFrame) -> DataFrame:
     """Found rates of rows with status ok, overall and per bucket."""
-    g = runs.filter(_ok).groupingSets([["arm"], ["arm", "bucket"]], "arm", "bucket")
+    g = runs.filter(_ok()).groupingSets([["arm"], ["arm", "bucket"]], "arm", "bucket")
     return g.agg(F.count("*").alias("n"), _mean(F.col("any_found").cast("double")).alias("any_rate"), _mean(F.col("all_found").cast("double")).alias("all_rate"))
 
 
@@ -284,7 +286,7 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_summary(a: DataFrame, b: DataFrame, ours: str, plain: str, frontier: str) -> DataFrame:
     """Arm means of two runs side by side and one verdict on ``ours`` in the second."""
-    mean = lambda d, n: d.filter(_ok).groupBy("arm").agg(_mean("lenient").alias(n))
+    mean = lambda d, n: d.filter(_ok()).groupBy("arm").agg(_mean("lenient").alias(n))
     both = mean(a, "mean_a").join(mean(b, "mean_b"), "arm", "full").withColumn("delta", F.round(F.col("mean_b") - F.col("mean_a"), 6))
     v = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("mean_b"))).over(Window.partitionBy())
     o, p, f = v(ours), v(plain), v(frontier)
