@@ -19,6 +19,7 @@ from factloom.llm.common import stored
 from factloom.llm.wordhash import runs, word_hashes
 
 SYMBOLS = "#*$%&|<>"
+_LETTERS = np.array([c for c in range(128) if chr(c).isalpha()])
 PARTS = ("x0", "x1", "x2", "x3", "x4")
 P = len(PARTS)
 #: Rows of a block, and the least rows of a group with an estimate of its own; smaller groups share one.
@@ -27,8 +28,9 @@ BLOCK, LEAST = 1_000, 60
 WEIGHT_CUT, REJECT_CUT = 12.83, 35.89
 #: Scatter of a normal sample that is cut off at WEIGHT_CUT, as a part of the whole scatter.
 SHRUNK = 0.9246
-#: Added to each variance, so that constant parts don't make the scatter singular.
-RIDGE = 1e-3
+#: Added to each variance: parts are logarithms, and a spread of 0.14 in them says nothing. It also keeps constant parts
+#: from making the scatter singular.
+RIDGE = 0.02
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{p} double" for p in PARTS)
 
 
@@ -56,12 +58,22 @@ def text_statistics(text: str | None) -> tuple:
             np.add.at(cover, starts, 1)
             np.add.at(cover, starts + 5, -1)
             repeat = int((np.cumsum(cover)[:n] > 0).sum())
-    bytes_seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    p = bytes_seen[bytes_seen > 0] / max(1, len(raw))
+    raw_bytes = np.frombuffer(raw, np.uint8)
+    seen_bytes = np.bincount(raw_bytes, minlength=256)
+    p = seen_bytes[seen_bytes > 0] / max(1, len(raw))
     entropy = float(-(p * np.log(p)).sum())
-    distinct = len(np.unique(words))
-    # Distinct words grow like a power of the words; the surplus over that is what counts.
-    x = (np.log1p(n), np.log((word_chars + 1) / (n + 1)), np.log((distinct + 1) / (n + 1)) + 0.1 * np.log1p(n), entropy, np.log((symbols + 2) / (len(text) + 200)))
+    # Distinct words in runs of 50, which does not depend on the length as a whole does.
+    whole = words[: n - n % 50].reshape(-1, 50)
+    distinct = (np.diff(np.sort(whole, axis=1), axis=1) != 0).sum() + len(whole) + len(np.unique(words[n - n % 50 :]))
+    other = word_chars - int(seen_bytes[_LETTERS].sum()) - sum(1 for c in text if c >= "\x80")
+    # Short texts are drawn towards ordinary values, so that chance alone makes no outlier of them.
+    x = (
+        np.log((other + 10) / (word_chars + 200)),
+        np.log((word_chars + 100) / (n + 20)),
+        np.log((distinct + 36) / (n + 40)),
+        (entropy * len(raw) + 3.0 * 300) / (len(raw) + 300),
+        np.log(0.005 + symbols / (len(text) + 200)),
+    )
     return (n, word_chars, symbols, dup, repeat, *map(float, x))
 
 
