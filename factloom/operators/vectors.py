@@ -47,6 +47,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", t
             group, ids = pdf["group_id"].to_numpy(), pdf[id_col].to_numpy()
             vectors = np.stack(pdf["embedding"].to_numpy()).astype(float)
             norm = np.sqrt((vectors * vectors).sum(axis=1))
+            found = []
             for scope, qids, q in parts:
                 at = np.arange(len(pdf)) if scope == "*" else np.flatnonzero(group == scope)
                 if not len(at):
@@ -55,7 +56,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", t
                 s = np.round(np.divide(q @ vectors[at].T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
                 for r in range(len(qids)):
                     top = np.lexsort((ids[at], -s[r]))[:k]
-                    yield pd.DataFrame({"query_id": qids[r], id_col: ids[at][top], "score": s[r][top]})
+                    found.append((np.full(len(top), qids[r]), ids[at][top], s[r][top]))
+            if found:
+                yield pd.DataFrame(dict(zip(("query_id", id_col, "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     partial = rows.select(id_col, "group_id", "embedding").mapInPandas(best, f"query_id long, {id_col} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)

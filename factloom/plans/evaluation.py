@@ -97,8 +97,6 @@ def group_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
-    r = runs(spark, d).dropDuplicates(["row_idx", "arm"]).select("row_idx", "arm", "status", "lenient")
-    r = r.groupBy("row_idx", "arm").agg(F.min("status").alias("status"), F.min("lenient").alias("lenient"))
     return _comparison(spark, d, lambda a, b: ev.compare_runs(a, b))
 
 

@@ -33,7 +33,7 @@ def _string(json: Column) -> Column:
 
 def _field(body: str, name: str) -> Column:
     """A field of a JSON object as JSON text."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(body), F.lit(f"$.{name}"), F.lit("variant")))
+    return F.to_json(F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant"))
 
 
 def _texts(json: Column, sep: str) -> Column:
@@ -48,7 +48,7 @@ def _image(b: Column) -> Column:
 
 def _block_one(b: Column) -> Column:
     kind = _get(b, "$.type")
-    result = F.to_json(F.try_variant_get(F.try_parse_json(b), F.lit("$.content"), F.lit("variant")))
+    result = F.to_json(F.try_variant_get(F.try_parse_json(b), "$.content", "variant"))
     body = F.coalesce(_string(result), F.array_join(F.filter(F.transform(_items(result), lambda x: _get(x, "$.text")), lambda t: t.isNotNull()), "\n"), result)
     return (
         F.when(kind == "text", block(type=F.lit("text"), text=F.coalesce(_get(b, "$.text"), F.lit(""))))

@@ -57,7 +57,7 @@ def backfill(rows: DataFrame, cursors: DataFrame | None = None, most: int = BACK
 
 
 def _json(name: str) -> Column:
-    return F.to_json(F.try_variant_get(F.try_parse_json("value"), F.lit(f"$.{name}"), F.lit("variant")))
+    return F.to_json(F.try_variant_get(F.try_parse_json("value"), f"$.{name}", "variant"))
 
 
 def _plain(j: Column) -> Column:
