@@ -65,8 +65,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         nodes = stored(kids.groupBy("host", "template").agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "b", "a")]), f"nodes-{d}")
         k = kids.join(nodes, ["host", "template"])
         rare = (F.col("kids") > KIDS) & (F.col("n") < SHARE * F.col("all_n"))
-        own, rate = F.col("b") + F.col("a"), F.col("all_b") / (F.col("all_b") + F.col("all_a"))
-        similar = (own > 0) & (F.abs(F.col("b") / own - rate) <= Z * F.sqrt(rate * (1 - rate) / own))
+        own, rate = F.col("b") + F.col("a"), F.try_divide(F.col("all_b"), F.col("all_b") + F.col("all_a"))
+        similar = F.abs(F.try_divide(F.col("b"), own) - rate) <= Z * F.sqrt(F.try_divide(rate * (1 - rate), own))  # null without labels
         name = F.when(rare, "*").when(similar, "~").otherwise(F.col("seg"))
         named = stored(k.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("to")), f"names-{d}")
         at = at.join(named, ["host", "template", "seg"], "left")
