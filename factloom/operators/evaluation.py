@@ -21,8 +21,8 @@ def set_prf(pred: Column, gold: Column, extraction: bool = False) -> Column:
     empty gold set leaves precision at 1."""
     tp = F.size(F.array_intersect(pred, gold)).cast("double")
     n, m = F.size(F.array_distinct(pred)), F.size(F.array_distinct(gold))
-    p, r = tp / n, tp / m
-    f = F.when(tp > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    p, r = F.try_divide(tp, n), F.try_divide(tp, m)
+    f = F.when(tp > 0, F.try_divide(2 * p * r, p + r)).otherwise(0.0)
     make = lambda a, b, c: F.struct(F.lit(a).alias("precision"), F.lit(b).alias("recall"), F.lit(c).alias("f1"))
     full = F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1"))
     if extraction:
@@ -275,6 +275,14 @@ def judge_eval(rows: DataFrame, min_accuracy: float = 0.65, max_p95: float = 15_
     return out.withColumn("passed", (F.col("accuracy") >= min_accuracy) & (F.col("p95_ms") <= max_p95))
 
 
+def extract_eval(rows: DataFrame, min_f1: float = 0.70, max_p95: float = 8_000.0) -> DataFrame:
+    """Mean F1 over examples ``(pred, gold array<struct<s,p,o>>, latency_ms)``, p95 latency and the gate."""
+    r = nearest_rank(rows.withColumn("_all", F.lit(1)), ["_all"], "latency_ms").select(F.col("p95_or_max").alias("p95_ms"), "_all")
+    f1 = set_prf(triple_keys(F.col("pred")), triple_keys(F.col("gold")), extraction=True)["f1"]
+    out = rows.agg(F.count("*").alias("n"), _mean(f1).alias("mean_f1")).withColumn("_all", F.lit(1)).join(r, "_all").drop("_all")
+    return out.withColumn("passed", (F.col("mean_f1") >= min_f1) & (F.col("p95_ms") <= max_p95))
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(row_idx, arm, status_a, status_b, delta, sign): lenient change of rows that both runs scored."""
     j = a.alias("a").join(b.alias("b"), ["row_idx", "arm"])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.tokens import ELLIPSIS
-from factloom.operators.temporal import OPEN_END, holds_at, tier_filter
+from factloom.operators.temporal import OPEN_END, conflicts_on_insert, holds_at, tier_filter
 from factloom.operators.vectors import gap_prune, hydrate_ranked, knn, score_pairs
 from factloom.schemas import RESOLUTIONS
 
@@ -132,3 +132,45 @@ def extract_facts(episodes: DataFrame, fn: Callable[[DataFrame], DataFrame] | No
     rows = episodes.select("episode_id", "event_time").join(said, "episode_id").select("episode_id", "event_time", F.explode("r.facts").alias("f"))
     rows = rows.filter("f.s is not null and f.p is not null and f.o is not null and f.confidence between 0 and 1")
     return rows.select("episode_id", F.col("f.s").alias("subject"), F.col("f.p").alias("predicate"), F.col("f.o").alias("object"), F.col("f.confidence").alias("confidence"), F.col("event_time").alias("valid_at"))
+
+
+#: Episodes longer than this are kept and embedded, but no facts are extracted from them.
+LARGE_PAYLOAD = 30_000
+
+
+def large_payload_split(episodes: DataFrame, most: int = LARGE_PAYLOAD) -> tuple[DataFrame, DataFrame]:
+    """(episodes to extract facts from, episodes that are too long for it)."""
+    large = F.length(F.coalesce("text", F.lit(""))) > most
+    return episodes.filter(~large), episodes.filter(large)
+
+
+def add_episodes(episodes: DataFrame, known: DataFrame, asserted: DataFrame | None = None, extract: Callable[[DataFrame], DataFrame] | None = None, tier: str = "T2") -> tuple[DataFrame, DataFrame]:
+    """(new facts, their conflicts) of a batch of episodes.
+
+    ``asserted(episode_id, subject, predicate, object, confidence)`` stands for its episodes' facts, which are then not
+    extracted. New facts get ids after the known ones, in the order of their episodes; each is compared with all that
+    came before it.
+    """
+    small, _ = large_payload_split(episodes)
+    if asserted is not None:
+        small = small.join(asserted.select("episode_id").distinct(), "episode_id", "left_anti")
+    found = extract_facts(small, extract)
+    if asserted is not None:
+        given = asserted.join(episodes.select("episode_id", F.col("event_time").alias("valid_at")), "episode_id")
+        found = found.unionByName(given.select(found.columns))
+    base = known.agg(F.coalesce(F.max("fact_id"), F.lit(-1)) + 1).first()[0]
+    # Ids are offsets of episodes plus places inside them, so no global sort is needed.
+    place = F.row_number().over(Window.partitionBy("episode_id").orderBy("subject", "predicate", "object"))
+    new = found.withColumn("_n", place).join(episodes.select("episode_id", "group_id", "session_id"), "episode_id")
+    new = new.select(
+        (F.lit(base) + F.col("episode_id") * 1000 + F.col("_n")).alias("fact_id"), "group_id", "subject", "predicate", "object", "valid_at",
+        F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(tier).alias("tier"), "confidence", F.lit(False).alias("pinned"), F.col("episode_id").alias("source_episode_id"), "session_id",
+    )
+    every = known.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at").unionByName(new.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at"))
+    return new, conflicts_on_insert(new, every)
+
+
+def reformulated(queries: DataFrame, fn: Column | None = None) -> DataFrame:
+    """Queries as a model rewords them; an empty or missing answer leaves the query as it is."""
+    said = F.lit(None).cast("string") if fn is None else fn
+    return queries.withColumn("retrieval_query", F.coalesce(F.nullif(F.trim(said), F.lit("")), F.col("query")))

@@ -164,6 +164,18 @@ def verdict_requests(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("query_id", F.col("n_conflicts").cast("long").alias("n_conflicts"), "prompt")
 
 
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes that state a fact in a line of their own."""
+    who = F.concat(F.lit("FACT: c"), (F.col("episode_id") % 500).cast("string"), F.lit(" | said | "), F.substring("source", 5, 20))
+    return fx.episodes(spark, d).withColumn("text", F.concat("text", F.lit("\n"), who, F.lit("\n")))
+
+
+def remember(spark: SparkSession, d: str) -> DataFrame:
+    new, pairs = inference.add_episodes(_told(spark, d), fx.facts(spark, d))
+    n = pairs.select("fact_id", F.size("conflicts").cast("long").alias("n_conflicts"))
+    return new.join(n, "fact_id", "left").select("fact_id", *KEY, "object", stamp("valid_at"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
+
+
 def bfs_frontier(spark: SparkSession, d: str) -> DataFrame:
     e = fx.edges(spark, d)
     starts = e.select("gid", F.col("src").alias("start")).filter("cast(substr(start, 2) as int) % 97 = 1").distinct()
@@ -254,6 +266,9 @@ c as (select query_id, count(*) as n_conflicts, string_agg('e1 (older): (' || o.
 i as (select distinct query_id, unnest([o.source_episode_id, n.source_episode_id]) as episode_id from ordered),
 s as (select query_id, string_agg('[' || strftime(event_time, '%Y-%m-%d') || '] ' || case when length(text) > 300 then text[:299] || '…' else text end, chr(10) order by episode_id) as shown from i join episodes using (episode_id) group by query_id)
 select query_id, n_conflicts, 'Conflicts:' || chr(10) || lines || chr(10) || 'Episodes:' || chr(10) || coalesce(shown, '') as prompt from c left join s using (query_id)""",
+    "remember": f"""with {fx.FACTS}, {fx.EPISODES}, n as (select (select max(fact_id) + 1 from facts) + episode_id * 1000 + 1 as fact_id, group_id, 'c' || (episode_id % 500) as subject, 'said' as predicate, source[5:] as object, event_time as valid_at from episodes),
+c as (select a.fact_id, count(*) as k from n a join n b using (group_id, subject, predicate) where b.fact_id < a.fact_id and a.object <> b.object group by a.fact_id)
+select fact_id, group_id, subject, predicate, object, {TS.format('valid_at')}, coalesce(k, 0) as n_conflicts from n left join c using (fact_id)""",
     "bfs_frontier": f"""with {fx.EDGES}, starts as (select distinct gid, src as start from edges where cast(substr(src, 2) as int) % 97 = 1),
 d1 as (select distinct s.gid, start, dst as node from starts s join edges e on e.gid = s.gid and e.src = s.start where dst <> start),
 d2 as (select distinct d1.gid, start, dst as node from d1 join edges e on e.gid = d1.gid and e.src = d1.node where dst <> start)
@@ -265,4 +280,4 @@ starts as (select distinct group_id, subject as start from facts where fact_id %
 s2 as (select distinct w.group_id, start, w.fact_id, w.valid_at from (select distinct group_id, start, nxt from s1) s join ways w on w.group_id = s.group_id and w.node = s.nxt),
 a as (select group_id, start, fact_id, valid_at from s1 union select * from s2), r as (select *, row_number() over (partition by group_id, start order by valid_at desc, fact_id) as rank from a) select group_id, start, rank, fact_id from r where rank <= 256""",
 }
-QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, bfs_frontier, parents, graph_sizes, neighbors_k)}
+QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, remember, bfs_frontier, parents, graph_sizes, neighbors_k)}

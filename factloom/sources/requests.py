@@ -66,7 +66,7 @@ def _as_blocks(content: Column) -> Column:
 
 
 def _head(raw: DataFrame) -> DataFrame:
-    return raw.select("request_id", "body", _get(F.col("body"), "$.model").alias("model"), F.coalesce(_get(F.col("body"), "$.max_tokens").cast("int"), F.lit(MAX_TOKENS)).alias("max_tokens"), F.coalesce(_get(F.col("body"), "$.stream") == "true", F.lit(False)).alias("stream"))
+    return raw.select("request_id", "body", _get(F.col("body"), "$.model").alias("model"), F.coalesce(_get(F.col("body"), "$.max_tokens").try_cast("int"), F.lit(MAX_TOKENS)).alias("max_tokens"), F.coalesce(_get(F.col("body"), "$.stream") == "true", F.lit(False)).alias("stream"))
 
 
 def _messages(raw: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def parse_graph_tasks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "task_id",
         F.when(is_bfs, "bfs").when(is_par, "parents").alias("op"),
         F.when(is_bfs, F.regexp_extract(op, bfs, 1)).when(is_par, F.regexp_extract(op, par, 1)).alias("start"),
-        F.when(is_bfs, F.regexp_extract(op, bfs, 2).cast("int")).alias("depth"),
+        F.when(is_bfs, F.regexp_extract(op, bfs, 2).try_cast("int")).alias("depth"),
         F.when(body == "", "no graph").when(~is_bfs & ~is_par, "no operation").alias("error"),
     )
     line = rows.select("task_id", F.explode(F.split(body, "\n")).alias("line")).select("task_id", F.trim("line").alias("line"))
@@ -42,11 +42,11 @@ def parse_needle_tasks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     row's own token and message index go before what the query says.
     """
     parsed = rows.withColumn("m", F.from_json("prompt", "array<struct<role:string,content:string>>"))
-    query = F.element_at("m", -1)["content"]
+    query = F.try_element_at("m", F.lit(-1))["content"]
     pattern = r"(?s)Prepend (\S+) to the (?:(\d+)\w*|(\w+)) \([^)]*\)? ?(.*?)\. Do not|Prepend (\S+) to the (?:(\d+)\w*|(\w+)) (.*?)\. Do not"
     part = lambda i, j: F.coalesce(F.nullif(F.regexp_extract(query, pattern, i), F.lit("")), F.nullif(F.regexp_extract(query, pattern, j), F.lit("")))
     word = F.lower(part(3, 7))
-    number = F.coalesce(part(2, 6).cast("int"), *[F.when(word == w, F.lit(k + 1)) for k, w in enumerate(ORDINALS)])
+    number = F.coalesce(part(2, 6).try_cast("int"), *[F.when(word == w, F.lit(k + 1)) for k, w in enumerate(ORDINALS)])
     lookups = parsed.select("task_id", query.alias("query"), F.coalesce("random_string_to_prepend", part(1, 5)).alias("token"), number.alias("position"), part(4, 8).alias("request"), "desired_msg_index", F.when(F.col("m").isNull(), "no messages").alias("error"))
     messages = parsed.select("task_id", F.posexplode(F.slice("m", 1, F.greatest(F.lit(0), F.size("m") - 1))).alias("msg_idx", "x")).select("task_id", "msg_idx", "x.role", F.col("x.content").alias("text"))
     return lookups, messages
@@ -63,7 +63,7 @@ def parse_multikey_tasks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = F.regexp_replace(F.regexp_replace("input", r"<\|begin_of_text\|>|<\|eot_id\|>", ""), TEMPLATE, "\u0001$1\u0002")
     parts = rows.select("task_id", F.posexplode(F.split(plain, "\u0001")).alias("k", "p"))
     role = F.when(F.contains("p", F.lit("\u0002")), F.substring_index("p", "\u0002", 1)).otherwise("user")
-    parts = parts.select("task_id", "k", role.alias("role"), F.trim(F.regexp_replace("p", "(?s)^\\w*\u0002", "")).alias("text")).filter("role = 'user' and text <> ''")
+    parts = parts.select("task_id", "k", role.alias("role"), F.regexp_replace(F.regexp_replace("p", "(?s)^\\w*\u0002", ""), r"^\s+|\s+$", "").alias("text")).filter("role = 'user' and text <> ''")
     user = parts.groupBy("task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     lines = user.select("task_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     per = Window.partitionBy("task_id")
@@ -98,7 +98,7 @@ def parse_contradictions(rows: DataFrame) -> DataFrame:
 
 def final_answer(response: Column) -> Column:
     """The nodes of the last ``Final Answer: [...]`` of a response; null without one."""
-    last = F.element_at(F.regexp_extract_all(response, F.lit(r"(?i)Final Answer:\s*\[([^\]]*)\]"), F.lit(1)), -1)
+    last = F.try_element_at(F.regexp_extract_all(response, F.lit(r"(?i)Final Answer:\s*\[([^\]]*)\]"), F.lit(1)), F.lit(-1))
     parts = F.filter(F.transform(F.split(last, ","), lambda s: F.regexp_replace(s, r"^[\s'\"]+|[\s'\"]+$", "")), lambda s: s != "")
     return F.when(F.regexp_like(response, F.lit(r"(?i)Final Answer:\s*\[")), parts)
 

@@ -47,7 +47,7 @@ def normalize_deltas(raw: DataFrame) -> DataFrame:
     order = Window.partitionBy("response_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     tool_before = F.coalesce(F.max((F.size("calls") > 0).cast("int")).over(before), F.lit(0)) == 1
-    rows = rows.withColumn("said", F.when((F.coalesce("text", F.lit("")) != "") & ~(tool_before & (F.trim("text") == "")), F.col("text")))
+    rows = rows.withColumn("said", F.when((F.coalesce("text", F.lit("")) != "") & ~(tool_before & F.col("text").rlike(r"^\s*$")), F.col("text")))
     text = rows.filter("said is not null").select("response_id", "seq", F.lit(0).alias("block_index"), F.lit("text").alias("block_type"), F.col("said").alias("text"), F.lit(None).cast("string").alias("partial_json"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("string").alias("tool_name"))
     tool = rows.select("response_id", "seq", F.explode("calls").alias("c")).select("response_id", "seq", (F.coalesce("c.index", F.lit(0)) + 1).alias("block_index"), F.lit("tool_use").alias("block_type"), F.lit(None).cast("string").alias("text"), F.col("c.function.arguments").alias("partial_json"), F.col("c.id").alias("tool_use_id"), F.col("c.function.name").alias("tool_name"))
     deltas = text.unionByName(tool).withColumn("type", F.when(F.col("block_type") == "text", "text_delta").otherwise("tool_use_delta")).withColumn("stop_reason", F.lit(None).cast("string"))

@@ -303,3 +303,12 @@ def test_late_rows_go_to_a_side_table(spark, late):
     rows = spark.createDataFrame([("s", D(0) if late else D(3))], "session_id string, event_time timestamp")
     seen = spark.createDataFrame([("s", D(3))], "session_id string, max_time timestamp")
     assert ingest.late_rows(rows, seen).count() == int(late)
+
+
+def test_gates(spark):
+    t = "array<struct<s:string,p:string,o:string>>"
+    rows = spark.createDataFrame([([("A", "b", "c ")], [("a", "b", "c")], 10.0), ([], [("a", "b", "c")], 20.0)], f"pred {t}, gold {t}, latency_ms double")
+    r = ev.extract_eval(rows).first()
+    assert (r.n, r.mean_f1, r.p95_ms, r.passed) == (2, 0.5, 20.0, False)
+    j = ev.judge_eval(spark.createDataFrame([("x", "x", True, 5.0), ("x", "y", True, 9.0)], "predicted string, gold string, valid boolean, latency_ms double")).first()
+    assert (j.accuracy, j.valid_rate, j.p95_ms, j.passed) == (0.5, 1.0, 9.0, False)

@@ -189,3 +189,16 @@ def test_neighbors(spark, facts):
     near = lambda depth: {(r.start, r.fact_id) for r in graph.neighbors(facts, s, depth, ANCHOR, tiers=("T1", "T2", "T4")).collect()}
     assert near(1) == {("carol", 6), ("alice", 1), ("alice", 2), ("alice", 4)}
     assert near(3) == {("carol", 6), ("carol", 4), ("carol", 1), ("carol", 2), ("alice", 1), ("alice", 2), ("alice", 4), ("alice", 6)}
+
+
+def test_add_episodes(spark, facts):
+    e = spark.createDataFrame([(1, "g", "s", "FACT: alice | lives_in | oslo", D(200)), (2, "g", "s", "FACT: x | y | z" + " " * 30_000, D(201)), (3, "g", "s", "FACT: not | read | here", D(202))], "episode_id long, group_id string, session_id string, text string, event_time timestamp")
+    asserted = spark.createDataFrame([(3, "bob", "knows", "carol", 1.0)], "episode_id long, subject string, predicate string, object string, confidence double")
+    new, pairs = inference.add_episodes(e, facts, asserted)
+    rows = {r.source_episode_id: r for r in new.collect()}
+    assert {k: (r.subject, r.object, r.valid_at) for k, r in rows.items()} == {1: ("alice", "oslo", D(200)), 3: ("bob", "carol", D(202))}
+    assert {r.fact_id: r.conflicts for r in pairs.collect()} == {rows[1].fact_id: [1, 2], rows[3].fact_id: [4]}
+    small, large = inference.large_payload_split(e)
+    assert small.count() == 2 and large.count() == 1
+    q = spark.createDataFrame([("ask",)], "query string")
+    assert inference.reformulated(q, F.lit(" ")).first().retrieval_query == "ask" and inference.reformulated(q, F.lit("better")).first().retrieval_query == "better"
