@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from factloom.llm.common import stored, table
@@ -36,12 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is drawn once at least; small sources are repeated up to twice."""
-    times = mixing.mix_sources(docs, max_repeats=mixing.MAX_REPEATS).groupBy("doc_id").agg((F.max("epoch") + 1).alias("times"))
-    # Only documents drawn more than once are joined; the copies are made after the join.
-    again = stored(times.filter("times > 1"), "repeats").withColumnRenamed("times", "_times")
-    out = docs.join(again, "doc_id", "left")
-    out = out.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_times", F.lit(1)))))
-    return out.select(docs.columns)
+    return mixing.repeat_rows(docs, max_repeats=mixing.MAX_REPEATS)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

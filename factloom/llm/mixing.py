@@ -76,15 +76,8 @@ def source_weights(tokens: DataFrame, max_repeats: float | None = 2.0, target_en
     return rows.select(F.col("s.source").alias("source"), F.col("s.source_tokens").alias("source_tokens"), share.alias("share"), "exponent", weight.alias("weight"), F.floor(weight * whole * (1 + 1e-9)).cast("long").alias("budget_tokens"))
 
 
-def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, epoch, block, exponent, budget_tokens): a row for each time that a row is drawn.
-
-    Epochs 0, 1, ... read the whole source. The last epoch reads a prefix of the blocks in permuted order, and of the
-    block in which the budget ends the documents, also in permuted order, that still fit. Rows of one block and epoch
-    stand together in the order of (md5 of block and epoch, md5 of document and epoch). A null source is a source of its
-    own. Documents without words are drawn once in each whole epoch; sources that only have such documents are read once.
-    Repeated rows count as rows. Empty tables give empty results; extra columns are ignored.
-    """
+def _plan(docs: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their tokens and blocks, blocks with what of the last pass is left for them, passes and rest per source)."""
     if (max_repeats is None) == (target_entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -92,7 +85,7 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     rows = stored(rows, "mix-rows")
     blocks = stored(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")), "mix-blocks")
     tokens = blocks.groupBy("source").agg(F.sum("block_tokens").alias("source_tokens"))
-    weights = source_weights(tokens, max_repeats, target_entropy, budget)
+    weights = stored(source_weights(tokens, max_repeats, target_entropy, budget), "mix-weights")
     per_source = tokens.select("source", "source_tokens").alias("t").join(weights.alias("w"), F.expr("t.source <=> w.source"), "left")
     per_source = per_source.select(
         F.col("t.source").alias("source"),
@@ -105,20 +98,70 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     # Blocks in the last pass: those that fit whole, and the one in which the budget ends.
     b = blocks.alias("b").hint("merge").join(per_source.alias("s"), F.expr("b.source <=> s.source"))
     b = b.select("b.source", "b.block", "b.block_tokens", "s.exponent", "s.budget_tokens", "s.passes", "s.rest")
-    order = Window.partitionBy("source").orderBy(_md5(F.col("block"), F.col("passes").cast("string")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy(_last_block(), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("upto", F.sum("block_tokens").over(order))
     b = stored(b.withColumn("left_here", F.greatest(F.lit(0), F.col("rest") - (F.col("upto") - F.col("block_tokens")))).drop("upto", "rest"), "mix-plan")
+    return rows, b, per_source
+
+
+def _last_block() -> Column:
+    """Where a block stands in the last pass."""
+    return _md5(F.col("block"), F.col("passes").cast("string"))
+
+
+def _last_place(epoch: str) -> list[Column]:
+    """Where a document stands in its block in the last pass."""
+    return [_md5(F.col("doc_id").cast("string"), F.col(epoch).cast("string")), F.col("doc_id")]
+
+
+def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, epoch, block, exponent, budget_tokens): a row for each time that a row is drawn.
+
+    Epochs 0, 1, ... read the whole source. The last epoch reads a prefix of the blocks in permuted order, and of the
+    block in which the budget ends the documents, also in permuted order, that still fit. Rows of one block and epoch
+    stand together in the order of (md5 of block and epoch, md5 of document and epoch). A null source is a source of its
+    own. Documents without words are drawn once in each whole epoch; sources that only have such documents are read once.
+    Repeated rows count as rows. Empty tables give empty results; extra columns are ignored.
+    """
+    rows, b, _ = _plan(docs, max_repeats, target_entropy, budget)
     r = rows.alias("r").hint("merge").join(b.alias("b"), F.expr("r.block = b.block and r.source <=> b.source"))
     r = r.select("r.doc_id", "r.source", "r.n_tokens", "r.block", "b.exponent", "b.budget_tokens", "b.passes", "b.left_here", "b.block_tokens")
     whole = r.filter("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
     last = r.filter("left_here > 0 and n_tokens > 0").withColumn("epoch", F.col("passes").cast("long"))
     full = last.filter("left_here >= block_tokens")
-    inside = Window.partitionBy("source", "block").orderBy(_md5(F.col("doc_id").cast("string"), F.col("epoch").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "block").orderBy(*_last_place("epoch")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = last.filter("left_here < block_tokens").withColumn("upto", F.sum("n_tokens").over(inside)).filter("upto <= left_here").drop("upto")
     out = whole.unionByName(full).unionByName(ends)
     return out.select("doc_id", "source", "n_tokens", "epoch", "block", "exponent", "budget_tokens")
 
 
+def repeat_rows(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
+    """Whole rows of ``docs``, each as often as :func:`mix_sources` draws it; texts are not shuffled.
+
+    The last pass over a source ends at one place in the permuted order, so a row tells from its source's place alone
+    whether it is drawn again. Rows that share an id and the last place are drawn alike. Columns stay as they are.
+    """
+    rows, b, per_source = _plan(docs, max_repeats, target_entropy, budget)
+    whole = b.filter("left_here > 0 and left_here >= block_tokens").groupBy("source").agg(F.max(_last_block()).alias("upto_block"))
+    ends = b.filter("left_here > 0 and left_here < block_tokens").select("source", F.col("block").alias("end_block"), "passes", "left_here")
+    r = rows.filter("n_tokens > 0").alias("r").hint("merge").join(ends.alias("e"), F.expr("r.block = e.end_block and r.source <=> e.source")).select("r.source", "r.doc_id", "r.n_tokens", "e.end_block", "e.passes", "e.left_here")
+    inside = Window.partitionBy("source", "end_block").orderBy(*_last_place("passes")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("upto", F.sum("n_tokens").over(inside)).filter("upto <= left_here")
+    place = F.struct(*[c.alias(n) for c, n in zip(_last_place("passes"), ("m", "i"), strict=True)])
+    ends = r.groupBy("source", "end_block").agg(F.max(place).alias("upto_row"))
+    p = per_source.alias("p").join(stored(whole, "mix-whole").alias("w"), F.expr("p.source <=> w.source"), "left").join(stored(ends, "mix-ends").alias("x"), F.expr("p.source <=> x.source"), "left")
+    # One row per source, written first: Spark broadcasts it if it is small and merges if it is not.
+    plan = stored(p.select(F.struct("p.source", "p.passes", "w.upto_block", "x.end_block", "x.upto_row").alias("_plan")), "mix-places")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    block, passes = F.substring(F.md5(key), 1, BLOCK_DIGITS), F.col("_plan.passes").cast("string")
+    here = F.struct(_md5(F.col("doc_id").cast("string"), passes).alias("m"), F.col("doc_id").alias("i"))
+    again = (_md5(block, passes) <= F.col("_plan.upto_block")) | ((block == F.col("_plan.end_block")) & (here <= F.col("_plan.upto_row")))
+    again = F.coalesce(again, F.lit(False)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    times = F.col("_plan.passes") + F.when(again, 1).otherwise(0)
+    out = docs.join(plan, F.expr("source <=> _plan.source")).filter(times > 0)
+    return out.withColumn("_draw", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(docs.columns)
+
+
 #: The query's parameters.
 MAX_REPEATS = 2.0
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from factloom.llm.mixing import mix_sources, source_weights
+from factloom.llm.mixing import mix_sources, repeat_rows, source_weights
 from factloom.llm.packing import boundaries, cell_end, pack
 from pyspark.sql import functions as F
 
@@ -84,3 +84,13 @@ def test_batches(docs):
 
 def test_empty(empty):
     assert mix_sources(empty).collect() == [] and pack(empty).collect() == []
+
+
+def test_repeated_rows_are_the_drawn_ones(docs):
+    whole = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    for k in (1.3, 2.0, 3.0):
+        drawn = Counter(r.doc_id for r in mix_sources(whole, max_repeats=k).collect())
+        got = repeat_rows(whole, max_repeats=k)
+        assert got.columns == whole.columns
+        assert Counter(r.doc_id for r in got.collect()) == drawn
+    assert Counter(r.doc_id for r in repeat_rows(docs).collect()).keys() == {r.doc_id for r in docs.collect()}
