@@ -69,11 +69,13 @@ def _different(texts: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def _select(pos: list[Counter], unl: list[Counter]) -> list[str]:
-    """Features that stand in more positive texts than the unlabelled ones let expect."""
-    dp, du = Counter(w for c in pos for w in c), Counter(w for c in unl for w in c)
-    ratio = len(pos) / max(1, len(unl))
-    z = {w: (n - ratio * du[w]) / np.sqrt(ratio * du[w] + 1.0) for w, n in dp.items() if n >= 2}
+def _select(positive: list[str], unlabelled: list[str]) -> list[str]:
+    """Features that stand in more positive texts than the unlabelled ones let expect. Texts are read one at a time."""
+    in_positive = Counter(w for t in positive for w in features(t))
+    in_positive = Counter({w: n for w, n in in_positive.items() if n >= 2})
+    in_unlabelled = Counter(w for t in unlabelled for w in features(t) if w in in_positive)
+    ratio = len(positive) / max(1, len(unlabelled))
+    z = {w: (n - ratio * in_unlabelled[w]) / np.sqrt(ratio * in_unlabelled[w] + 1.0) for w, n in in_positive.items()}
     return sorted((w for w in z if z[w] >= 3.0), key=lambda w: (-z[w], w))[:MAX_FEATURES]
 
 
@@ -81,14 +83,14 @@ def train_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps:
     """Full-batch Adam on the non-negative risk with the logistic loss."""
     if not positive or not unlabelled or prior <= 0:
         return Model()
-    pos, unl = [features(t) for t in _different(positive)], [features(t) for t in _different(unlabelled)]
-    names = _select(pos, unl)
+    positive, unlabelled = _different(positive), _different(unlabelled)
+    names = _select(positive, unlabelled)
     at = {w: k for k, w in enumerate(names)}
-    texts = pos + unl
-    row = np.array([r for r, c in enumerate(texts) for w in c if w in at], dtype=np.int64)
-    col = np.array([at[w] for c in texts for w in c if w in at], dtype=np.int64)
-    val = np.log1p(np.array([n for c in texts for w, n in c.items() if w in at], dtype=np.float64))
-    n, p = len(texts), len(pos)
+    kept = [[(at[w], c) for w, c in features(t).items() if w in at] for t in [*positive, *unlabelled]]
+    row = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+    col = np.array([k for x in kept for k, _ in x], dtype=np.int64)
+    val = np.log1p(np.array([c for x in kept for _, c in x], dtype=np.float64))
+    n, p = len(kept), len(positive)
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior)) if prior < 1 else 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
