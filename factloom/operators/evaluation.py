@@ -235,14 +235,14 @@ def summarize_contradictions(runs: DataFrame) -> DataFrame:
         F.coalesce(F.every(F.when(good, F.col("calls") == 1)), F.lit(False)).alias("one_call_each"),
         _mean(lat).alias("mean_ms"),
     )
-    return out.join(ranks, ["dimension", "value"], "left")
+    return out.join(ranks.hint("merge"), ["dimension", "value"], "left")
 
 
 def latency_profile(samples: DataFrame, stages: Sequence[str]) -> DataFrame:
     """Per size and stage: p50 and p95 by rounding, mean. ``samples(size, <stages>)``."""
     long = samples.unpivot("size", list(stages), "stage", "ms")
     r = nearest_rank(long, ["size", "stage"], "ms").select("size", "stage", "n", F.col("p50_round").alias("p50"), F.col("p95_round").alias("p95"))
-    return r.join(long.groupBy("size", "stage").agg(_mean("ms").alias("mean")), ["size", "stage"])
+    return r.hint("merge").join(long.groupBy("size", "stage").agg(_mean("ms").alias("mean")), ["size", "stage"])
 
 
 def dedupe_turns(records: DataFrame) -> DataFrame:

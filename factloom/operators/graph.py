@@ -33,7 +33,7 @@ def load_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct edges, (gid, n_nodes, n_edges))."""
     e = edges.select("gid", "src", "dst").distinct()
     nodes = e.select("gid", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("gid").agg(F.count("*").alias("n_nodes"))
-    return e, nodes.join(e.groupBy("gid").agg(F.count("*").alias("n_edges")), "gid")
+    return e, nodes.hint("merge").join(e.groupBy("gid").agg(F.count("*").alias("n_edges")), "gid")
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

@@ -28,7 +28,7 @@ def seed_pairs(seed_rows: DataFrame, facts: DataFrame, anchor: str, tiers: Seque
     s = seed_rows.select("query_id", *key, "fact_id", "object", F.col("valid_at").alias("b"), end.alias("x"))
     live = tier_filter(facts, tiers).filter(holds_at(anchor))
     o = live.select(*key, F.col("fact_id").alias("other"), F.col("object").alias("o_object"), F.col("valid_at").alias("ob"), end.alias("ox"))
-    both = s.join(o, key).filter("other <> fact_id and o_object <> object and b < ox and ob < x")
+    both = s.join(o.hint("merge"), key).filter("other <> fact_id and o_object <> object and b < ox and ob < x")
     return both.select("query_id", F.least("fact_id", "other").alias("e1"), F.greatest("fact_id", "other").alias("e2")).distinct()
 
 
@@ -39,12 +39,12 @@ def answer_all(seed_rows: DataFrame) -> DataFrame:
 def answer_consistent(seed_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Seeds outside all kept pairs. A pruned or capped pair does not exclude its facts; pass all pairs to be strict."""
     hit = pairs.select("query_id", F.explode(F.array("e1", "e2")).alias("fact_id")).distinct()
-    return seed_rows.join(hit, ["query_id", "fact_id"], "left_anti").select("query_id", "fact_id", "rank", F.lit(0.7).alias("confidence"))
+    return seed_rows.join(hit.hint("merge"), ["query_id", "fact_id"], "left_anti").select("query_id", "fact_id", "rank", F.lit(0.7).alias("confidence"))
 
 
 def order_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs with the older fact first and a reason that states both: (query_id, e1, e2, reason, episodes, rank)."""
-    f = lambda e: facts.select(F.col("fact_id").alias(e), F.struct("valid_at", F.col("fact_id").alias("id"), "subject", "predicate", "object", "source_episode_id").alias(f"f_{e}"))
+    f = lambda e: facts.select(F.col("fact_id").alias(e), F.struct("valid_at", F.col("fact_id").alias("id"), "subject", "predicate", "object", "source_episode_id").alias(f"f_{e}")).hint("merge")
     both = pairs.join(f("e1"), "e1").join(f("e2"), "e2")
     old, new = F.least("f_e1", "f_e2").alias("old"), F.greatest("f_e1", "f_e2").alias("new")
     both = both.select("query_id", "rank", old, new)
@@ -59,14 +59,14 @@ def evidence(ordered: DataFrame, episodes: DataFrame, most: int = 300) -> DataFr
     text = F.coalesce("text", F.lit(""))
     body = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit(ELLIPSIS))).otherwise(text)
     said = F.concat(F.lit("["), F.date_format("event_time", "yyyy-MM-dd"), F.lit("] "), body)
-    return ids.join(episodes, "episode_id").select("query_id", "episode_id", said.alias("snippet"))
+    return ids.join(episodes.hint("merge"), "episode_id").select("query_id", "episode_id", said.alias("snippet"))
 
 
 def verdict_requests(ordered: DataFrame, snippets: DataFrame) -> DataFrame:
     """One row a query: its conflicts, at most eight, in rank order, its snippets by episode, and the prompt."""
     c = ordered.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "e1", "e2", "reason"))).alias("c"))
     s = snippets.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("episode_id", "snippet"))).alias("s"))
-    both = c.join(s, "query_id", "left")
+    both = c.join(s.hint("merge"), "query_id", "left")
     lines = F.array_join(F.transform("c", lambda x: x["reason"]), "\n")
     shown = F.array_join(F.transform(F.coalesce("s", F.array().cast("array<struct<episode_id:bigint,snippet:string>>")), lambda x: x["snippet"]), "\n")
     prompt = F.concat(F.lit("Conflicts:\n"), lines, F.lit("\nEpisodes:\n"), shown)
@@ -85,7 +85,7 @@ def newest_wins(requests: DataFrame) -> DataFrame:
 def apply_verdicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(query_id, resolution, reason, confidence, error) from JSON responses; what breaks the schema is an error."""
     r = responses.withColumn("v", F.from_json("response", VERDICT, {"mode": "PERMISSIVE"}))
-    out = requests.select("query_id").join(r, "query_id", "left")
+    out = requests.select("query_id").join(r.hint("merge"), "query_id", "left")
     good = F.col("v.resolution").isin(*RESOLUTIONS) & F.col("v.confidence").between(0.0, 1.0)
     ok = F.coalesce(good, F.lit(False))
     return out.select("query_id", F.when(ok, F.col("v.resolution")).alias("resolution"), F.when(ok, F.col("v.reason")).alias("reason"), F.when(ok, F.col("v.confidence")).alias("confidence"), F.when(~ok, "bad response").alias("error"))
@@ -94,8 +94,8 @@ def apply_verdicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
 def answer_facts(seed_rows: DataFrame, ordered: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(query_id, fact_id): the older facts, the newer ones, or both, as the verdict says; seeds where nothing conflicts."""
     side: Column = F.when(F.col("resolution") == "e1_correct", F.array("e1")).when(F.col("resolution") == "e2_correct", F.array("e2")).otherwise(F.array("e1", "e2"))
-    judged = ordered.join(verdicts.select("query_id", "resolution"), "query_id").select("query_id", F.explode(side).alias("fact_id"))
-    calm = seed_rows.join(ordered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "fact_id")
+    judged = ordered.join(verdicts.select("query_id", "resolution").hint("merge"), "query_id").select("query_id", F.explode(side).alias("fact_id"))
+    calm = seed_rows.join(ordered.select("query_id").distinct().hint("merge"), "query_id", "left_anti").select("query_id", "fact_id")
     return judged.union(calm).distinct()
 
 
@@ -161,7 +161,7 @@ def add_episodes(episodes: DataFrame, known: DataFrame, asserted: DataFrame | No
     base = known.agg(F.coalesce(F.max("fact_id"), F.lit(-1)) + 1).first()[0]
     # Ids are offsets of episodes plus places inside them, so no global sort is needed.
     place = F.row_number().over(Window.partitionBy("episode_id").orderBy("subject", "predicate", "object"))
-    new = found.withColumn("_n", place).join(episodes.select("episode_id", "group_id", "session_id"), "episode_id")
+    new = found.withColumn("_n", place).join(episodes.select("episode_id", "group_id", "session_id").hint("merge"), "episode_id")
     new = new.select(
         (F.lit(base) + F.col("episode_id") * 1000 + F.col("_n")).alias("fact_id"), "group_id", "subject", "predicate", "object", "valid_at",
         F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(tier).alias("tier"), "confidence", F.lit(False).alias("pinned"), F.col("episode_id").alias("source_episode_id"), "session_id",

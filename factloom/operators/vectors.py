@@ -110,7 +110,7 @@ def gap_prune(ranked: DataFrame, keys: Sequence[str] = ("query_id",), score: str
 def hydrate_ranked(hits: DataFrame, facts: DataFrame, anchor: str, tiers: Sequence[str] = ("T1", "T2"), include_invalidated: bool = False) -> DataFrame:
     """Ranked ids with their facts; ids that tier or time rule out fall away, ranks stay as they are."""
     live = tier_filter(facts, tiers).filter(holds_at(anchor, include_invalidated))
-    return hits.join(live, "fact_id")
+    return hits.join(live.hint("merge"), "fact_id")  # hits come from Python, whose size Spark cannot tell
 
 
 def fact_text(s: str = "subject", p: str = "predicate", o: str = "object") -> Column:
@@ -141,7 +141,7 @@ def recall_facts(queries: DataFrame, items: DataFrame, facts: DataFrame, anchor:
 def recall_episodes(queries: DataFrame, items: DataFrame, episodes: DataFrame, k: int = 5) -> DataFrame:
     """Nearest episodes of the query's tenant with their bodies, in rank order."""
     hits = knn(queries, items, k, id_col="episode_id", tiers=None)
-    return hits.join(episodes, "episode_id")
+    return hits.join(episodes.hint("merge"), "episode_id")
 
 
 def score_pairs(pairs: DataFrame, hits: DataFrame, cap: int = 8) -> DataFrame:
@@ -149,7 +149,7 @@ def score_pairs(pairs: DataFrame, hits: DataFrame, cap: int = 8) -> DataFrame:
 
     (query_id, e1, e2, score, rank, best, worst_kept, first_dropped)
     """
-    h = lambda e: hits.select("query_id", F.col("fact_id").alias(e), F.col("score").alias(f"s_{e}"))
+    h = lambda e: hits.select("query_id", F.col("fact_id").alias(e), F.col("score").alias(f"s_{e}")).hint("merge")
     s = pairs.join(h("e1"), ["query_id", "e1"], "left").join(h("e2"), ["query_id", "e2"], "left")
     s = s.withColumn("score", F.greatest(F.coalesce("s_e1", F.lit(0.0)), F.coalesce("s_e2", F.lit(0.0)))).drop("s_e1", "s_e2")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "e1", "e2")

@@ -142,7 +142,7 @@ def chunk_to_messages(lines: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
     k = F.floor(F.col("line_no") / n).cast("int")
     per = lines.withColumn("k", k).groupBy("task_id", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     out = _with_answers(per, "task_id", F.lit(None).cast("string"))
-    return out.join(tasks.select("task_id", "question"), "task_id").select("task_id", "msg_idx", "role", F.coalesce("text", "question").alias("text"))
+    return out.join(tasks.select("task_id", "question").hint("merge"), "task_id").select("task_id", "msg_idx", "role", F.coalesce("text", "question").alias("text"))
 
 
 def flatten_transcript(messages: DataFrame, key: str = "conv_id") -> DataFrame:
