@@ -28,7 +28,7 @@ WORDS, THRESHOLD = 2, 80
 SKETCH_CUT = 92
 #: Rows looked at before a row in each order, and pairs that a row emits there; what lies beyond is left to the second look.
 REACH, EMIT = 24, 3
-#: Rows and shingles that the second look compares at once; a larger region goes one hash deeper.
+#: Rows and shingles that the second look compares at once; a larger region is dealt into blocks that all meet.
 REGION, SHINGLES = 2048, 4_000_000
 HASHES = TREES * DEPTH
 _rng = np.random.default_rng(20_240_601)
@@ -130,79 +130,91 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition("tree", region).sortWithinPartitions("tree", "label", "id")
 
 
-_LOOK = "tree int, place binary, id long, comp long"
+_BLOCK = ["tree", "region", "qb", "rb"]
+_LOOK = "tree int, region binary, qb int, rb int, id long, comp long, side int, out boolean"
+_QUERY, _TARGET = 1, 2
 
 
-def _crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of crowded regions whose sketch agrees with a row of another component, with the place where they meet.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deal the rows of crowded regions into blocks (tree, region, qb, rb) in which all pairs that may matter meet.
 
-    A region of more than REGION rows, or of more than SHINGLES shingles, goes one hash deeper; what shares all hashes is
-    cut into runs. One row in, one row out at most.
+    ``rows(tree, region, id, n, sketch, comp)``. A pair of components has a row outside the region's largest: each such row
+    is a query and meets all rows of its region. A region of at most REGION rows and SHINGLES shingles is one block. Others
+    are dealt by id into parts of half that size, and each part of the queries meets each part of the rows, so a block's
+    size does not depend on its region's. ``side`` says whether a row is query, target or both there.
     """
+    by_comp = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    regions = by_comp.groupBy("tree", "region").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "comp"))["comp"].alias("most"))
+    share = F.greatest(F.col("c") / F.lit(REGION), F.col("s") / F.lit(SHINGLES))
+    regions = stored(regions.filter("comps > 1").select("tree", "region", "most", F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("int").alias("parts")), "regions")
+    rows = rows.join(regions, ["tree", "region"]).withColumn("out", F.col("comp") != F.col("most")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    columns = lambda side, qb, rb: [F.col("tree"), F.col("region"), qb.alias("qb"), rb.alias("rb"), F.col("id"), F.col("n"), F.col("sketch"), F.col("comp"), side.cast("int").alias("side"), F.col("out")]
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    alone = rows.filter("parts = 1").select(columns(F.when(F.col("out"), _QUERY | _TARGET).otherwise(_TARGET), F.lit(0), F.lit(0)))
+    large = rows.filter("parts > 1")
+    queries = large.filter("out").select("*", every.alias("other")).select(columns(F.lit(_QUERY), F.col("part"), F.col("other")))
+    targets = large.select("*", every.alias("other")).select(columns(F.lit(_TARGET), F.col("other"), F.col("part")))
+    return alone.union(queries).union(targets).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "id", "side")
+
+
+def _partners(k: int, ids: np.ndarray, comp: np.ndarray, side: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Targets of other components than query ``k``'s. Of two queries, the one with the lower id asks."""
+    return np.flatnonzero((comp != comp[k]) & (side & _TARGET > 0) & (~out | (ids > ids[k])))
+
 
-    def placed(block: list[tuple], depth: int) -> Iterator[tuple]:
-        comps = {r[5] for r in block}
-        if len(comps) < 2:
-            return
-        if len(block) > REGION or sum(r[3] for r in block) > SHINGLES:
-            if depth < DEPTH:
-                at = 0
-                for k in range(1, len(block) + 1):
-                    if k == len(block) or block[k][1][: 4 * depth + 4] != block[at][1][: 4 * depth + 4]:
-                        yield from placed(block[at:k], depth + 1)
-                        at = k
-                return
-            if len(block) > 2:
-                half = len(block) // 2
-                yield from placed(block[:half], depth)
-                yield from placed(block[half:], depth)
-                return
-        n, comp = np.array([r[3] for r in block]), np.array([r[5] for r in block])
-        sketches = np.frombuffer(b"".join(r[4] for r in block), np.uint8).reshape(len(block), -1)
-        names, sizes = np.unique(comp, return_counts=True)
+def _crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each block whose sketch agrees with a row of another component. One row in, one row out at most."""
+    names = [c.split()[0] for c in _LOOK.split(", ")]
+
+    def met(block: list[tuple]) -> Iterator[tuple]:
+        ids, n, sketches, comp, side, out = zip(*(r[4:] for r in block), strict=True)
+        ids, n, comp, side, out = (np.array(x) for x in (ids, n, comp, side, out))
+        sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(block), -1)
         meets = np.zeros(len(block), bool)
-        for k in np.flatnonzero(comp != names[sizes.argmax()]):  # a pair of components has a row outside the largest
-            fit = np.flatnonzero((comp != comp[k]) & close_sizes(n[k], n))
-            fit = fit[agreeing(block[k][4], sketches[fit]) >= SKETCH_CUT]
+        for k in np.flatnonzero(side & _QUERY):
+            fit = _partners(k, ids, comp, side, out)
+            fit = fit[close_sizes(n[k], n[fit])]
+            fit = fit[agreeing(sketches[k].tobytes(), sketches[fit]) >= SKETCH_CUT]
             meets[fit] = True
             meets[k] |= len(fit) > 0
-        place = block[0][1][: 4 * depth] + block[0][2].to_bytes(8, "big", signed=True)
         for k in np.flatnonzero(meets):
-            yield block[k][0], place, block[k][2], block[k][5]
+            yield (*block[k][:5], *block[k][7:])
 
     block: list[tuple] = []
-    names = [c.split()[0] for c in _LOOK.split(", ")]
     for pdf in batches:
-        out: list[tuple] = []
-        for row in zip(*(pdf[c] for c in [*_ROW, "comp"]), strict=True):
-            if block and (row[0] != block[0][0] or row[1][: 4 * MIN_DEPTH] != block[0][1][: 4 * MIN_DEPTH]):
-                out += placed(block, MIN_DEPTH)
+        found: list[tuple] = []
+        for row in zip(*(pdf[c] for c in [*_BLOCK, "id", "n", "sketch", "comp", "side", "out"]), strict=True):
+            if block and row[:4] != block[0][:4]:
+                found += met(block)
                 block = []
             block.append(row)
-        yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame(list(placed(block, MIN_DEPTH)) if block else [], columns=names)
+        yield pd.DataFrame(found, columns=names)
+    yield pd.DataFrame(list(met(block)) if block else [], columns=names)
 
 
 def _join_components(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one place, by exact intersections of full sets; fewer links than rows.
+    """Links between the components of one block, by exact intersections of full sets; fewer links than rows.
 
-    A row is compared with all others at once: its shingles are marked, and marks are summed over each other set. Rows
+    A query is compared with all rows at once: its shingles are marked, and marks are summed over each other set. Rows
     whose components are joined already are not linked again.
     """
-    pdf = pdf.sort_values("id", kind="stable")
-    ids, n, comp = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
+    pdf = pdf.sort_values(["id", "side"], kind="stable")
+    ids, n, comp = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy().copy()
+    side, alien = pdf["side"].to_numpy(), pdf["out"].to_numpy()
     sets = [unpacked(b) for b in pdf["bytes"]]
     start = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     named, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(named), np.int32)
     out = []
-    names, sizes = np.unique(comp, return_counts=True)
-    for k in np.flatnonzero(comp != names[sizes.argmax()]):
+    for k in np.flatnonzero(side & _QUERY):
+        fit = _partners(k, ids, comp, side, alien)
+        if not len(fit):
+            continue
         own = flat[start[k] : start[k + 1]]
         mark[own] = 1
-        common = np.add.reduceat(mark[flat], start[:-1])
+        common = np.add.reduceat(mark[flat], start[:-1])[fit]
         mark[own] = 0
-        for j in np.flatnonzero(100 * common >= THRESHOLD * (n[k] + n - common)):
+        for j in fit[100 * common >= THRESHOLD * (n[k] + n[fit] - common)]:
             if comp[j] != comp[k]:
                 out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
                 low, high = min(comp[j], comp[k]), max(comp[j], comp[k])
@@ -284,13 +296,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
             confirmed(_confirm(stored(cross(last.select("a", "b")).select("a", "b"), "third-pairs"), sets))
     # The second look: rows of crowded regions that may link to another component meet with their full sets.
     if not dense.isEmpty():
-        there = woods.withColumn("region", F.substring("label", 1, 4 * MIN_DEPTH)).join(dense, ["tree", "region"], "left_semi").drop("region")
+        there = woods.withColumn("region", F.substring("label", 1, 4 * MIN_DEPTH)).join(dense, ["tree", "region"], "left_semi").drop("label")
         there = there.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        look = stored(_ordered(there.select(*_ROW, "comp")).mapInPandas(_crowded, _LOOK), "second-look")
+        look = stored(_blocks(stored(there, "crowded-rows")).mapInPandas(_crowded, _LOOK), "second-look")
         if not look.isEmpty():
             full = sets_of(stored(look.select(F.col("id").alias("doc_id")).distinct(), "look-ids"))
             met = look.hint("merge").join(full.withColumnRenamed("doc_id", "id"), "id")
-            confirmed(met.groupBy("tree", "place").applyInPandas(_join_components, "a long, b long"))
+            confirmed(met.groupBy(*_BLOCK).applyInPandas(_join_components, "a long, b long"))
     # Back to all rows: only sets that have copies or links are joined.
     of = reps.alias("r").join(comps.alias("c"), F.expr("r.doc_id = c.node"), "left")
     of = stored(of.filter("copies > 1 or component is not null").select("set_key", F.coalesce("component", "doc_id").alias("component")), "set-components")

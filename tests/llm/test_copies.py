@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark import cloudpickle
 
 from factloom.llm import near_dedup
 from factloom.llm.components import components
@@ -96,6 +98,28 @@ def test_near_crowded_region(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize(("region", "some"), [(16, 10**9), (10**9, 2000)])
+def test_near_region_over_the_limit(spark, monkeypatch, region, some):
+    """Regions of more rows or shingles than are compared at once lose no pair."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(240):
+        t = list(base)
+        for k in rng.choice(120, rng.integers(0, 14), replace=False):
+            t[k] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(t)))
+    want = brute(rows, 2)
+    for name, value in (("REACH", 2), ("EMIT", 1), ("REGION", region), ("SHINGLES", some)):
+        monkeypatch.setattr(near_dedup, name, value)
+    cloudpickle.register_pickle_by_value(near_dedup)  # the workers see the small limits, too
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(near_dedup)
+    assert got == want
+
+
 def test_near_empty(empty):
     assert dedup(empty).collect() == []
 
