@@ -97,15 +97,22 @@ _ROW = ["tree", "label", "id", "n", "sketch"]
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream over rows in order, holding REACH rows. Kinds: pair; dense (a region with rows beyond reach)."""
+    """Stream over rows in order, holding REACH rows. Kinds: pair; dense (a region with rows beyond reach).
+
+    The first and the last region of a task may go on in another task, so they count as dense.
+    """
     held: list[tuple] = []  # rows of the region so far, the last REACH of them
     region, seen, dense = None, 0, False
+    named = lambda out: pd.DataFrame(out, columns=["a", "b", "tree", "region", "kind"]).astype({"a": "Int64", "b": "Int64"})
     for pdf in batches:
         out = []
         for tree, label, i, n, sketch in zip(*(pdf[c] for c in _ROW), strict=True):
             here = (tree, label[: 4 * MIN_DEPTH])
             if here != region:
-                region, held, seen, dense = here, [], 0, False
+                first = region is None
+                region, held, seen, dense = here, [], 0, first
+                if first:
+                    out.append((None, None, tree, here[1], "dense"))
             if held:
                 found = 0
                 for j, m, other in reversed(held):
@@ -121,13 +128,14 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen += 1
             if len(held) > REACH:
                 held.pop(0)
-        yield pd.DataFrame(out, columns=["a", "b", "tree", "region", "kind"]).astype({"a": "Int64", "b": "Int64"})
+        yield named(out)
+    if region and not dense:
+        yield named([(None, None, *region, "dense")])
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """Deal the rows by tree and region; crowded regions are few and streamed, never held."""
-    region = F.substring("label", 1, 4 * MIN_DEPTH)
-    return rows.repartition("tree", region).sortWithinPartitions("tree", "label", "id")
+    """Deal the rows by ranges of (tree, label, id), so that a crowded region is spread over tasks like any other rows."""
+    return rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
 
 
 _BLOCK = ["tree", "region", "qb", "rb"]

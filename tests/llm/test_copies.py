@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 
@@ -120,6 +121,21 @@ def test_near_region_over_the_limit(spark, monkeypatch, region, some):
     assert got == want
 
 
+def test_near_rows_of_one_region_are_spread(spark):
+    """No task reads a great part of a region, and a region that two tasks share is looked at again."""
+    rows = spark.range(400).selectExpr("0 as tree", "X'000000010000000100000001000000020000000200000002' as label", "id", "5L as n", "X'00' as sketch")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be put together again
+    try:
+        per_task = near_dedup._ordered(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 300
+    pdf = rows.limit(2).toPandas()
+    for label in (pdf["label"], [b"a" * 24, b"b" * 24]):
+        found = pd.concat(near_dedup._neighbours(iter([pdf.assign(label=label, sketch=[bytes(15), bytes([255]) * 15])])))
+        assert set(found["region"]) == {bytes(x)[:12] for x in label}
+
+
 def test_near_empty(empty):
     assert dedup(empty).collect() == []
 
