@@ -14,6 +14,8 @@ from factloom.operators.temporal import holds_at, tier_filter
 
 #: Queries in one block: a block travels whole to every item of its tenant.
 QUERY_BLOCK = 512
+#: Neighbouring buckets of each table that an approximate search looks into besides the query's own.
+PROBES = 3
 #: A drop between neighbours prunes if it is this part of the best score at least.
 MIN_GAP = 0.10
 
@@ -72,26 +74,36 @@ def random_planes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarra
 def knn_approx(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", tables: int = 24, bits: int = 6, tiers: Sequence[str] | None = ("T1", "T2")) -> DataFrame:
     """Approximate top-k: candidates share the signs of their projections in one of several tables; re-ranked exactly.
 
-    Buckets are joined on (scope, table, bucket), an equi-join; nothing is capped. Recall against :func:`knn` is a test.
+    A query also looks into PROBES neighbouring buckets of each table, those across its nearest planes. Buckets are joined
+    on (scope, table, bucket), for scope ``*`` (all tenants) on (table, bucket); equi-joins, nothing is capped. Recall
+    against :func:`knn` is a test.
     """
     rows = items if tiers is None else tier_filter(items, tiers)
     dim = len(items.select("embedding").first()[0])
     planes = random_planes(dim, tables, bits)
 
-    def buckets(vector: str, ident: str, group: str, df: DataFrame) -> DataFrame:
+    def buckets(vector: str, ident: str, group: str, df: DataFrame, probes: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
                 v = np.stack(pdf[vector].to_numpy()).astype(float)
-                code = ((np.einsum("nd,tbd->ntb", v, planes) > 0) * (1 << np.arange(bits))).sum(axis=2)
-                yield pd.DataFrame({ident: np.repeat(pdf[ident].to_numpy(), tables), "grp": np.repeat(pdf[group].to_numpy(), tables), "t": np.tile(np.arange(tables), len(pdf)), "bucket": code.ravel()})
+                side = np.einsum("nd,tbd->ntb", v, planes)
+                code = ((side > 0) * (1 << np.arange(bits))).sum(axis=2)[:, :, None]
+                near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :probes]
+                code = np.concatenate([code, code ^ (1 << near)], axis=2)
+                each = code.shape[1] * code.shape[2]
+                t = np.tile(np.repeat(np.arange(tables), code.shape[2]), len(pdf))
+                yield pd.DataFrame({ident: np.repeat(pdf[ident].to_numpy(), each), "grp": np.repeat(pdf[group].to_numpy(), each), "t": t, "bucket": code.ravel()})
 
         return df.select(ident, group, vector).mapInPandas(run, f"{ident} long, grp string, t int, bucket long")
 
-    q = queries.filter("scope <> '*'")
-    pairs = buckets("q", "query_id", "scope", q).hint("merge").join(buckets("embedding", id_col, "group_id", rows), ["grp", "t", "bucket"]).select("query_id", id_col).distinct()
-    scored = pairs.hint("merge").join(q.select("query_id", "q"), "query_id").hint("merge").join(rows.select(id_col, "embedding"), id_col)
+    asked = buckets("q", "query_id", "scope", queries, PROBES)
+    held = buckets("embedding", id_col, "group_id", rows, 0)
+    own = asked.filter("grp <> '*'").hint("merge").join(held, ["grp", "t", "bucket"]).select("query_id", id_col)
+    every = asked.filter("grp = '*'").drop("grp").hint("merge").join(held.drop("grp"), ["t", "bucket"]).select("query_id", id_col)
+    pairs = own.union(every).distinct()
+    scored = pairs.hint("merge").join(queries.select("query_id", "q"), "query_id").hint("merge").join(rows.select(id_col, "embedding"), id_col)
     scored = scored.select("query_id", id_col, F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

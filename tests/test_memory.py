@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from factloom.operators import graph, inference, quality, temporal, vectors
+from factloom.plans import fixtures, memory
 from pyspark.sql import functions as F
 
 FACT = "fact_id long, group_id string, subject string, predicate string, object string, valid_at timestamp, invalid_at timestamp, tier string, confidence double, pinned boolean, source_episode_id long"
@@ -108,6 +110,17 @@ def test_knn_against_numpy_and_lsh_recall(spark):
     assert found.join(near, ["query_id", "fact_id"]).count() / near.count() >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_lsh_recall_as_registered(spark):
+    """The registered k on given rows, and queries over all tenants."""
+    d = "/root/testdata/sf0.01"
+    near, found = memory.knn_exact(spark, d), memory.knn_lsh(spark, d)
+    assert found.join(near, ["query_id", "fact_id"]).count() / near.count() >= 0.9
+    q, items = fixtures.queries(spark, d).limit(5).withColumn("scope", F.lit("*")), memory._items(spark, d)
+    near, found = vectors.knn(q, items, 16), vectors.knn_approx(q, items, 16)
+    assert near.count() == 80 and found.join(near, ["query_id", "fact_id"]).count() / 80 >= 0.9
+
+
 def test_gap_prune(spark):
     rows = [(1, 1, 0.9), (1, 2, 0.85), (1, 3, 0.5), (1, 4, 0.15), (2, 1, 0.9), (2, 2, 0.88), (3, 1, 0.4), (4, 1, 0.0), (4, 2, 0.0)]
     kept = vectors.gap_prune(spark.createDataFrame(rows, "query_id long, rank int, score double"))
