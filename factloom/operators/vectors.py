@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from factloom.functions.tokens import tokens_or_one
 from factloom.operators.temporal import holds_at, tier_filter
 
-#: Queries in one block: a block travels whole to every item of its tenant.
-QUERY_BLOCK = 512
+#: Queries and items in one block: each block of queries meets each block of its tenant's items in one task.
+QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 #: Neighbouring buckets of each table that an approximate search looks into besides the query's own.
 PROBES = 3
 #: A drop between neighbours prunes if it is this part of the best score at least.
@@ -34,35 +34,38 @@ def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", t
     """Exact top-k by cosine: (query_id, id, score, rank), scores rounded to six digits, ties by id.
 
     ``queries(query_id, q, scope)`` against ``items(id, group_id, embedding[, tier])``; scope ``*`` is all tenants. Tier
-    and tenant filter before the ranking. Queries are dealt into blocks, a block is scored against a batch of items as
-    one matrix product, and only each batch's k best go to the shuffle.
+    and tenant filter before the ranking. Queries and items are dealt by id into blocks of about ``block`` and ITEM_BLOCK
+    rows; each block of queries meets each block of its tenant's items in one task as one matrix product, and only the k
+    best of each pair of blocks go to the shuffle. The driver sees counts of tenants' blocks only.
     """
     rows = items if tiers is None else tier_filter(items, tiers)
-    blocks = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(1 + queries.count() // block)))
-    blocks = blocks.groupBy("scope", "b").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("qs")).collect()
-    parts = [(r["scope"], np.array([x["query_id"] for x in r["qs"]]), np.array([x["q"] for x in r["qs"]], dtype=float)) for r in blocks]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            group, ids = pdf["group_id"].to_numpy(), pdf[id_col].to_numpy()
-            vectors = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            norm = np.sqrt((vectors * vectors).sum(axis=1))
-            found = []
-            for scope, qids, q in parts:
-                at = np.arange(len(pdf)) if scope == "*" else np.flatnonzero(group == scope)
-                if not len(at):
-                    continue
-                scale = np.sqrt((q * q).sum(axis=1))[:, None] * norm[at][None, :]
-                s = np.round(np.divide(q @ vectors[at].T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-                for r in range(len(qids)):
-                    top = np.lexsort((ids[at], -s[r]))[:k]
-                    found.append((np.full(len(top), qids[r]), ids[at][top], s[r][top]))
-            if found:
-                yield pd.DataFrame(dict(zip(("query_id", id_col, "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    partial = rows.select(id_col, "group_id", "embedding").mapInPandas(best, f"query_id long, {id_col} long, score double")
+    rows = rows.select("group_id", F.col(id_col).alias("id"), F.col("embedding").alias("v"))
+    asked = queries.select("scope", F.col("query_id").alias("id"), F.col("q").alias("v"))
+    parts = lambda n, size: (1 + F.floor(n / F.lit(size))).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    # A pair of blocks belongs to a scope and, since * meets every tenant's blocks, a tenant.
+    nq = asked.groupBy("scope").agg(parts(F.count("*"), block).alias("nq"))
+    ni = rows.groupBy("group_id").agg(parts(F.count("*"), ITEM_BLOCK).alias("ni"))
+    own = nq.filter("scope <> '*'").hint("merge").join(ni.withColumnRenamed("group_id", "scope"), "scope").withColumn("group_id", F.col("scope"))
+    every = nq.filter("scope = '*'").crossJoin(ni)
+    sizes = own.select("scope", "group_id", "nq", "ni").union(every.select("scope", "group_id", "nq", "ni"))
+    blocks = ["scope", "group_id", "qb", "ib"]
+    q = asked.hint("merge").join(sizes, "scope").withColumn("qb", part("nq")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    i = rows.hint("merge").join(sizes, "group_id").withColumn("ib", part("ni")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+
+    def best(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", id_col, "score"]
+        if not len(qs) or not len(its):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), id_col: pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        qids, ids = qs["id"].to_numpy(), its["id"].to_numpy()
+        a, b = (np.stack(x["v"].to_numpy()).astype(float) for x in (qs, its))
+        scale = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+        s = np.round(np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+        tops = [np.lexsort((ids, -s[r]))[:k] for r in range(len(qids))]
+        return pd.DataFrame(dict(zip(names, (np.repeat(qids, [len(t) for t in tops]), ids[np.concatenate(tops)], np.concatenate([s[r][t] for r, t in enumerate(tops)])), strict=True)))
+
+    sides = [x.select(*blocks, "id", "v").toDF(*blocks, "id", "v").groupBy(*blocks) for x in (q, i)]
+    partial = sides[0].cogroup(sides[1]).applyInPandas(best, f"query_id long, {id_col} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -121,6 +121,24 @@ def test_lsh_recall_as_registered(spark):
     assert near.count() == 80 and found.join(near, ["query_id", "fact_id"]).count() / 80 >= 0.9
 
 
+def test_knn_brings_no_rows_to_the_driver(spark, monkeypatch):
+    """Blocks of queries and items meet in Spark, several of each."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(90, 8))
+    items = spark.createDataFrame([(i, "gh"[i % 2], v[i].tolist()) for i in range(90)], "fact_id long, group_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, v[i].tolist(), "gh*"[i % 3]) for i in range(30)], "query_id long, q array<double>, scope string")
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 10, raising=False)
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toLocalIterator"):
+            m.setattr(type(queries), name, lambda *_: pytest.fail("rows in the driver"))
+        near = vectors.knn(queries, items, 4, tiers=None, block=3)
+    got = {(r.query_id, r["rank"]): r.fact_id for r in near.collect()}
+    s = np.round((v / np.linalg.norm(v, axis=1, keepdims=True))[:30] @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+    for i in range(30):
+        may = [j for j in range(90) if "gh*"[i % 3] in ("gh"[j % 2], "*")]
+        assert [got[i, r] for r in range(1, 5)] == sorted(may, key=lambda j: (-s[i][j], j))[:4]
+
+
 def test_gap_prune(spark):
     rows = [(1, 1, 0.9), (1, 2, 0.85), (1, 3, 0.5), (1, 4, 0.15), (2, 1, 0.9), (2, 2, 0.88), (3, 1, 0.4), (4, 1, 0.0), (4, 2, 0.0)]
     kept = vectors.gap_prune(spark.createDataFrame(rows, "query_id long, rank int, score double"))
