@@ -7,13 +7,15 @@ when its smoothed part of blocked labels is large. Work goes down one path segme
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Segments that have a place in the tree; what is deeper is one segment.
+#: Levels of the SQL below; the Spark tree goes down to the deepest path. For longer paths the SQL joins the last segments.
 DEPTH = 4
 #: Below a node with more than KIDS different segments, those with less than SHARE of its pages become a wildcard.
 KIDS, SHARE = 8, 0.05
@@ -51,7 +53,6 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rule, verdict = _by_rule(rules)
     rows = rows.withColumn("rule", rule).withColumn("said", verdict)
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    segs = F.when(F.size(segs) > DEPTH, F.concat(F.slice(segs, 1, DEPTH - 1), F.array(F.array_join(F.slice(segs, DEPTH, 1_000_000_000), "/")))).otherwise(segs)
     rows = stored(rows.withColumn("segs", segs), "url-rows")
     count = lambda said: F.sum(F.when(F.col("said") == said, 1).otherwise(0))
     tree = stored(rows.groupBy("host", "segs").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a")).withColumn("template", F.lit("")), "paths")
@@ -59,9 +60,11 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     labelled = (whole["b"] or 0) + (whole["a"] or 0)
     overall = (whole["b"] / labelled) if labelled else 0.0
     sums = [F.sum(c).alias(c) for c in ("n", "b", "a")]
-    for d in range(min(DEPTH, whole["deep"] or 0)):
+    ended = [tree.filter(F.size("segs") == 0)]  # each level goes on with the paths that are longer
+    for d in range(whole["deep"] or 0):
+        tree = tree.filter(F.size("segs") > d)
         at = tree.withColumn("seg", F.get("segs", F.lit(d)))
-        kids = stored(at.filter("seg is not null").groupBy("host", "template", "seg").agg(*sums), f"kids-{d}")
+        kids = stored(at.groupBy("host", "template", "seg").agg(*sums), f"kids-{d}")
         nodes = stored(kids.groupBy("host", "template").agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "b", "a")]), f"nodes-{d}")
         k = kids.join(nodes, ["host", "template"])
         rare = (F.col("kids") > KIDS) & (F.col("n") < SHARE * F.col("all_n"))
@@ -71,6 +74,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         named = stored(k.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("to")), f"names-{d}")
         at = at.join(named, ["host", "template", "seg"], "left")
         tree = stored(at.withColumn("template", F.coalesce("to", "template")).drop("seg", "to"), f"paths-{d}")
+        ended.append(tree.filter(F.size("segs") == d + 1))
+    tree = stored(reduce(DataFrame.unionByName, ended), "tree")
     hosts = tree.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
     part = (F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)
     hosts = hosts.select("host", F.when(F.col("hb") + F.col("ha") > 0, part).otherwise(0.0).alias("base"))

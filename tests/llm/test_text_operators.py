@@ -123,3 +123,12 @@ def test_templates_generalise_and_reject(spark):
 
 def test_urls_empty(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_urls_differ_below_a_deep_id(spark):
+    """What differs in the fifth segment is told apart below a wildcard."""
+    rules = tuple((said, "x.com", f"/a/b/c/{i}/{tail}") for i in range(20) for said, tail in (("block", "spam"), ("allow", "ok")))
+    pages = [f"http://x.com/a/b/c/{i}/{tail}" for i in [*range(20), 99] for tail in ("spam", "ok")]
+    rows = urls.judge_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
+    got = {r.path: (r.verdict, r.template.rsplit("/", 2)[1:]) for r in rows}
+    assert len(rows) == 42 and got["/a/b/c/99/spam"] == ("block", ["*", "spam"]) and got["/a/b/c/99/ok"] == ("allow", ["*", "ok"])
