@@ -20,8 +20,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (single machine)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one, but on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or _own_folder()
 
 
@@ -39,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_as_text(column: str = "doc_id") -> Column:
+    """An id on its way to Python, where pandas would make inexact floats of a numeric column with nulls."""
+    return F.col(column).cast("string").alias(column)
+
+
+def id_from_text(made: DataFrame, column: str = "doc_id") -> DataFrame:
+    return made.withColumn(column, F.col(column).cast("long"))
+
+
 def crc_mod(column: str, m: int) -> Column:
     """``crc32(column as text) mod m``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(m))

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored
+from factloom.llm.common import id_as_text, id_from_text, stored
 from factloom.llm.components import components
 from factloom.llm.wordhash import shingles
 
@@ -43,16 +43,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The top five bytes of each shingle, ascending."""
-    return np.unique(s >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 3:] = raw
-    return wide.view(">u8").ravel().astype(np.uint64)
+def set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def agreeing(sketch: bytes, others: np.ndarray) -> np.ndarray:
@@ -75,19 +67,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(t, words)
                 if len(s):
                     low = signature(s)
-                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), low.astype(">u4").tobytes(), np.packbits((low & 1).astype(np.uint8)).tobytes()))
+                    out.append((len(s), set_key(s), low.astype(">u4").tobytes(), np.packbits((low & 1).astype(np.uint8)).tobytes()))
                 else:
                     out.append((0, None, None, None))
             made = pd.DataFrame(out, columns=["n", "set_key", "sig", "sketch"])
             made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield made
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, set_key binary, sig binary, sketch binary")
+    return id_from_text(docs.select(id_as_text(), "text").mapInPandas(run, "doc_id string, n long, set_key binary, sig binary, sketch binary"))
 
 
 def forest(sets: DataFrame) -> DataFrame:
     """(tree, label, id, n, sketch): a row for each set and tree."""
-    rows = sets.select(F.col("doc_id").alias("id"), "n", "sig", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = sets.select("id", "n", "sig", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     label = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
     return rows.select("tree", label.alias("label"), "id", "n", "sketch")
 
@@ -103,7 +95,8 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     held: list[tuple] = []  # rows of the region so far, the last REACH of them
     region, seen, dense = None, 0, False
-    named = lambda out: pd.DataFrame(out, columns=["a", "b", "tree", "region", "kind"]).astype({"a": "Int64", "b": "Int64"})
+    # Other kinds than pairs have ids 0, not null: pandas would make floats of a column with nulls.
+    named = lambda out: pd.DataFrame(out, columns=["a", "b", "tree", "region", "kind"]).astype({"a": "int64", "b": "int64"})
     for pdf in batches:
         out = []
         for tree, label, i, n, sketch in zip(*(pdf[c] for c in _ROW), strict=True):
@@ -112,7 +105,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first = region is None
                 region, held, seen, dense = here, [], 0, first
                 if first:
-                    out.append((None, None, tree, here[1], "dense"))
+                    out.append((0, 0, tree, here[1], "dense"))
             if held:
                 found = 0
                 for j, m, other in reversed(held):
@@ -123,14 +116,14 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             break
                 if not dense and (found == EMIT or seen > len(held)):
                     dense = True
-                    out.append((None, None, tree, here[1], "dense"))
+                    out.append((0, 0, tree, here[1], "dense"))
             held.append((i, n, int.from_bytes(sketch, "big")))
             seen += 1
             if len(held) > REACH:
                 held.pop(0)
         yield named(out)
     if region and not dense:
-        yield named([(None, None, *region, "dense")])
+        yield named([(0, 0, *region, "dense")])
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -209,7 +202,7 @@ def _join_components(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["id", "side"], kind="stable")
     ids, n, comp = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy().copy()
     side, alien = pdf["side"].to_numpy(), pdf["out"].to_numpy()
-    sets = [unpacked(b) for b in pdf["bytes"]]
+    sets = [np.frombuffer(b, np.uint64) for b in pdf["bytes"]]
     start = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     named, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(named), np.int32)
@@ -237,47 +230,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for pdf in batches:
             ok = []
             for na, nb, sa, sb in zip(pdf["na"], pdf["nb"], pdf["sa"], pdf["sb"], strict=True):
-                common = len(np.intersect1d(unpacked(sa), unpacked(sb), assume_unique=True))
+                common = len(np.intersect1d(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), assume_unique=True))
                 ok.append(100 * common >= THRESHOLD * (na + nb - common))
             yield pdf.loc[ok, ["a", "b"]]
 
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bytes").alias(f"s{k}")).hint("merge")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bytes").alias(f"s{k}")).hint("merge")
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def _set_id(sets: DataFrame) -> Column:
+    """A 64-bit identifier of each set, verified: one that two sets share is replaced by another for all of them."""
+    for salt in range(8):
+        ident = F.xxhash64("set_key", F.lit(salt))
+        if sets.groupBy(ident.alias("id")).count().filter("count > 1").isEmpty():
+            return ident
+    raise RuntimeError("set identifiers clash")
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, set_key.
 
-    Texts without words (null, empty, separators alone) have empty sets and stand alone. Rows with equal sets, repeated
-    rows among them, are one set whose smallest doc_id stands for it; rows that repeat the kept doc_id tie and all stay.
-    Rows with a null doc_id keep their count, link nothing and are their own component (null, kept). Empty tables give
-    empty results; other columns are ignored.
+    Texts without words (null, empty, separators alone) have empty sets and stand alone (set_key null). Rows with equal
+    sets, repeated rows among them, are one set; its smallest doc_id and those of the sets that it reaches decide. Rows
+    that repeat the kept doc_id tie and all stay. An id with several texts is judged by each text. Rows with a null doc_id
+    keep their count, link nothing and are their own component (null, kept). Empty tables give empty results; other
+    columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(signatures(docs, words), "signatures")
     named = rows.filter("doc_id is not null and set_key is not null")
     # Equal sets: one row each from a partial aggregate; sets that occur once need no join later.
     by_key = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "sig", "sketch")).alias("r"), F.count("*").alias("copies"))
     reps = stored(by_key.select("set_key", "copies", "r.*"), "sets")
+    ident = _set_id(reps)
+    reps = reps.withColumn("id", ident)
     woods = forest(reps)
     near = stored(_ordered(woods).mapInPandas(_neighbours, _NEAR), "neighbours")
     pairs = stored(near.filter("kind = 'pair'").groupBy("a", "b").agg(F.count("*").alias("hits")), "pairs")
     dense = stored(near.filter("kind = 'dense'").select("tree", "region").distinct(), "dense")
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, n, bytes): full sets, all 64 bits of each shingle, of ``ids(id)``."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                made = [shingles(t, words) for t in pdf["text"]]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in made], "bytes": [packed(s) for s in made]})
+                made = [s for t in pdf["text"] if len(s := shingles(t, words))]
+                yield pd.DataFrame({"set_key": [set_key(s) for s in made], "n": [len(s) for s in made], "bytes": [s.tobytes() for s in made]})
 
-        # Ids may be many, so no broadcast is forced; Spark knows the stored table's size.
-        some = docs.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, n long, bytes binary")
-        return stored(some.dropDuplicates(["doc_id"]), "full-sets")
+        # Ids may be many, so no broadcast is forced; Spark knows the stored table's size. An id's other texts do no harm.
+        wanted = stored(reps.select("id", "doc_id").join(ids, "id", "left_semi").select("doc_id").distinct(), "wanted")
+        some = docs.join(wanted, "doc_id", "left_semi").mapInPandas(run, "set_key binary, n long, bytes binary")
+        return stored(some.select(ident.alias("id"), "n", "bytes").dropDuplicates(["id"]), "full-sets")
 
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     sets = sets_of(ids)
-    links, comps = None, None
+    comps = None
 
     def cross(left: DataFrame) -> DataFrame:
         """Those pairs whose ends lie in different components so far, with these."""
@@ -286,10 +293,12 @@ def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
 
     def confirmed(new: DataFrame) -> None:
-        nonlocal links, comps
-        new = stored(new, "links")
-        links = new if links is None else links.union(new)
-        comps = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        """Components of the new links and of what is joined already, which goes in as stars."""
+        nonlocal comps
+        edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if comps is not None:
+            edges = edges.union(comps.select("node", "component"))
+        comps = stored(components(edges), "components")
 
     # First each set's best candidate, then what still lies between different components, a few pairs of each before all.
     best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")
@@ -308,15 +317,17 @@ def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
         there = there.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         look = stored(_blocks(stored(there, "crowded-rows")).mapInPandas(_crowded, _LOOK), "second-look")
         if not look.isEmpty():
-            full = sets_of(stored(look.select(F.col("id").alias("doc_id")).distinct(), "look-ids"))
-            met = look.hint("merge").join(full.withColumnRenamed("doc_id", "id"), "id")
+            full = sets_of(stored(look.select("id").distinct(), "look-ids"))
+            met = look.hint("merge").join(full, "id")
             confirmed(met.groupBy(*_BLOCK).applyInPandas(_join_components, "a long, b long"))
     # Back to all rows: only sets that have copies or links are joined.
-    of = reps.alias("r").join(comps.alias("c"), F.expr("r.doc_id = c.node"), "left")
-    of = stored(of.filter("copies > 1 or component is not null").select("set_key", F.coalesce("component", "doc_id").alias("component")), "set-components")
+    of = reps.select("set_key", "id", "doc_id", "copies").join(comps.withColumnRenamed("node", "id"), "id", "left").filter("copies > 1 or component is not null")
+    of = stored(of.select("set_key", "doc_id", "component"), "linked-sets")
+    least = stored(of.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "component-ids")
+    of = stored(of.join(least, "component", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id")), "set-components")
     out = rows.select("doc_id", "n", "set_key").join(of, "set_key", "left")
-    comp = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    comp = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), "set_key")
 
 
 ORACLE = r"""

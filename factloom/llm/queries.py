@@ -40,7 +40,7 @@ def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("set_key")
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
