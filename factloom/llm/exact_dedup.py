@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import SPACE, stored
 
-#: A chunk ends after sentence punctuation once it has 256 characters, and has 4,096 at most.
+#: A chunk ends after a mark once it has 256 characters, and has 4,096 at most.
 MIN_CHUNK, MAX_CHUNK = 256, 4096
+#: Marks: ends of sentences, and for text without them pairs and letters that are rare in their scripts.
+MARKS = r"[.!?] |[\u3002\uff01\uff1f]|[jqxzJQXZ0-9][a-f ]|[\u0449\u0444\u03be\u03c8\u0638\u063a\u091e]|[\u5000-\u50ff\u6000-\u60ff\u7000-\u70ff\ub000-\ub0ff]"
 
 
 def normalised(column: str) -> Column:
@@ -23,7 +25,7 @@ def normalised(column: str) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    pattern = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 2}}}?(?:[.!?] |$)|.{{1,{MAX_CHUNK}}}"
+    pattern = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 2}}}?(?:{MARKS}|$)|.{{1,{MAX_CHUNK}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 

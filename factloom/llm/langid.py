@@ -7,7 +7,6 @@ probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,17 +15,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod
+from factloom.llm.common import crc_mod, id_as_text, id_from_text
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Bounds of the training sample: documents, and windows of each.
 MAX_DOCS, MAX_WINDOWS = 3_000, 4
 #: Windows that go through the network at once.
 BATCH = 256
-_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def windows(text: str) -> np.ndarray:
     """All windows of a text, the last one filled up with zero bytes."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -36,6 +38,11 @@ def windows(text: str) -> np.ndarray:
     return out.reshape(rows, WINDOW)
 
 
+def spread(w: np.ndarray) -> np.ndarray:
+    """At most MAX_WINDOWS of a text's windows, at even distances from the first to the last."""
+    return w[np.unique(np.linspace(0, len(w) - 1, MAX_WINDOWS).round().astype(int))]
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -113,17 +120,20 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 4, r
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Train on a bounded sample, chosen by a hash of the id; only its first windows reach the driver. None without labels."""
+    """Train on a bounded sample, chosen by a hash of the id; MAX_WINDOWS windows of each text, spread over the whole of it,
+    reach the driver. None without labels."""
     usable = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = usable.select("doc_id", order.alias("o")).dropDuplicates(["doc_id"]).orderBy("o", "doc_id").limit(MAX_DOCS).select("doc_id")
+    ids = usable.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(MAX_DOCS).select("doc_id").distinct()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, lang, w.tobytes()) for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if t and _LETTER.search(t) for w in windows(t)[:MAX_WINDOWS]]
+            out = [(i, lang, w.tobytes()) for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if has_letter(t) for w in spread(windows(t))]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "window"])
 
     some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").mapInPandas(cut, "doc_id long, lang string, window binary")
+    # Rows that repeat an id or a window add nothing but weight; the bound holds for them, too.
+    some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "window").limit(MAX_DOCS * MAX_WINDOWS)
     rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in some.collect())
     if not rows:
         return None
@@ -141,7 +151,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def votes(texts: list[str | None]) -> list[tuple[str, float]]:
         out = [(UNKNOWN, 0.0)] * len(texts)
-        have = [k for k, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+        have = [k for k, t in enumerate(texts) if net is not None and has_letter(t)]
         total = np.zeros((len(texts), len(net.languages) if net else 0))
         n = np.zeros(len(texts))
         held, owner, rows = [], [], 0
@@ -176,5 +186,5 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             made = pd.DataFrame(votes(list(pdf["text"])), columns=["lang_pred", "score"])
             yield pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), made], axis=1)
 
-    rows = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(id_as_text(), (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
+    return id_from_text(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))

@@ -11,6 +11,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from factloom.llm.common import id_as_text, id_from_text
+
 # Phrases of the contract and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -95,17 +97,36 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def evaluate(postfix: list[str]) -> tuple[bool, set[str]]:
     """Whether the policy allows the expression, and the families it names. An exception never changes its licence."""
-    stack: list[tuple[bool, set[str]]] = []
+    names: list[str] = []
+    stack: list[tuple[bool, int]] = []  # a verdict, and how many of the last names are its operand's
     for t in postfix:
         if t not in _RANK:
-            stack.append((family(t) in ALLOWED, {family(t)}))
+            names.append(family(t))
+            stack.append((names[-1] in ALLOWED, 1))
             continue
         (b, right), (a, left) = stack.pop(), stack.pop()
         if t == "with":
+            del names[len(names) - right :]
             stack.append((a, left))
         else:
-            stack.append((a or b if t == "or" else a and b, left | right))
-    return stack[0]
+            stack.append((a or b if t == "or" else a and b, left + right))
+    return stack[0][0], set(names)
+
+
+def complete(tokens: list[str]) -> int:
+    """How many tokens the longest beginning has that is an expression; one pass, as far as tokens can be continued."""
+    depth, want, found = 0, True, 0
+    for n, t in enumerate(tokens, 1):
+        opens = t == "("
+        if want != (opens or (t != ")" and t not in _RANK)):
+            break
+        depth += opens - (t == ")")
+        if depth < 0:
+            break
+        want = opens or t in _RANK
+        if not want and depth == 0:
+            found = n
+    return found
 
 
 def expression(line: str) -> tuple[list[str] | None, str]:
@@ -114,10 +135,8 @@ def expression(line: str) -> tuple[list[str] | None, str]:
     while m := _TOKEN.match(line, at):
         tokens.append(m[1])
         at = m.end()
-    for n in range(len(tokens), 0, -1):
-        if (found := to_postfix(tokens[:n])) is not None:
-            return found, " ".join(tokens[:n])
-    return None, ""
+    tokens = tokens[: complete(tokens)]
+    return to_postfix(tokens), " ".join(tokens)
 
 
 def scan(text: str | None) -> tuple:
@@ -156,7 +175,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     tag counts as far as its beginning is one, or not at all. Null and empty texts have no words, places or labels.
     Repeated rows and null ids pass through; an empty table gives an empty result; other columns are ignored.
     """
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, allowed boolean"
+    schema = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, allowed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -165,7 +184,29 @@ def license_scan(docs: DataFrame) -> DataFrame:
             made["doc_id"] = pdf["doc_id"].to_numpy()
             yield made.astype({"first_word": "Int64", "last_word": "Int64", "allowed": "boolean"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return id_from_text(docs.select(id_as_text(), "text").mapInPandas(run, schema))
+
 
+def oracle() -> str:
+    """DuckDB SQL for texts without an identifier tag, whose expressions SQL cannot parse; a row with one fails the comparison.
 
-#: The contract's part: words, places, positions and base labels. Whether labels and score agree, the tests hold.
+    Words stand between two spaces each, so places of a phrase do not overlap and splitting at it counts them.
+    """
+    spaced = lambda phrase: f"' {phrase.replace(' ', '  ')} '"
+    labels = lambda table: ", ".join(f"case when contains(j, {spaced(p)}) then '{label}' end" for p, label in table.items())
+    clean = "list_sort(list_distinct(list_filter({0}, lambda x: x is not null)))"
+    before = "case when {0} = '' then 0 else 1 + (length({0}) - length(replace({0}, '  ', ''))) // 2 end"
+    split = ", ".join(f"string_split(j, {spaced(p)}) as s{k}" for k, p in enumerate(BASE))
+    places = " + ".join(f"len(s{k}) - 1" for k in range(len(BASE)))
+    firsts = ", ".join(f"case when len(s{k}) > 1 then {before.format(f's{k}[1]')} end" for k in range(len(BASE)))
+    lasts = ", ".join(f"case when len(s{k}) > 1 then {before.format(f'left(j, length(j) - length(s{k}[-1]) - {len(p) + p.count(" ") + 2})')} end" for k, p in enumerate(BASE))
+    allowed = ", ".join(f"'{a}'" for a in sorted(ALLOWED))
+    return rf"""
+with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+u as (select doc_id, len(w) as n_words, ' ' || array_to_string(w, '  ') || ' ' as j from t),
+p as (select doc_id, n_words, j, {split}, {clean.format('[' + labels(BASE) + ']')} as base, {clean.format('[' + labels(NOTICES) + ']')} as own, contains(j, {spaced(TAG)}) as tagged from u),
+q as (select *, {places} as places, list_min([{firsts}]) as first_word, list_max([{lasts}]) as last_word from p),
+e as (select *, list_sort(list_distinct(base || own)) as every, places + len(own) as evidence from q)
+select doc_id, n_words, places as n_base, first_word, last_word, array_to_string(base, ',') as base_labels, array_to_string(every, ',') as labels,
+  evidence / (evidence + 1.0::double) as score, case when not tagged then []::varchar[] end as expressions, case when len(every) > 0 then len(list_filter(every, lambda x: x not in ({allowed}))) = 0 end as allowed from e
+"""

@@ -84,13 +84,17 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
     rows = stored(docs.select("doc_id", word_count("text").alias("n_tokens"), F.substring(digest, 1, BLOCK_DIGITS).alias("block")), "pack-rows")
     ends = length_buckets(rows, buckets)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")) for e in ends]) if ends else F.lit(1).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    # Rows of one id and length differ in nothing that is asked for: they are counted before they are moved, so an id that
+    # many rows share is one row in its block, and drawn out again at the end.
+    alike = stored(rows.groupBy(bucket.alias("bucket"), "block", "doc_id", "n_tokens").agg(F.count("*").alias("c")), "pack-counts")
     # A rank inside a bucket is the rows of the blocks before plus the rank in the block, so no bucket is sorted as a whole.
-    before = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("bucket", "block").agg(F.count("*").alias("n"))
-    blocks = stored(blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "pack-blocks")
-    inside = Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens")
-    placed = rows.hint("merge").join(blocks, ["bucket", "block"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
+    before = lambda w, order: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = alike.groupBy("bucket", "block").agg(F.sum("c").alias("n"))
+    blocks = stored(blocks.withColumn("before", F.coalesce(F.sum("n").over(before(Window.partitionBy("bucket"), ["block"])), F.lit(0))).drop("n"), "pack-blocks")
+    inside = before(Window.partitionBy("bucket", "block"), ["doc_id", "n_tokens"])
+    first = F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0))
+    placed = alike.join(blocks, ["bucket", "block"]).withColumn("first", first)
+    placed = placed.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("c") - 1)))
     size = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket"))).cast("long")
     return placed.select(
         "doc_id",
@@ -101,3 +105,33 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
         size.alias("batch_rows"),
         (F.col("bucket") - F.col("n_tokens")).alias("padding"),
     )
+
+
+def oracle(buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> str:
+    """DuckDB SQL: the dynamic programme as one relation for each number of buckets, then ranks."""
+    bits = int(math.log2(EXACT)) + 1
+    sql = rf"""
+with r as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens, substr(md5(coalesce(doc_id::varchar, '')), 1, {BLOCK_DIGITS}) as block from documents),
+w as (select *, greatest(n_tokens, 1) as m, (1::bigint << greatest(0, length(bin(greatest(n_tokens, 1) - 1)) - {bits}))::bigint as width from r),
+h as (select ((m + width - 1) // width) * width as e, count(*) as c from w group by 1),
+d as materialized (select row_number() over (order by e) as j, e, sum(c) over (order by e) as upto from h),
+b1 as materialized (select j, upto * e::double as cost, 0::bigint as frm from d)"""
+    for k in range(2, buckets + 1):
+        sql += f""",
+b{k} as materialized (select j, min(v) as cost, arg_min(i, struct_pack(v := v, i := i)) as frm from (
+  select d.j, coalesce(p.j, 0) as i, case when p.j is null then d.upto * d.e::double else b.cost + (d.upto - p.upto) * d.e::double end as v
+  from d left join (select * from d union all select 0, 0, 0) z on z.j < d.j left join d p on p.j = z.j left join b{k - 1} b on b.j = p.j) group by j)"""
+    whole = " union all ".join(f"select {k} as k, cost from b{k} where j = (select max(j) from d)" for k in range(1, buckets + 1))
+    sql += f""",
+best as (select min(k) as k from ({whole}) where cost = (select min(cost) from ({whole}))),
+c{buckets} as (select max(j) as j from d where {buckets} <= (select k from best))"""
+    for k in range(buckets - 1, 0, -1):
+        sql += f""",
+c{k} as (select case when {k} = (select k from best) then (select max(j) from d) when {k} < (select k from best) then (select b.frm from b{k + 1} b, c{k + 1} c where b.j = c.j) end as j)"""
+    ends = " union all ".join(f"select j from c{k}" for k in range(1, buckets + 1))
+    return sql + f""",
+ends as (select d.e::bigint as bucket from d where j in ({ends})),
+p as (select r.*, (select min(bucket) from ends where bucket >= n_tokens) as bucket from r),
+q as (select *, row_number() over (partition by bucket order by block, doc_id, n_tokens) - 1 as rank, greatest(1, {batch_tokens} // bucket)::bigint as batch_rows from p)
+select doc_id, n_tokens, bucket, rank // batch_rows as batch, rank % batch_rows as slot, batch_rows, bucket - n_tokens as padding from q
+"""

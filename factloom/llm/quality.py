@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored
+from factloom.llm.common import id_as_text, id_from_text, stored
 from factloom.llm.wordhash import runs, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +31,7 @@ SHRUNK = 0.9246
 #: Added to each variance: parts are logarithms, and a spread of 0.14 in them says nothing. It also keeps constant parts
 #: from making the scatter singular.
 RIDGE = 0.02
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{p} double" for p in PARTS)
+STATS = "doc_id string, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{p} double" for p in PARTS)
 
 
 def text_statistics(text: str | None) -> tuple:
@@ -84,7 +84,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             made = pd.DataFrame([text_statistics(t) for t in pdf["text"]], columns=names)
             yield pd.concat([pdf[["doc_id", "lang", "source"]].reset_index(drop=True), made], axis=1)
 
-    return docs.select("doc_id", "lang", "source", "text").mapInPandas(run, STATS)
+    return id_from_text(docs.select(id_as_text(), "lang", "source", "text").mapInPandas(run, STATS))
 
 
 def mcd(x: np.ndarray, starts: int = 12, steps: int = 12, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +151,9 @@ def _distance() -> Column:
 
 
 def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
-    """Join on the group; a hot group is split by the merge join's skew handling."""
-    return rows.hint("merge").join(per_group, ["g_lang", "g_source"])
+    """Join on the group. ``per_group`` is a written table: Spark knows its size and keeps the rows where they are if it is
+    small; a large one is merged, and a hot group split by the skew handling."""
+    return rows.join(per_group, ["g_lang", "g_source"])
 
 
 def _mean_and_scatter(rows: DataFrame) -> DataFrame:
@@ -189,9 +190,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     names = [F.when(small, "*").otherwise(F.col(c)).alias(c) for c in ("g_lang", "g_source")]
     own = _with_group(good, sizes).select("doc_id", *PARTS, *names, F.when(small, None).otherwise(F.col("size")).alias("size"))
     shared = sizes.filter(small).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
-    own = own.withColumn("size", F.coalesce("size", F.lit(shared)))
-    # Blocks of about BLOCK rows, dealt by the hash of the row.
-    block = F.pmod(F.xxhash64("doc_id", *PARTS), F.greatest(F.lit(1), F.col("size").cast("long") / BLOCK).cast("long"))
+    own = own.withColumn("size", F.coalesce("size", F.lit(shared))).filter(F.col("size") >= LEAST)
+    # Blocks of about BLOCK rows, dealt by the hash of the row and its place, so that repeated rows are spread, too. What is
+    # dealt is written before it is used, so a lost task changes nothing.
+    block = F.pmod(F.xxhash64("doc_id", *PARTS, F.monotonically_increasing_id()), F.greatest(F.lit(1), F.col("size").cast("long") / BLOCK).cast("long"))
     own = stored(own.withColumn("block", block), "vectors")
 
     def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,6 +212,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     # From the row's group to the group whose estimate it takes, on the small tables.
     taken = sizes.select(F.col("g_lang").alias("r_lang"), F.col("g_source").alias("r_source"), *names)
     taken = stored(taken.join(final, ["g_lang", "g_source"], "left").drop("g_lang", "g_source").withColumnsRenamed({"r_lang": "g_lang", "r_source": "g_source"}), "taken")
-    out = by_row.hint("merge").join(taken, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
+    out = by_row.join(taken, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= REJECT_CUT, F.lit(True))
     return out.select(*counts, "base_failed", "distance", kept.alias("kept"))

@@ -60,5 +60,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_mcd_outliers, op2_nnpu_toxicity, op3_license_scan, op4_length_buckets, op5_byte_cnn, op6_path_templates, op7_chunk_recipes, op8_lsh_forest, op9_temperature_mixing, op10_chat_format)
 }
-#: The others rest on trained models, estimates or parsers that SQL cannot express; the tests compare them with brute force.
-ORACLE_SQL = {"op6_path_templates": urls.oracle(), "op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
+#: The others rest on trained models and estimates that SQL cannot express; the tests compare them with brute force.
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op4_length_buckets": packing.oracle(), "op10_chat_format": chat.oracle(), "op6_path_templates": urls.oracle(), "op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE}

@@ -7,6 +7,7 @@ kept from falling below zero, which is what stops the model from memorising.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,11 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod
+from factloom.llm.common import crc_mod, id_as_text, id_from_text, stored
 from factloom.llm.wordhash import shingles
 
-#: Bounds of the training sample and the longest text in it (characters). Scoring has no such bounds.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_TRAIN_CHARS = 2_000, 6_000, 60_000
+#: Bounds of the training sample, in documents; their whole texts count. Scoring has no such bounds.
+MAX_POSITIVE, MAX_UNLABELLED = 2_000, 6_000
 MAX_FEATURES = 8_192
 #: Beginnings of longer words that count as features, in characters.
 PREFIXES = (4, 5, 6, 7)
@@ -61,36 +62,23 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0))))
 
 
-def _different(texts: list[str]) -> list[str]:
-    """One of the texts that share the least hashes of their word runs: copies would make rare words look like evidence."""
-    seen: dict[bytes, str] = {}
-    for t in texts:
-        seen.setdefault(shingles(t, 3)[:2].tobytes(), t)
-    return list(seen.values())
+def text_key(text: str | None) -> bytes:
+    """The least hashes of a text's word runs: of texts that share them one is trained on, since copies would make rare
+    words look like evidence."""
+    return shingles(text, 3)[:2].tobytes()
 
 
-def _select(positive: list[str], unlabelled: list[str]) -> list[str]:
-    """Features that stand in more positive texts than the unlabelled ones let expect. Texts are read one at a time."""
-    in_positive = Counter(w for t in positive for w in features(t))
-    in_positive = Counter({w: n for w, n in in_positive.items() if n >= 2})
-    in_unlabelled = Counter(w for t in unlabelled for w in features(t) if w in in_positive)
-    ratio = len(positive) / max(1, len(unlabelled))
-    z = {w: (n - ratio * in_unlabelled[w]) / np.sqrt(ratio * in_unlabelled[w] + 1.0) for w, n in in_positive.items()}
-    return sorted((w for w in z if z[w] >= 3.0), key=lambda w: (-z[w], w))[:MAX_FEATURES]
+def train_nnpu(kept: list[list[tuple[int, float]]], positives: int, names: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
+    """Full-batch Adam on the non-negative risk with the logistic loss.
 
-
-def train_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    if not positive or not unlabelled or prior <= 0:
+    ``kept`` has (feature, count) pairs of each text, features as places in ``names``, the positive texts first.
+    """
+    n, p = len(kept), positives
+    if not p or n == p or prior <= 0:
         return Model()
-    positive, unlabelled = _different(positive), _different(unlabelled)
-    names = _select(positive, unlabelled)
-    at = {w: k for k, w in enumerate(names)}
-    kept = [[(at[w], c) for w, c in features(t).items() if w in at] for t in [*positive, *unlabelled]]
-    row = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+    row = np.repeat(np.arange(n), [len(x) for x in kept])
     col = np.array([k for x in kept for k, _ in x], dtype=np.int64)
     val = np.log1p(np.array([c for x in kept for _, c in x], dtype=np.float64))
-    n, p = len(kept), len(positive)
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior)) if prior < 1 else 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
@@ -112,22 +100,49 @@ def train_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps:
     return Model(float(b), dict(zip(names, map(float, w), strict=True)))
 
 
+def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, doc_id, digest, key, words, counts) of the texts of ``wanted(doc_id, p)``, one text of an id and one of a key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, p, t in zip(pdf["doc_id"], pdf["p"], pdf["text"], strict=True):
+                f = features(t)
+                digest = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                yield pd.DataFrame({"p": [p], "doc_id": [i], "digest": [digest], "key": [text_key(t)], "words": [list(f)], "counts": [list(f.values())]})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "p", "text")  # at most 8,000 ids
+    rows = stored(rows.mapInPandas(run, "p boolean, doc_id long, digest binary, key binary, words array<string>, counts array<int>"), "train-texts")
+    one = rows.groupBy("p", "doc_id").agg(F.min(F.struct("digest", "key")).alias("t"))
+    one = one.groupBy("p", "t.key").agg(F.min(F.struct("doc_id", "t.digest")).alias("c")).select("p", "c.*")
+    return rows.join(F.broadcast(stored(one, "train-ids")), ["p", "doc_id", "digest"]).dropDuplicates(["p", "doc_id", "digest"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample, chosen by a hash of the id, of rows outside the held-out fifth.
 
-    Positives: labelled toxic. Unlabelled: any documents. Prior: the toxic part of the labels, over all of them.
+    Positives: labelled toxic. Unlabelled: any documents. Prior: the toxic part of the labels, over all of them. Features
+    are those that stand in more positive texts than the unlabelled ones let expect. Texts stay with the executors: the
+    driver sees at most MAX_FEATURES features and their counts in the sample.
     """
     train = labels.filter((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    counts = train.agg(F.avg("toxic").alias("prior")).first()
+    prior = float(train.agg(F.avg("toxic").alias("prior")).first()["prior"] or 0.0)
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = lambda d, n: d.select("doc_id", order.alias("o")).dropDuplicates(["doc_id"]).orderBy("o", "doc_id").limit(n).select("doc_id")
-    positive = ids(train.filter("toxic = 1"), MAX_POSITIVE)
-    usable = docs.filter((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    unlabelled = ids(usable.select("doc_id"), MAX_UNLABELLED)
-    wanted = positive.withColumn("p", F.lit(True)).union(unlabelled.withColumn("p", F.lit(False)))
-    rows = usable.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect()  # at most 8,000 ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train_nnpu([r["text"] for r in rows if r["p"]], [r["text"] for r in rows if not r["p"]], float(counts["prior"] or 0.0))
+    ids = lambda d, n: d.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(n).select("doc_id").distinct()
+    usable = docs.filter((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull())
+    wanted = ids(train.filter("toxic = 1"), MAX_POSITIVE).withColumn("p", F.lit(True)).union(ids(usable, MAX_UNLABELLED).withColumn("p", F.lit(False)))
+    texts = stored(_counted(usable, stored(wanted, "train-wanted")), "train-counts")
+    sizes = {r["p"]: r["count"] for r in texts.groupBy("p").count().collect()}
+    ratio = sizes.get(True, 0) / max(1, sizes.get(False, 0))
+    each = texts.select("p", "doc_id", F.explode(F.arrays_zip("words", "counts")).alias("f")).select("p", "doc_id", "f.words", "f.counts")
+    seen = each.groupBy("words").agg(F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("u")).filter("n >= 2")
+    z = (F.col("n") - ratio * F.col("u")) / F.sqrt(ratio * F.col("u") + 1.0)
+    found = seen.withColumn("z", z).filter("z >= 3.0").orderBy(F.desc("z"), "words").limit(MAX_FEATURES).select("words")
+    names = [r["words"] for r in found.collect()]
+    at = docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, words string")
+    used = each.join(F.broadcast(at), "words").groupBy("p", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "counts"))).alias("f"))
+    rows = texts.select("p", "doc_id").join(used.hint("merge"), ["p", "doc_id"], "left").collect()
+    rows.sort(key=lambda r: (not r["p"], r["doc_id"]))
+    return train_nnpu([[(f["k"], f["counts"]) for f in r["f"] or []] for r in rows], sizes.get(True, 0), names, prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,8 +157,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             yield pdf[["doc_id", "held_out"]].assign(score=[model.score(t) for t in pdf["text"]])
 
-    rows = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text")
-    made = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    rows = docs.select(id_as_text(), (crc_mod("doc_id", 5) == 0).alias("held_out"), "text")
+    made = id_from_text(rows.mapInPandas(run, "doc_id string, held_out boolean, score double"))
     return made.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

@@ -1,15 +1,17 @@
 """URL filter by a tree of path templates (DataFrame functions).
 
-Rules on hosts and path beginnings decide first. The pages that they decide are labels for the rest: below each host, rare
-segments become wildcards, branches whose labels do not differ from their node's are merged, and a template is rejected
-when its smoothed part of blocked labels is large. Work goes down one path segment at a time, on distinct paths.
+Rules on hosts and path beginnings decide first. The pages that they decide are labels for the rest. Below each host, a
+tree of templates grows one path segment at a time, on distinct paths: variable segments (numbers, dates, digests, mixed
+identifiers, and rare words where there are many) become wildcards, and sibling branches whose labels do not differ
+statistically become one branch, so that what lies below them is looked at together. A template is rejected when its
+smoothed part of blocked labels is large; each level is smoothed towards the one above.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored
@@ -17,13 +19,18 @@ from factloom.llm.common import stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Levels of the SQL below; the Spark tree goes down to the deepest path. For longer paths the SQL joins the last segments.
 DEPTH = 4
-#: Below a node with more than KIDS different segments, those with less than SHARE of its pages become a wildcard.
-KIDS, SHARE = 8, 0.05
-#: A branch is merged when its blocked part is within Z standard deviations of its node's.
+#: Kinds of variable segments, the first that fits. A node with several segments of a kind has one wildcard for them. A
+#: path holds no ``#``, so marks cannot clash with segments.
+KINDS = (("#num", r"^[0-9]+$"), ("#date", r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$"), ("#hex", r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$"), ("#id", r"^[^0-9]*[0-9]+[^0-9]+[0-9].*$"))
+LEAST_HEX = 8
+#: Below a node with more than BRANCHES different segments left, those with less than SHARE of its pages become a wildcard.
+BRANCHES, SHARE, ANY = 8, 0.05, "#any"
+#: Siblings next to each other in the order of their blocked part are merged if the parts differ by Z deviations at most.
 Z = 2.0
-#: Weight of the host's blocked part in a template's, and of all pages' in the host's; templates at CUT or more go.
+#: Weight of the level above in a template's blocked part, and of all pages in the host's; templates at CUT or more go.
 SMOOTH, CUT = 4.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SUMS = ("n", "b", "a")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,12 +48,53 @@ def _by_rule(rules: tuple) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def kind(seg: str) -> Column:
+    """The wildcard of a segment's kind, or null for a word."""
+    out = F.lit(None).cast("string")
+    for mark, pattern in reversed(KINDS):
+        fits = F.col(seg).rlike(pattern)
+        out = F.when(fits & (F.length(seg) >= LEAST_HEX) if mark == "#hex" else fits, mark).otherwise(out)
+    return out
+
+
+def _generalised(kids: DataFrame) -> DataFrame:
+    """Add ``name`` to (host, template, seg, n, b, a): the segment, or the wildcard that stands for it below its node."""
+    kids = kids.withColumn("kind", kind("seg"))
+    sizes = kids.groupBy("host", "template", "kind").agg(F.count("*").alias("alike"))
+    sizes = stored(sizes, "kinds")
+    k = kids.alias("k").join(sizes.alias("s"), F.expr("k.host = s.host and k.template = s.template and k.kind <=> s.kind")).select("k.*", "s.alike")
+    k = k.withColumn("name", F.when(F.col("kind").isNotNull() & (F.col("alike") > 1), F.col("kind")).otherwise(F.col("seg")))
+    nodes = k.groupBy("host", "template").agg(F.count_distinct("name").alias("branches"), F.sum("n").alias("all_n"))
+    k = k.join(stored(nodes, "nodes"), ["host", "template"])
+    rare = (F.col("branches") > BRANCHES) & ~F.col("name").startswith("#") & (F.col("n") < SHARE * F.col("all_n"))
+    return k.withColumn("name", F.when(rare, ANY).otherwise(F.col("name")))
+
+
+def _merged(branches: DataFrame) -> DataFrame:
+    """(host, template, name, to, purity) from (host, template, name, n, b, a, prior): siblings that do not differ share ``to``.
+
+    After generalising, a node has at most BRANCHES or 1 / SHARE words and a wildcard of each kind, so its window is small.
+    Branches without labels differ from nothing and stay apart.
+    """
+    order = Window.partitionBy("host", "template").orderBy("part", "name")
+    one = branches.withColumn("labels", F.col("b") + F.col("a")).withColumn("part", F.try_divide("b", "labels"))
+    one = one.withColumn("last_b", F.lag("b").over(order)).withColumn("last_n", F.lag("labels").over(order)).withColumn("last", F.lag("part").over(order))
+    pooled = F.try_divide(F.col("b") + F.col("last_b"), F.col("labels") + F.col("last_n"))
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labels") + F.try_divide(F.lit(1.0), "last_n")))
+    alike = F.coalesce(F.abs(F.col("part") - F.col("last")) <= Z * spread, F.lit(False))
+    one = one.withColumn("chain", F.sum(F.when(alike, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = one.groupBy("host", "template", "chain").agg(F.array_join(F.sort_array(F.collect_list("name")), "#|").alias("label"), *[F.sum(c).alias(f"all_{c}") for c in ("b", "a")], F.first("prior").alias("prior"))
+    purity = (F.col("all_b") + SMOOTH * F.col("prior")) / (F.col("all_b") + F.col("all_a") + SMOOTH)
+    sums = stored(sums.select("host", "template", "chain", F.concat("template", F.lit("/"), "label").alias("to"), purity.alias("purity")), "merged")
+    return one.select("host", "template", "name", "chain").join(sums, ["host", "template", "chain"]).drop("chain")
+
+
 def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     Null urls and urls without ``://`` have an empty host and path; they are a host like others. ``purity`` is the
-    smoothed blocked part of the row's template. On a host without labels nothing is blocked beyond the rules. Repeated rows
-    and null ids pass through; an empty table gives an empty result; other columns are ignored.
+    smoothed blocked part of the pages that end at the row's template. On a host without labels nothing is blocked beyond
+    the rules. Repeated rows and null ids pass through; an empty table gives an empty result; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -55,32 +103,28 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = stored(rows.withColumn("segs", segs), "url-rows")
     count = lambda said: F.sum(F.when(F.col("said") == said, 1).otherwise(0))
-    tree = stored(rows.groupBy("host", "segs").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a")).withColumn("template", F.lit("")), "paths")
-    whole = tree.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.max(F.size("segs")).alias("deep")).first()
+    paths = stored(rows.groupBy("host", "segs").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a")), "paths")
+    whole = paths.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.max(F.size("segs")).alias("deep")).first()
     labelled = (whole["b"] or 0) + (whole["a"] or 0)
     overall = (whole["b"] / labelled) if labelled else 0.0
-    sums = [F.sum(c).alias(c) for c in ("n", "b", "a")]
+    hosts = paths.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
+    part = (F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)
+    hosts = stored(hosts.select("host", F.when(F.col("hb") + F.col("ha") > 0, part).otherwise(0.0).alias("prior")), "hosts")
+    tree = paths.join(hosts, "host").withColumn("template", F.lit(""))
     ended = [tree.filter(F.size("segs") == 0)]  # each level goes on with the paths that are longer
     for d in range(whole["deep"] or 0):
-        tree = tree.filter(F.size("segs") > d)
-        at = tree.withColumn("seg", F.get("segs", F.lit(d)))
-        kids = stored(at.groupBy("host", "template", "seg").agg(*sums), f"kids-{d}")
-        nodes = stored(kids.groupBy("host", "template").agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "b", "a")]), f"nodes-{d}")
-        k = kids.join(nodes, ["host", "template"])
-        rare = (F.col("kids") > KIDS) & (F.col("n") < SHARE * F.col("all_n"))
-        own, rate = F.col("b") + F.col("a"), F.try_divide(F.col("all_b"), F.col("all_b") + F.col("all_a"))
-        similar = F.abs(F.try_divide(F.col("b"), own) - rate) <= Z * F.sqrt(F.try_divide(rate * (1 - rate), own))  # null without labels
-        name = F.when(rare, "*").when(similar, "~").otherwise(F.col("seg"))
-        named = stored(k.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("to")), f"names-{d}")
-        at = at.join(named, ["host", "template", "seg"], "left")
-        tree = stored(at.withColumn("template", F.coalesce("to", "template")).drop("seg", "to"), f"paths-{d}")
+        at = tree.filter(F.size("segs") > d).withColumn("seg", F.get("segs", F.lit(d)))
+        kids = stored(at.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("prior").alias("prior")), f"kids-{d}")
+        named = stored(_generalised(kids), f"names-{d}")
+        branches = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("prior").alias("prior"))
+        to = _merged(stored(branches, f"branches-{d}"))
+        to = stored(named.select("host", "template", "seg", "name").join(to, ["host", "template", "name"]).drop("name"), f"to-{d}")
+        at = at.drop("prior").join(to, ["host", "template", "seg"])
+        tree = stored(at.select("host", "segs", *_SUMS, F.col("to").alias("template"), F.col("purity").alias("prior")), f"paths-{d}")
         ended.append(tree.filter(F.size("segs") == d + 1))
     tree = stored(reduce(DataFrame.unionByName, ended), "tree")
-    hosts = tree.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
-    part = (F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)
-    hosts = hosts.select("host", F.when(F.col("hb") + F.col("ha") > 0, part).otherwise(0.0).alias("base"))
-    leaves = stored(tree.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "leaves")
-    pure = leaves.join(stored(hosts, "hosts"), "host").select("host", "template", ((F.col("b") + SMOOTH * F.col("base")) / (F.col("b") + F.col("a") + SMOOTH)).alias("purity"))
+    leaves = tree.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.first("prior").alias("prior"))
+    pure = leaves.select("host", "template", ((F.col("b") + SMOOTH * F.col("prior")) / (F.col("b") + F.col("a") + SMOOTH)).alias("purity"))
     judged = stored(tree.select("host", "segs", "template").join(stored(pure, "purity"), ["host", "template"]), "judged")
     out = rows.join(judged, ["host", "segs"])
     method = F.when(F.col("purity") >= CUT, "block").otherwise("allow")
@@ -93,24 +137,30 @@ def oracle(rules: tuple = RULES) -> str:
     rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in longest) + " end"
     said = "case " + " ".join(f"when {fits(h, p)} then '{s}'" for s, h, p in longest) + " end"
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    kinds = "case " + " ".join(f"when regexp_matches(seg, '{p}'){f' and length(seg) >= {LEAST_HEX}' if m == '#hex' else ''} then '{m}'" for m, p in KINDS) + " end"
     sql = f"""
-with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{parts}', 2) as path from pages),
+with u as materialized (select page_id, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{parts}', 2) as path from pages),
 v as (select *, {rule} as rule, {said} as said, list_filter(string_split(path, '/'), lambda s: s <> '') as s0 from u),
-r as (select *, case when len(s0) > {DEPTH} then list_concat(s0[1:{DEPTH - 1}], [array_to_string(s0[{DEPTH}:], '/')]) else s0 end as segs from v),
-t0 as (select host, segs, count(*) as n, count(*) filter (said = 'block') as b, count(*) filter (said = 'allow') as a, '' as template from r group by host, segs),
-g as (select coalesce(sum(b) / nullif(sum(b) + sum(a), 0), 0)::double as overall from t0)"""
+r as materialized (select *, case when len(s0) > {DEPTH} then list_concat(s0[1:{DEPTH - 1}], [array_to_string(s0[{DEPTH}:], '/')]) else s0 end as segs from v),
+d as (select host, segs, count(*) as n, count(*) filter (said = 'block') as b, count(*) filter (said = 'allow') as a from r group by host, segs),
+g as (select coalesce(sum(b) / nullif(sum(b) + sum(a), 0), 0)::double as overall from d),
+h as (select host, case when sum(b) + sum(a) > 0 then (sum(b) + {SMOOTH} * any_value(overall)) / (sum(b) + sum(a) + {SMOOTH}) else 0 end::double as prior from d, g group by host),
+t0 as materialized (select d.*, '' as template, prior from d join h using (host))"""
     for d in range(DEPTH):
         sql += f""",
-k{d} as (select host, template, segs[{d + 1}] as seg, sum(n)::bigint as n, sum(b)::bigint as b, sum(a)::bigint as a from t{d} where len(segs) > {d} group by all),
-o{d} as (select host, template, count(*) as kids, sum(n)::bigint as all_n, sum(b)::bigint as all_b, sum(a)::bigint as all_a from k{d} group by all),
-m{d} as (select host, template, seg, template || '/' || case when kids > {KIDS} and n < {SHARE} * all_n then '*'
-    when b + a > 0 and abs(b / (b + a) - all_b / (all_b + all_a)) <= {Z} * sqrt((all_b / (all_b + all_a)) * (1 - all_b / (all_b + all_a)) / (b + a)) then '~' else seg end as nxt
-  from k{d} join o{d} using (host, template)),
-t{d + 1} as (select t.host, t.segs, t.n, t.b, t.a, coalesce(m.nxt, t.template) as template from t{d} t left join m{d} m on t.host = m.host and t.template = m.template and t.segs[{d + 1}] = m.seg)"""
+k{d} as (select host, template, segs[{d + 1}] as seg, sum(n)::bigint as n, sum(b)::bigint as b, sum(a)::bigint as a, any_value(prior) as prior from t{d} where len(segs) > {d} group by all),
+w{d} as (select *, case when kind is not null and count(*) over (partition by host, template, kind) > 1 then kind else seg end as w from (select *, {kinds} as kind from k{d})),
+c{d} as (select host, template, count(distinct w) as branches, sum(n)::bigint as all_n from w{d} group by all),
+m{d} as materialized (select w.*, case when branches > {BRANCHES} and not starts_with(w, '#') and n < {SHARE}::double * all_n then '{ANY}' else w end as name from w{d} w join c{d} using (host, template)),
+n{d} as (select host, template, name, sum(b)::bigint as b, sum(a)::bigint as a, any_value(prior) as prior, sum(b) / nullif(sum(b) + sum(a), 0) as part from m{d} group by host, template, name),
+l{d} as (select *, lag(b) over o as lb, lag(b + a) over o as ln, lag(part) over o as lp from n{d} window o as (partition by host, template order by part nulls first, name)),
+q{d} as (select *, (b + lb) / nullif(b + a + ln, 0) as pooled from l{d}),
+x{d} as (select *, sum(case when coalesce(abs(part - lp) <= {Z}::double * sqrt(pooled * (1 - pooled) * (1.0::double / nullif(b + a, 0) + 1.0::double / nullif(ln, 0))), false) then 0 else 1 end) over (partition by host, template order by part nulls first, name rows unbounded preceding) as chain from q{d}),
+y{d} as (select host, template, chain, template || '/' || string_agg(name, '#|' order by name) as nxt, (sum(b) + {SMOOTH}::double * any_value(prior)) / (sum(b) + sum(a) + {SMOOTH}::double) as purity from x{d} group by host, template, chain),
+z{d} as materialized (select m.host, m.template, m.seg, nxt, purity from m{d} m join x{d} x on m.host = x.host and m.template = x.template and m.name = x.name join y{d} y on y.host = x.host and y.template = x.template and y.chain = x.chain),
+t{d + 1} as materialized (select t.host, t.segs, t.n, t.b, t.a, coalesce(z.nxt, t.template) as template, coalesce(z.purity, t.prior) as prior from t{d} t left join z{d} z on t.host = z.host and t.template = z.template and t.segs[{d + 1}] = z.seg)"""
     return sql + f""",
-h as (select host, case when sum(b) + sum(a) > 0 then (sum(b) + {SMOOTH} * any_value(overall)) / (sum(b) + sum(a) + {SMOOTH}) else 0 end as base from t{DEPTH}, g group by host),
-l as (select host, template, sum(b) as b, sum(a) as a from t{DEPTH} group by all),
-p as (select host, template, (b + {SMOOTH} * base) / (b + a + {SMOOTH}) as purity from l join h using (host))
+p as (select host, template, (sum(b) + {SMOOTH}::double * any_value(prior)) / (sum(b) + sum(a) + {SMOOTH}::double) as purity from t{DEPTH} group by host, template)
 select page_id, r.host, path, rule, coalesce(said, case when purity >= {CUT} then 'block' else 'allow' end) as verdict, t.template, round(purity, 6)::double as purity
 from r join t{DEPTH} t on r.host = t.host and r.segs = t.segs join p on p.host = t.host and p.template = t.template
 """

@@ -82,6 +82,16 @@ def test_batches(docs):
     assert len({r.bucket for r in rows}) == 3
 
 
+def test_batches_of_one_hot_id(spark):
+    """Rows of one id and of no id are whole rows: nothing is lost, slots are filled without gaps."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(7, text(3))] * 300 + [(None, text(k % 5)) for k in range(200)] + [(k, text(9)) for k in range(20)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=2, batch_tokens=45).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(t.split())) for i, t in rows)
+    for b in {r.bucket for r in got}:
+        assert sorted(r.batch * r.batch_rows + r.slot for r in got if r.bucket == b) == list(range(sum(r.bucket == b for r in got)))
+
+
 def test_empty(empty):
     assert mix_sources(empty).collect() == [] and pack(empty).collect() == []
 

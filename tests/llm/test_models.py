@@ -47,6 +47,31 @@ def test_quality_counts_and_verdicts(docs):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def test_quality_verdicts_against_brute_force(spark):
+    """Estimates, re-weighting and distances of one group by numpy alone: every verdict and distance."""
+    rng = random.Random(4)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts = [make(rng.randint(5, 200)) for _ in range(150)] + ["## $$ %% " * 30 + make(40)] * 3 + ["1 2 3 4 5 6 7 8 9 10 " + make(5)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(500 + i, make(40), None, f"s{i % 2}") for i in range(20)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    made = {i: quality.text_statistics(t) for i, t in enumerate(texts)}
+    good = [i for i, s in made.items() if s[0] >= 10 and 100 * s[4] <= 20 * s[0]]
+    x = np.array([made[i][5:] for i in good])
+    m, c = quality.mcd(x[np.lexsort(x.T[::-1])])
+    square = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + quality.RIDGE * np.eye(quality.P)), x - m)
+    near = x[square(m, c) <= quality.WEIGHT_CUT]
+    want = square(near.mean(axis=0), np.cov(near.T, bias=True) / quality.SHRUNK)
+    assert len(got) == len(rows)
+    for i, d in zip(good, want, strict=True):
+        assert abs(got[i].distance - np.sqrt(d)) < 1e-6 and got[i].kept == (d <= quality.REJECT_CUT)
+    assert all(got[i].base_failed and not got[i].kept for i in made if i not in good)
+    assert all(got[500 + i].kept and got[500 + i].distance is None for i in range(20))  # too few, even together
+
+
+def test_quality_empty(empty):
+    assert quality.quality_rules(empty).collect() == []
+
+
 def test_mcd_resists_outliers():
     rng = np.random.default_rng(0)
     good = rng.normal(0, 1, (700, quality.P)) @ np.diag([1, 2, 3, 1, 1]) + 5
@@ -89,6 +114,41 @@ def test_nnpu_learns_and_holds_out(spark):
     assert sum(right) / len(right) > 0.97
 
 
+def test_nnpu_fit_and_scores_against_brute_force(spark):
+    """The same sample, features and weights by plain Python over all texts, and every score from the definition."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)]
+    texts = {i: " ".join(rng.choice([*vocabulary, *["vilexa", "grubby"] * 6] if i % 3 == 1 else vocabulary) for _ in range(40)) for i in range(150)}
+    texts |= {200: texts[1], 201: None, 202: "", 203: "Grubby, grubby! " * 3000}
+    labels = {i: int(i % 3 == 1) for i in texts if i % 2}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    one = {p: {} for p in (True, False)}
+    for i in sorted(texts):
+        if not out(i):
+            one[False].setdefault(toxicity.text_key(texts[i]), i)
+            if labels.get(i):
+                one[True].setdefault(toxicity.text_key(texts[i]), i)
+    sample = {p: sorted(one[p].values()) for p in one}
+    seen = {p: [set(toxicity.features(texts[i])) for i in sample[p]] for p in one}
+    ratio = len(seen[True]) / len(seen[False])
+    z = {}
+    for w in set().union(*seen[True]):
+        n, u = (sum(w in s for s in seen[p]) for p in (True, False))
+        z[w] = (n - ratio * u) / np.sqrt(ratio * u + 1) if n >= 2 else 0
+    names = sorted((w for w in z if z[w] >= 3), key=lambda w: (-z[w], w))
+    assert names and list(model.weights) == names
+    kept = [[(names.index(w), c) for w, c in toxicity.features(texts[i]).items() if w in names] for p in (True, False) for i in sample[p]]
+    trained = [y for i, y in labels.items() if not out(i)]
+    want = toxicity.train_nnpu(kept, len(sample[True]), names, sum(trained) / len(trained))
+    assert abs(model.bias - want.bias) < 1e-6 and all(abs(model.weights[w] - want.weights[w]) < 1e-6 for w in names)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i, t in texts.items():
+        s = 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(w, 0) * np.log1p(c) for w, c in toxicity.features(t).items()))))
+        assert abs(got[i].score - s) < 1e-9 and got[i].predicted == int(s >= 0.5) and got[i].held_out == out(i)
+
+
 def test_nnpu_edges(docs, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
@@ -96,6 +156,28 @@ def test_nnpu_edges(docs, empty, spark):
     assert toxicity.score_toxicity(empty, model).collect() == []
 
 
+def test_langid_against_brute_force(spark):
+    """Every filter at every place of every window, without tables or batches."""
+    rng = np.random.default_rng(5)
+    net = langid.Network(["aa", "bb", "cc"], [rng.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], [rng.normal(0, 1, langid.FILTERS).astype(np.float32) for _ in langid.WIDTHS], rng.normal(0, 1, (langid.FILTERS * len(langid.WIDTHS), 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    texts = ["a", "hello wörld " * 40, "漢字 " * 300, "²½①Ⅷ", "²x", None, "", "12 345"]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        raw = t.encode()
+        votes = []
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            h = [max(0, max(sum(float(f[j, part[k + j], c]) for j in range(len(f))) for k in range(langid.WINDOW - len(f) + 1)) + float(b[c])) for f, b in zip(net.filters, net.biases, strict=True) for c in range(langid.FILTERS)]
+            z = np.array(h) @ net.out + net.out_bias
+            votes.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        p = np.exp(np.mean(votes, axis=0) - np.mean(votes, axis=0).max())
+        p /= p.sum()
+        assert got[i].lang_pred == net.languages[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-4
+
+
 def test_langid_learns_and_edges(spark, docs, empty):
     rng = random.Random(9)
     letters = {"xx": "abcde ", "yy": "fghij ", "zz": "éèçaü "}
