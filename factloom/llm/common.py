@@ -50,6 +50,11 @@ def id_from_text(made: DataFrame, column: str = "doc_id") -> DataFrame:
     return made.withColumn(column, F.col(column).cast("long"))
 
 
+def text_hash(column: str = "text") -> Column:
+    """With the id it tells rows apart that share an id but not a text; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("text_hash")
+
+
 def crc_mod(column: str, m: int) -> Column:
     """``crc32(column as text) mod m``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(m))

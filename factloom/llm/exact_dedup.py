@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACE, stored
+from factloom.llm.common import SPACE, stored, text_hash
 
 #: A chunk ends after a mark once it has 256 characters, and has 4,096 at most.
 MIN_CHUNK, MAX_CHUNK = 256, 4096
@@ -30,10 +30,11 @@ def chunks(text: Column) -> Column:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_sha256, recipe): the recipe is the ordered list of (chunk hash, chunk SHA-256)."""
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("t"))
+    """(doc_id, text_hash, text_sha256, recipe): the recipe is the ordered list of (chunk hash, chunk SHA-256)."""
+    text = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col), normalised(text_col).alias("t"))
     return text.select(
         "doc_id",
+        "text_hash",
         F.sha2(F.col("t"), 256).alias("text_sha256"),
         F.transform(chunks(F.col("t")), lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("sha"))).alias("recipe"),
     )
@@ -46,7 +47,7 @@ def chunk_identifiers(recipe_table: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, text_hash.
 
     Null and empty texts are equal to each other and to nothing else; a text of separators alone equals the others of
     its kind. Of equal texts the smallest doc_id stays; rows that repeat that doc_id tie and all stay. Null ids never win
@@ -57,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared_hash = chunk_identifiers(made).filter("n_contents > 1").limit(1).count() > 0
     # Two contents under one 64-bit hash: identify chunks by their SHA-256 instead.
     ident = F.transform("recipe", lambda c: c["sha"] if shared_hash else c["h"])
-    rows = made.select("doc_id", "text_sha256", F.size("recipe").cast("long").alias("n_chunks"), ident.alias("ids"))
+    rows = made.select("doc_id", "text_hash", "text_sha256", F.size("recipe").cast("long").alias("n_chunks"), ident.alias("ids"))
     groups = rows.groupBy("ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     several = stored(groups.filter("group_size > 1"), "copies")
     # Only lists that occur twice are joined; the table's size is known, so Spark picks broadcast or a skew-aware merge.
@@ -70,6 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
         "n_chunks",
+        "text_hash",
     )
 
 

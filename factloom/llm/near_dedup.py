@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_as_text, id_from_text, stored
+from factloom.llm.common import id_as_text, id_from_text, stored, text_hash
 from factloom.llm.components import components
 from factloom.llm.wordhash import shingles
 
@@ -58,7 +58,7 @@ def close_sizes(n: int, others: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, set_key, sig, sketch) for every row; the last three are null for empty sets."""
+    """(doc_id, text_hash, n, set_key, sig, sketch) for every row; the last three are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -72,9 +72,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     out.append((0, None, None, None))
             made = pd.DataFrame(out, columns=["n", "set_key", "sig", "sketch"])
             made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            made.insert(1, "text_hash", pdf["text_hash"].to_numpy())
             yield made
 
-    return id_from_text(docs.select(id_as_text(), "text").mapInPandas(run, "doc_id string, n long, set_key binary, sig binary, sketch binary"))
+    return id_from_text(docs.select(id_as_text(), text_hash(), "text").mapInPandas(run, "doc_id string, text_hash long, n long, set_key binary, sig binary, sketch binary"))
 
 
 def forest(sets: DataFrame) -> DataFrame:
@@ -248,9 +249,9 @@ def _set_id(sets: DataFrame) -> Column:
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, set_key.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_hash.
 
-    Texts without words (null, empty, separators alone) have empty sets and stand alone (set_key null). Rows with equal
+    Texts without words (null, empty, separators alone) have empty sets and stand alone. Rows with equal
     sets, repeated rows among them, are one set; its smallest doc_id and those of the sets that it reaches decide. Rows
     that repeat the kept doc_id tie and all stay. An id with several texts is judged by each text. Rows with a null doc_id
     keep their count, link nothing and are their own component (null, kept). Empty tables give empty results; other
@@ -325,9 +326,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of = stored(of.select("set_key", "doc_id", "component"), "linked-sets")
     least = stored(of.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "component-ids")
     of = stored(of.join(least, "component", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id")), "set-components")
-    out = rows.select("doc_id", "n", "set_key").join(of, "set_key", "left")
+    out = rows.select("doc_id", "text_hash", "n", "set_key").join(of, "set_key", "left")
     comp = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), "set_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), "text_hash")
 
 
 ORACLE = r"""

@@ -36,11 +36,11 @@ def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks", "text_hash")
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("set_key")
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
