@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from factloom.llm.common import stored, table
+from factloom.llm.common import stored, table, text_hash
 
 
 def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among the rejected ones; rows with a null id stay.
+    """Rows of ``docs`` but the rejected ones. A row is known by its id, null or not, and its text, so rows that share an id
+    with a rejected one but not its text stay.
 
-    The rejected ids are written first, so that Spark knows how large they are and picks the join.
+    The rejected ones are written first, so that Spark knows how large they are and picks the join.
     """
-    gone = stored(verdicts.filter("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(verdicts.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
