@@ -87,3 +87,18 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_ids_with_several_texts(spark, tmp_path):
+    """Only the rejected rows go: a text that shares its id with a copy stays, in every stage, and a null id saves no copy."""
+    long = " ".join(f"word{k}" for k in range(80))
+    rows = [(3, "same text"), (5, "same  text"), (5, "a wholly different text"), (None, "same text"), (None, "of its own"), (7, long), (9, long + " end"), (9, "one more text"), (11, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    left = Counter(map(tuple, exact.select("doc_id", "text").collect()))
+    assert left == Counter([(3, "same text"), (5, "a wholly different text"), (None, "of its own"), (7, long), (9, long + " end"), (9, "one more text"), (11, None), (11, "")])
+    near = Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, exact, "").select("doc_id", "text").collect()))
+    assert near == left - Counter([(9, long + " end")])
+    drawn = Counter(map(tuple, corpus_pipeline.mix(spark, exact, "").select("doc_id", "text").collect()))
+    assert drawn.keys() == left.keys()
+    assert corpus_pipeline.batches(spark, exact, "").count() == sum(left.values())
