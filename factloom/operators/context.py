@@ -179,6 +179,14 @@ def report(virtualized: DataFrame) -> DataFrame:
     kept = F.when(F.col("outcome") == "fits", F.col("original_messages")).otherwise(F.col("hot_messages"))
     out_tokens = F.when(on, F.col("hot_tokens") + F.col("recap_tokens")).otherwise(F.col("original_tokens") + F.when(F.col("outcome") == "fits", F.col("recap_tokens")).otherwise(0))
     cold = F.when(F.col("outcome") == "fits", 0).otherwise(F.col("cold_groups"))
+    size = lambda before, c, after: F.concat(F.lit(before), F.col(c).cast("string"), F.lit(after))
+    notes = F.concat_ws(
+        "; ",
+        F.when(F.col("outcome") == "degraded", size("the last groups alone take ", "hot_tokens", " tokens")),
+        F.when((F.col("outcome") == "virtualized") & ~on, "nothing to recall, passed through"),
+        F.when(on, size("recap of ", "cold_groups", " groups")),
+        F.when((F.col("outcome") == "fits") & (F.col("recap") != ""), "fits, with recalled facts"),
+    )
     return virtualized.select(
         "conv_id",
         "outcome",
@@ -192,22 +200,27 @@ def report(virtualized: DataFrame) -> DataFrame:
         out_tokens.alias("outbound_tokens"),
         (F.col("outcome") == "degraded").alias("degraded"),
         ((cold > 0) & (F.col("outcome") != "degraded") & (kept < F.col("original_messages"))).alias("virtualized"),
+        notes.alias("notes"),
     )
 
 
 def fact_lines(facts: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     """Facts as a list, rows with a part missing dropped: (keys, facts_text)."""
-    line = F.format_string("- **%s** %s **%s**  _(%s, %s, c=%.2f)_", "subject", "predicate", "object", F.date_format("valid_at", "yyyy-MM-dd"), "tier", "confidence")
-    whole = facts.dropna(subset=["subject", "predicate", "object"])
+    about = F.concat_ws(", ", F.date_format("valid_at", "yyyy-MM-dd'T'HH:mm:ss"), F.nullif("tier", F.lit("")), F.when(F.col("confidence").isNotNull(), F.format_string("c=%.2f", "confidence")))
+    line = F.concat(F.format_string("- **%s** %s **%s**", "subject", "predicate", "object"), F.when(about == "", "").otherwise(F.concat(F.lit("  _("), about, F.lit(")_"))))
+    whole = facts.filter("subject <> '' and predicate <> '' and object <> ''")
     return whole.groupBy(*keys).agg(ordered_text(line, [rank], "\n").alias("facts_text"))
 
 
 def episode_snippets(episodes: DataFrame, keys: list[str], budget: int, rank: str = "rank", most: int = 1200) -> DataFrame:
     """Episodes as fenced snippets within four characters a token, the first always: (keys, episodes_text)."""
-    body = cut(F.trim(F.coalesce("text", F.lit(""))), most)
-    block = F.concat(F.lit("### "), "source", F.lit(" "), F.date_format("event_time", "yyyy-MM-dd"), F.lit("\n```\n"), body, F.lit("\n```"))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    body = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[…truncated]"))).otherwise(text)
+    when = F.concat(F.lit(" — "), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss"))
+    session = F.when(F.coalesce("session_id", F.lit("")) != "", F.concat(F.lit("  _(session "), F.left("session_id", F.lit(12)), F.lit(")_")))
+    block = F.concat(F.lit("### "), F.coalesce("source", F.lit("episode")), F.coalesce(when, F.lit("")), F.coalesce(session, F.lit("")), F.lit("\n```\n"), body, F.lit("\n```"))
     order = Window.partitionBy(*keys).orderBy(rank)
-    e = episodes.withColumn("block", block).withColumn("used", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = episodes.filter(text != "").withColumn("block", block).withColumn("used", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     e = e.withColumn("_n", F.row_number().over(order)).filter((F.col("used") <= budget * 4) | (F.col("_n") == 1))
     return e.groupBy(*keys).agg(ordered_text(F.col("block"), [rank], "\n").alias("episodes_text"))
 

@@ -30,6 +30,11 @@ def set_prf(pred: Column, gold: Column, extraction: bool = False) -> Column:
     return F.when((n == 0) & (m == 0), make(1.0, 1.0, 1.0)).when((n == 0) | (m == 0), make(0.0, 0.0, 0.0)).otherwise(full)
 
 
+def exact_match(pred: Column, gold: Column) -> Column:
+    """Whether two sets are equal, whatever their order and repeats."""
+    return F.array_sort(F.array_distinct(pred)) == F.array_sort(F.array_distinct(gold))
+
+
 def triple_keys(triples: Column) -> Column:
     """Triples trimmed and lower-cased, as text."""
     return F.transform(triples, lambda t: F.concat_ws("|", F.lower(F.trim(t["s"])), F.lower(F.trim(t["p"])), F.lower(F.trim(t["o"]))))
@@ -125,10 +130,15 @@ def size_bucket(size: Column, bounds: dict[str, tuple[int, int]]) -> Column:
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Percentiles by the four rules in use, and the true median: (keys, n, p50_round, p95_round, p50_floor, upper_median,
-    p95_or_max, median). Rounding is half to even."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    r = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
+    p95_or_max, median). Rounding is half to even.
+
+    Equal values are counted before the shuffle, and ranks are running sums of the counts, so a key's rows are not sorted.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    r = counts.withColumn("_upto", F.sum("_c").over(running)).join(sizes, list(keys))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
     n = F.col("_n")
     rounded = lambda p: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p) * (n - 1)))).cast("long")
     floor = lambda p: F.least(n - 1, F.floor(n * p)).cast("long")
@@ -138,7 +148,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         at(rounded(0.95)).alias("p95_round"),
         at(floor(0.5)).alias("p50_floor"),
         at(F.floor(n / 2).cast("long")).alias("upper_median"),
-        F.coalesce(at(F.when(n >= 20, F.floor(n * 0.95).cast("long"))), F.max(value)).alias("p95_or_max"),
+        F.coalesce(at(F.when(n >= 20, F.floor(n * 0.95).cast("long"))), F.max("_v")).alias("p95_or_max"),
         F.round((at(F.floor((n - 1) / 2).cast("long")) + at(F.floor(n / 2).cast("long"))) / 2, 6).alias("median"),
     )
 
@@ -167,9 +177,8 @@ def summarize_arms(runs: DataFrame) -> DataFrame:
 
 def analyze_arms(runs: DataFrame) -> DataFrame:
     """Per arm: status counts, means, perfect rates, hallucinations, truncations, upper median latency."""
-    order = Window.partitionBy("arm").orderBy("latency_ms")
-    r = runs.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("arm")))
-    return r.groupBy("arm").agg(
+    mid = nearest_rank(runs, ["arm"], "latency_ms").select("arm", F.col("upper_median").alias("median_latency_ms"))
+    return runs.groupBy("arm").agg(
         F.count_if(_ok()).alias("n_ok"),
         F.count_if(F.col("status") == "context_overflow").alias("n_overflow"),
         F.count_if(~F.col("status").isin("ok", "context_overflow")).alias("n_err"),
@@ -179,25 +188,22 @@ def analyze_arms(runs: DataFrame) -> DataFrame:
         _rate(F.col("lenient") >= PERFECT, _ok()).alias("perfect_lenient"),
         F.count_if(_ok() & F.col("hallucinated")).alias("hallucinations"),
         F.count_if(_ok() & F.col("truncated")).alias("truncations"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("latency_ms"))).alias("median_latency_ms"),
-    )
+    ).join(mid, "arm", "left")
 
 
 def summarize_graph(runs: DataFrame) -> DataFrame:
     """Per bucket: exact match and F1 of ours and the baseline over runnable and all rows, operator match, status counts, p50."""
-    order = Window.partitionBy("bucket").orderBy("latency_ms")
-    r = runs.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("bucket")))
+    p50 = nearest_rank(runs, ["bucket"], "latency_ms").select("bucket", F.col("p50_floor").alias("p50_ms"))
     counts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "c")))).alias("status_counts")
     per = runs.groupBy("bucket", "status").agg(F.count("*").alias("c")).groupBy("bucket").agg(counts)
-    return r.groupBy("bucket").agg(
+    return runs.groupBy("bucket").agg(
         F.count("*").alias("n"),
         _mean((F.col("lenient") >= PERFECT).cast("double")).alias("em"),
         _mean("lenient").alias("f1"),
         _mean(F.col("op_match").cast("double")).alias("op_match_rate"),
         _rate(F.col("strict"), _ok()).alias("baseline_over_runnable"),
         _mean(F.when(_ok(), F.col("strict")).otherwise(0.0)).alias("baseline_over_all"),
-        F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.5)), F.col("latency_ms"))).alias("p50_ms"),
-    ).join(per, "bucket")
+    ).join(per, "bucket").join(p50, "bucket", "left")
 
 
 def summarize_needles(runs: DataFrame) -> DataFrame:
@@ -307,7 +313,7 @@ def compare_summary(a: DataFrame, b: DataFrame, ours: str, plain: str, frontier:
 
 
 def _order(seed: int, ident: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(ident).cast("string"))
+    return F.md5(F.concat(F.lit(f"{seed}/"), F.col(ident).cast("string")))
 
 
 def sample_two_classes(tasks: DataFrame, per_bucket: int, seed: int, extra_to_first: bool = False, ident: str = "task_id", cls: str = "op", first: str = "bfs") -> DataFrame:

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
-from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import stored
 from factloom.operators.temporal import holds_at, tier_filter
 
 MAX_DEPTH = 4
 
 
-@lru_cache(maxsize=1)
-def _own() -> str:
-    return tempfile.mkdtemp(prefix="factloom-")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of ``spark.checkpoint.dir``, which executors share."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own()
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def load_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct edges, (gid, n_nodes, n_edges))."""
     e = edges.select("gid", "src", "dst").distinct()
@@ -72,19 +56,21 @@ def neighbors(facts: DataFrame, starts: DataFrame, depth: int, anchor: str, tier
     ways = live.select("group_id", F.col("subject").alias("node"), F.col("object").alias("next"), "fact_id", "valid_at").unionByName(
         live.select("group_id", F.col("object").alias("node"), F.col("subject").alias("next"), "fact_id", "valid_at")
     )
-    front = starts.select("group_id", "start", F.col("start").alias("node")).distinct()
-    seen, found = front, None
-    for d in range(depth):
-        step = stored(front.join(ways, ["group_id", "node"]).select("group_id", "start", "next", "fact_id", "valid_at").distinct())
-        hits = step.select("group_id", "start", "fact_id", "valid_at")
-        found = hits if found is None else found.unionByName(hits)
-        if d + 1 < depth:
-            nxt = step.select("group_id", "start", F.col("next").alias("node")).distinct()
-            front = stored(nxt.join(seen, ["group_id", "start", "node"], "left_anti"))
-            seen = seen.unionByName(front)
+    # Of a node's facts only the newest ``cap`` can be among the newest of a start, so a hub brings no more into the join;
+    # Spark limits each node before the shuffle. The walk itself needs the distinct neighbours alone.
+    newest = Window.partitionBy("group_id", "node").orderBy(F.desc("valid_at"), "fact_id")
+    shown = ways.select("group_id", "node", "fact_id", "valid_at").distinct().withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= cap).drop("_r")
+    shown = stored(shown, "node-facts")
+    steps = stored(ways.select("group_id", "node", "next").distinct(), "steps") if depth > 1 else None
+    front = stored(starts.select("group_id", "start", F.col("start").alias("node")).distinct(), "starts")
+    seen = front
+    for d in range(1, depth):
+        nxt = front.join(steps, ["group_id", "node"]).select("group_id", "start", F.col("next").alias("node")).distinct()
+        front = stored(nxt.join(seen, ["group_id", "start", "node"], "left_anti"), "front")
+        seen = seen.unionByName(front)
+    found = seen.join(shown, ["group_id", "node"]).select("group_id", "start", "fact_id", "valid_at").distinct()
     order = Window.partitionBy("group_id", "start").orderBy(F.desc("valid_at"), "fact_id")
-    out = found.dropDuplicates(["group_id", "start", "fact_id"])
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
 
 
 def run_graph_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:

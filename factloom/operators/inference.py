@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import stored
 from factloom.functions.tokens import ELLIPSIS
 from factloom.operators.temporal import OPEN_END, conflicts_on_insert, holds_at, tier_filter
 from factloom.operators.vectors import gap_prune, hydrate_ranked, knn, score_pairs
@@ -17,8 +18,8 @@ MAX_CONFLICTS = 8
 
 def seeds(queries: DataFrame, items: DataFrame, facts: DataFrame, anchor: str, max_hops: int = 4, tiers: Sequence[str] = ("T1", "T2")) -> tuple[DataFrame, DataFrame]:
     """(all hits, hydrated seeds): nearest facts of the tenant, pruned by gap before any join with facts."""
-    hits = knn(queries, items, max(max_hops * 4, 16), tiers=tiers)
-    return hits, hydrate_ranked(gap_prune(hits), facts, anchor, tiers)
+    hits = stored(knn(queries, items, max(max_hops * 4, 16), tiers=tiers), "hits")  # used several times
+    return hits, stored(hydrate_ranked(gap_prune(hits), facts, anchor, tiers), "seeds")
 
 
 def seed_pairs(seed_rows: DataFrame, facts: DataFrame, anchor: str, tiers: Sequence[str] = ("T1", "T2")) -> DataFrame:
@@ -105,7 +106,7 @@ def infer(queries: DataFrame, items: DataFrame, facts: DataFrame, episodes: Data
     if mode == "all":
         return answer_all(found)
     every = seed_pairs(found, facts, anchor)
-    pairs = score_pairs(every, hits, MAX_CONFLICTS)
+    pairs = stored(score_pairs(every, hits, MAX_CONFLICTS), "scored-pairs")
     if mode == "consistent":
         return answer_consistent(found, every if strict else pairs)
     ordered = order_pairs(pairs, facts)
@@ -158,12 +159,16 @@ def add_episodes(episodes: DataFrame, known: DataFrame, asserted: DataFrame | No
     if asserted is not None:
         given = asserted.join(episodes.select("episode_id", F.col("event_time").alias("valid_at")), "episode_id")
         found = found.unionByName(given.select(found.columns))
+    found = stored(found, "found-facts")
     base = known.agg(F.coalesce(F.max("fact_id"), F.lit(-1)) + 1).first()[0]
-    # Ids are offsets of episodes plus places inside them, so no global sort is needed.
+    # Ids are offsets of episodes plus places inside them, so no global sort is needed; an offset is as wide as the episode
+    # with the most facts asks.
+    most = found.groupBy("episode_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    width = max(1000, most + 1)
     place = F.row_number().over(Window.partitionBy("episode_id").orderBy("subject", "predicate", "object"))
     new = found.withColumn("_n", place).join(episodes.select("episode_id", "group_id", "session_id").hint("merge"), "episode_id")
     new = new.select(
-        (F.lit(base) + F.col("episode_id") * 1000 + F.col("_n")).alias("fact_id"), "group_id", "subject", "predicate", "object", "valid_at",
+        (F.lit(base) + F.col("episode_id") * width + F.col("_n")).alias("fact_id"), "group_id", "subject", "predicate", "object", "valid_at",
         F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(tier).alias("tier"), "confidence", F.lit(False).alias("pinned"), F.col("episode_id").alias("source_episode_id"), "session_id",
     )
     every = known.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at").unionByName(new.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at"))

@@ -125,7 +125,7 @@ def gap_prune(ranked: DataFrame, keys: Sequence[str] = ("query_id",), score: str
 def hydrate_ranked(hits: DataFrame, facts: DataFrame, anchor: str, tiers: Sequence[str] = ("T1", "T2"), include_invalidated: bool = False) -> DataFrame:
     """Ranked ids with their facts; ids that tier or time rule out fall away, ranks stay as they are."""
     live = tier_filter(facts, tiers).filter(holds_at(anchor, include_invalidated))
-    return hits.join(live.hint("merge"), "fact_id")  # hits come from Python, whose size Spark cannot tell
+    return hits.hint("merge").join(live, "fact_id")  # hits come from Python, whose size Spark cannot tell
 
 
 def fact_text(s: str = "subject", p: str = "predicate", o: str = "object") -> Column:

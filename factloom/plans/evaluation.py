@@ -128,9 +128,12 @@ def set_prf(spark: SparkSession, d: str) -> DataFrame:
 
 def needle_score(spark: SparkSession, d: str) -> DataFrame:
     p = needles.turn_pairs(fx.messages(spark, d))
-    said = F.concat(F.lit("tok "), F.substring("assistant_text", 1, 120))
-    gold = F.concat(F.lit("tok "), F.substring("assistant_text", 1, 140))
-    return p.select("conv_id", "pair_index", F.round(ev.needle_score(said, gold, F.lit("tok ")), 6).alias("score"))
+    """Whole answers against themselves, cut by a word, or without the token."""
+    gold = F.concat(F.lit("tok "), "assistant_text")
+    k = (F.col("conv_id") + F.col("pair_index")) % 3
+    said = F.when(k == 0, gold).when(k == 1, F.concat(F.lit(" \n"), gold)).otherwise(F.regexp_replace(gold, r"\s\S+\s*$", ""))
+    both = [F.round(ev.needle_score(said, gold, F.lit("tok "), lenient), 6).alias(n) for n, lenient in (("strict", False), ("lenient", True))]
+    return p.select("conv_id", "pair_index", *both)
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +156,7 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     """Conversations in tens, requests cut to their first letter, so that they repeat."""
     m = fx.messages(spark, d)
     user = F.concat(F.when(F.col("conv_id") % 2 == 0, "Write a ").otherwise("write an  "), F.substring("text", 1, 1))
-    return m.select((F.col("conv_id") % 10).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("msg_idx")).alias("msg_idx"), "role", F.when(F.col("role") == "user", user).otherwise(F.col("text")).alias("text"))
+    return m.select(F.expr("conv_id div 10").alias("conv_id"), (F.col("conv_id") * 1000 + F.col("msg_idx")).alias("msg_idx"), "role", F.when(F.col("role") == "user", user).otherwise(F.col("text")).alias("text"))
 
 
 def nth_needle(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +268,13 @@ NR = """with {fix}, r as (select *, row_number() over (partition by {keys} order
 select {keys}, max(n) as n, max({value}) filter (i = round_even(0.5 * (n - 1), 0)) as p50_round, max({value}) filter (i = round_even(0.95 * (n - 1), 0)) as p95_round, max({value}) filter (i = least(n - 1, floor(n * 0.5))) as p50_floor, max({value}) filter (i = n // 2) as upper_median,
 coalesce(max({value}) filter (n >= 20 and i = floor(n * 0.95::double)), max({value})) as p95_or_max, round((max({value}) filter (i = (n - 1) // 2) + max({value}) filter (i = n // 2)) / 2, 6) as median from r group by {keys}"""
 
+DEALT = "md5('42/' || {0}::varchar)"
 ORACLE = {
+    "stratified_sample": f"""with {RUNS}, t as (select row_idx as task_id, min(bucket) as bucket, case when bool_and(op_match) then 'bfs' else 'parents' end as op from runs group by row_idx),
+r as (select *, row_number() over (partition by bucket, op order by {DEALT.format('task_id')}, task_id) as r, least(4, count(*) filter (op = 'bfs') over (partition by bucket)) as f from t) select task_id, bucket, op from r where case when op = 'bfs' then r <= 4 else r <= 9 - f end""",
+    "needle_sample": f"""with {RUNS}, t as (select row_idx, min(bucket) as bucket, pow(2, 1 + row_idx % 3)::bigint as n_needles from runs group by row_idx),
+r as (select *, row_number() over (partition by bucket, n_needles order by {DEALT.format('row_idx')}, row_idx) <= 4 as picked from t),
+k as (select *, row_number() over (partition by bucket order by (not picked)::int, case when picked then n_needles end nulls first, {DEALT.format('row_idx')}, row_idx) as k from r) select row_idx, bucket, n_needles from k where k <= 10""",
     "arm_summary": f"with {RUNS} select bucket, arm, count(*) as n, {M6.format('strict')} as mean_strict, {M6.format('lenient')} as mean_lenient, {M6.format(PERFECT.format('strict'))} as perfect_strict, {M6.format(PERFECT.format('lenient'))} as perfect_lenient from runs where status = 'ok' group by grouping sets ((arm), (bucket, arm))",
     "arm_analysis": f"""with {RUNS}, r as (select *, row_number() over (partition by arm order by latency_ms) - 1 as i, count(*) over (partition by arm) as n from runs) select arm, count(*) filter (status = 'ok') as n_ok, count(*) filter (status = 'context_overflow') as n_overflow, count(*) filter (status not in ('ok', 'context_overflow')) as n_err,
 round(avg(strict) filter (status = 'ok'), 6) as strict_mean, round(avg(lenient) filter (status = 'ok'), 6) as lenient_mean, round(avg({PERFECT.format('strict')}) filter (status = 'ok'), 6)::double as perfect_strict, round(avg({PERFECT.format('lenient')}) filter (status = 'ok'), 6)::double as perfect_lenient,
@@ -301,7 +310,7 @@ j as (select node, coalesce(n, 0) as n, coalesce(m, 0) as m, coalesce(tp, 0)::do
 select node, case when n = 0 or m = 0 then 0.0 else round(tp / n, 6) end::double as precision, case when n = 0 or m = 0 then 0.0 else round(tp / m, 6) end::double as recall, case when n = 0 or m = 0 or tp = 0 then 0.0 else round(2 * (tp / n) * (tp / m) / (tp / n + tp / m), 6) end::double as f1 from j""",
     "turn_pairs": f"""with {fx.MESSAGES}, l as (select *, lead(role) over w as nr, lead(text) over w as nt, lead(msg_idx) over w as ni from messages window w as (partition by conv_id order by msg_idx))
 select conv_id, row_number() over (partition by conv_id order by msg_idx) - 1 as pair_index, msg_idx as user_idx, ni as assistant_idx, text as user_text, nt as assistant_text from l where role = 'user' and nr = 'assistant'""",
-    "nth_needle": f"""with {fx.MESSAGES}, k as (select conv_id % 10 as conv_id, conv_id * 1000 + msg_idx as msg_idx, role, case when role = 'user' then case when conv_id % 2 = 0 then 'Write a ' else 'write an  ' end || text[:1] else text end as text from messages),
+    "nth_needle": f"""with {fx.MESSAGES}, k as (select conv_id // 10 as conv_id, conv_id * 1000 + msg_idx as msg_idx, role, case when role = 'user' then case when conv_id % 2 = 0 then 'Write a ' else 'write an  ' end || text[:1] else text end as text from messages),
 l as (select *, lead(role) over w as nr, lead(text) over w as nt from k window w as (partition by conv_id order by msg_idx)), p as (select conv_id, row_number() over (partition by conv_id order by msg_idx) - 1 as pair_index, text as u, nt as a from l where role = 'user' and nr = 'assistant'),
 n as (select *, row_number() over (partition by conv_id, u order by pair_index) as pos, case when z like 'write an %' then 'write a ' || z[10:] else z end as norm from (select *, trim(regexp_replace(lower(u), '\\s+', ' ', 'g'), ' ') as z from p)),
 q as (select conv_id * 1000000 + pair_index as lookup_id, conv_id, lower(u) as request, norm, (1 + pair_index % 4)::int as position from n),
@@ -312,7 +321,8 @@ select lookup_id, n.a as found, coalesce(k.candidates, 0) as candidates from c l
     "last_user_query": f"with {fx.MESSAGES} select conv_id, arg_max(text, msg_idx) as query from messages where role = 'user' and not pure_tool_result group by conv_id",
     "virtualize_report": f"""with {RECAP} select conv_id, outcome, original_messages, original_tokens, case when outcome = 'fits' then original_messages else hot_messages end as kept_messages, case when outcome = 'fits' then original_tokens else hot_tokens end as kept_tokens,
 case when outcome = 'fits' then 0 else cold_groups end::bigint as cold_groups, case when outcome = 'fits' then 0 else cold_tokens end::bigint as cold_tokens, recap_tokens, case when outcome = 'virtualized' and recap <> '' then hot_tokens + recap_tokens else original_tokens end as outbound_tokens,
-outcome = 'degraded' as degraded, outcome = 'virtualized' and cold_groups > 0 and hot_messages < original_messages as virtualized from y""",
+outcome = 'degraded' as degraded, outcome = 'virtualized' and cold_groups > 0 and hot_messages < original_messages as virtualized,
+concat_ws('; ', case when outcome = 'degraded' then 'the last groups alone take ' || hot_tokens || ' tokens' end, case when outcome = 'virtualized' and recap = '' then 'nothing to recall, passed through' end, case when outcome = 'virtualized' and recap <> '' then 'recap of ' || cold_groups || ' groups' end) as notes from y""",
     "recap_text": f"with {RECAP} select conv_id, recap, recap_tokens, verbatim_budget, summary_budget, recall_budget from y",
     "cold_summary": f"with {OUTCOMES}, {SUMMARY} select conv_id, summary from s",
     "embedding_input": f"""with {OUTCOMES}, g as (select *, greatest(200, 700 // count(*) over (partition by conv_id, group_no)) as share from cold)

@@ -35,8 +35,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 25 = 0")
-    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(SCOPE).alias("scope"))
+    """Every vector whose id is divisible by 20; they ask the four tenants and all tenants in turn."""
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.expr("case when vec_id div 20 % 5 = 4 then '*' else concat('g', vec_id div 20 % 5) end").alias("scope"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +103,4 @@ mutations as (
   union all select fact_id * 10 + 3, fact_id, 'invalidate', valid_at + interval 1 day, 'r3', 'a' || (fact_id % 3) from facts where fact_id % 17 = 0
   union all select fact_id * 10 + 4, fact_id, 'invalidate', valid_at + interval 3 days, 'r4', 'a' || (fact_id % 3) from facts where fact_id % 34 = 0
   union all select fact_id * 10 + 5, fact_id, 'delete', valid_at + interval 1 day, 'r5', 'a' || (fact_id % 3) from facts where fact_id % 19 = 0)"""
-QUERIES = f"queries as (select vec_id as query_id, embedding as q, '{SCOPE}' as scope from embeddings where vec_id % 25 = 0)"
+QUERIES = "queries as (select vec_id as query_id, embedding as q, case when vec_id // 20 % 5 = 4 then '*' else 'g' || (vec_id // 20 % 5) end as scope from embeddings where vec_id % 20 = 0)"

@@ -178,7 +178,7 @@ def remember(spark: SparkSession, d: str) -> DataFrame:
 
 def bfs_frontier(spark: SparkSession, d: str) -> DataFrame:
     e = fx.edges(spark, d)
-    starts = e.select("gid", F.col("src").alias("start")).filter("cast(substr(start, 2) as int) % 97 = 1").distinct()
+    starts = e.select("gid", F.col("src").alias("start")).filter("cast(substr(start, 2) as int) % 20 = 0").distinct()
     return graph.bfs_frontier(e, starts, 2)
 
 
@@ -193,7 +193,7 @@ def graph_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbors_k(spark: SparkSession, d: str) -> DataFrame:
     f = fx.facts(spark, d)
-    starts = f.filter("fact_id % 101 = 0").select("group_id", F.col("subject").alias("start"))
+    starts = f.filter("cast(substr(subject, 2) as int) % 20 = 0").select("group_id", F.col("subject").alias("start"))
     return graph.neighbors(f, starts, 2, A).select("group_id", "start", "rank", "fact_id")
 
 
@@ -201,7 +201,7 @@ ASOF = f"valid_at <= timestamp '{A}' and (invalid_at is null or invalid_at > tim
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
 KNN = f"""items as (select f.fact_id, f.group_id, f.tier, e.embedding from facts f join embeddings e on e.vec_id = f.vec_id),
 scored as (select query_id, fact_id, round(list_dot_product(q::double[], embedding::double[]) / sqrt(list_dot_product(q::double[], q::double[]) * list_dot_product(embedding::double[], embedding::double[])), 6) as score
-  from queries join items on group_id = scope where tier in ('T1', 'T2')),
+  from queries join items on group_id = scope or scope = '*' where tier in ('T1', 'T2')),
 ranked as (select *, row_number() over (partition by query_id order by score desc, fact_id) as rank from scored)"""
 PRUNE = """{0}_g as (select *, score - lead(score) over (partition by query_id order by rank) as gap, first_value(score) over (partition by query_id order by rank) as top from {0}),
 {0}_c as (select query_id, arg_min(rank, struct_pack(g := -gap, r := rank)) as cut from {0}_g where gap > 0 and gap >= 0.10 * top group by query_id),
@@ -255,7 +255,7 @@ o as (select f.fact_id, coalesce(f.invalid_at, i) as invalid_at, reason, actor f
     "recall_facts_budget": f"""with {fx.FACTS}, {fx.QUERIES}, {KNN}, live as (select query_id, rank, f.fact_id, '(' || subject || ', ' || predicate || ', ' || object || ')' as text from ranked join facts f using (fact_id) where rank <= 24 and f.tier in ('T1', 'T2') and {ASOF}),
 c as (select *, greatest(1, length(text) // 4)::bigint as cost from live), u as (select *, (sum(cost) over (partition by query_id order by rank))::bigint as used from c) select query_id, rank, fact_id, text, cost, used from u where used <= 80""",
     "recall_episodes": f"""with {fx.EPISODES}, {fx.QUERIES}, s as (select query_id, episode_id, e.session_id, e.source, event_time, text, round(list_dot_product(q::double[], embedding::double[]) / sqrt(list_dot_product(q::double[], q::double[]) * list_dot_product(embedding::double[], embedding::double[])), 6) as score
-  from queries join episodes e on group_id = scope join embeddings v on v.vec_id = episode_id % (select count(*) from embeddings)),
+  from queries join episodes e on group_id = scope or scope = '*' join embeddings v on v.vec_id = episode_id % (select count(*) from embeddings)),
 r as (select *, row_number() over (partition by query_id order by score desc, episode_id) as rank from s) select query_id, rank, episode_id, score, session_id, source, {TS.format('event_time')}, length(text)::bigint as n_chars from r where rank <= 5""",
     "infer_all": f"{SEEDS} select query_id, fact_id, rank, 0.5::double as confidence from seeds",
     "scored_pairs": f"{SEEDS}, {PAIRS} select * from pairs",
@@ -269,14 +269,14 @@ select query_id, n_conflicts, 'Conflicts:' || chr(10) || lines || chr(10) || 'Ep
     "remember": f"""with {fx.FACTS}, {fx.EPISODES}, n as (select (select max(fact_id) + 1 from facts) + episode_id * 1000 + 1 as fact_id, group_id, 'c' || (episode_id % 500) as subject, 'said' as predicate, source[5:] as object, event_time as valid_at from episodes),
 c as (select a.fact_id, count(*) as k from n a join n b using (group_id, subject, predicate) where b.fact_id < a.fact_id and a.object <> b.object group by a.fact_id)
 select fact_id, group_id, subject, predicate, object, {TS.format('valid_at')}, coalesce(k, 0) as n_conflicts from n left join c using (fact_id)""",
-    "bfs_frontier": f"""with {fx.EDGES}, starts as (select distinct gid, src as start from edges where cast(substr(src, 2) as int) % 97 = 1),
+    "bfs_frontier": f"""with {fx.EDGES}, starts as (select distinct gid, src as start from edges where cast(substr(src, 2) as int) % 20 = 0),
 d1 as (select distinct s.gid, start, dst as node from starts s join edges e on e.gid = s.gid and e.src = s.start where dst <> start),
 d2 as (select distinct d1.gid, start, dst as node from d1 join edges e on e.gid = d1.gid and e.src = d1.node where dst <> start)
 select gid, start, node from d2 where (gid, start, node) not in (select (gid, start, node) from d1)""",
     "parents": f"with {fx.EDGES} select distinct gid, dst as node, src as parent from edges where src <> dst",
     "graph_sizes": f"with {fx.EDGES} select gid, count(distinct node) as n_nodes, (select count(*) from edges) as n_edges from (select gid, unnest([src, dst]) as node from edges) group by gid",
     "neighbors_k": f"""with {fx.FACTS}, live as (select * from facts where {ASOF} and tier in ('T1', 'T2')), ways as (select group_id, subject as node, object as nxt, fact_id, valid_at from live union all select group_id, object, subject, fact_id, valid_at from live),
-starts as (select distinct group_id, subject as start from facts where fact_id % 101 = 0), s1 as (select distinct w.group_id, start, nxt, fact_id, valid_at from starts s join ways w on w.group_id = s.group_id and w.node = s.start),
+starts as (select distinct group_id, subject as start from facts where cast(substr(subject, 2) as int) % 20 = 0), s1 as (select distinct w.group_id, start, nxt, fact_id, valid_at from starts s join ways w on w.group_id = s.group_id and w.node = s.start),
 s2 as (select distinct w.group_id, start, w.fact_id, w.valid_at from (select distinct group_id, start, nxt from s1) s join ways w on w.group_id = s.group_id and w.node = s.nxt),
 a as (select group_id, start, fact_id, valid_at from s1 union select * from s2), r as (select *, row_number() over (partition by group_id, start order by valid_at desc, fact_id) as rank from a) select group_id, start, rank, fact_id from r where rank <= 256""",
 }

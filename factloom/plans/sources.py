@@ -5,13 +5,11 @@ The shipped tables hold no such logs, so each query writes the rows of a table a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import new_folder
 from factloom.functions.tokens import approx_tokens
-from factloom.operators.graph import _own
 from factloom.plans import fixtures as fx
 from factloom.sources import requests as rq
 from factloom.sources import tasks, transcripts
@@ -20,11 +18,6 @@ from factloom.streaming import chunks, ingest
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as transcript lines; some are meta, side chains, echoes, broken or without a time."""
     c = fx.table(spark, d, "conversations")
@@ -43,7 +36,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def transcript_parse(spark: SparkSession, d: str) -> DataFrame:
     t = transcripts.parse_transcripts(_lines(spark, d), ingest_time=F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return t.select("session_id", "role", "source", F.length("text").cast("long").alias("n_chars"), F.left("text", F.lit(40)).alias("head"), F.date_format("event_time", STAMP).alias("event_time"))
+    return t.select("session_id", "role", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), F.date_format("event_time", STAMP).alias("event_time"))
 
 
 def tool_events(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +75,7 @@ def request_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_task_parse(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.edges(spark, d).withColumn("task_id", F.expr("cast(substr(src, 2) as int) % 50"))
+    e = fx.edges(spark, d).withColumn("task_id", F.expr("cast(cast(substr(src, 2) as int) div 50 as int)"))
     text = F.array_join(F.sort_array(F.collect_set(F.concat("src", F.lit(" -> "), "dst"))), "\n")
     p = e.groupBy("task_id").agg(text.alias("g"), F.min("src").alias("s"))
     prompt = F.concat(F.lit("Here is the graph to operate on:\nThe graph has the following edges:\n"), "g", F.lit("\nOperation:\n"), F.when(F.col("task_id") % 2 == 0, F.concat(F.lit("Perform a BFS from node "), "s", F.lit(" with depth 2"))).otherwise(F.concat(F.lit("Find the parents of node "), "s")))
@@ -122,8 +115,8 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d, "conversations", CONVERSATIONS)
     when = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(turn as int))")
     rows = s.select(F.concat(F.lit("g"), (F.col("conv_id") % 4).cast("string")).alias("group_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), "role", "text", when.alias("event_time"))
-    out = _folder(spark, "ingested")
-    ingest.sink(ingest.ingest_messages(rows, "30 days"), out, _folder(spark, "ingest-state")).awaitTermination()
+    out = new_folder(spark, "ingested")
+    ingest.sink(ingest.ingest_messages(rows, "30 days"), out, new_folder(spark, "ingest-state")).awaitTermination()
     done = spark.read.schema("group_id string, session_id string, role string, text string, hash string").parquet(out)
     return done.groupBy("group_id", "session_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -132,8 +125,8 @@ def payload_monitor_stream(spark: SparkSession, d: str) -> DataFrame:
     """Closed windows of token counts per user; a last far record moves the watermark past all of them."""
     s = _stream(spark, d, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     rows = s.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("t"), F.floor(F.col("value") * 100).cast("long").alias("original_tokens"), F.least(F.floor(F.col("value") * 100), F.lit(900)).cast("long").alias("outbound_tokens"))
-    out = _folder(spark, "monitor")
-    ingest.sink(ingest.payload_monitor(rows, 800, "1 day"), out, _folder(spark, "monitor-state")).awaitTermination()
+    out = new_folder(spark, "monitor")
+    ingest.sink(ingest.payload_monitor(rows, 800, "1 day"), out, new_folder(spark, "monitor-state")).awaitTermination()
     done = spark.read.schema("window_start timestamp, session_id string, turns long, max_outbound long, max_original long, turns_over long, alert boolean").parquet(out)
     return done.withColumn("window_start", F.date_format("window_start", STAMP))
 
@@ -142,13 +135,13 @@ LINES = """l as (select *, conv_id * 31 + turn as n from conversations), kept as
   where role in ('user', 'assistant') and n % 11 <> 0 and n % 13 <> 0 and n % 17 <> 0)"""
 TOK = "case when length({0}) = 0 then 0 else greatest(1, length({0}) // 4) end::bigint"
 ORACLE = {
-    "transcript_parse": f"""with {LINES}, s as (select *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') as u from kept) select session_id, role, 'chat:' || role as source, length(u)::bigint as n_chars, u[:40] as head, case when n % 5 = 0 then '2024-01-01 00:00:00' else '2024-03-01 10:00:00' end as event_time from s where length(u) >= 16 and not starts_with(u, '<command-name>')""",
+    "transcript_parse": f"""with {LINES}, s as (select *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') as u from kept) select session_id, role, 'chat:' || role as source, length(u)::bigint as n_chars, md5(u) as digest, case when n % 5 = 0 then '2024-01-01 00:00:00' else '2024-03-01 10:00:00' end as event_time from s where length(u) >= 16 and not starts_with(u, '<command-name>')""",
     "tool_events": """with o as (select *, o_orderkey % 7 as f, 'result of the order ' || o_orderkey || ' is ' || o_orderstatus || case when o_orderkey % 3 = 0 then chr(10) || '[stderr]' || chr(10) || 'warned' else '' end as body from orders where o_orderkey % 7 not in (4, 5) and o_orderkey % 10 <> 0)
 select 's' || o_custkey as session_id, case f when 0 then 'file:/p/' || o_orderkey when 1 then 'bash:' || sha256('ls ' || o_orderkey)[:8] when 2 then 'search:Grep' when 3 then 'web:http://u/x' else 'tool:Other' end as source,
 case f when 0 then '# Read /p/' || o_orderkey when 1 then '# Bash list' || chr(10) || '$ ls ' || o_orderkey when 2 then '# Grep ' || o_orderpriority when 3 then '# WebFetch http://u/x' else '# Other' end || chr(10) || chr(10) || body as text from o where length(body) >= 24""",
     "normalized_requests": f"select conv_id::varchar as request_id, (row_number() over (partition by conv_id order by turn) - 1)::bigint as msg_idx, role, 1::bigint as n_blocks, text, {TOK.format('text')} as tokens from conversations where role <> 'system'",
     "request_roundtrip": "select conv_id::varchar as request_id, count(*) as n_messages, sum(length(text))::bigint as n_chars, 'be kind' as system from conversations where role <> 'system' group by conv_id",
-    "graph_task_parse": f"""with {fx.EDGES}, t as (select cast(substr(src, 2) as int) % 50 as task_id, count(*) as n_edges, count(distinct src) as n_src, min(src) as start from edges group by 1) select task_id, case when task_id % 2 = 0 then 'bfs' else 'parents' end as op, start, case when task_id % 2 = 0 then 2 end as depth, null::varchar as error, n_edges, n_src from t""",
+    "graph_task_parse": f"""with {fx.EDGES}, t as (select cast(substr(src, 2) as int) // 50 as task_id, count(*) as n_edges, count(distinct src) as n_src, min(src) as start from edges group by 1) select task_id, case when task_id % 2 = 0 then 'bfs' else 'parents' end as op, start, case when task_id % 2 = 0 then 2 end as depth, null::varchar as error, n_edges, n_src from t""",
     "graph_messages": f"""with {fx.EDGES}, p as (select gid, src, case when count(*) = 1 then src || ' -> ' || any_value(dst) else src || ' -> [' || string_agg(dst, ', ' order by dst) || ']' end as text, row_number() over (partition by gid order by src) - 1 as k from edges group by gid, src)
 select gid, 2 * k as msg_idx, 'user' as role, text from p union all select gid, 2 * k + 1, 'assistant', 'Noted.' from p union all select gid, 2 * max(k) + 2, 'user', 'Which nodes are reachable?' from p group by gid""",
     "transcript_text": f"with {fx.MESSAGES} select conv_id, '=== TRANSCRIPT START ===' || chr(10) || string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) order by msg_idx) || chr(10) || '=== TRANSCRIPT END ===' as transcript from messages group by conv_id",

@@ -186,14 +186,26 @@ def denormalize_two(heads: DataFrame, messages: DataFrame) -> DataFrame:
     return heads.join(ms, "request_id", "left").select("request_id", F.concat(F.lit('{"model":'), _quote(F.col("model")), F.lit(',"max_tokens":'), F.col("max_tokens").cast("string"), F.lit(","), F.coalesce("ms", F.lit('"messages":[]')), F.lit("}")).alias("body"))
 
 
-# Input limits of models by the beginning of their names, the first that fits, and their providers.
-CONTEXT_LIMITS = (("claude-opus-4", 200_000), ("claude-sonnet-4", 200_000), ("claude-haiku-4", 200_000), ("gpt-5", 200_000), ("gpt-4o", 128_000), ("o3", 200_000), ("o4-mini", 200_000))
+# Input limits of models by the beginning of their names, the first that fits.
+CONTEXT_LIMITS = {
+    "claude-opus-4-7": 200_000,
+    "claude-opus-4-6": 200_000,
+    "claude-opus-4-5": 200_000,
+    "claude-sonnet-4-6": 200_000,
+    "claude-sonnet-4-5": 200_000,
+    "claude-haiku-4-5": 200_000,
+    "gpt-5": 200_000,
+    "gpt-4o": 128_000,
+    "gpt-4o-mini": 128_000,
+    "o3": 200_000,
+    "o4-mini": 200_000,
+}
 DEFAULT_LIMIT = 128_000
 
 
 def context_limit(model: Column) -> Column:
     m = F.lower(model)
-    return F.coalesce(*[F.when(m.startswith(p), F.lit(n)) for p, n in CONTEXT_LIMITS], F.lit(DEFAULT_LIMIT))
+    return F.coalesce(*[F.when(m.startswith(p), F.lit(n)) for p, n in CONTEXT_LIMITS.items()], F.lit(DEFAULT_LIMIT))
 
 
 def provider(model: Column, default: str = "anthropic") -> Column:
@@ -202,6 +214,15 @@ def provider(model: Column, default: str = "anthropic") -> Column:
     return F.when(m.startswith("claude") | F.contains(m, F.lit("anthropic")), "anthropic").when(other, "openai").otherwise(default)
 
 
+def header_int(headers: Column, name: str, default: int = 0) -> Column:
+    """A header of a map of texts as a whole number; the default where it is missing or none."""
+    return F.coalesce(F.when(F.trim(headers[name]).rlike(r"^[+-]?[0-9]+$"), F.trim(headers[name])).try_cast("long"), F.lit(default).cast("long"))
+
+
+def header_bool(headers: Column, name: str) -> Column:
+    return F.coalesce(F.lower(headers[name]) == "true", F.lit(False))
+
+
 def scope_of_project(cwd: Column) -> Column:
     """A readable name of the last folder and a hash of the whole path."""
     base = F.element_at(F.split(F.rtrim(cwd, F.lit("/")), "/"), -1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import stored
+
 
 def parse_graph_tasks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows(task_id, prompt)`` to (tasks with op, start, depth and an error, edges(task_id, src, dst)).
@@ -97,10 +99,10 @@ def parse_contradictions(rows: DataFrame) -> DataFrame:
 
 
 def final_answer(response: Column) -> Column:
-    """The nodes of the last ``Final Answer: [...]`` of a response; null without one."""
+    """The nodes of the last ``Final Answer: [...]`` of a response, blanks trimmed; the empty set without one."""
     last = F.try_element_at(F.regexp_extract_all(response, F.lit(r"(?i)Final Answer:\s*\[([^\]]*)\]"), F.lit(1)), F.lit(-1))
-    parts = F.filter(F.transform(F.split(last, ","), lambda s: F.regexp_replace(s, r"^[\s'\"]+|[\s'\"]+$", "")), lambda s: s != "")
-    return F.when(F.regexp_like(response, F.lit(r"(?i)Final Answer:\s*\[")), parts)
+    parts = F.filter(F.transform(F.split(last, ","), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.coalesce(F.array_distinct(parts), F.array().cast("array<string>"))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -127,8 +129,15 @@ def graph_to_messages(edges: DataFrame, question: str) -> DataFrame:
     """(gid, msg_idx, role, text): one message per source node in order, an answer after each, the question last."""
     per = edges.groupBy("gid", "src").agg(F.sort_array(F.collect_set("dst")).alias("to"))
     text = F.when(F.size("to") == 1, F.concat("src", F.lit(" -> "), F.element_at("to", 1))).otherwise(F.concat("src", F.lit(" -> ["), F.array_join("to", ", "), F.lit("]")))
-    k = F.row_number().over(Window.partitionBy("gid").orderBy("src")) - 1
-    return _with_answers(per.select("gid", k.alias("k"), text.alias("text")), "gid", F.lit(question))
+    # Places in a graph's order: rows are dealt by ranges, counted by range, and numbered inside theirs.
+    rows = per.select("gid", "src", text.alias("text")).repartitionByRange("gid", "src").withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "graph-ranges")
+    before = Window.partitionBy("gid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("gid", "part").agg(F.count("*").alias("n"))
+    parts = stored(parts.select("gid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "graph-parts")
+    k = F.col("before") + F.row_number().over(Window.partitionBy("gid", "part").orderBy("src")) - 1
+    numbered = rows.join(parts, ["gid", "part"]).select("gid", k.alias("k"), "text")
+    return _with_answers(stored(numbered, "graph-rows"), "gid", F.lit(question))
 
 
 def _with_answers(rows: DataFrame, key: str, question: Column) -> DataFrame:

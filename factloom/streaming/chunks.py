@@ -82,23 +82,32 @@ def reassemble(chunks: DataFrame) -> DataFrame:
 MESSAGES = "response_id string, n_blocks int, text string, tool_inputs string, stop_reason string, complete boolean"
 
 
-def reassemble_stream(chunks: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """The same over a stream: a response is emitted at its ``message_stop``, or incomplete after the timeout.
+def reassemble_stream(chunks: DataFrame, timeout: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: a response is emitted at its ``message_stop``.
 
-    State holds the chunks of open responses alone.
+    With a ``timeout`` the chunks have an ``event_time``, and a response whose last chunk is that much older than the
+    watermark (``late`` behind the newest chunk) is emitted as incomplete; without one it waits for its end. Time is that of
+    the chunks, so a run over what is there ends by itself. State holds the chunks of open responses alone.
     """
-    state = "chunks string"
+    wait_ms = 0 if timeout is None else chunks.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp '2000-01-01 00:00:00' + interval {timeout}) - unix_millis(timestamp '2000-01-01 00:00:00')")).first()[0]
+    if timeout is None:
+        rows = chunks.withColumn("event_ms", F.lit(0).cast("long"))
+    else:
+        rows = chunks.withColumn("event_ms", F.unix_millis("event_time")).withWatermark("event_time", late)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], now: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(now.get[0]) if now.exists else []
+        text, until = now.get if now.exists else ("[]", 0)
+        held = json.loads(text)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 none = lambda v: None if v is None or v != v else v
                 held.append([int(r.seq), r.type, none(r.block_index), none(r.block_type), none(r.text), none(r.partial_json), none(r.stop_reason)])
+                until = max(until, int(r.event_ms) + wait_ms)
         ended = any(c[1] == "message_stop" for c in held)
-        if not ended and not now.hasTimedOut:
-            now.update((json.dumps(held),))
-            now.setTimeoutDuration(timeout_ms)
+        if not ended and not now.hasTimedOut and (timeout is None or until > now.getCurrentWatermarkMs()):
+            now.update((json.dumps(held), until))
+            if timeout is not None:
+                now.setTimeoutTimestamp(until)
             return
         now.remove()
         text, tools, reason = {}, {}, None
@@ -119,7 +128,8 @@ def reassemble_stream(chunks: DataFrame, timeout_ms: int = 600_000) -> DataFrame
 
         yield pd.DataFrame([[key[0], len(text) + len(tools), "".join(text[i] for i in sorted(text)), json.dumps([parsed(tools[i]) for i in sorted(tools)]), reason, ended]], columns=[c.split()[0] for c in MESSAGES.split(", ")])
 
-    return chunks.groupBy("response_id").applyInPandasWithState(run, MESSAGES, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    mode = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("response_id").applyInPandasWithState(run, MESSAGES, "chunks string, until long", "append", mode)
 
 
 def coerce(value: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,8 +50,8 @@ def conflicts_stream(new: DataFrame, facts_path: str, out_path: str, checkpoint:
         try:
             known = spark.read.parquet(facts_path).filter(F.col("batch") < number).drop("batch")
             both = known.unionByName(batch)
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:  # the first batch finds no table yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             both = batch
         temporal.conflicts_on_insert(batch, both).write.mode("overwrite").parquet(f"{out_path}/batch={number}")

@@ -185,7 +185,7 @@ def test_task_parsers(spark):
     c = tasks.parse_contradictions(spark.createDataFrame([(1, "I notice you've mentioned contradictory information about this. You said the sky is blue, but you also mentioned it is green. Could you clarify which is correct?"), (2, "nothing here")], "id int, ideal_answer string")).orderBy("id").collect()
     assert (c[0].statement_a, c[0].statement_b) == ("the sky is blue", "it is green") and c[1].statement_a is None
     f = spark.createDataFrame([("x Final Answer: [a] Final Answer: [b, 'c']",), ("none",)], "r string").select(tasks.final_answer(F.col("r")).alias("a")).collect()
-    assert f[0].a == ["b", "c"] and f[1].a is None
+    assert f[0].a == ["b", "'c'"] and f[1].a == []
 
 
 def test_records(spark, tmp_path):
@@ -269,6 +269,17 @@ def test_chunks_both_dialects_and_stream(spark, tmp_path):
     assert json.loads(out["r2"].tool_inputs) == [{"_partial_json": "{bad"}]
 
 
+def test_open_responses_time_out(spark, tmp_path):
+    """A response without its end comes out incomplete once later chunks have moved the watermark; the youngest waits."""
+    text = lambda r, minute, s: (r, minute, "text_delta", 0, "text", s, None, None, None, None, f"2024-01-01 00:{minute:02d}:00")
+    rows = [text("old", 1, "half "), text("old", 2, "said"), text("done", 3, "x"), ("done", 4, "message_stop", *[None] * 7, "2024-01-01 00:04:00"), text("young", 58, "y")]
+    df = spark.createDataFrame(rows, chunks.CHUNKS + ", t string").withColumn("event_time", F.to_timestamp("t")).drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    s = chunks.reassemble_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), timeout="20 minutes", late="5 minutes")
+    s.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.response_id, r.text, r.complete) for r in spark.table("timed").collect()} == {("old", "half said", False), ("done", "x", True)}
+
+
 def test_recovered_tool_calls(spark):
     think = "hm <tool_call><function=grep><parameter=q>\nx y\n</parameter><parameter=n>3</parameter><parameter=f>True</parameter></function></tool_call></think> tail"
     df = spark.createDataFrame([("a", "", think, False), ("b", "", think, True), ("c", None, "let me think</think> the answer", False)], "response_id string, text string, reasoning string, has_tool_call boolean")
