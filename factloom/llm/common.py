@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import shared_folder, stored
+
+__all__ = ["SPACE", "WORD", "crc_mod", "id_as_text", "id_from_text", "shared_folder", "stored", "table", "text_hash", "word_count"]
+
 #: Java character class for the separators of the text contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="factloom-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one, but on a single machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or _own_folder()
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and gives later joins true sizes.
-
-    The files outlive executors, so nothing is recomputed when one is lost.
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
