@@ -24,6 +24,8 @@ PARTS = ("x0", "x1", "x2", "x3", "x4")
 P = len(PARTS)
 #: Rows of a block, and the least rows of a group with an estimate of its own; smaller groups share one.
 BLOCK, LEAST = 1_000, 60
+#: Rows of a table of groups, some 200 bytes each, up to which it is broadcast.
+FEW = 20_000
 #: Squared distances of a normal vector of P parts lie below these with 0.975 and 0.999999.
 WEIGHT_CUT, REJECT_CUT = 12.83, 35.89
 #: Scatter of a normal sample that is cut off at WEIGHT_CUT, as a part of the whole scatter.
@@ -150,10 +152,11 @@ def _distance() -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
-    """Join on the group. ``per_group`` is a written table: Spark knows its size and keeps the rows where they are if it is
-    small; a large one is merged, and a hot group split by the skew handling."""
-    return rows.join(per_group, ["g_lang", "g_source"])
+def _with_group(rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the group. ``per_group`` is a written table; it is broadcast if it has FEW rows at most, so that rows stay
+    where they are and sums are partial before they move. A larger one is merged, and a hot group split by the skew handling."""
+    few = per_group.count() <= FEW
+    return rows.join(F.broadcast(per_group) if few else per_group.hint("merge"), ["g_lang", "g_source"], how)
 
 
 def _mean_and_scatter(rows: DataFrame) -> DataFrame:
@@ -212,6 +215,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     # From the row's group to the group whose estimate it takes, on the small tables.
     taken = sizes.select(F.col("g_lang").alias("r_lang"), F.col("g_source").alias("r_source"), *names)
     taken = stored(taken.join(final, ["g_lang", "g_source"], "left").drop("g_lang", "g_source").withColumnsRenamed({"r_lang": "g_lang", "r_source": "g_source"}), "taken")
-    out = by_row.join(taken, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
+    out = _with_group(by_row, taken, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= REJECT_CUT, F.lit(True))
     return out.select(*counts, "base_failed", "distance", kept.alias("kept"))
