@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.storage import stored
+
 PERFECT = 0.99
 
 
@@ -132,12 +134,18 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Percentiles by the four rules in use, and the true median: (keys, n, p50_round, p95_round, p50_floor, upper_median,
     p95_or_max, median). Rounding is half to even.
 
-    Equal values are counted before the shuffle, and ranks are running sums of the counts, so a key's rows are not sorted.
+    Equal values are counted before the shuffle. The counts are dealt by ranges of (keys, value) and written; a count's rank is
+    the sum of its key's earlier ranges and of its own range so far, so no task sorts a whole key. Null keys are a group.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    r = counts.withColumn("_upto", F.sum("_c").over(running)).join(sizes, list(keys))
+    dealt = stored(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "value-counts")
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_s").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
+    ranges = sums.select(F.struct(*keys, "_part").alias("_range"), before.alias("_before"), F.sum("_s").over(key).alias("_n"))
+    running = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = dealt.withColumn("_so_far", F.sum("_c").over(running)).join(ranges, F.struct(*keys, "_part").eqNullSafe(F.col("_range")))
+    r = r.withColumn("_upto", F.col("_before") + F.col("_so_far"))
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
     n = F.col("_n")
     rounded = lambda p: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p) * (n - 1)))).cast("long")
