@@ -22,7 +22,7 @@ def load_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(gid, start, node, distance): nodes within ``depth`` directed steps, with their shortest distance, start at 0."""
-    e = edges.select("gid", F.col("src").alias("node"), F.col("dst").alias("next"))
+    e = stored(edges.select("gid", F.col("src").alias("node"), F.col("dst").alias("next")), "edges")  # read at every level
     front = starts.select("gid", "start", F.col("start").alias("node")).distinct()
     seen = front.withColumn("distance", F.lit(0))
     for d in range(1, depth + 1):

@@ -130,7 +130,7 @@ def extract_facts(episodes: DataFrame, fn: Callable[[DataFrame], DataFrame] | No
         out = rows.select("episode_id", part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.lit(0.9).alias("confidence"), F.col("event_time").alias("valid_at"))
         return out.filter("subject <> ''")
     said = fn(episodes).select("episode_id", F.from_json("response", "facts array<struct<s:string,p:string,o:string,confidence:double>>").alias("r"))
-    rows = episodes.select("episode_id", "event_time").join(said, "episode_id").select("episode_id", "event_time", F.explode("r.facts").alias("f"))
+    rows = episodes.select("episode_id", "event_time").join(said.hint("merge"), "episode_id").select("episode_id", "event_time", F.explode("r.facts").alias("f"))
     rows = rows.filter("f.s is not null and f.p is not null and f.o is not null and f.confidence between 0 and 1")
     return rows.select("episode_id", F.col("f.s").alias("subject"), F.col("f.p").alias("predicate"), F.col("f.o").alias("object"), F.col("f.confidence").alias("confidence"), F.col("event_time").alias("valid_at"))
 
@@ -171,6 +171,7 @@ def add_episodes(episodes: DataFrame, known: DataFrame, asserted: DataFrame | No
         (F.lit(base) + F.col("episode_id") * width + F.col("_n")).alias("fact_id"), "group_id", "subject", "predicate", "object", "valid_at",
         F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(tier).alias("tier"), "confidence", F.lit(False).alias("pinned"), F.col("episode_id").alias("source_episode_id"), "session_id",
     )
+    new = stored(new, "new-facts")  # what is returned and what is compared are the same, and the join below knows its size
     every = known.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at").unionByName(new.select("fact_id", "group_id", "subject", "predicate", "object", "invalid_at"))
     return new, conflicts_on_insert(new, every)
 

@@ -46,9 +46,8 @@ def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", t
     # A pair of blocks belongs to a scope and, since * meets every tenant's blocks, a tenant.
     nq = asked.groupBy("scope").agg(parts(F.count("*"), block).alias("nq"))
     ni = rows.groupBy("group_id").agg(parts(F.count("*"), ITEM_BLOCK).alias("ni"))
-    own = nq.filter("scope <> '*'").hint("merge").join(ni.withColumnRenamed("group_id", "scope"), "scope").withColumn("group_id", F.col("scope"))
-    every = nq.filter("scope = '*'").crossJoin(ni)
-    sizes = own.select("scope", "group_id", "nq", "ni").union(every.select("scope", "group_id", "nq", "ni"))
+    serves = F.explode(F.array_distinct(F.array("group_id", F.lit("*")))).alias("scope")
+    sizes = nq.hint("merge").join(ni.select("group_id", "ni", serves), "scope").select("scope", "group_id", "nq", "ni")
     blocks = ["scope", "group_id", "qb", "ib"]
     q = asked.hint("merge").join(sizes, "scope").withColumn("qb", part("nq")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
     i = rows.hint("merge").join(sizes, "group_id").withColumn("ib", part("ni")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
@@ -112,6 +111,15 @@ def knn_approx(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def recall_at(found: DataFrame, exact: DataFrame, queries: DataFrame, id_col: str = "fact_id") -> DataFrame:
+    """(scope, n_queries, n_exact, recall): the part of the exact neighbours that an approximate search found."""
+    hit = found.select("query_id", id_col).distinct().withColumn("_hit", F.lit(1))
+    both = exact.select("query_id", id_col).hint("merge").join(hit, ["query_id", id_col], "left")
+    per = both.groupBy("query_id").agg(F.count("*").alias("n"), F.count("_hit").alias("h"))
+    scoped = queries.select("query_id", "scope").hint("merge").join(per, "query_id", "left")
+    return scoped.groupBy("scope").agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_exact"), F.try_divide(F.sum("h"), F.sum("n")).alias("recall"))
+
+
 def gap_prune(ranked: DataFrame, keys: Sequence[str] = ("query_id",), score: str = "score", rank: str = "rank", min_frac: float = MIN_GAP) -> DataFrame:
     """Cut each ranking after its first largest drop, if that is positive and ``min_frac`` of the best score at least."""
     order = Window.partitionBy(*keys).orderBy(rank)

@@ -118,6 +118,12 @@ def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     return vectors.knn_approx(fx.queries(spark, d), _items(spark, d), 16)
 
 
+def knn_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate search against the exact one, per scope: nine tenths of the neighbours at least."""
+    r = vectors.recall_at(knn_lsh(spark, d), knn_exact(spark, d), fx.queries(spark, d))
+    return r.select("scope", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("recall_holds"))
+
+
 def gap_prune(spark: SparkSession, d: str) -> DataFrame:
     return vectors.gap_prune(knn_exact(spark, d))
 
@@ -250,6 +256,7 @@ o as (select f.fact_id, coalesce(f.invalid_at, i) as invalid_at, reason, actor f
     "cascade_delete": f"""with {fx.FACTS}, {fx.EPISODES} select e.episode_id, coalesce(string_agg(f.fact_id::varchar, ',' order by f.fact_id), '') as removed from episodes e left join facts f on f.source_episode_id = e.episode_id where e.episode_id % 700 = 0 group by e.episode_id""",
     "cascade_facts_left": f"with {fx.FACTS}, {fx.EPISODES} select source_episode_id, count(*) as n_facts from facts where source_episode_id not in (select episode_id from episodes where episode_id % 700 = 0) group by source_episode_id",
     "unknown_mutations": f"with {fx.MUTATIONS} select mutation_id, fact_id, action from mutations where fact_id not in (select fact_id from facts where group_id <> '{fx.SCOPE}')",
+    "knn_lsh_recall": f"with {fx.FACTS}, {fx.QUERIES}, {KNN} select q.scope, count(distinct q.query_id) as n_queries, count(r.fact_id) as n_exact, true as recall_holds from queries q left join (select * from ranked where rank <= 16) r using (query_id) group by q.scope",
     "knn_exact": f"with {fx.FACTS}, {fx.QUERIES}, {KNN} select query_id, fact_id, score, rank from ranked where rank <= 16",
     "gap_prune": f"with {fx.FACTS}, {fx.QUERIES}, {KNN}, hits as (select * from ranked where rank <= 16), {PRUNE.format('hits')} select query_id, fact_id, score, rank from hits_kept",
     "recall_facts_budget": f"""with {fx.FACTS}, {fx.QUERIES}, {KNN}, live as (select query_id, rank, f.fact_id, '(' || subject || ', ' || predicate || ', ' || object || ')' as text from ranked join facts f using (fact_id) where rank <= 24 and f.tier in ('T1', 'T2') and {ASOF}),
@@ -280,4 +287,4 @@ starts as (select distinct group_id, subject as start from facts where cast(subs
 s2 as (select distinct w.group_id, start, w.fact_id, w.valid_at from (select distinct group_id, start, nxt from s1) s join ways w on w.group_id = s.group_id and w.node = s.nxt),
 a as (select group_id, start, fact_id, valid_at from s1 union select * from s2), r as (select *, row_number() over (partition by group_id, start order by valid_at desc, fact_id) as rank from a) select group_id, start, rank, fact_id from r where rank <= 256""",
 }
-QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, remember, bfs_frontier, parents, graph_sizes, neighbors_k)}
+QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, knn_lsh_recall, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, remember, bfs_frontier, parents, graph_sizes, neighbors_k)}

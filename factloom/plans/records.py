@@ -57,7 +57,7 @@ def _multikey(spark: SparkSession, d: str) -> DataFrame:
 
 def multikey_tasks(spark: SparkSession, d: str) -> DataFrame:
     t, lines = tasks.parse_multikey_tasks(_multikey(spark, d))
-    return t.join(lines.groupBy("task_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars")), "task_id")
+    return t.hint("merge").join(lines.groupBy("task_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars")), "task_id")
 
 
 def chunk_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +179,7 @@ def tool_requests(spark: SparkSession, d: str) -> DataFrame:
     )
     heads, m = rq.normalize_two(c.select(k.alias("request_id"), body.alias("body")))
     rows = m.select("request_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role", F.size("blocks").cast("long").alias("n_blocks"), rq.message_text(F.col("blocks")).alias("text"), rq.is_pure_tool_result(F.col("role"), F.col("blocks")).alias("pure"), rq.has_open_tool_use(F.col("role"), F.col("blocks")).alias("calls"))
-    return rows.join(heads.select("request_id", "system", "stream"), "request_id")
+    return rows.hint("merge").join(heads.select("request_id", "system", "stream"), "request_id")
 
 
 def model_limits(spark: SparkSession, d: str) -> DataFrame:

@@ -71,7 +71,7 @@ def request_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     heads, m, _ = rq.normalize_one(_bodies(spark, d))
     heads2, again = rq.normalize_two(rq.denormalize_two(heads, m))
     rows = again.withColumn("text", rq.message_text(F.col("blocks"))).groupBy("request_id").agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).alias("n_chars"))
-    return rows.join(heads2.select("request_id", "system"), "request_id")
+    return rows.hint("merge").join(heads2.select("request_id", "system"), "request_id")
 
 
 def graph_task_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def graph_task_parse(spark: SparkSession, d: str) -> DataFrame:
     p = e.groupBy("task_id").agg(text.alias("g"), F.min("src").alias("s"))
     prompt = F.concat(F.lit("Here is the graph to operate on:\nThe graph has the following edges:\n"), "g", F.lit("\nOperation:\n"), F.when(F.col("task_id") % 2 == 0, F.concat(F.lit("Perform a BFS from node "), "s", F.lit(" with depth 2"))).otherwise(F.concat(F.lit("Find the parents of node "), "s")))
     t, edges = tasks.parse_graph_tasks(p.select("task_id", prompt.alias("prompt")))
-    return t.join(edges.groupBy("task_id").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src")), "task_id")
+    return t.hint("merge").join(edges.groupBy("task_id").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src")), "task_id")
 
 
 def graph_messages(spark: SparkSession, d: str) -> DataFrame:

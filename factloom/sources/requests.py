@@ -109,7 +109,7 @@ def normalize_two(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     of tool results; other roles are skipped."""
     m = _messages(raw)
     sys = m.filter(F.col("role").isin("system", "developer")).groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("msg_idx", _texts(F.col("content"), "\n").alias("t")))), lambda x: x["t"]), "\n\n").alias("system"))
-    heads = _head(raw).drop("body").join(sys, "request_id", "left")
+    heads = _head(raw).drop("body").join(sys.hint("merge"), "request_id", "left")
     m = m.filter(F.col("role").isin("user", "assistant", "tool"))
     order = Window.partitionBy("request_id").orderBy("msg_idx")
     starts = F.when((F.col("role") == "tool") & (F.lag("role").over(order) == "tool"), 0).otherwise(1)
@@ -167,7 +167,7 @@ def denormalize_one(heads: DataFrame, messages: DataFrame) -> DataFrame:
     content = F.concat(F.lit("["), F.array_join(F.transform("blocks", _one_out), ","), F.lit("]"))
     ms = _collect(messages, F.concat(F.lit('{"role":'), _quote(F.col("role")), F.lit(',"content":'), content, F.lit("}")), ["msg_idx"])
     system = F.when(F.coalesce("system", F.lit("")) != "", F.concat(F.lit('"system":'), _quote(F.col("system")), F.lit(","))).otherwise("")
-    out = heads.join(ms, "request_id", "left")
+    out = heads.join(ms.hint("merge"), "request_id", "left")
     return out.select("request_id", F.concat(F.lit('{"model":'), _quote(F.col("model")), F.lit(',"max_tokens":'), F.col("max_tokens").cast("string"), F.lit(","), system, F.coalesce("ms", F.lit('"messages":[]')), F.lit("}")).alias("body"))
 
 
@@ -183,7 +183,7 @@ def denormalize_two(heads: DataFrame, messages: DataFrame) -> DataFrame:
     rows = m.filter("not pure").select("request_id", "msg_idx", F.lit(0).alias("k"), said.alias("j")).unionByName(each.select("request_id", "msg_idx", "k", tool.alias("j")))
     first = heads.filter(F.coalesce("system", F.lit("")) != "").select("request_id", F.lit(-1).alias("msg_idx"), F.lit(0).alias("k"), F.to_json(F.struct(F.lit("system").alias("role"), F.col("system").alias("content"))).alias("j"))
     ms = _collect(rows.unionByName(first), F.col("j"), ["msg_idx", "k"])
-    return heads.join(ms, "request_id", "left").select("request_id", F.concat(F.lit('{"model":'), _quote(F.col("model")), F.lit(',"max_tokens":'), F.col("max_tokens").cast("string"), F.lit(","), F.coalesce("ms", F.lit('"messages":[]')), F.lit("}")).alias("body"))
+    return heads.join(ms.hint("merge"), "request_id", "left").select("request_id", F.concat(F.lit('{"model":'), _quote(F.col("model")), F.lit(',"max_tokens":'), F.col("max_tokens").cast("string"), F.lit(","), F.coalesce("ms", F.lit('"messages":[]')), F.lit("}")).alias("body"))
 
 
 # Input limits of models by the beginning of their names, the first that fits.

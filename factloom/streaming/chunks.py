@@ -76,7 +76,7 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     block = F.struct("block_index", "first_seq", F.col("block_type").alias("type"), F.when(F.col("block_type") == "text", F.col("text")).alias("text"), "tool_use_id", "tool_name", F.when(F.col("block_type") == "tool_use", value).alias("tool_input"))
     blocks = per.groupBy("response_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     ends = chunks.groupBy("response_id").agg(F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("seq"))).alias("stop_reason"))
-    return ends.join(blocks, "response_id", "left").select("response_id", "blocks", "stop_reason")
+    return ends.join(blocks.hint("merge"), "response_id", "left").select("response_id", "blocks", "stop_reason")
 
 
 MESSAGES = "response_id string, n_blocks int, text string, tool_inputs string, stop_reason string, complete boolean"
