@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, toxicity, urls
+from factloom.llm import chat, exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, search, sharding, spelling, toxicity, urls
 from factloom.llm.common import table
 
 
@@ -56,9 +56,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chats))
 
 
+def op11_fm_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_matrix_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mcd_outliers, op2_nnpu_toxicity, op3_license_scan, op4_length_buckets, op5_byte_cnn, op6_path_templates, op7_chunk_recipes, op8_lsh_forest, op9_temperature_mixing, op10_chat_format)
+    for f in (op1_mcd_outliers, op2_nnpu_toxicity, op3_license_scan, op4_length_buckets, op5_byte_cnn, op6_path_templates, op7_chunk_recipes, op8_lsh_forest, op9_temperature_mixing, op10_chat_format, op11_fm_spelling, op12_limited_accumulators, op13_matrix_shuffle)
 }
-#: The others rest on trained models and estimates that SQL cannot express; the tests compare them with brute force.
-ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op4_length_buckets": packing.oracle(), "op10_chat_format": chat.oracle(), "op6_path_templates": urls.oracle(), "op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
+#: The others rest on trained models, estimates, random draws or CRC-32, which SQL cannot express; the tests compare them with
+#: brute force.
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op4_length_buckets": packing.oracle(), "op10_chat_format": chat.oracle(), "op6_path_templates": urls.oracle(), "op7_chunk_recipes": exact_dedup.ORACLE, "op8_lsh_forest": near_dedup.ORACLE, "op9_temperature_mixing": mixing.ORACLE, "op12_limited_accumulators": search.ORACLE}
