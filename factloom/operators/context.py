@@ -6,9 +6,12 @@ the partitioning by conversation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import rstrip, strip
 from factloom.functions.tokens import approx_tokens, cut, tokens_or_one, truncate_to_tokens
 from factloom.operators.vectors import cosine
 
@@ -84,7 +87,7 @@ def cold_messages(messages: DataFrame, per_conv: DataFrame, last_k: int = LAST_K
 
 def cold_summary(cold: DataFrame, most: int = 280) -> DataFrame:
     """(conv_id, summary): a line for each cold message, newlines as spaces, cut to ``most`` characters."""
-    line = F.concat(F.lit("- ["), "role", F.lit("] "), cut(F.translate(F.trim(F.coalesce("text", F.lit(""))), "\n", " "), most))
+    line = F.concat(F.lit("- ["), "role", F.lit("] "), cut(F.translate(strip(F.coalesce("text", F.lit(""))), "\n", " "), most))
     return cold.groupBy("conv_id").agg(ordered_text(line, ["msg_idx"], "\n").alias("summary"))
 
 
@@ -143,41 +146,55 @@ def render_groups(ranked: DataFrame, groups: DataFrame, budgets: DataFrame) -> D
     order = Window.partitionBy("conv_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = r.withColumn("used", F.sum("cost").over(order)).filter("used <= verbatim_budget or rank = 1")
     body = ordered_text(F.col("block"), ["group_no"], "\n\n")
-    return kept.groupBy("conv_id").agg(F.concat(F.lit(HISTORY_HEAD + "\n\n"), F.rtrim(body)).alias("history"), F.count("*").alias("groups_shown"))
+    return kept.groupBy("conv_id").agg(F.concat(F.lit(HISTORY_HEAD + "\n\n"), rstrip(body)).alias("history"), F.count("*").alias("groups_shown"))
 
 
 def assemble_recap(summary: Column, recalled: Column, history: Column) -> Column:
     """The memory block: history, summary and recalled knowledge, those that are there; empty if none is."""
     some = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c))
-    body = F.concat_ws("\n\n", some(VERBATIM_HEAD, F.trim(history)), some(SUMMARY_HEAD, summary), some(RECALL_HEAD, F.trim(recalled)))
+    body = F.concat_ws("\n\n", some(VERBATIM_HEAD, strip(history)), some(SUMMARY_HEAD, summary), some(RECALL_HEAD, strip(recalled)))
     return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(RECAP_OPEN), body, F.lit(RECAP_CLOSE)))
 
 
-def virtualize(messages: DataFrame, limit: int, margin: int = MARGIN, last_k: int = LAST_K, vectors: DataFrame | None = None, recalled: DataFrame | None = None, summary_chars: int = 280) -> DataFrame:
-    """One row per conversation: the outcome, its budgets, the recap, and the report's counters.
+Recall = Callable[[DataFrame], DataFrame]
+
+
+def virtualize(
+    messages: DataFrame, limit: int, margin: int = MARGIN, last_k: int = LAST_K, vectors: DataFrame | Recall | None = None, recalled: DataFrame | Recall | None = None,
+    summary_chars: int = 280, requests: DataFrame | None = None, recall_k: int = RECALL_K,
+) -> DataFrame:
+    """One row per conversation: the outcome, its budgets, the recap, the system text with it, and the report's counters.
 
-    ``recalled(conv_id, recall_text)`` is knowledge from elsewhere, already within the recall budget. A virtualized
-    conversation whose recap would be empty passes through unchanged.
+    ``recalled(conv_id, recall_text)`` is knowledge from elsewhere within the recall budget, or a function that makes it
+    from (conv_id, query, recall_budget). ``vectors(conv_id, group_no, embedding, q)`` ranks cold groups beside literal hits,
+    or is a function of the groups. ``requests(conv_id, system, tools_tokens)`` is what goes out with the messages; it has
+    no part in the budget. A virtualized conversation whose recap would be empty passes through unchanged.
     """
     per = outcomes(messages, limit, margin, last_k)
     cold = cold_messages(messages, per, last_k)
     groups = group_blocks(cold)
     query = last_user_query(messages)
-    history = render_groups(rank_cold_groups(groups, literal_groups(query, groups), vectors), groups, per)
+    vectors = vectors(groups) if callable(vectors) else vectors
+    history = render_groups(rank_cold_groups(groups, literal_groups(query, groups), vectors, recall_k), groups, per)
+    if callable(recalled):
+        recalled = recalled(per.join(query, "conv_id", "left").filter("outcome <> 'degraded'").select("conv_id", F.coalesce("query", F.lit("")).alias("query"), "recall_budget"))
     out = per.join(query, "conv_id", "left").join(history, "conv_id", "left").join(cold_summary(cold, summary_chars), "conv_id", "left")
     out = out.join(recalled, "conv_id", "left") if recalled is not None else out.withColumn("recall_text", F.lit(None).cast("string"))
     short = truncate_to_tokens(F.col("summary"), F.col("summary_budget") + F.col("verbatim_budget"))
     out = out.withColumn("summary", F.when(F.col("history").isNull() & F.col("summary").isNotNull(), short))
     use = F.col("outcome") != "degraded"
     out = out.withColumn("recap", F.when(use, assemble_recap(F.col("summary"), F.col("recall_text"), F.col("history"))).otherwise(""))
-    return out.withColumn("recap_tokens", approx_tokens(F.col("recap")))
+    out = out.withColumn("recap_tokens", approx_tokens(F.col("recap")))
+    asked = out.join(requests.select("conv_id", "system", "tools_tokens"), "conv_id", "left") if requests is not None else out.withColumns({"system": F.lit(""), "tools_tokens": F.lit(0)})
+    asked = asked.withColumns({"system": F.coalesce("system", F.lit("")), "tools_tokens": F.coalesce("tools_tokens", F.lit(0)).cast("long")})
+    return asked.withColumns({"system_tokens": approx_tokens(F.col("system")), "system": F.concat("system", "recap")}).withColumn("post_system_tokens", approx_tokens(F.col("system")))
 
 
 def report(virtualized: DataFrame) -> DataFrame:
     """The counters of each conversation, with what goes out."""
     on = (F.col("outcome") == "virtualized") & (F.col("recap") != "")
     kept = F.when(F.col("outcome") == "fits", F.col("original_messages")).otherwise(F.col("hot_messages"))
-    out_tokens = F.when(on, F.col("hot_tokens") + F.col("recap_tokens")).otherwise(F.col("original_tokens") + F.when(F.col("outcome") == "fits", F.col("recap_tokens")).otherwise(0))
+    sent = F.when(on, F.col("hot_tokens")).otherwise(F.col("original_tokens"))
     cold = F.when(F.col("outcome") == "fits", 0).otherwise(F.col("cold_groups"))
     size = lambda before, c, after: F.concat(F.lit(before), F.col(c).cast("string"), F.lit(after))
     notes = F.concat_ws(
@@ -192,12 +209,15 @@ def report(virtualized: DataFrame) -> DataFrame:
         "outcome",
         "original_messages",
         "original_tokens",
+        (F.col("original_tokens") + F.col("system_tokens") + F.col("tools_tokens")).alias("original_total_tokens"),
         kept.alias("kept_messages"),
         F.when(F.col("outcome") == "fits", F.col("original_tokens")).otherwise(F.col("hot_tokens")).alias("kept_tokens"),
         cold.cast("long").alias("cold_groups"),
         F.when(F.col("outcome") == "fits", 0).otherwise(F.col("cold_tokens")).cast("long").alias("cold_tokens"),
         "recap_tokens",
-        out_tokens.alias("outbound_tokens"),
+        "post_system_tokens",
+        "tools_tokens",
+        (sent + F.col("post_system_tokens") + F.col("tools_tokens")).alias("outbound_tokens"),
         (F.col("outcome") == "degraded").alias("degraded"),
         ((cold > 0) & (F.col("outcome") != "degraded") & (kept < F.col("original_messages"))).alias("virtualized"),
         notes.alias("notes"),
@@ -214,7 +234,7 @@ def fact_lines(facts: DataFrame, keys: list[str], rank: str = "rank") -> DataFra
 
 def episode_snippets(episodes: DataFrame, keys: list[str], budget: int, rank: str = "rank", most: int = 1200) -> DataFrame:
     """Episodes as fenced snippets within four characters a token, the first always: (keys, episodes_text)."""
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     body = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[…truncated]"))).otherwise(text)
     when = F.concat(F.lit(" — "), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss"))
     session = F.when(F.coalesce("session_id", F.lit("")) != "", F.concat(F.lit("  _(session "), F.left("session_id", F.lit(12)), F.lit(")_")))

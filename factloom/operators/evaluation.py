@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.storage import stored
+from factloom.functions.text import strip
 
 PERFECT = 0.99
 
@@ -39,7 +40,7 @@ def exact_match(pred: Column, gold: Column) -> Column:
 
 def triple_keys(triples: Column) -> Column:
     """Triples trimmed and lower-cased, as text."""
-    return F.transform(triples, lambda t: F.concat_ws("|", F.lower(F.trim(t["s"])), F.lower(F.trim(t["p"])), F.lower(F.trim(t["o"]))))
+    return F.transform(triples, lambda t: F.concat_ws("|", F.lower(strip(t["s"])), F.lower(strip(t["p"])), F.lower(strip(t["o"]))))
 
 
 def _ratio(a: str, b: str) -> float:
@@ -130,35 +131,36 @@ def size_bucket(size: Column, bounds: dict[str, tuple[int, int]]) -> Column:
     return out
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, roll_up: Callable[[DataFrame], DataFrame] | None = None, fine: Sequence[str] | None = None) -> DataFrame:
     """Percentiles by the four rules in use, and the true median: (keys, n, p50_round, p95_round, p50_floor, upper_median,
     p95_or_max, median). Rounding is half to even.
 
-    Equal values are counted before the shuffle. The counts are dealt by ranges of (keys, value) and written; a count's rank is
-    the sum of its key's earlier ranges and of its own range so far, so no task sorts a whole key. Null keys are a group.
+    Equal values are counted before the shuffle, and the counts are dealt by ranges of values and written. From the sums of
+    the ranges follows which of them hold a wanted rank; only their counts are numbered, each range by itself, so no task
+    sorts a whole key. Null keys are a group. With ``roll_up`` the counts are kept by the ``fine`` columns, and it makes
+    the keys of them: one row may count under several keys.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    dealt = stored(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "value-counts")
+    fine, roll_up = list(fine or keys), roll_up or (lambda rows: rows)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*fine, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = stored(counts.repartitionByRange("_v", *fine).withColumn("_part", F.spark_partition_id()), "value-counts")
     key = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_s").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
-    ranges = sums.select(F.struct(*keys, "_part").alias("_range"), before.alias("_before"), F.sum("_s").over(key).alias("_n"))
-    running = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = dealt.withColumn("_so_far", F.sum("_c").over(running)).join(ranges, F.struct(*keys, "_part").eqNullSafe(F.col("_range")))
-    r = r.withColumn("_upto", F.col("_before") + F.col("_so_far"))
-    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    sums = roll_up(dealt.groupBy(*fine, "_part").agg(F.sum("_c").alias("_s"))).groupBy(*keys, "_part").agg(F.sum("_s").alias("_s"))
+    ranges = sums.withColumn("_before", before).withColumn("_n", F.sum("_s").over(key))
     n = F.col("_n")
     rounded = lambda p: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(p) * (n - 1)))).cast("long")
     floor = lambda p: F.least(n - 1, F.floor(n * p)).cast("long")
-    return r.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        at(rounded(0.5)).alias("p50_round"),
-        at(rounded(0.95)).alias("p95_round"),
-        at(floor(0.5)).alias("p50_floor"),
-        at(F.floor(n / 2).cast("long")).alias("upper_median"),
-        F.coalesce(at(F.when(n >= 20, F.floor(n * 0.95).cast("long"))), F.max("_v")).alias("p95_or_max"),
-        F.round((at(F.floor((n - 1) / 2).cast("long")) + at(F.floor(n / 2).cast("long"))) / 2, 6).alias("median"),
-    )
+    last = F.when(n >= 20, F.floor(n * 0.95).cast("long")).otherwise(n - 1)
+    ranks = {"p50_round": rounded(0.5), "p95_round": rounded(0.95), "p50_floor": floor(0.5), "upper_median": F.floor(n / 2).cast("long"), "p95_or_max": last, "_low": F.floor((n - 1) / 2).cast("long")}
+    wanted = F.exists(F.array(*ranks.values()), lambda i: (i >= F.col("_before")) & (i < F.col("_before") + F.col("_s")))
+    ranges = stored(ranges.filter(wanted).select(F.struct(*keys, "_part").alias("_range"), "_before", "_n"), "value-ranges")
+    r = roll_up(dealt).join(ranges, F.struct(*keys, "_part").eqNullSafe(F.col("_range")))
+    running = Window.partitionBy(*keys, "_part").orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("_upto", F.col("_before") + F.sum("_c").over(running))
+    # A range without the wanted rank begins after it or ends before it; its values are not looked at for that rank.
+    at = lambda i: F.min(F.when((F.col("_upto") > i) & (F.col("_before") <= i), F.col("_v")))
+    found = r.groupBy(*keys).agg(F.max("_n").alias("n"), *[at(i).alias(name) for name, i in ranks.items()])
+    return found.withColumn("median", F.round((F.col("_low") + F.col("upper_median")) / 2, 6)).drop("_low")
 
 
 # ---- summaries of runs(row_idx, arm, bucket, status, strict, lenient, latency_ms, ...)
@@ -233,22 +235,38 @@ def summarize_multikey(runs: DataFrame) -> DataFrame:
 
 
 def summarize_contradictions(runs: DataFrame) -> DataFrame:
-    """Overall, per type and per bucket: n, hits, errors, accuracy, whether each verdict took one call, latencies."""
-    whole = F.lit("all")
-    sets = [(whole, whole), (F.lit("type"), F.col("arm")), (F.lit("bucket"), F.col("bucket"))]
-    rows = runs.withColumn("_k", F.explode(F.array(*[F.struct(a.alias("dimension"), b.alias("value")) for a, b in sets])))
-    rows = rows.select("*", "_k.dimension", "_k.value")
+    """Overall, per type and per bucket: n, hits, errors, accuracy, whether each verdict took one call, latencies.
+
+    Runs are counted once by type and bucket; the three dimensions are sums over those counts.
+    """
     good = F.col("status") != "error"
     lat = F.when(good & (F.col("latency_ms") > 0), F.col("latency_ms"))
-    ranks = nearest_rank(rows.withColumn("lat", lat), ["dimension", "value"], "lat").select("dimension", "value", F.col("median").alias("p50_ms"), F.col("p95_or_max").alias("p95_ms"))
-    out = rows.groupBy("dimension", "value").agg(
+
+    def three(rows: DataFrame) -> DataFrame:
+        whole = F.lit("all")
+        sets = [(whole, whole), (F.lit("type"), F.col("arm")), (F.lit("bucket"), F.col("bucket"))]
+        made = rows.withColumn("_k", F.explode(F.array(*[F.struct(a.alias("dimension"), b.alias("value")) for a, b in sets])))
+        return made.select("*", "_k.dimension", "_k.value")
+
+    cells = runs.groupBy("arm", "bucket").agg(
         F.count("*").alias("n"),
         F.count_if("hit").alias("hits"),
+        F.count("hit").alias("told"),
         F.count_if(~good).alias("errors"),
-        _mean(F.col("hit").cast("double")).alias("accuracy"),
-        F.coalesce(F.every(F.when(good, F.col("calls") == 1)), F.lit(False)).alias("one_call_each"),
-        _mean(lat).alias("mean_ms"),
+        F.every(F.when(good, F.col("calls") == 1)).alias("one"),
+        F.sum(lat).alias("ms"),
+        F.count(lat).alias("timed"),
     )
+    out = three(stored(cells, "cells")).groupBy("dimension", "value").agg(
+        F.sum("n").alias("n"),
+        F.sum("hits").alias("hits"),
+        F.sum("errors").alias("errors"),
+        F.round(F.try_divide(F.sum("hits"), F.sum("told")), 6).alias("accuracy"),
+        F.coalesce(F.every("one"), F.lit(False)).alias("one_call_each"),
+        F.round(F.try_divide(F.sum("ms"), F.sum("timed")), 6).alias("mean_ms"),
+    )
+    ranks = nearest_rank(runs.withColumn("lat", lat), ["dimension", "value"], "lat", three, ["arm", "bucket"])
+    ranks = ranks.select("dimension", "value", F.col("median").alias("p50_ms"), F.col("p95_or_max").alias("p95_ms"))
     return out.join(ranks.hint("merge"), ["dimension", "value"], "left")
 
 
@@ -276,7 +294,10 @@ def payload_summary(turns: DataFrame, threshold: int, inclusive: bool = False) -
 
 def group_stats(episodes: DataFrame, facts: DataFrame) -> DataFrame:
     """Per tenant: episodes, facts, distinct sessions, up to ten sources, the last event."""
-    e = episodes.groupBy("group_id").agg(F.count("*").alias("episodes"), F.count_distinct("session_id").alias("sessions"), F.array_join(F.slice(F.sort_array(F.collect_set("source")), 1, 10), ",").alias("sources"), F.max("event_time").alias("last_event"))
+    e = episodes.groupBy("group_id").agg(F.count("*").alias("episodes"), F.count_distinct("session_id").alias("sessions"), F.max("event_time").alias("last_event"))
+    some = firsts(episodes.select("group_id", "source").dropna(subset=["source"]).distinct(), ["group_id"], ["source"], 10)
+    e = e.join(some.groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("sources")), "group_id", "left")
+    e = e.withColumn("sources", F.coalesce("sources", F.lit("")))
     f = facts.groupBy("group_id").agg(F.count("*").alias("facts"))
     out = e.join(f, "group_id", "full")
     return out.fillna(0, ["episodes", "sessions", "facts"])
@@ -297,6 +318,28 @@ def extract_eval(rows: DataFrame, min_f1: float = 0.70, max_p95: float = 8_000.0
     return out.withColumn("passed", (F.col("mean_f1") >= min_f1) & (F.col("p95_ms") <= max_p95))
 
 
+
+
+def call_profile(samples: DataFrame, expected: str) -> DataFrame:
+    """Per size of ``samples(size, calls, n_conflicts, resolution, answers array<string>)``: runs, fewest and most calls,
+    whether each took one, conflicts (true median and most), the part of runs whose answers hold ``expected``, and the
+    distinct answers and resolutions, sorted."""
+    mid = nearest_rank(samples, ["size"], "n_conflicts").select("size", F.col("median").alias("conflicts_p50"))
+    one = samples.groupBy("size").agg(
+        F.count("*").alias("n"),
+        F.min("calls").alias("calls_min"),
+        F.max("calls").alias("calls_max"),
+        F.every(F.col("calls") == 1).alias("all_one"),
+        F.max("n_conflicts").alias("conflicts_max"),
+        _mean(F.coalesce(F.array_contains("answers", expected), F.lit(False)).cast("double")).alias("correct_rate"),
+        F.sort_array(F.collect_set(F.when(F.col("resolution") != "", F.col("resolution")))).alias("resolutions"),
+    )
+    # Answers are made distinct before they are gathered: the set of a size holds each once.
+    seen = samples.select("size", F.explode("answers").alias("a")).distinct().groupBy("size").agg(F.sort_array(F.collect_list("a")).alias("answers"))
+    none = F.array().cast("array<string>")
+    return one.join(mid.hint("merge"), "size", "left").join(seen.hint("merge"), "size", "left").withColumn("answers", F.coalesce("answers", none))
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(row_idx, arm, status_a, status_b, delta, sign): lenient change of rows that both runs scored."""
     j = a.alias("a").join(b.alias("b"), ["row_idx", "arm"])
@@ -324,26 +367,34 @@ def _order(seed: int, ident: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}/"), F.col(ident).cast("string")))
 
 
+def firsts(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows of each key, numbered in ``_r``. The limit is a constant, so Spark cuts each key's rows in every
+    task before they are shuffled, and no task sorts a whole key."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= most)
+
+
 def sample_two_classes(tasks: DataFrame, per_bucket: int, seed: int, extra_to_first: bool = False, ident: str = "task_id", cls: str = "op", first: str = "bfs") -> DataFrame:
     """Per bucket half of one class, the rest from the other; a class that is short is not made up for by the first."""
     quota = per_bucket // 2 + (per_bucket % 2 if extra_to_first else 0)
-    order = Window.partitionBy("bucket", cls).orderBy(_order(seed, ident), ident)
-    r = tasks.withColumn("_r", F.row_number().over(order))
+    r = firsts(tasks, ["bucket", cls], [_order(seed, ident), ident], per_bucket)
     n_first = F.least(F.lit(quota), F.sum((F.col(cls) == first).cast("long")).over(Window.partitionBy("bucket")))
     return r.withColumn("_f", n_first).filter(F.when(F.col(cls) == first, F.col("_r") <= quota).otherwise(F.col("_r") <= per_bucket - F.col("_f"))).drop("_r", "_f")
 
 
 def sample_needles(rows: DataFrame, per_bucket: int, seed: int, ident: str = "row_idx", over_all: bool = True) -> DataFrame:
-    """Per bucket a third for each needle count, then a fill from what is left, in the order of a seeded hash."""
+    """Per bucket a third for each needle count, then a fill from what is left, in the order of a seeded hash. Ids are unique.
+
+    Over all rows the third is rounded up; else a bucket is cut to ``per_bucket`` rows first and the third rounded down.
+    """
     quota = max(1, (per_bucket + 2) // 3) if over_all else max(1, per_bucket // 3)
     key = [_order(seed, ident), F.col(ident)]
-    r = rows
-    if not over_all:
-        r = r.withColumn("_c", F.row_number().over(Window.partitionBy("bucket").orderBy(*key))).filter(F.col("_c") <= per_bucket).drop("_c")
-    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("bucket", "n_needles").orderBy(*key)))
-    picked = (F.col("_r") <= quota) & F.col("n_needles").isin(2, 4, 8)
-    order = Window.partitionBy("bucket").orderBy((~picked).cast("int"), F.when(picked, F.col("n_needles")), *key)
-    return r.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_bucket).drop("_r", "_k")
+    rows = rows if over_all else firsts(rows, ["bucket"], key, per_bucket).drop("_r")
+    picked = firsts(rows.filter(F.col("n_needles").isin(2, 4, 8)), ["bucket", "n_needles"], key, quota).withColumn("_r", F.lit(1))
+    # Enough to fill a bucket even if all that is picked stands among them.
+    others = firsts(rows, ["bucket"], key, per_bucket + 3 * quota).withColumn("_r", F.lit(0))
+    both = picked.unionByName(others.join(picked.select(ident), ident, "left_anti"))
+    order = [F.desc("_r"), F.when(F.col("_r") == 1, F.col("n_needles")), *key]
+    return both.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("_k") <= per_bucket).drop("_r", "_k")
 
 
 def quota_plan(total: int) -> dict[str, int]:
@@ -360,15 +411,13 @@ def quota_plan(total: int) -> dict[str, int]:
 
 def quota_sample(rows: DataFrame, total: int, seed: int, ident: str = "row_idx") -> DataFrame:
     plan = quota_plan(total)
-    order = Window.partitionBy("bucket").orderBy(_order(seed, ident), ident)
     limit = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(n)) for b, n in plan.items()], F.lit(0))
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_r")
+    return firsts(rows, ["bucket"], [_order(seed, ident), ident], max(plan.values())).filter(F.col("_r") <= limit).drop("_r")
 
 
 def diverse_pick(rows: DataFrame, n: int, cls: str, ident: str) -> DataFrame:
     """Round robin over classes: the first of each, then the second of each, and so on."""
-    turn = F.row_number().over(Window.partitionBy(cls).orderBy(ident))
-    return rows.withColumn("_t", turn).orderBy("_t", cls, ident).limit(n).drop("_t")
+    return firsts(rows, [cls], [ident], n).orderBy("_r", cls, ident).limit(n).drop("_r")
 
 
 def distractors_needed(target: int, base: int, largest: int) -> int:
@@ -395,14 +444,21 @@ def stitch_contexts(base: DataFrame, distractors: DataFrame) -> DataFrame:
     return base.join(rest, "stitch_id", "left").select("stitch_id", F.concat_ws("\n", "intro", "context", "more", "question").alias("text"))
 
 
+#: Targets that each row is compared with.
+FEW_TARGETS = 1_000
+
+
 def nearest_to_target(rows: DataFrame, targets: DataFrame, within: float = 0.20) -> DataFrame:
     """(target, row_idx, n_chars): per target the nearest row within 20 %; a null row means one must be made.
 
-    Targets are a handful that the caller lists; each row is compared with them where it is and only the best of each
-    partition is shuffled.
+    Targets are a list that the caller makes; each row is compared with all of them where it is, and only the best of each
+    partition is shuffled. More than FEW_TARGETS are an error: split the list.
     """
-    t = F.broadcast(targets.select("target"))
-    near = rows.join(t, F.abs(F.col("n_chars") - F.col("target")) <= within * F.col("target"))
+    listed = sorted(r["target"] for r in targets.select("target").dropna().distinct().limit(FEW_TARGETS + 1).collect())
+    if len(listed) > FEW_TARGETS:
+        raise ValueError(f"more than {FEW_TARGETS} targets")
+    hit = F.filter(F.array(*map(F.lit, listed)), lambda t: F.abs(F.col("n_chars") - t) <= within * t)
+    near = rows.withColumn("target", F.explode(hit))
     best = near.groupBy("target").agg(F.min(F.struct(F.abs(F.col("n_chars") - F.col("target")).alias("far"), "row_idx", "n_chars")).alias("b"))
     return targets.join(best, "target", "left").select("target", F.col("b.row_idx").alias("row_idx"), F.col("b.n_chars").alias("n_chars"))
 

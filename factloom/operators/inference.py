@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.storage import stored
+from factloom.functions.text import strip
 from factloom.functions.tokens import ELLIPSIS
 from factloom.operators.temporal import OPEN_END, conflicts_on_insert, holds_at, tier_filter
-from factloom.operators.vectors import gap_prune, hydrate_ranked, knn, score_pairs
+from factloom.operators.vectors import embed, fact_text, gap_prune, hydrate_ranked, knn, score_pairs
 from factloom.schemas import RESOLUTIONS
 
 MAX_CONFLICTS = 8
@@ -63,16 +64,38 @@ def evidence(ordered: DataFrame, episodes: DataFrame, most: int = 300) -> DataFr
     return ids.join(episodes.hint("merge"), "episode_id").select("query_id", "episode_id", said.alias("snippet"))
 
 
-def verdict_requests(ordered: DataFrame, snippets: DataFrame) -> DataFrame:
-    """One row a query: its conflicts, at most eight, in rank order, its snippets by episode, and the prompt."""
+def attestations(ordered: DataFrame, mutations: DataFrame) -> DataFrame:
+    """(query_id, notes): what was confirmed or corrected of the pairs' facts, in the order of time, once a query."""
+    ids = ordered.select("query_id", F.explode(F.array("e1", "e2")).alias("fact_id")).distinct()
+    acts = mutations.filter(F.col("action").isin("confirmed", "corrected"))
+    said = F.format_string("fact %s %s by %s on %s", "fact_id", "action", F.coalesce("actor", F.lit("unknown")), F.date_format("ts", "yyyy-MM-dd"))
+    met = ids.hint("merge").join(acts.select("fact_id", "ts", "mutation_id", said.alias("note")), "fact_id")
+    return met.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "mutation_id", "note"))), lambda x: x["note"]).alias("notes"))
+
+
+INSTRUCTIONS = """Facts that contradict each other were found for a question. Say which of each pair holds, from dates, sources and what was confirmed.
+Without enough evidence answer "unresolved" rather than guess.
+Answer in JSON: thinking, resolution (e1_correct, e2_correct, both_partial or unresolved), reason (one sentence), confidence (0 to 1)."""
+
+
+def verdict_requests(ordered: DataFrame, snippets: DataFrame, queries: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """One row a query: its conflicts, at most eight, in rank order, its snippets by episode, and the prompt.
+
+    The prompt has the instructions, the text of ``queries(query_id, text)``, the numbered conflicts with the ids of both
+    facts, and, where there are any, attestations of ``notes(query_id, notes)`` and episodes. More than eight conflicts
+    are an error, and no prompt is made.
+    """
     c = ordered.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "e1", "e2", "reason"))).alias("c"))
-    s = snippets.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("episode_id", "snippet"))).alias("s"))
+    s = snippets.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("episode_id", "snippet"))), lambda x: x["snippet"]).alias("s"))
     both = c.join(s.hint("merge"), "query_id", "left")
-    lines = F.array_join(F.transform("c", lambda x: x["reason"]), "\n")
-    shown = F.array_join(F.transform(F.coalesce("s", F.array().cast("array<struct<episode_id:bigint,snippet:string>>")), lambda x: x["snippet"]), "\n")
-    prompt = F.concat(F.lit("Conflicts:\n"), lines, F.lit("\nEpisodes:\n"), shown)
-    n = F.size("c")
-    return both.select("query_id", n.alias("n_conflicts"), F.transform("c", lambda x: x["reason"]).alias("reasons"), prompt.alias("prompt"), F.when(n > MAX_CONFLICTS, "too many conflicts").alias("error"))
+    none = F.lit(None)
+    both = both.withColumn("q", none.cast("string")) if queries is None else both.join(queries.select("query_id", F.col("text").alias("q")).hint("merge"), "query_id", "left")
+    both = both.withColumn("notes", none.cast("array<string>")) if notes is None else both.join(notes.hint("merge"), "query_id", "left")
+    shown = F.transform("c", lambda x, i: F.format_string("- #%s: e1 (%s) vs e2 (%s): %s", i + 1, x["e1"], x["e2"], x["reason"]))
+    listed = lambda title, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n")))
+    prompt = F.concat_ws("\n\n", F.lit(INSTRUCTIONS), F.concat(F.lit("Question:\n"), F.col("q")), F.concat(F.lit("Conflicts:\n"), F.array_join(shown, "\n")), listed("Attestations", F.col("notes")), listed("Episodes", F.col("s")))
+    n, few = F.size("c"), F.size("c") <= MAX_CONFLICTS
+    return both.select("query_id", n.alias("n_conflicts"), F.transform("c", lambda x: x["reason"]).alias("reasons"), F.when(few, prompt).alias("prompt"), F.when(~few, "too many conflicts").alias("error"))
 
 
 VERDICT = "thinking string, resolution string, reason string, confidence double"
@@ -135,6 +158,31 @@ def extract_facts(episodes: DataFrame, fn: Callable[[DataFrame], DataFrame] | No
     return rows.select("episode_id", F.col("f.s").alias("subject"), F.col("f.p").alias("predicate"), F.col("f.o").alias("object"), F.col("f.confidence").alias("confidence"), F.col("event_time").alias("valid_at"))
 
 
+class FactLines:
+    """A table function: (subject, predicate, object) of each line ``FACT: s | p | o`` of a text, one row a line."""
+
+    def eval(self, text: str | None):  # noqa: ANN201
+        for line in (text or "").split("\n"):
+            parts = [p.strip(" ") for p in line.removeprefix("FACT:").split("|")]
+            if line.startswith("FACT:") and len(parts) == 3 and all(parts):
+                yield tuple(parts)
+
+
+def register_extractor(spark: SparkSession, name: str = "extract_facts", handler: type = FactLines) -> None:
+    """Make a handler with ``eval(text)`` known to SQL, for ``... , lateral extract_facts(text)``.
+
+    The handler runs where the episode's row is: once for each text, for all facts that it yields.
+    """
+    spark.udtf.register(name, F.udtf(handler, returnType="subject string, predicate string, object string"))
+
+
+def extract_lateral(episodes: DataFrame, handler: type = FactLines) -> DataFrame:
+    """The facts of :func:`extract_facts` by a table function in a lateral join."""
+    register_extractor(episodes.sparkSession, "_extract_facts", handler)
+    sql = "select episode_id, f.subject, f.predicate, f.object, 0.9d as confidence, event_time as valid_at from {rows} e, lateral _extract_facts(e.text) f"
+    return episodes.sparkSession.sql(sql, rows=episodes.select("episode_id", "event_time", "text"))
+
+
 #: Episodes longer than this are kept and embedded, but no facts are extracted from them.
 LARGE_PAYLOAD = 30_000
 
@@ -176,7 +224,25 @@ def add_episodes(episodes: DataFrame, known: DataFrame, asserted: DataFrame | No
     return new, conflicts_on_insert(new, every)
 
 
+#: What an ingested batch is made of, as stored.
+EPISODE = "episode_id long, group_id string, session_id string, source string, text string, event_time timestamp"
+FACT = "fact_id long, group_id string, subject string, predicate string, object string, valid_at timestamp, invalid_at timestamp, tier string, confidence double, pinned boolean, source_episode_id long, session_id string, conflicts array<long>"
+VECTOR = "kind string, id long, group_id string, embedding array<float>"
+
+
+def episode_tables(episodes: DataFrame, known: DataFrame, dim: int = 64, model: Callable | None = None, **how: object) -> dict[str, DataFrame]:
+    """The three tables of a batch of episodes: ``episodes``, ``facts`` with what they contradict, and ``vectors`` of all
+    episodes' texts, large ones too, and of all new facts. What embeds and extracts can be exchanged."""
+    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    episodes = stored(episodes.select(*names(EPISODE)), "episodes")
+    new, pairs = add_episodes(episodes, known, **how)
+    facts = new.join(pairs.hint("merge"), "fact_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<long>")))
+    said = episodes.select(F.lit("episode").alias("kind"), F.col("episode_id").alias("id"), "group_id", "text")
+    said = said.unionByName(new.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "group_id", fact_text().alias("text")))
+    return {"episodes": episodes, "facts": facts.select(*names(FACT)), "vectors": embed(said, "text", dim, model).select(*names(VECTOR))}
+
+
 def reformulated(queries: DataFrame, fn: Column | None = None) -> DataFrame:
     """Queries as a model rewords them; an empty or missing answer leaves the query as it is."""
     said = F.lit(None).cast("string") if fn is None else fn
-    return queries.withColumn("retrieval_query", F.coalesce(F.nullif(F.trim(said), F.lit("")), F.col("query")))
+    return queries.withColumn("retrieval_query", F.coalesce(F.nullif(strip(said), F.lit("")), F.col("query")))

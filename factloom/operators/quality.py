@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.schemas import RESOLUTIONS, TIERS
+from factloom.functions.text import strip
+from factloom.schemas import MODES, RESOLUTIONS, TIERS
 
 # Markers of secrets, in the order of their names.
 SECRETS = {
@@ -36,7 +37,7 @@ def flag_secrets(df: DataFrame, col: str) -> DataFrame:
 
 
 def is_question(text: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    t = F.lower(strip(F.coalesce(text, F.lit(""))))
     return F.contains(t, F.lit("?")) | F.element_at(F.split(t, " "), 1).isin(*QUESTION_WORDS)
 
 
@@ -102,10 +103,19 @@ def split_tool_pairs(kept: DataFrame) -> DataFrame:
     return u.exceptAll(r).withColumn("side", F.lit("use")).unionByName(r.exceptAll(u).withColumn("side", F.lit("result")))
 
 
-def violations(facts: DataFrame, episodes: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(rule, violations): how many rows or keys break each rule."""
+def bad_modes(requests: DataFrame) -> DataFrame:
+    return not_accepted(requests, "mode", MODES)
+
+
+def bad_confidences(verdicts: DataFrame) -> DataFrame:
+    return out_of_range(verdicts, "confidence", 0.0, 1.0)
+
+
+def violations(facts: DataFrame, episodes: DataFrame, vectors: DataFrame, dim: int, entities: DataFrame) -> DataFrame:
+    """(rule, violations): how many rows or keys break each rule. Entities are (group_id, name)."""
     parts = {
         "fact_id is unique": duplicates(facts, ["fact_id"]),
+        "entity is unique": duplicates(entities, ["group_id", "name"]),
         "episode_id is unique": duplicates(episodes, ["episode_id"]),
         "tier is known": not_accepted(facts, "tier", TIERS),
         "confidence is in range": out_of_range(facts, "confidence", 0.6, 1.0),

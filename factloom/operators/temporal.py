@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import stored
+from factloom.operators.intervals import FEW, points_in_intervals, self_overlaps
+
 OPEN_END = "9999-12-31 23:59:59"
 KEY = ["group_id", "subject", "predicate"]
 
@@ -25,10 +28,26 @@ def as_of(facts: DataFrame, anchor: str, include_invalidated: bool = False) -> D
     return facts.filter(holds_at(anchor, include_invalidated))
 
 
+#: Anchors up to which each row of facts is compared with its tenant's list of them where it is.
+FEW_ANCHORS = 10_000
+
+
 def as_of_many(facts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Snapshots at many times, ``anchors(group_id, anchor)``; the tenant is the join key, the times are the range."""
-    joined = facts.join(anchors.select("group_id", "anchor"), "group_id")
-    return joined.filter(holds_at(F.col("anchor")))
+    """Snapshots at many times, ``anchors(group_id, anchor)``: each fact once for each of its tenant's anchors at which it holds.
+
+    A counted list of few anchors is broadcast, one row a tenant, and facts do not move; beyond that a sweep brings each
+    fact together with the anchors inside its interval alone. Repeated anchors count once.
+    """
+    wanted = anchors.select("group_id", "anchor").dropna().distinct()
+    if wanted.limit(FEW_ANCHORS + 1).count() <= FEW_ANCHORS:
+        lists = wanted.groupBy("group_id").agg(F.collect_list("anchor").alias("_anchors"))
+        met = facts.join(F.broadcast(lists), "group_id")
+        return met.withColumn("anchor", F.explode(F.filter("_anchors", lambda t: holds_at(t)))).drop("_anchors")
+    rows = stored(facts.select(F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("fact"), F.monotonically_increasing_id().alias("interval")), "facts")
+    points = stored(wanted.withColumn("point", F.monotonically_increasing_id()), "anchors")
+    spans = rows.select(F.col("fact.group_id").alias("group_id"), F.col("interval").alias("row"), F.col("fact.valid_at").alias("begins"), F.col("fact.invalid_at").alias("ends"))
+    found = points_in_intervals(spans, points.select("group_id", F.col("point").alias("row"), F.col("anchor").alias("t")), ["group_id"])
+    return found.join(rows.hint("merge"), "interval").join(points.select("point", "anchor").hint("merge"), "point").select("fact.*", "anchor")
 
 
 def tier_filter(facts: DataFrame, tiers: Sequence[str] = ("T1", "T2")) -> DataFrame:
@@ -62,19 +81,21 @@ def conflicts_on_insert(new: DataFrame, facts: DataFrame) -> DataFrame:
     return hit.groupBy("fact_id").agg(F.sort_array(F.collect_set("other")).alias("conflicts"))
 
 
-def conflict_pairs(facts: DataFrame, anchor: str | None = None) -> DataFrame:
+def conflict_pairs(facts: DataFrame, anchor: str | None = None, few: int = FEW) -> DataFrame:
     """Pairs of facts that contradict each other while both hold, each pair once: (group_id, subject, predicate, e1, e2).
 
-    An equi-join on tenant, subject and predicate; ``a.id < b.id`` inside it makes pairs unique without a distinct.
-    Output is quadratic in a key's facts by nature; :func:`conflict_keys` shows the largest keys, and skewed ones are
-    split by adaptive execution since both sides are plain shuffles.
+    Facts of a key with at most ``few`` of them meet by an equi-join; larger keys are swept, so facts that never hold
+    together never meet. A fact that ends before it begins holds at no time but counts while others hold around it, as in
+    the plain comparison of both ends.
     """
     live = facts if anchor is None else as_of(facts, anchor)
-    end = F.coalesce("invalid_at", F.lit(OPEN_END).cast("timestamp"))
-    a = live.select(*KEY, F.col("fact_id").alias("e1"), F.col("object").alias("o1"), F.col("valid_at").alias("b1"), end.alias("x1"))
-    b = live.select(*KEY, F.col("fact_id").alias("e2"), F.col("object").alias("o2"), F.col("valid_at").alias("b2"), end.alias("x2"))
-    both = a.join(b, KEY).filter("e1 < e2 and o1 <> o2 and b1 < x2 and b2 < x1")
-    return both.select(*KEY, "e1", "e2", "o1", "o2")
+    rows = live.select(*KEY, "fact_id", "object", F.col("valid_at").alias("begins"), F.col("invalid_at").alias("ends"))
+    met = self_overlaps(rows, KEY, few)
+    open_end = F.lit(OPEN_END).cast("timestamp")
+    both = (F.col("a.begins") < F.coalesce("b.ends", open_end)) & (F.col("b.begins") < F.coalesce("a.ends", open_end))
+    met = met.filter((F.col("a.fact_id") != F.col("b.fact_id")) & (F.col("a.object") != F.col("b.object")) & both)
+    met = met.select(F.when(F.col("a.fact_id") < F.col("b.fact_id"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p"))
+    return met.select(*[F.col(f"p.a.{k}").alias(k) for k in KEY], F.col("p.a.fact_id").alias("e1"), F.col("p.b.fact_id").alias("e2"), F.col("p.a.object").alias("o1"), F.col("p.b.object").alias("o2"))
 
 
 def conflict_keys(facts: DataFrame) -> DataFrame:
@@ -107,12 +128,15 @@ def _in_window(facts: DataFrame, end: str, start: str | None) -> DataFrame:
 
 
 def supersessions(facts: DataFrame, end: str, start: str | None = None, distinct_objects: bool = False) -> DataFrame:
-    """(group_id, subject, predicate, winner, loser): the newest fact of a subject and predicate supersedes the others."""
-    rows = _in_window(facts, end, start)
-    key = Window.partitionBy(*KEY)
-    newest = key.orderBy(F.desc("valid_at"), "fact_id")
-    ranked = rows.select(*KEY, "fact_id", "object", F.first("fact_id").over(newest).alias("winner"), F.first("object").over(newest).alias("w_object"), F.row_number().over(newest).alias("r"))
-    losers = ranked.filter("r > 1")
+    """(group_id, subject, predicate, winner, loser): the newest fact of a subject and predicate supersedes the others.
+
+    The newest one is an aggregate and the others meet it in a join that Spark can split, so no task holds a whole key.
+    """
+    rows = _in_window(facts, end, start).dropna(subset=KEY)
+    # Ids are turned round, so that of facts that begin together the smallest wins.
+    newest = rows.groupBy(*KEY).agg(F.max(F.struct("valid_at", (-F.col("fact_id")).alias("turned"), "object")).alias("w"))
+    newest = newest.select(*KEY, (-F.col("w.turned")).alias("winner"), F.col("w.object").alias("w_object"))
+    losers = rows.select(*KEY, "fact_id", "object").join(newest, KEY).filter("fact_id <> winner")
     if distinct_objects:
         losers = losers.filter("object <> w_object")
     return losers.select(*KEY, "winner", F.col("fact_id").alias("loser"))
@@ -124,24 +148,51 @@ def merges(facts: DataFrame, end: str, start: str | None = None, distinct_object
     return s.groupBy(*KEY, "winner").agg(F.sort_array(F.collect_list("loser")).alias("losers"))
 
 
-def apply_attestations(facts: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Fold confirmations and corrections in time order; clamping makes the order matter, so it is one ordered fold.
+#: Changes of a fact beyond which they are folded in parts.
+FEW_CHANGES = 1_000
+
+
+def _change(up: Column) -> Column:
+    """A confirmation or correction as a map from x to min(hi, max(lo, x + add))."""
+    inf = F.lit(float("inf"))
+    return F.struct(F.when(up, 0.2).otherwise(-0.4).alias("add"), F.when(up, -inf).otherwise(0.0).alias("lo"), F.when(up, 1.0).otherwise(inf).alias("hi"))
+
+
+def _then(f: Column, g: Column) -> Column:
+    """First ``f``, then ``g``: again a map of that kind, which makes the fold associative."""
+    bound = lambda x: F.least(g["hi"], F.greatest(g["lo"], x + g["add"]))
+    return F.struct((f["add"] + g["add"]).alias("add"), bound(f["lo"]).alias("lo"), bound(f["hi"]).alias("hi"))
+
+
+def apply_attestations(facts: DataFrame, mutations: DataFrame, few: int = FEW_CHANGES) -> DataFrame:
+    """Fold confirmations and corrections in time order.
 
     confirmed: confidence up by 0.2 to 1 at most, pinned. corrected: down by 0.4 to 0 at least, not pinned. Other actions
-    change nothing.
+    change nothing. Clamping makes the order matter, but clamped additions compose into clamped additions: the changes of a
+    fact with more than ``few`` are dealt by ranges of time, each range is composed where it is, and the fact's row meets
+    one map a range.
     """
-    acts = mutations.filter(F.col("action").isin("confirmed", "corrected"))
-    per = acts.groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("ts", "mutation_id", "action", "actor"))).alias("acts"))
-
-    def step(acc: Column, m: Column) -> Column:
-        up = m["action"] == "confirmed"
-        conf = F.when(up, F.least(F.lit(1.0), acc["confidence"] + 0.2)).otherwise(F.greatest(F.lit(0.0), acc["confidence"] - 0.4))
-        return F.struct(conf.alias("confidence"), up.alias("pinned"))
-
-    start = F.struct(F.col("confidence").cast("double").alias("confidence"), F.col("pinned").alias("pinned"))
-    out = facts.join(per, "fact_id", "left").withColumn("_f", F.when(F.col("acts").isNull(), start).otherwise(F.aggregate("acts", start, step)))
-    last = F.element_at("acts", -1)
-    return out.withColumns({"confidence": F.col("_f.confidence"), "pinned": F.col("_f.pinned"), "last_attested_at": last["ts"], "last_attested_by": last["actor"]}).drop("_f", "acts")
+    none = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    acts = mutations.filter(F.col("action").isin("confirmed", "corrected")).select("fact_id", "ts", "mutation_id", "action", "actor")
+    hot = stored(acts.groupBy("fact_id").agg(F.count("*").alias("c")).filter(F.col("c") > few).select("fact_id"), "hot-facts")
+    parts = acts.withColumn("part", F.lit(0))
+    if hot.limit(1).count():
+        dealt = acts.join(hot, "fact_id", "left_semi").repartitionByRange("fact_id", "ts", "mutation_id")
+        parts = acts.join(hot, "fact_id", "left_anti").withColumn("part", F.lit(0)).unionByName(stored(dealt.withColumn("part", F.spark_partition_id()), "hot-changes"))
+    last = F.struct("ts", "mutation_id", "action", "actor")
+    per = parts.groupBy("fact_id", "part").agg(F.sort_array(F.collect_list(F.struct("ts", "mutation_id", "action"))).alias("acts"), F.max(last).alias("last"))
+    per = per.select("fact_id", "part", "last", F.aggregate("acts", none, lambda f, m: _then(f, _change(m["action"] == "confirmed"))).alias("map"))
+    per = per.groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("part", "map"))).alias("maps"), F.max("last").alias("last"))
+    per = per.select("fact_id", F.col("last").alias("_last"), F.aggregate("maps", none, lambda f, m: _then(f, m["map"])).alias("_map"))
+    out, start = facts.join(per, "fact_id", "left"), F.col("confidence").cast("double")
+    changed = F.least(F.col("_map.hi"), F.greatest(F.col("_map.lo"), start + F.col("_map.add")))
+    untouched = F.col("_map").isNull()
+    return out.withColumns({
+        "confidence": F.when(untouched | start.isNull(), start).otherwise(changed),
+        "pinned": F.when(untouched, F.col("pinned")).otherwise(F.col("_last.action") == "confirmed"),
+        "last_attested_at": F.col("_last.ts"),
+        "last_attested_by": F.col("_last.actor"),
+    }).drop("_last", "_map")
 
 
 def apply_invalidations(facts: DataFrame, mutations: DataFrame) -> DataFrame:

@@ -30,13 +30,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def sized(vectors: Sequence, dim: int) -> np.ndarray:
+    """Vectors as rows; those that are null or of another length are zero, so that their cosine is 0."""
+    out = np.zeros((len(vectors), dim))
+    for r, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[r] = v
+    return out
+
+
+def by_length(vectors: Sequence) -> dict[int, np.ndarray]:
+    """Places of the vectors of each length; null ones have none."""
+    n = np.array([-1 if v is None else len(v) for v in vectors])
+    return {int(d): np.flatnonzero(n == d) for d in np.unique(n) if d >= 0}
+
+
 def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", tiers: Sequence[str] | None = ("T1", "T2"), block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-k by cosine: (query_id, id, score, rank), scores rounded to six digits, ties by id.
 
     ``queries(query_id, q, scope)`` against ``items(id, group_id, embedding[, tier])``; scope ``*`` is all tenants. Tier
     and tenant filter before the ranking. Queries and items are dealt by id into blocks of about ``block`` and ITEM_BLOCK
     rows; each block of queries meets each block of its tenant's items in one task as one matrix product, and only the k
-    best of each pair of blocks go to the shuffle. The driver sees counts of tenants' blocks only.
+    best of each pair of blocks go to the shuffle. The driver sees counts of tenants' blocks only. Null vectors, and vectors of
+    another length than the query's, score 0 as :func:`cosine` has it.
     """
     rows = items if tiers is None else tier_filter(items, tiers)
     rows = rows.select("group_id", F.col(id_col).alias("id"), F.col("embedding").alias("v"))
@@ -57,9 +73,13 @@ def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact_id", t
         if not len(qs) or not len(its):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), id_col: pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         qids, ids = qs["id"].to_numpy(), its["id"].to_numpy()
-        a, b = (np.stack(x["v"].to_numpy()).astype(float) for x in (qs, its))
-        scale = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
-        s = np.round(np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+        s = np.zeros((len(qs), len(its)))
+        lengths = by_length(its["v"])
+        for dim, rows in by_length(qs["v"]).items():  # only vectors of one length have a score
+            cols = lengths.get(dim, rows[:0])
+            a, b = sized([qs["v"].iloc[r] for r in rows], dim), sized([its["v"].iloc[c] for c in cols], dim)
+            scale = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+            s[np.ix_(rows, cols)] = np.round(np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
         tops = [np.lexsort((ids, -s[r]))[:k] for r in range(len(qids))]
         return pd.DataFrame(dict(zip(names, (np.repeat(qids, [len(t) for t in tops]), ids[np.concatenate(tops)], np.concatenate([s[r][t] for r, t in enumerate(tops)])), strict=True)))
 
@@ -78,10 +98,12 @@ def knn_approx(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact
 
     A query also looks into PROBES neighbouring buckets of each table, those across its nearest planes. Buckets are joined
     on (scope, table, bucket), for scope ``*`` (all tenants) on (table, bucket); equi-joins, nothing is capped. Recall
-    against :func:`knn` is a test.
+    against :func:`knn` is a test. The dimension is that of the first vector; vectors of another, and null ones, count as
+    zero and share a bucket. No items, no result.
     """
     rows = items if tiers is None else tier_filter(items, tiers)
-    dim = len(items.select("embedding").first()[0])
+    one = items.filter("embedding is not null").select(F.size("embedding")).first()
+    dim = one[0] if one else 1
     planes = random_planes(dim, tables, bits)
 
     def buckets(vector: str, ident: str, group: str, df: DataFrame, probes: int) -> DataFrame:
@@ -89,7 +111,7 @@ def knn_approx(queries: DataFrame, items: DataFrame, k: int, id_col: str = "fact
             for pdf in batches:
                 if not len(pdf):
                     continue
-                v = np.stack(pdf[vector].to_numpy()).astype(float)
+                v = sized(pdf[vector], dim)
                 side = np.einsum("nd,tbd->ntb", v, planes)
                 code = ((side > 0) * (1 << np.arange(bits))).sum(axis=2)[:, :, None]
                 near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :probes]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import context, evaluation as ev, needles, quality
+from factloom.functions.text import STRIP
+from factloom.operators import context, evaluation as ev, needles, quality, temporal
 from factloom.plans import fixtures as fx
 
 RUNS = """runs as (select l_orderkey * 10 + l_linenumber as row_idx, case l_linenumber % 3 when 0 then 'plain' when 1 then 'ours' else 'frontier' end as arm,
@@ -67,6 +68,19 @@ def latency_profile(spark: SparkSession, d: str) -> DataFrame:
     return ev.latency_profile(s, ["walk_ms", "search_ms"])
 
 
+def call_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by line number: one call or two, some verdicts missing, answers of one or two objects."""
+    c = F.col
+    answer = lambda n: F.concat(F.lit("city"), (c("l_suppkey") % n).cast("string"))
+    s = fx.table(spark, d, "lineitem").select(
+        c("l_linenumber").alias("size"), F.when((c("l_linenumber") == 7) & (c("l_partkey") % 9 == 0), 2).otherwise(1).alias("calls"), (c("l_orderkey") % 8).alias("n_conflicts"),
+        F.when(c("l_partkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("e"), (c("l_partkey") % 3).cast("string"), F.lit("_correct"))).alias("resolution"), F.when(c("l_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(answer(3), answer(5))).alias("answers"),
+    )
+    p = ev.call_profile(s, "city2")
+    text = lambda n: F.array_join(n, ",").alias(n)
+    return p.select("size", "n", "calls_min", "calls_max", "all_one", "conflicts_p50", "conflicts_max", "correct_rate", text("answers"), text("resolutions"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """A record per event: sessions are users, sizes come from the value and the hour, some turns repeat."""
     return fx.table(spark, d, "events").select(
@@ -139,12 +153,21 @@ def needle_score(spark: SparkSession, d: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     t = runs(spark, d).groupBy("row_idx").agg(F.min("bucket").alias("bucket"), F.min("op_match").alias("m"))
     t = t.select(F.col("row_idx").alias("task_id"), "bucket", F.when(F.col("m"), "bfs").otherwise("parents").alias("op"))
-    return ev.sample_two_classes(t, 9, 42)
+    return ev.sample_two_classes(t, 9, 42).withColumn("extra", F.lit(False)).unionByName(ev.sample_two_classes(t, 9, 42, extra_to_first=True).withColumn("extra", F.lit(True)))
 
 
-def needle_sample(spark: SparkSession, d: str) -> DataFrame:
+def _needled(spark: SparkSession, d: str) -> DataFrame:
     t = runs(spark, d).groupBy("row_idx").agg(F.min("bucket").alias("bucket"))
-    return ev.sample_needles(t.withColumn("n_needles", F.pow(F.lit(2), 1 + F.col("row_idx") % 3).cast("long")), 10, 42)
+    return t.withColumn("n_needles", F.pow(F.lit(2), 1 + F.col("row_idx") % 3).cast("long"))
+
+
+def needle_sample(spark: SparkSession, d: str) -> DataFrame:
+    return ev.sample_needles(_needled(spark, d), 10, 42)
+
+
+def needle_sample_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that cuts each bucket first."""
+    return ev.sample_needles(_needled(spark, d), 10, 42, over_all=False)
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +219,41 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("text", F.when((F.col("msg_idx") <= 1) | ((F.col("role") == "user") & ~F.col("pure_tool_result")), F.concat("text", mark)).otherwise(F.col("text")))
 
 
+def _group_vectors(spark: SparkSession, d: str, groups: DataFrame) -> DataFrame:
+    """A stored vector for each group and one for each conversation's query."""
+    v = fx.vectors(spark, d)
+    n = v.count()
+    g = groups.withColumn("vec_id", (F.col("conv_id") * 31 + F.col("group_no")) % n).join(v, "vec_id").select("conv_id", "group_no", "embedding", ((F.col("conv_id") * 17) % n).alias("qv"))
+    return g.join(v.select(F.col("vec_id").alias("qv"), F.col("embedding").alias("q")), "qv").drop("qv")
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """Virtualization with all its parts: system texts and tools, groups ranked by vectors where the conversation's id is even,
+    and facts recalled by a function of the queries where it is divisible by three."""
+    c = fx.table(spark, d, "conversations").filter("role = 'system'")
+    system = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("system")).withColumn("tools_tokens", F.col("conv_id") % 50)
+
+    def recall(asked: DataFrame) -> DataFrame:
+        line = F.format_string("- %s %s %s", "subject", "predicate", "object")
+        f = fx.facts(spark, d).select((F.col("source_episode_id") / 100).cast("long").alias("conv_id"), "fact_id", line.alias("line"))
+        told = f.groupBy("conv_id").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("fact_id", "line"))), 1, 3), lambda x: x["line"]), "\n").alias("facts"))
+        both = asked.filter("conv_id % 3 = 0").join(told, "conv_id")
+        return both.select("conv_id", F.left(F.concat_ws("\n", F.concat(F.lit("asked: "), F.left("query", F.lit(10))), "facts"), (F.col("recall_budget") * 4).cast("int")).alias("recall_text"))
+
+    near = lambda groups: _group_vectors(spark, d, groups.filter("conv_id % 2 = 0"))
+    m = _marked(spark, d)
+    m = m.withColumn("text", F.when(F.col("conv_id") % 4 == 3, F.regexp_replace("text", " PAYLOAD_[0-9]+$", "")).otherwise(F.col("text")))
+    return context.virtualize(m, LIMIT, 0, 1, near, recall, requests=system, recall_k=2)
+
+
+def whole_report(spark: SparkSession, d: str) -> DataFrame:
+    return context.report(_whole(spark, d))
+
+
+def whole_recap(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).select("conv_id", "outcome", "recap", "system")
+
+
 def literal_needles(spark: SparkSession, d: str) -> DataFrame:
     m = _marked(spark, d)
     cold = context.cold_messages(m, context.outcomes(m, LIMIT, 0, 1), 1)
@@ -206,16 +264,15 @@ def cold_group_recall(spark: SparkSession, d: str) -> DataFrame:
     m = _marked(spark, d)
     per = context.outcomes(m, LIMIT, 0, 1)
     groups = context.group_blocks(context.cold_messages(m, per, 1))
-    v = fx.vectors(spark, d)
-    n = v.count()
-    g = groups.withColumn("vec_id", (F.col("conv_id") * 31 + F.col("group_no")) % n).join(v, "vec_id").select("conv_id", "group_no", "embedding", ((F.col("conv_id") * 17) % n).alias("qv"))
-    vectors = g.join(v.select(F.col("vec_id").alias("qv"), F.col("embedding").alias("q")), "qv").drop("qv")
+    vectors = _group_vectors(spark, d, groups)
     ranked = context.rank_cold_groups(groups, context.literal_groups(context.last_user_query(m), groups), vectors, k=2)
     return context.render_groups(ranked, groups, per)
 
 
 def cold_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the texts stand between line breaks and blanks."""
     m = fx.messages(spark, d)
+    m = m.withColumn("text", F.when(F.col("msg_idx") % 2 == 0, F.concat(F.lit("\n \t"), "text", F.lit(" \n"))).otherwise(F.col("text")))
     return context.cold_summary(context.cold_messages(m, context.outcomes(m, LIMIT, 0, 1), 1))
 
 
@@ -231,7 +288,11 @@ def secret_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_flags(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "conversations").groupBy("role").agg(F.count_if(quality.is_question(F.col("text"))).alias("questions"), F.count("*").alias("n"))
+    """Texts as they are, and some with a question word behind white space of several kinds."""
+    k = F.col("conv_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("\n\u00a0What "), "text")).when(k == 1, F.concat(F.lit("\t Is "), "text", F.lit("\u2003\n"))).when(k == 2, F.concat(F.lit("How\t"), "text")).otherwise(F.col("text"))
+    rows = fx.table(spark, d, "conversations").withColumn("text", text)
+    return rows.groupBy("role", k.alias("k")).agg(F.count_if(quality.is_question(F.col("text"))).alias("questions"), F.count("*").alias("n"))
 
 
 def message_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +302,8 @@ def message_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
-    return quality.violations(fx.facts(spark, d), fx.episodes(spark, d), fx.vectors(spark, d), dim=64)
+    f = fx.facts(spark, d)
+    return quality.violations(f, fx.episodes(spark, d), fx.vectors(spark, d), 64, temporal.entities(f))
 
 
 GROUPED = f"""{fx.MESSAGES}, grouped as (select *, sum(case when rn = 1 then 1 when role = 'user' and not pure_tool_result then 1 else 0 end) over (partition by conv_id order by msg_idx) - 1 as group_no from (select *, row_number() over (partition by conv_id order by msg_idx) as rn from messages))"""
@@ -254,7 +316,8 @@ v as (select *, case when cold_groups > 0 then floor(recap_budget * 0.70::double
 b as (select *, case when cold_groups > 0 then floor((recap_budget - verbatim_budget) * 0.25::double) else recap_budget * 0 end::bigint as summary_budget from v),
 per as (select *, case when outcome <> 'degraded' then greatest(256, case when outcome = 'fits' then {LIMIT} - original_tokens else recap_budget - verbatim_budget - summary_budget end) end::bigint as recall_budget from b),
 cold as (select t.* from t join per using (conv_id) where outcome = 'virtualized' and not hot)"""
-SUMMARY = """s as (select conv_id, string_agg('- [' || role || '] ' || case when length(line) > 280 then line[:279] || '…' else line end, chr(10) order by msg_idx) as summary from (select *, translate(trim(text, ' '), chr(10), ' ') as line from cold) group by conv_id)"""
+SUMMARY = r"s as (select conv_id, string_agg('- [' || role || '] ' || case when length(line) > 280 then line[:279] || '…' else line end, chr(10) order by msg_idx) as summary from (select *, translate(regexp_replace(text, '" + STRIP + r"', '', 'g'), chr(10), ' ') as line from cold) group by conv_id)"
+PADDED = fx.MESSAGES.replace("role, text,", "role, case when turn % 2 = 0 then chr(10) || ' ' || chr(9) || text || ' ' || chr(10) else text end as text,")
 RECAP = f"""{OUTCOMES}, {SUMMARY}, w as (select per.*, case when summary is null then null when summary_budget + verbatim_budget <= 0 then '' when length(summary) > 4 * (summary_budget + verbatim_budget) then summary[:4 * (summary_budget + verbatim_budget) - 1] || '…' else summary end as summary from per left join s using (conv_id)),
 x as (select *, case when coalesce(summary, '') = '' then '' else '{context.RECAP_OPEN}{context.SUMMARY_HEAD}' || summary || '{context.RECAP_CLOSE}' end as recap from w), y as (select *, ({TOK.format('recap')})::bigint as recap_tokens from x)"""
 MARKED = fx.MESSAGES.replace("role, text,", "role, case when turn <= 1 or (role = 'user' and turn % 4 not in (2, 3)) then text || ' PAYLOAD_' || lpad(conv_id::varchar, 6, '0') else text end as text,")
@@ -269,9 +332,30 @@ select {keys}, max(n) as n, max({value}) filter (i = round_even(0.5 * (n - 1), 0
 coalesce(max({value}) filter (n >= 20 and i = floor(n * 0.95::double)), max({value})) as p95_or_max, round((max({value}) filter (i = (n - 1) // 2) + max({value}) filter (i = n // 2)) / 2, 6) as median from r group by {keys}"""
 
 DEALT = "md5('42/' || {0}::varchar)"
+HISTORY = r"""nv as (select count(*) as n from embeddings),
+vs as (select conv_id, group_no, -round(list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]) * list_dot_product(q.embedding::double[], q.embedding::double[])), 6) as far
+  from blocks join nv on true join embeddings e on e.vec_id = (conv_id * 31 + group_no) % n join embeddings q on q.vec_id = (conv_id * 17) % n where {0}),
+nl as (select conv_id, count(*) as k from lit group by conv_id), near as (select vs.*, row_number() over (partition by vs.conv_id order by far, group_no) as r, coalesce(k, 0) as k from vs left join nl using (conv_id)),
+hits as (select conv_id, group_no, 0 as path, 0.0::double as far from lit union all select conv_id, group_no, 1, far from near where r <= 2 + k),
+f as (select conv_id, group_no, min(struct_pack(p := path, f := far)) as x from hits group by all), rk as (select conv_id, group_no, row_number() over (partition by conv_id order by x.p, x.f, group_no) as rank from f),
+u as (select rk.*, block, verbatim_budget, sum(greatest(1, length(block) // 4) + 2) over (partition by rk.conv_id order by rank) as used from rk join blocks using (conv_id, group_no) join per using (conv_id) where verbatim_budget > 0),
+history as (select conv_id, 'HEAD' || chr(10) || chr(10) || regexp_replace(string_agg(block, chr(10) || chr(10) order by group_no), '\s+$', '') as history, count(*) as groups_shown from u where used <= verbatim_budget or rank = 1 group by conv_id)""".replace("HEAD", context.HISTORY_HEAD)
+UNMARKED = MARKED.replace("when turn <= 1", "when conv_id % 4 <> 3 and (turn <= 1").replace("turn % 4 not in (2, 3)) then", "turn % 4 not in (2, 3))) then")
+WHOLE = f"""{OUTCOMES.replace(fx.MESSAGES, UNMARKED)}, {BLOCKS}, {HISTORY.format('conv_id % 2 = 0')}, {SUMMARY}, {fx.FACTS},
+sy as (select conv_id, arg_max(text, turn) as system, conv_id % 50 as tools from conversations where role = 'system' group by conv_id),
+rf as (select conv_id, string_agg('- ' || subject || ' ' || predicate || ' ' || object, chr(10) order by fact_id) as facts from (select *, source_episode_id // 100 as conv_id, row_number() over (partition by source_episode_id order by fact_id) as r from facts) where r <= 3 group by conv_id),
+rc as (select per.conv_id, ('asked: ' || coalesce(query, '')[:10] || chr(10) || facts)[:recall_budget * 4] as recalled from per join rf using (conv_id) left join lq using (conv_id) where per.conv_id % 3 = 0 and outcome <> 'degraded'),
+jn as (select per.*, history, recalled, coalesce(system, '') as sys, coalesce(tools, 0) as tools_tokens, case when history is null and summary is not null then case when summary_budget + verbatim_budget <= 0 then '' when length(summary) > 4 * (summary_budget + verbatim_budget) then summary[:4 * (summary_budget + verbatim_budget) - 1] || '…' else summary end end as summary
+  from per left join history using (conv_id) left join s using (conv_id) left join rc using (conv_id) left join sy using (conv_id)),
+bd as (select *, concat_ws(chr(10) || chr(10), case when coalesce(history, '') <> '' then '{context.VERBATIM_HEAD}' || regexp_replace(history, '{STRIP}', '', 'g') end, case when coalesce(summary, '') <> '' then '{context.SUMMARY_HEAD}' || summary end, case when coalesce(recalled, '') <> '' then '{context.RECALL_HEAD}' || regexp_replace(recalled, '{STRIP}', '', 'g') end) as body from jn),
+zz as (select *, case when outcome = 'degraded' or body = '' then '' else '{context.RECAP_OPEN}' || body || '{context.RECAP_CLOSE}' end as recap from bd),
+z as (select * exclude (sys), sys as system, ({TOK.format('recap')})::bigint as recap_tokens, ({TOK.format('sys')})::bigint as system_tokens, ({TOK.format('(sys || recap)')})::bigint as post_system_tokens from zz)"""
 ORACLE = {
     "stratified_sample": f"""with {RUNS}, t as (select row_idx as task_id, min(bucket) as bucket, case when bool_and(op_match) then 'bfs' else 'parents' end as op from runs group by row_idx),
-r as (select *, row_number() over (partition by bucket, op order by {DEALT.format('task_id')}, task_id) as r, least(4, count(*) filter (op = 'bfs') over (partition by bucket)) as f from t) select task_id, bucket, op from r where case when op = 'bfs' then r <= 4 else r <= 9 - f end""",
+r as (select *, row_number() over (partition by bucket, op order by {DEALT.format('task_id')}, task_id) as r, count(*) filter (op = 'bfs') over (partition by bucket) as f from t)
+select task_id, bucket, op, q = 5 as extra from r, (select unnest([4, 5]) as q) where case when op = 'bfs' then r <= q else r <= 9 - least(q, f) end""",
+    "needle_sample_cut": f"""with {RUNS}, a as (select row_idx, min(bucket) as bucket, pow(2, 1 + row_idx % 3)::bigint as n_needles from runs group by row_idx), t as (select row_idx, bucket, n_needles from (select *, row_number() over (partition by bucket order by {DEALT.format('row_idx')}, row_idx) as c from a) where c <= 10)
+select row_idx, bucket, n_needles from t""",
     "needle_sample": f"""with {RUNS}, t as (select row_idx, min(bucket) as bucket, pow(2, 1 + row_idx % 3)::bigint as n_needles from runs group by row_idx),
 r as (select *, row_number() over (partition by bucket, n_needles order by {DEALT.format('row_idx')}, row_idx) <= 4 as picked from t),
 k as (select *, row_number() over (partition by bucket order by (not picked)::int, case when picked then n_needles end nulls first, {DEALT.format('row_idx')}, row_idx) as k from r) select row_idx, bucket, n_needles from k where k <= 10""",
@@ -293,6 +377,10 @@ s as (select dimension, value, round((max(lat) filter (i = (c - 1) // 2) + max(l
     "latency_profile": f"""with l as (select l_linenumber as size, 'walk_ms' as stage, l_quantity as ms from lineitem union all select l_linenumber, 'search_ms', l_extendedprice from lineitem),
 r as (select *, row_number() over (partition by size, stage order by ms) - 1 as i, count(*) over (partition by size, stage) as n from l)
 select size, stage, max(n) as n, max(ms) filter (i = round_even(0.5 * (n - 1), 0)) as p50, max(ms) filter (i = round_even(0.95 * (n - 1), 0)) as p95, {M6.format('ms')} as mean from r group by size, stage""",
+    "call_profile": f"""with s as (select l_linenumber as size, case when l_linenumber = 7 and l_partkey % 9 = 0 then 2 else 1 end as calls, l_orderkey % 8 as k, case when l_partkey % 3 > 0 then 'e' || (l_partkey % 3) || '_correct' end as resolution,
+  case when l_partkey % 5 = 0 then [] else ['city' || (l_suppkey % 3), 'city' || (l_suppkey % 5)] end as answers from lineitem), a as (select size, string_agg(a, ',' order by a) as answers from (select distinct size, unnest(answers) as a from s) group by size)
+select size, count(*) as n, min(calls) as calls_min, max(calls) as calls_max, bool_and(calls = 1) as all_one, round(median(k), 6) as conflicts_p50, max(k) as conflicts_max, round(avg(list_contains(answers, 'city2')::int), 6) as correct_rate, any_value(a.answers) as answers, string_agg(distinct resolution, ',' order by resolution) as resolutions
+from s join a using (size) group by size""".replace("list_contains(answers", "list_contains(s.answers"),
     "dedupe_turns": f"with {TURNS} select session_id, original_messages, record_id, original_tokens, outbound_tokens, logical_turn from deduped",
     "payload_summary": f"""with {TURNS}, r as (select *, row_number() over (partition by session_id order by outbound_tokens) - 1 as i, count(*) over (partition by session_id) as n from deduped)
 select session_id, count(*) as turns, max(outbound_tokens) as max_outbound, max(original_tokens) as max_original, count(*) filter (outbound_tokens > 800) as turns_over, bool_or(outbound_tokens < original_tokens) as ever_virtualized, count(*) filter (outbound_tokens > 800) = 0 as passed, max(outbound_tokens) filter (i = n // 2) as median_outbound from r group by session_id""",
@@ -320,31 +408,30 @@ select lookup_id, n.a as found, coalesce(k.candidates, 0) as candidates from c l
     "atomic_groups": f"with {GROUPED} select conv_id, msg_idx, group_no::bigint as group_no from grouped",
     "last_user_query": f"with {fx.MESSAGES} select conv_id, arg_max(text, msg_idx) as query from messages where role = 'user' and not pure_tool_result group by conv_id",
     "virtualize_report": f"""with {RECAP} select conv_id, outcome, original_messages, original_tokens, case when outcome = 'fits' then original_messages else hot_messages end as kept_messages, case when outcome = 'fits' then original_tokens else hot_tokens end as kept_tokens,
-case when outcome = 'fits' then 0 else cold_groups end::bigint as cold_groups, case when outcome = 'fits' then 0 else cold_tokens end::bigint as cold_tokens, recap_tokens, case when outcome = 'virtualized' and recap <> '' then hot_tokens + recap_tokens else original_tokens end as outbound_tokens,
+case when outcome = 'fits' then 0 else cold_groups end::bigint as cold_groups, case when outcome = 'fits' then 0 else cold_tokens end::bigint as cold_tokens, recap_tokens, original_tokens as original_total_tokens, recap_tokens as post_system_tokens, 0::bigint as tools_tokens, case when outcome = 'virtualized' and recap <> '' then hot_tokens + recap_tokens else original_tokens end as outbound_tokens,
 outcome = 'degraded' as degraded, outcome = 'virtualized' and cold_groups > 0 and hot_messages < original_messages as virtualized,
 concat_ws('; ', case when outcome = 'degraded' then 'the last groups alone take ' || hot_tokens || ' tokens' end, case when outcome = 'virtualized' and recap = '' then 'nothing to recall, passed through' end, case when outcome = 'virtualized' and recap <> '' then 'recap of ' || cold_groups || ' groups' end) as notes from y""",
     "recap_text": f"with {RECAP} select conv_id, recap, recap_tokens, verbatim_budget, summary_budget, recall_budget from y",
-    "cold_summary": f"with {OUTCOMES}, {SUMMARY} select conv_id, summary from s",
+    "cold_summary": f"with {OUTCOMES.replace(fx.MESSAGES, PADDED)}, {SUMMARY} select conv_id, summary from s",
     "embedding_input": f"""with {OUTCOMES}, g as (select *, greatest(200, 700 // count(*) over (partition by conv_id, group_no)) as share from cold)
 select conv_id, group_no::bigint as group_no, (string_agg('[' || role || '] ' || case when length(text) > share then text[:share] || '…' else text end, chr(10) order by msg_idx))[:700] as text from g group by conv_id, group_no""",
     "literal_needles": f"with {OUTCOMES.replace(fx.MESSAGES, MARKED)}, {BLOCKS} select conv_id, group_no::bigint as group_no from lit",
-    "cold_group_recall": f"""with {OUTCOMES.replace(fx.MESSAGES, MARKED)}, {BLOCKS}, nv as (select count(*) as n from embeddings),
-vs as (select conv_id, group_no, -round(list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]) * list_dot_product(q.embedding::double[], q.embedding::double[])), 6) as far
-  from blocks join nv on true join embeddings e on e.vec_id = (conv_id * 31 + group_no) % n join embeddings q on q.vec_id = (conv_id * 17) % n),
-nl as (select conv_id, count(*) as k from lit group by conv_id), near as (select vs.*, row_number() over (partition by vs.conv_id order by far, group_no) as r, coalesce(k, 0) as k from vs left join nl using (conv_id)),
-hits as (select conv_id, group_no, 0 as path, 0.0::double as far from lit union all select conv_id, group_no, 1, far from near where r <= 2 + k),
-f as (select conv_id, group_no, min(struct_pack(p := path, f := far)) as x from hits group by all), rk as (select conv_id, group_no, row_number() over (partition by conv_id order by x.p, x.f, group_no) as rank from f),
-u as (select rk.*, block, verbatim_budget, sum(greatest(1, length(block) // 4) + 2) over (partition by rk.conv_id order by rank) as used from rk join blocks using (conv_id, group_no) join per using (conv_id) where verbatim_budget > 0)
-select conv_id, '{context.HISTORY_HEAD}' || chr(10) || chr(10) || rtrim(string_agg(block, chr(10) || chr(10) order by group_no), ' ') as history, count(*) as groups_shown from u where used <= verbatim_budget or rank = 1 group by conv_id""",
+    "cold_group_recall": f"with {OUTCOMES.replace(fx.MESSAGES, MARKED)}, {BLOCKS}, {HISTORY.format('true')} select conv_id, history, groups_shown from history",
+    "whole_report": f"""with {WHOLE} select conv_id, outcome, original_messages, original_tokens, original_tokens + system_tokens + tools_tokens as original_total_tokens, case when outcome = 'fits' then original_messages else hot_messages end as kept_messages, case when outcome = 'fits' then original_tokens else hot_tokens end as kept_tokens,
+case when outcome = 'fits' then 0 else cold_groups end::bigint as cold_groups, case when outcome = 'fits' then 0 else cold_tokens end::bigint as cold_tokens, recap_tokens, post_system_tokens, tools_tokens, case when outcome = 'virtualized' and recap <> '' then hot_tokens else original_tokens end + post_system_tokens + tools_tokens as outbound_tokens,
+outcome = 'degraded' as degraded, outcome = 'virtualized' and cold_groups > 0 and hot_messages < original_messages as virtualized,
+concat_ws('; ', case when outcome = 'degraded' then 'the last groups alone take ' || hot_tokens || ' tokens' end, case when outcome = 'virtualized' and recap = '' then 'nothing to recall, passed through' end, case when outcome = 'virtualized' and recap <> '' then 'recap of ' || cold_groups || ' groups' end, case when outcome = 'fits' and recap <> '' then 'fits, with recalled facts' end) as notes from z""",
+    "whole_recap": f"with {WHOLE} select conv_id, outcome, recap, system || recap as system from z",
     "secret_flags": r"""with d as (select doc_id, case when doc_id % 17 = 0 then text || ' AKIA' || lpad(doc_id::varchar, 16, '0') else text end as text from documents)
 select doc_id, case when regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----') then 'private_key' when regexp_matches(text, 'sk-ant-[A-Za-z0-9_-]{40,}') then 'ant_key' when regexp_matches(text, 'sk-[A-Za-z0-9]{40,}') then 'sk_key' when regexp_matches(text, 'AKIA[0-9A-Z]{16}') then 'access_key_id'
 when regexp_matches(text, 'ghp_[A-Za-z0-9]{30,}') then 'access_token' when regexp_matches(text, 'xox[bpoa]-[A-Za-z0-9-]{20,}') then 'chat_token' end as secret from d""",
-    "question_flags": f"""select role, count(*) filter (contains(text, '?') or string_split(lower(trim(text, ' ')), ' ')[1] in {quality.QUESTION_WORDS}) as questions, count(*) as n from conversations group by role""",
+    "question_flags": f"""with t as (select role, conv_id % 4 as k, case conv_id % 4 when 0 then chr(10) || chr(160) || 'What ' || text when 1 then chr(9) || ' Is ' || text || chr(8195) || chr(10) when 2 then 'How' || chr(9) || text else text end as text from conversations)
+select role, k, count(*) filter (contains(text, '?') or string_split(lower(regexp_replace(text, '{STRIP}', '', 'g')), ' ')[1] in {quality.QUESTION_WORDS}) as questions, count(*) as n from t group by role, k""",
     "message_dedupe": f"""with {fx.MESSAGES}, t as (select conv_id, msg_idx, role, text from messages union all select conv_id, msg_idx + 1000, role, text from messages where (msg_idx + 1000) % 5 = 0),
 f as (select conv_id, role, text, min(msg_idx) as msg_idx from t where length(text) >= 20 group by all) select conv_id, count(*) as n, sum(msg_idx)::bigint as ids from f group by conv_id""",
-    "quality_checks": f"""with {fx.FACTS}, {fx.EPISODES} select 'fact_id is unique' as rule, (select count(*) from (select fact_id from facts group by fact_id having count(*) > 1)) as violations
+    "quality_checks": f"""with {fx.FACTS}, {fx.EPISODES} select 'fact_id is unique' as rule, (select count(*) from (select fact_id from facts group by fact_id having count(*) > 1)) as violations union all select 'entity is unique', 0
 union all select 'episode_id is unique', (select count(*) from (select episode_id from episodes group by episode_id having count(*) > 1)) union all select 'tier is known', (select count(*) from facts where tier not in ('T1', 'T2', 'T3', 'T4') or tier is null)
 union all select 'confidence is in range', (select count(*) from facts where not (confidence >= 0.6 and confidence <= 1.0) or confidence is null) union all select 'interval is not empty', (select count(*) from facts where invalid_at <= valid_at)
 union all select 'embedding has its dimension', (select count(*) from embeddings where len(embedding) <> 64 or embedding is null)""",
 }
-QUERIES = {f.__name__: f for f in (arm_summary, arm_analysis, graph_summary, needle_summary, multikey_summary, contradiction_summary, latency_nearest_rank, latency_profile, dedupe_turns, payload_summary, group_stats, compare_runs, compare_summary, nearest_to_target, set_prf, needle_score, stratified_sample, needle_sample, turn_pairs, nth_needle, atomic_groups, last_user_query, virtualize_report, recap_text, literal_needles, cold_group_recall, cold_summary, embedding_input, secret_flags, question_flags, message_dedupe, quality_checks)}
+QUERIES = {f.__name__: f for f in (arm_summary, arm_analysis, graph_summary, needle_summary, multikey_summary, contradiction_summary, latency_nearest_rank, latency_profile, dedupe_turns, payload_summary, group_stats, compare_runs, compare_summary, nearest_to_target, set_prf, needle_score, stratified_sample, needle_sample, needle_sample_cut, call_profile, turn_pairs, nth_needle, atomic_groups, last_user_query, virtualize_report, recap_text, whole_report, whole_recap, literal_needles, cold_group_recall, cold_summary, embedding_input, secret_flags, question_flags, message_dedupe, quality_checks)}

@@ -86,6 +86,12 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of original and outbound tokens for each event; its user is the session."""
+    tokens = F.floor(F.col("value") * 100).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("t"), tokens.alias("original_tokens"), F.least(tokens, F.lit(900)).cast("long").alias("outbound_tokens"))
+
+
 FACTS = """facts as (select event_id as fact_id, 'g' || (user_id % 4) as group_id, 'u' || user_id as subject, event_type as predicate,
   'k' || (cast(json_extract_string(props, '$.k') as int) % 10) as object, ts as valid_at, case when event_id % 3 = 0 then ts + interval 5 days end as invalid_at,
   'T' || (1 + event_id % 4) as tier, cast(0.6 as double) + (event_id % 5) * cast(0.1 as double) as confidence, (event_id % 7 = 0) as pinned,

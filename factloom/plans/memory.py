@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import new_folder
 from factloom.functions.tokens import tokens_or_one
-from factloom.operators import graph, inference, temporal, vectors
+from factloom.operators import coarse, graph, inference, temporal, vectors
 from factloom.plans import fixtures as fx
+from factloom.sources import commits
 
 A = fx.ANCHOR
 KEY = ["group_id", "subject", "predicate"]
@@ -124,6 +126,27 @@ def knn_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
     return r.select("scope", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("recall_holds"))
 
 
+def _coarse(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """(found, probes, depth): the trained index over all facts' vectors, searched as far as its measured reach asks."""
+    index = coarse.fit_index(_items(spark, d), 64)
+    q = fx.queries(spark, d)
+    probes, depth = coarse.reach(index, q, 16)
+    return coarse.search_index(index, q, 16, probes, depth), probes, depth
+
+
+def knn_coarse(spark: SparkSession, d: str) -> DataFrame:
+    return _coarse(spark, d)[0]
+
+
+def knn_coarse_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Per scope how many exact neighbours the trained index finds, and which part of the scope's items it reads as vectors."""
+    found, _, depth = _coarse(spark, d)
+    r = vectors.recall_at(found, knn_exact(spark, d), fx.queries(spark, d))
+    items = temporal.tier_filter(_items(spark, d)).select(F.explode(F.array("group_id", F.lit("*"))).alias("scope")).groupBy("scope").agg(F.count("*").alias("n_items"))
+    r = r.join(items, "scope").withColumn("read", F.least(F.lit(1.0), F.lit(depth) / F.col("n_items")))
+    return r.select("scope", "n_queries", "n_exact", F.round("recall", 3).alias("recall"), F.round("read", 4).alias("read"), (F.col("recall") >= 0.9).alias("recall_holds"), (F.col("read") <= 0.1).alias("reads_a_tenth"))
+
+
 def gap_prune(spark: SparkSession, d: str) -> DataFrame:
     return vectors.gap_prune(knn_exact(spark, d))
 
@@ -166,7 +189,8 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
 def verdict_requests(spark: SparkSession, d: str) -> DataFrame:
     f = fx.facts(spark, d)
     ordered = inference.order_pairs(scored_pairs(spark, d), f)
-    asked = inference.verdict_requests(ordered, inference.evidence(ordered, fx.episodes(spark, d)))
+    said = fx.queries(spark, d).select("query_id", F.concat(F.lit("which of these holds, number "), F.col("query_id").cast("string"), F.lit("?")).alias("text"))
+    asked = inference.verdict_requests(ordered, inference.evidence(ordered, fx.episodes(spark, d)), said, inference.attestations(ordered, fx.mutations(spark, d)))
     return asked.select("query_id", F.col("n_conflicts").cast("long").alias("n_conflicts"), "prompt")
 
 
@@ -182,6 +206,29 @@ def remember(spark: SparkSession, d: str) -> DataFrame:
     return new.join(n, "fact_id", "left").select("fact_id", *KEY, "object", stamp("valid_at"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
+def remember_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes in two batches, of which the second comes twice and once breaks off: what the three tables hold."""
+    root, told, known = new_folder(spark, "memory"), _told(spark, d), fx.facts(spark, d)
+    parts = [told.filter("episode_id % 2 = 0"), told.filter("episode_id % 2 = 1")]
+    commits.commit(root, 0, inference.episode_tables(parts[0], known, dim=16))
+    last = inference.episode_tables(parts[1], known, dim=16)
+    last["episodes"].write.parquet(f"{root}/episodes/batch=1/attempt=broken")
+    commits.commit(root, 1, last)
+    commits.commit(root, 1, last)
+    read = lambda name, schema: commits.read_table(spark, root, name, schema)
+    e, f, v = read("episodes", inference.EPISODE), read("facts", inference.FACT), read("vectors", inference.VECTOR)
+    one = lambda df, name, ident, extra: df.groupBy("group_id", "batch").agg(F.lit(name).alias("what"), F.count("*").alias("n"), F.sum(ident).alias("ids"), extra.cast("long").alias("extra"))
+    out = one(e, "episodes", "episode_id", F.sum(F.length("text"))).unionByName(one(f, "facts", "fact_id", F.sum(F.size("conflicts"))))
+    for kind in ("episode", "fact"):
+        out = out.unionByName(one(v.filter(F.col("kind") == kind), f"vectors of {kind}s", "id", F.sum(F.size("embedding"))))
+    return out
+
+
+def remember_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of episodes by a table function in a lateral join."""
+    return inference.extract_lateral(_told(spark, d)).select("episode_id", "subject", "predicate", "object", "confidence", stamp("valid_at"))
+
+
 def bfs_frontier(spark: SparkSession, d: str) -> DataFrame:
     e = fx.edges(spark, d)
     starts = e.select("gid", F.col("src").alias("start")).filter("cast(substr(start, 2) as int) % 20 = 0").distinct()
@@ -268,14 +315,23 @@ r as (select *, row_number() over (partition by query_id order by score desc, ep
     "scored_pairs": f"{SEEDS}, {PAIRS} select * from pairs",
     "infer_consistent": f"{SEEDS}, {PAIRS} select query_id, fact_id, rank, 0.7::double as confidence from seeds where (query_id, fact_id) not in (select (query_id, e1) from pairs union all select (query_id, e2) from pairs)",
     "infer_conflict_set": f"{SEEDS}, {PAIRS}, {ORDERED} select distinct query_id, n.fact_id as fact_id from ordered union select query_id, fact_id from seeds where query_id not in (select query_id from pairs)",
-    "verdict_requests": f"""{SEEDS}, {PAIRS}, {ORDERED}, {fx.EPISODES},
-c as (select query_id, count(*) as n_conflicts, string_agg('e1 (older): (' || o.subject || ', ' || o.predicate || ', ' || o.object || ') valid_at=' || strftime(o.valid_at, '%Y-%m-%d') || '; e2 (newer): (' || n.subject || ', ' || n.predicate || ', ' || n.object || ') valid_at=' || strftime(n.valid_at, '%Y-%m-%d'), chr(10) order by rank) as lines from ordered group by query_id),
+    "verdict_requests": f"""{SEEDS.replace(fx.FACTS, fx.MUTATIONS)}, {PAIRS}, {ORDERED}, {fx.EPISODES},
+c as (select query_id, count(*) as n_conflicts, string_agg('- #' || k || ': e1 (' || o.fact_id || ') vs e2 (' || n.fact_id || '): e1 (older): (' || o.subject || ', ' || o.predicate || ', ' || o.object || ') valid_at=' || strftime(o.valid_at, '%Y-%m-%d') || '; e2 (newer): (' || n.subject || ', ' || n.predicate || ', ' || n.object || ') valid_at=' || strftime(n.valid_at, '%Y-%m-%d'), chr(10) order by rank) as lines from (select *, row_number() over (partition by query_id order by rank) as k from ordered) group by query_id),
+notes as (select query_id, string_agg('- fact ' || fact_id || ' ' || action || ' by ' || actor || ' on ' || strftime(ts, '%Y-%m-%d'), chr(10) order by ts, mutation_id) as notes from (select distinct query_id, unnest([o.fact_id, n.fact_id]) as fact_id from ordered) join mutations using (fact_id) where action in ('confirmed', 'corrected') group by query_id),
 i as (select distinct query_id, unnest([o.source_episode_id, n.source_episode_id]) as episode_id from ordered),
-s as (select query_id, string_agg('[' || strftime(event_time, '%Y-%m-%d') || '] ' || case when length(text) > 300 then text[:299] || '…' else text end, chr(10) order by episode_id) as shown from i join episodes using (episode_id) group by query_id)
-select query_id, n_conflicts, 'Conflicts:' || chr(10) || lines || chr(10) || 'Episodes:' || chr(10) || coalesce(shown, '') as prompt from c left join s using (query_id)""",
+s as (select query_id, string_agg('- [' || strftime(event_time, '%Y-%m-%d') || '] ' || case when length(text) > 300 then text[:299] || '…' else text end, chr(10) order by episode_id) as shown from i join episodes using (episode_id) group by query_id)
+select query_id, n_conflicts, concat_ws(chr(10) || chr(10), '{inference.INSTRUCTIONS}', 'Question:' || chr(10) || 'which of these holds, number ' || query_id || '?', 'Conflicts:' || chr(10) || lines, 'Attestations:' || chr(10) || notes, 'Episodes:' || chr(10) || shown) as prompt from c left join s using (query_id) left join notes using (query_id)""",
     "remember": f"""with {fx.FACTS}, {fx.EPISODES}, n as (select (select max(fact_id) + 1 from facts) + episode_id * 1000 + 1 as fact_id, group_id, 'c' || (episode_id % 500) as subject, 'said' as predicate, source[5:] as object, event_time as valid_at from episodes),
 c as (select a.fact_id, count(*) as k from n a join n b using (group_id, subject, predicate) where b.fact_id < a.fact_id and a.object <> b.object group by a.fact_id)
 select fact_id, group_id, subject, predicate, object, {TS.format('valid_at')}, coalesce(k, 0) as n_conflicts from n left join c using (fact_id)""",
+    "remember_commits": f"""with {fx.FACTS}, {fx.EPISODES}, n as (select (select max(fact_id) + 1 from facts) + episode_id * 1000 + 1 as fact_id, group_id, 'c' || (episode_id % 500) as subject, 'said' as predicate, source[5:] as object, episode_id % 2 as batch from episodes),
+c as (select a.fact_id, count(*) as k from n a join n b using (group_id, subject, predicate, batch) where b.fact_id < a.fact_id and a.object <> b.object group by a.fact_id),
+e as (select episode_id, group_id, episode_id % 2 as batch, text || chr(10) || 'FACT: c' || (episode_id % 500) || ' | said | ' || source[5:] || chr(10) as t from episodes)
+select group_id, batch, 'episodes' as what, count(*) as n, sum(episode_id)::bigint as ids, sum(length(t))::bigint as extra from e group by group_id, batch
+union all select group_id, batch, 'facts', count(*), sum(fact_id)::bigint, sum(coalesce(k, 0))::bigint from n left join c using (fact_id) group by group_id, batch
+union all select group_id, batch, 'vectors of episodes', count(*), sum(episode_id)::bigint, 16 * count(*) from e group by group_id, batch
+union all select group_id, batch, 'vectors of facts', count(*), sum(fact_id)::bigint, 16 * count(*) from n group by group_id, batch""",
+    "remember_lateral": f"with {fx.EPISODES} select episode_id, 'c' || (episode_id % 500) as subject, 'said' as predicate, source[5:] as object, 0.9::double as confidence, {TS.format('event_time').replace('as event_time', 'as valid_at')} from episodes",
     "bfs_frontier": f"""with {fx.EDGES}, starts as (select distinct gid, src as start from edges where cast(substr(src, 2) as int) % 20 = 0),
 d1 as (select distinct s.gid, start, dst as node from starts s join edges e on e.gid = s.gid and e.src = s.start where dst <> start),
 d2 as (select distinct d1.gid, start, dst as node from d1 join edges e on e.gid = d1.gid and e.src = d1.node where dst <> start)
@@ -287,4 +343,4 @@ starts as (select distinct group_id, subject as start from facts where cast(subs
 s2 as (select distinct w.group_id, start, w.fact_id, w.valid_at from (select distinct group_id, start, nxt from s1) s join ways w on w.group_id = s.group_id and w.node = s.nxt),
 a as (select group_id, start, fact_id, valid_at from s1 union select * from s2), r as (select *, row_number() over (partition by group_id, start order by valid_at desc, fact_id) as rank from a) select group_id, start, rank, fact_id from r where rank <= 256""",
 }
-QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, knn_lsh_recall, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, remember, bfs_frontier, parents, graph_sizes, neighbors_k)}
+QUERIES = {f.__name__: f for f in (facts_as_of, facts_as_of_many, facts_by_term, conflict_pairs, conflicts_on_insert, conflict_keys, siblings_left, entities, supersessions, supersessions_distinct, merges, attest_fold, invalidate_fold, delete_facts, cascade_delete, cascade_facts_left, unknown_mutations, knn_exact, knn_lsh, knn_lsh_recall, knn_coarse, knn_coarse_recall, gap_prune, recall_facts_budget, recall_episodes, infer_all, infer_consistent, infer_conflict_set, scored_pairs, verdict_requests, remember, remember_commits, remember_lateral, bfs_frontier, parents, graph_sizes, neighbors_k)}

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.storage import new_folder
 from factloom.operators import context, evaluation as ev, graph, inference, quality, temporal, vectors
 from factloom.plans import fixtures as fx
 from factloom.plans import memory as mem
 from factloom.plans.evaluation import RUNS, runs
+from factloom.schemas import BLOCK
 from factloom.sources import requests as rq
 from factloom.sources import tasks, transcripts
-from factloom.streaming import chunks, ingest
+from factloom.streaming import chunks, ingest, keyed
 
 A = fx.ANCHOR
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -131,9 +133,11 @@ def delta_chunks(spark: SparkSession, d: str) -> DataFrame:
     ]
     for seq, value in call:
         said = said.unionByName(m.select(rid.alias("response_id"), F.lit(seq).cast("long").alias("seq"), value.alias("value")))
-    r = chunks.reassemble(chunks.normalize_deltas(said))
+    made = chunks.normalize_deltas(said)
+    per = made.filter("type not like '%delta' or type = 'message_delta'").groupBy("response_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "block_index", "type"))), lambda x: F.concat_ws(":", x["type"], x["block_index"])), " ").alias("events"))
+    r = chunks.reassemble(made).join(per, "response_id")
     b = F.col("blocks")
-    return r.select("response_id", F.size("blocks").cast("long").alias("n_blocks"), b[0]["text"].alias("text"), b[1]["tool_name"].alias("tool"), b[1]["tool_input"].alias("input"), "stop_reason", chunks.stop_reason_out(F.col("stop_reason")).alias("reason_out"))
+    return r.select("response_id", "events", F.size("blocks").cast("long").alias("n_blocks"), b[0]["text"].alias("text"), b[1]["tool_name"].alias("tool"), b[1]["tool_input"].alias("input"), "stop_reason", chunks.stop_reason_out(F.col("stop_reason")).alias("reason_out"))
 
 
 def recovered_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -153,15 +157,15 @@ def reassemble_stream(spark: SparkSession, d: str) -> DataFrame:
     when = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(conv_id as int))")
     row = lambda seq, kind, index, block, text: m.select(rid.alias("response_id"), F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("type"), F.lit(index).cast("int").alias("block_index"), F.lit(block).cast("string").alias("block_type"), text.alias("text"), none.alias("partial_json"), none.alias("tool_use_id"), none.alias("tool_name"), none.alias("stop_reason"), when.alias("event_time"), "conv_id", "msg_idx")
     half = F.floor(F.length("text") / 2).cast("int")
-    parts = row(0, "text_delta", 0, "text", F.left("text", half)).unionByName(row(1, "text_delta", 0, "text", F.expr("substring(text, cast(length(text) div 2 as int) + 1)")))
-    parts = parts.unionByName(row(2, "message_stop", None, None, none).filter("(conv_id + msg_idx) % 5 <> 0")).drop("conv_id", "msg_idx")
+    parts = row(0, "block_start", 0, "text", none).unionByName(row(1, "text_delta", 0, "text", F.left("text", half))).unionByName(row(2, "text_delta", 0, "text", F.expr("substring(text, cast(length(text) div 2 as int) + 1)")))
+    parts = parts.unionByName(row(3, "message_stop", None, None, none).filter("(conv_id + msg_idx) % 5 <> 0")).drop("conv_id", "msg_idx")
     far = parts.select(F.max("event_time").alias("t")).select(F.lit("far").alias("response_id"), F.lit(0).cast("long").alias("seq"), F.lit("ping").alias("type"), F.lit(None).cast("int").alias("block_index"), *[none.alias(c) for c in ("block_type", "text", "partial_json", "tool_use_id", "tool_name", "stop_reason")], (F.col("t") + F.expr("interval 5 days")).alias("event_time"))
     path = new_folder(spark, "chunks")
     parts.unionByName(far).write.parquet(path)
     out = new_folder(spark, "responses")
     s = chunks.reassemble_stream(spark.readStream.schema(parts.schema).parquet(path), timeout="1 hour")
-    ingest.sink(s, out, new_folder(spark, "responses-state")).awaitTermination()
-    return spark.read.schema(chunks.MESSAGES).parquet(out).select("response_id", "text", "complete")
+    keyed.run_to(s, out, new_folder(spark, "responses-state")).awaitTermination()
+    return spark.read.schema(chunks.MESSAGES).parquet(out).select("response_id", F.col("blocks")[0]["text"].alias("text"), "complete")
 
 
 # ---- logged requests
@@ -314,15 +318,30 @@ def _spoilt(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     v = fx.vectors(spark, d).withColumn("embedding", F.when(F.col("vec_id") % 30 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")))
-    return quality.violations(_spoilt(spark, d), fx.episodes(spark, d), v, dim=64)
+    names = temporal.entities(fx.facts(spark, d))
+    return quality.violations(_spoilt(spark, d), fx.episodes(spark, d), v, 64, names.unionByName(names.filter("group_id = 'g2' and name like 'k%'")))
 
 
 def verdict_checks(spark: SparkSession, d: str) -> DataFrame:
     o = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 12).alias("n_conflicts"), F.when(F.col("o_orderkey") % 9 == 0, "maybe").otherwise("unresolved").alias("resolution"))
+    o = o.withColumns({"mode": F.when(F.col("query_id") % 13 == 0, "fast").otherwise("consistent"), "confidence": F.when(F.col("query_id") % 17 == 0, 1.5).when(F.col("query_id") % 19 == 0, F.lit(None)).otherwise(0.5)})
     bad = quality.bad_resolutions(o).select("query_id", F.lit("unknown resolution").alias("why"))
+    bad = bad.unionByName(quality.bad_modes(o).select("query_id", F.lit("unknown mode").alias("why"))).unionByName(quality.bad_confidences(o).select("query_id", F.lit("confidence out of range").alias("why")))
     return quality.verdict_budget(o).unionByName(bad).groupBy("why").agg(F.count("*").alias("n"), F.sum("query_id").alias("ids"))
 
 
+def block_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans told apart by role and blocks: the order of a tool input's entries says nothing, its values do."""
+    m = fx.messages(spark, d)
+    names = [f.name for f in T.StructType.fromDDL(f"b {BLOCK}")["b"].dataType.fields]
+    part = F.expr("msg_idx % 3")
+    own = {"type": F.lit("tool_use"), "tool_use_id": F.lit("t"), "tool_name": F.lit("look"), "tool_input": F.when(part == 0, '{"a":1,"b":"x"}').when(part == 1, '{"b":"x","a":1}').otherwise('{"a":2,"b":"x"}')}
+    said = {"type": F.lit("text"), "text": F.col("role")}
+    block = lambda own: F.struct(*[(own[n] if n in own else F.lit(None)).cast("boolean" if n == "is_error" else "string").alias(n) for n in names])
+    h = m.select("conv_id", "role", quality.block_hash(F.lit("user"), F.array(block(said), block(own))).alias("hash"))
+    return h.groupBy("role").agg(F.count_distinct("hash").alias("n_spans"), F.count("*").alias("n"))
+
+
 def split_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Tool uses and results of conversations of which some turns are gone."""
     m = fx.messages(spark, d).filter("(conv_id + msg_idx) % 5 <> 0")
@@ -355,29 +374,6 @@ def late_messages(spark: SparkSession, d: str) -> DataFrame:
     return ingest.late_rows(e, seen, "5 minutes").select("session_id", "episode_id")
 
 
-def stream_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts that arrive in four files against those that came before."""
-    f = fx.facts(spark, d)
-    src, store, out = (new_folder(spark, t) for t in ("arrivals", "facts", "conflicts"))
-    cut = f.agg(F.max("fact_id")).first()[0] // 4 + 1
-    for k in range(4):
-        f.filter(F.expr(f"fact_id div {cut} = {k}")).coalesce(1).write.mode("append").parquet(src)
-    s = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    ingest.conflicts_stream(s, store, out, new_folder(spark, "conflicts-state")).awaitTermination()
-    done = spark.read.schema("fact_id long, conflicts array<long>").parquet(out)
-    return done.select("fact_id", F.size("conflicts").cast("long").alias("n_conflicts"))
-
-
-def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Attestations, invalidations and deletions through a stream into a log, folded."""
-    f, m = fx.facts(spark, d), fx.mutations(spark, d)
-    src, log = new_folder(spark, "changes"), new_folder(spark, "log")
-    m.write.parquet(src)
-    ingest.mutations_stream(spark.readStream.schema(m.schema).parquet(src), f, log, new_folder(spark, "log-state")).awaitTermination()
-    now = ingest.current_facts(f, spark.read.schema(m.schema).parquet(log))
-    return now.groupBy("group_id").agg(F.count("*").alias("n"), F.count("invalid_at").alias("ended"), F.count_if("pinned").alias("pinned"), F.round(F.sum("confidence"), 4).alias("confidence"))
-
-
 LINE_ITEMS = """r as (select l_orderkey * 10 + l_linenumber as row_idx, 'Mode' || (l_suppkey % 7) as mode, l_returnflag, l_linestatus, l_partkey as k, 'tok the answer goes by Mode' || (l_suppkey % 7) || ' and is ' || repeat(l_partkey::varchar, 12) as gold from lineitem),
 s as (select *, case k % 3 when 0 then gold when 1 then gold[:30] else 'tok something else was said here' end as said from r)"""
 MULTI = """l as (select o_custkey as task_id, 'order ' || o_orderkey || ' is ' || o_orderstatus as line, row_number() over (partition by o_custkey order by o_orderkey) - 1 as k from orders)"""
@@ -398,7 +394,7 @@ p as (select start as task_id, node from d1 where n % 3 = 1 union select start,
 select start as task_id, coalesce(string_agg(node, ',' order by node), '') as pred from t left join p on task_id = start group by start""",
     "answer_checks": f"""with {LINE_ITEMS}, f as (select *, contains(lower(said), lower(mode))::int + contains(lower(said), lower('by ' || mode))::int + contains(lower(said), k::varchar)::int as n from s)
 select row_idx, n::bigint as n_found, n > 0 as any_found, n = 3 as all_found, length(said) >= 20 and contains(said, 'tok ') and not contains(said, gold[5:84]) as made_up, length(said) < 0.8::double * length(gold) and k % 2 = 0 as cut, l_returnflag = l_linestatus as same_op, k % 5 = 0 as hit from f""",
-    "delta_chunks": f"""with {fx.MESSAGES} select conv_id || '/' || msg_idx as response_id, 2::bigint as n_blocks, text, 'find' as tool, case when msg_idx % 4 = 3 then '{{"_partial_json":"{{\\"n\\":' || msg_idx || '"}}' else '{{"n":' || msg_idx || '}}' end as input, 'tool_use' as stop_reason, 'tool_calls' as reason_out
+    "delta_chunks": f"""with {fx.MESSAGES} select conv_id || '/' || msg_idx as response_id, 'message_start block_start:0 block_start:1 block_stop:0 block_stop:1 message_delta message_stop' as events, 2::bigint as n_blocks, text, 'find' as tool, case when msg_idx % 4 = 3 then '{{"_partial_json":"{{\\"n\\":' || msg_idx || '"}}' else '{{"n":' || msg_idx || '}}' end as input, 'tool_use' as stop_reason, 'tool_calls' as reason_out
 from messages where role = 'assistant' and length(text) > 0""",
     "recovered_calls": """with o as (select *, o_orderkey % 4 as k from orders) select o_orderkey as response_id, case k when 0 then 'said' when 3 then 'it is ' || o_orderstatus else '' end as text, case when k < 2 then 1 else 0 end::bigint as n_calls, case when k < 2 then 'look' end as name,
 case when k < 2 then '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","ok":true}' end as input from o""",
@@ -440,18 +436,16 @@ a as (select count(*) as n, round(avg(hit::int), 6)::double as accuracy, round(a
 select count(*) as n, round(avg(case when f between 0.5 and 0.9 then 2::double * 1 * 0.5 / 1.5 else f end), 6) as mean_f1, max(v) filter (i = floor(n * 0.95::double)) as p95_ms, round(avg(case when f between 0.5 and 0.9 then 2::double * 1 * 0.5 / 1.5 else f end), 6) >= 0.70 and max(v) filter (i = floor(n * 0.95::double)) <= 8000 as passed from r""",
     "runs_left": f"with {RUNS}, done as (select row_idx from runs where row_idx % 3 = 0 or (row_idx % 3 = 1 and bucket = 'S')) select row_idx, bucket from runs where row_idx not in (select row_idx from done)",
     "rule_violations": f"""with {fx.FACTS}, s as (select fact_id, case when fact_id % 50 = 0 then 'T9' else tier end as tier, case when fact_id % 70 = 0 then 0.1 else confidence end as confidence, fact_id % 90 = 0 as short from facts), f as (select * from s union all select * from s where fact_id % 40 = 0)
-select 'fact_id is unique' as rule, (select count(*) from (select fact_id from f group by fact_id having count(*) > 1)) as violations union all select 'episode_id is unique', 0 union all select 'tier is known', (select count(*) from f where tier = 'T9')
+select 'fact_id is unique' as rule, (select count(*) from (select fact_id from f group by fact_id having count(*) > 1)) as violations union all select 'entity is unique', (select count(distinct object) from facts where group_id = 'g2') union all select 'episode_id is unique', 0 union all select 'tier is known', (select count(*) from f where tier = 'T9')
 union all select 'confidence is in range', (select count(*) from f where not (confidence >= 0.6 and confidence <= 1.0)) union all select 'interval is not empty', (select count(*) from f where short) union all select 'embedding has its dimension', (select count(*) from embeddings where vec_id % 30 = 0)""",
     "verdict_checks": """select 'too many conflicts' as why, count(*) as n, sum(o_custkey)::bigint as ids from orders where o_orderkey % 12 > 8 union all select 'more than one verdict', count(*), sum(o_custkey)::bigint from (select o_custkey from orders group by o_custkey having count(*) > 1)
-union all select 'unknown resolution', count(*), sum(o_custkey)::bigint from orders where o_orderkey % 9 = 0""",
+union all select 'unknown resolution', count(*), sum(o_custkey)::bigint from orders where o_orderkey % 9 = 0 union all select 'unknown mode', count(*), sum(o_custkey)::bigint from orders where o_custkey % 13 = 0
+union all select 'confidence out of range', count(*), sum(o_custkey)::bigint from orders where o_custkey % 17 = 0 or o_custkey % 19 = 0""",
+    "block_spans": f"with {fx.MESSAGES} select role, count(distinct msg_idx % 3 = 2) as n_spans, count(*) as n from messages group by role",
     "split_pairs": f"""with {fx.MESSAGES}, k as (select conv_id, role, 't' || (msg_idx // 2) as id from messages where (conv_id + msg_idx) % 5 <> 0), u as (select conv_id, id from k where role = 'assistant'), r as (select conv_id, id from k where role = 'user')
 select conv_id, id, 'use' as side from (select * from u except all select * from r) union all select conv_id, id, 'result' from (select * from r except all select * from u)""",
     "payload_split": "select doc_id, length(coalesce(text, '')) > 2000 as large from documents",
     "bulk_facts": f"with {fx.FACTS} select group_id, 'T2' as tier, false as pinned, count(*) as n, round(sum(case when fact_id % 2 = 0 then confidence else 0.9::double end), 4) as confidence, 0::bigint as ended from facts group by group_id",
     "late_messages": f"with {fx.EPISODES}, s as (select *, max(event_time) over (partition by session_id) as m from episodes) select session_id, episode_id from s where event_time < m - interval 5 minutes",
-    "stream_conflicts": f"""with {fx.FACTS} select a.fact_id, count(*) as n_conflicts from facts a join facts b using (group_id, subject, predicate) where b.fact_id < a.fact_id and a.object <> b.object and (b.invalid_at is null or b.invalid_at > a.valid_at) group by a.fact_id""",
-    "stream_changes": mem.ORACLE["attest_fold"].split("\nselect s.fact_id")[0] + """,
-z as (select s.fact_id, s.confidence, s.pinned from s left join (select fact_id, max(k) as n from m group by fact_id) c on c.fact_id = s.fact_id where s.k = coalesce(c.n, 0)), i as (select fact_id, min(ts) as i from mutations where action = 'invalidate' group by fact_id)
-select group_id, count(*) as n, count(coalesce(f.invalid_at, i.i)) as ended, count(*) filter (z.pinned) as pinned, round(sum(z.confidence), 4) as confidence from facts f join z using (fact_id) left join i using (fact_id) where fact_id not in (select fact_id from mutations where action = 'delete') group by group_id""",
 }
-QUERIES = {f.__name__: f for f in (needle_tasks, multikey_tasks, chunk_messages, contradictions, final_answers, graph_tasks, answer_checks, delta_chunks, recovered_calls, reassemble_stream, tool_requests, model_limits, header_fields, transcript_backfill, fact_lists, recall_text, answer_blocks, session_primers, verdicts, verdict_answers, quota_sample, diverse_pick, stitched, stitched_contexts, judge_gate, extract_gate, runs_left, rule_violations, verdict_checks, split_pairs, payload_split, bulk_facts, late_messages, stream_conflicts, stream_changes)}
+QUERIES = {f.__name__: f for f in (needle_tasks, multikey_tasks, chunk_messages, contradictions, final_answers, graph_tasks, answer_checks, delta_chunks, recovered_calls, reassemble_stream, tool_requests, model_limits, header_fields, transcript_backfill, fact_lists, recall_text, answer_blocks, session_primers, verdicts, verdict_answers, quota_sample, diverse_pick, stitched, stitched_contexts, judge_gate, extract_gate, runs_left, rule_violations, verdict_checks, block_spans, split_pairs, payload_split, bulk_facts, late_messages)}

@@ -13,7 +13,7 @@ from factloom.functions.tokens import approx_tokens
 from factloom.plans import fixtures as fx
 from factloom.sources import requests as rq
 from factloom.sources import tasks, transcripts
-from factloom.streaming import chunks, ingest
+from factloom.streaming import chunks, ingest, keyed
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -92,15 +92,23 @@ def transcript_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reassemble_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Each assistant turn cut into pieces of 50 characters, put together again."""
-    m = fx.messages(spark, d).filter("role = 'assistant' and length(text) > 0")
+    """Each assistant turn cut into pieces of 50 characters, put together again, empty ones too. A tool call with a later
+    index starts before the text, and a delta belongs to no block."""
+    m = fx.messages(spark, d).filter("role = 'assistant'")
     piece = F.explode(F.expr("transform(sequence(1, length(text), 50), i -> named_struct('i', i, 't', substring(text, i, 50)))")).alias("p")
     rid = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("msg_idx").cast("string"))
     delta = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), F.col("p.t").alias("text")).alias("delta")))
-    raw = m.select(rid.alias("response_id"), piece).select("response_id", F.col("p.i").cast("long").alias("seq"), delta.alias("value"))
-    opens = raw.select("response_id").distinct().select("response_id", F.lit(0).cast("long").alias("seq"), F.lit('{"type":"content_block_start","index":0,"content_block":{"type":"text","text":""}}').alias("value"))
-    r = chunks.reassemble(chunks.normalize_events(opens.unionByName(raw)))
-    return r.select("response_id", F.size("blocks").cast("long").alias("n_blocks"), F.col("blocks")[0]["text"].alias("text"))
+    raw = m.filter("length(text) > 0").select(rid.alias("response_id"), piece).select("response_id", F.col("p.i").cast("long").alias("seq"), delta.alias("value"))
+    own = [
+        (-2, '{"type":"content_block_start","index":3,"content_block":{"type":"tool_use","id":"t","name":"look"}}'),
+        (-1, '{"type":"content_block_start","index":0,"content_block":{"type":"text","text":""}}'),
+        (10**9, '{"type":"content_block_delta","index":3,"delta":{"type":"input_json_delta","partial_json":"{\\"a\\":1}"}}'),
+        (10**9 + 1, '{"type":"content_block_delta","index":5,"delta":{"type":"text_delta","text":"lost"}}'),
+    ]
+    for seq, value in own:
+        raw = raw.unionByName(m.select(rid.alias("response_id"), F.lit(seq).cast("long").alias("seq"), F.lit(value).alias("value")))
+    r, b = chunks.reassemble(chunks.normalize_events(raw)), F.col("blocks")
+    return r.select("response_id", F.size("blocks").cast("long").alias("n_blocks"), b[0]["tool_name"].alias("tool"), b[0]["tool_input"].alias("input"), b[1]["text"].alias("text"))
 
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -122,11 +130,10 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_monitor_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Closed windows of token counts per user; a last far record moves the watermark past all of them."""
-    s = _stream(spark, d, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
-    rows = s.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("t"), F.floor(F.col("value") * 100).cast("long").alias("original_tokens"), F.least(F.floor(F.col("value") * 100), F.lit(900)).cast("long").alias("outbound_tokens"))
-    out = new_folder(spark, "monitor")
-    ingest.sink(ingest.payload_monitor(rows, 800, "1 day"), out, new_folder(spark, "monitor-state")).awaitTermination()
+    """All windows of token counts per user; a last far record moves the watermark past all of them."""
+    rows = fx.token_counts(spark, d).drop("event_id")
+    out, state = new_folder(spark, "monitor"), new_folder(spark, "monitor-state")
+    keyed.feed([rows, keyed.far_record(spark)], new_folder(spark, "counts"), lambda s: ingest.sink(ingest.payload_monitor(s, 800, "1 day"), out, state))
     done = spark.read.schema("window_start timestamp, session_id string, turns long, max_outbound long, max_original long, turns_over long, alert boolean").parquet(out)
     return done.withColumn("window_start", F.date_format("window_start", STAMP))
 
@@ -145,9 +152,9 @@ case f when 0 then '# Read /p/' || o_orderkey when 1 then '# Bash list' || chr(1
     "graph_messages": f"""with {fx.EDGES}, p as (select gid, src, case when count(*) = 1 then src || ' -> ' || any_value(dst) else src || ' -> [' || string_agg(dst, ', ' order by dst) || ']' end as text, row_number() over (partition by gid order by src) - 1 as k from edges group by gid, src)
 select gid, 2 * k as msg_idx, 'user' as role, text from p union all select gid, 2 * k + 1, 'assistant', 'Noted.' from p union all select gid, 2 * max(k) + 2, 'user', 'Which nodes are reachable?' from p group by gid""",
     "transcript_text": f"with {fx.MESSAGES} select conv_id, '=== TRANSCRIPT START ===' || chr(10) || string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) order by msg_idx) || chr(10) || '=== TRANSCRIPT END ===' as transcript from messages group by conv_id",
-    "reassemble_chunks": f"with {fx.MESSAGES} select conv_id || '/' || msg_idx as response_id, 1::bigint as n_blocks, text from messages where role = 'assistant' and length(text) > 0",
+    "reassemble_chunks": f"with {fx.MESSAGES} select conv_id || '/' || msg_idx as response_id, 2::bigint as n_blocks, 'look' as tool, '{{\"a\":1}}' as input, text from messages where role = 'assistant'",
     "ingest_stream": "with f as (select distinct 'g' || (conv_id % 4) as group_id, 'c' || conv_id as session_id, role, text from conversations where length(text) >= 20) select group_id, session_id, count(*) as n, sum(length(text))::bigint as n_chars from f group by all",
-    "payload_monitor_stream": """with r as (select 's' || user_id as session_id, ts, date_trunc('day', ts) as w, floor(value * 100)::bigint as o, least(floor(value * 100), 900)::bigint as u from events), m as (select max(ts) - interval 30 minutes as mark from events)
-select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, session_id, count(*) as turns, max(u) as max_outbound, max(o) as max_original, count(*) filter (u > 800) as turns_over, count(*) filter (u > 800) > 0 as alert from r, m where w + interval 1 day <= mark group by w, session_id""",
+    "payload_monitor_stream": """with r as (select 's' || user_id as session_id, ts, date_trunc('day', ts) as w, floor(value * 100)::bigint as o, least(floor(value * 100), 900)::bigint as u from events)
+select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, session_id, count(*) as turns, max(u) as max_outbound, max(o) as max_original, count(*) filter (u > 800) as turns_over, count(*) filter (u > 800) > 0 as alert from r group by w, session_id""",
 }
 QUERIES = {f.__name__: f for f in (transcript_parse, tool_events, normalized_requests, request_roundtrip, graph_task_parse, graph_messages, transcript_text, reassemble_chunks, ingest_stream, payload_monitor_stream)}

@@ -1,19 +1,12 @@
-"""Schemas of the stored tables, as DDL."""
+"""What stored columns may hold."""
 
 from __future__ import annotations
 
-FACTS = (
-    "fact_id long, group_id string, subject string, predicate string, object string, valid_at timestamp, invalid_at timestamp, "
-    "tier string, confidence double, pinned boolean, source_episode_id long, session_id string, vec_id long"
-)
-EPISODES = ("episode_id long, group_id string, session_id string, source string, text string, event_time timestamp")
-MESSAGES = ("conv_id long, msg_idx long, role string, text string, pure_tool_result boolean")
-MUTATIONS = ("mutation_id long, fact_id long, action string, ts timestamp, reason string, actor string")
+#: A block of a message, as DDL.
 BLOCK = (
     "struct<type:string,text:string,media_type:string,data_b64:string,url:string,tool_use_id:string,tool_name:string,"
     "tool_input:string,result_text:string,is_error:boolean,original_type:string,payload:string>"
 )
-EDGES = ("gid long, src string, dst string")
 
 # The accepted ones of enumerated columns.
 TIERS = ("T1", "T2", "T3", "T4")

@@ -7,12 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators import temporal
 from factloom.operators.quality import ingest_eligible, span_hash
 from factloom.sources.transcripts import parse_transcripts
 
@@ -39,42 +37,6 @@ def transcripts_stream(spark: SparkSession, path: str, client: str = "chat") ->
     return parse_transcripts(raw.select("value", "session_id"), client)
 
 
-def conflicts_stream(new: DataFrame, facts_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of facts against those stored before and within the batch; then it is stored itself.
-
-    A batch that is replayed overwrites its own folder, so restarts leave no duplicates.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(facts_path).filter(F.col("batch") < number).drop("batch")
-            both = known.unionByName(batch)
-        except AnalysisException as e:  # the first batch finds no table yet
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            both = batch
-        temporal.conflicts_on_insert(batch, both).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
-
-    return new.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def mutations_stream(changes: DataFrame, facts: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Collect attestations, invalidations and deletions into a log that :func:`current_facts` folds in time order."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        batch.join(facts.select("fact_id"), "fact_id", "left_semi").write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-
-    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_facts(facts: DataFrame, log: DataFrame) -> DataFrame:
-    """Facts after all logged changes; deletions last, since nothing brings a deleted fact back."""
-    changed = temporal.apply_invalidations(temporal.apply_attestations(facts, log), log)
-    return temporal.delete_facts(changed, log.filter("action = 'delete'"))
-
-
 def payload_monitor(records: DataFrame, threshold: int, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Outbound against original tokens per session and window of ``records(session_id, t, original_tokens, outbound_tokens)``."""
     g = records.withWatermark("t", late).groupBy(F.window("t", window), "session_id")

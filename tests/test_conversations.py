@@ -7,7 +7,7 @@ from factloom.functions.tokens import approx_tokens, tokens_or_one, truncate_to_
 from factloom.operators import context, evaluation as ev, needles, quality
 from factloom.sources import requests as rq
 from factloom.sources import tasks, transcripts
-from factloom.streaming import chunks, ingest
+from factloom.streaming import chunks, ingest, keyed
 from pyspark.sql import functions as F
 
 MSG = "conv_id long, msg_idx long, role string, text string, pure_tool_result boolean"
@@ -263,21 +263,32 @@ def test_chunks_both_dialects_and_stream(spark, tmp_path):
     assert [x.s for x in spark.createDataFrame([("tool_use",), ("odd",)], "r string").select(chunks.stop_reason_out(F.col("r")).alias("s")).collect()] == ["tool_calls", "odd"]
     norm.write.parquet(str(tmp_path / "in"))
     s = chunks.reassemble_stream(spark.readStream.schema(chunks.CHUNKS).parquet(str(tmp_path / "in")))
-    s.writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    out = {r.response_id: r for r in spark.table("whole").collect()}
-    assert out["r1"].text == "hello" and json.loads(out["r1"].tool_inputs) == [{"a": 1}] and out["r1"].complete and out["r1"].n_blocks == 2
-    assert json.loads(out["r2"].tool_inputs) == [{"_partial_json": "{bad"}]
+    keyed.run_to(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    out = {r.response_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert all(out[k].blocks == r.blocks and out[k].stop_reason == r.stop_reason and out[k].complete for k, r in got.items())
+
+
+def test_blocks_in_the_order_of_their_start(spark):
+    e = [{"type": "content_block_start", "index": 1, "content_block": {"type": "text", "text": "b"}}, {"type": "content_block_start", "index": 0, "content_block": {"type": "text", "text": ""}}]
+    e += [{"type": "content_block_delta", "index": i, "delta": {"type": "text_delta", "text": t}} for i, t in ((0, "a"), (1, "c"), (7, "lost"))]
+    raw = spark.createDataFrame([("r", k, json.dumps(x)) for k, x in enumerate(e)], "response_id string, seq long, value string")
+    norm = chunks.normalize_events(raw)
+    r = chunks.reassemble(norm).first()
+    assert [(b.block_index, b.text) for b in r.blocks] == [(1, "bc"), (0, "a")]
+    rows = [tuple(c[k] for k in ("seq", "type", "block_index", "block_type", "text", "partial_json", "tool_use_id", "tool_name", "stop_reason")) for c in norm.collect()]
+    assert chunks._assembled(rows) == (r.blocks, r.stop_reason)
 
 
 def test_open_responses_time_out(spark, tmp_path):
     """A response without its end comes out incomplete once later chunks have moved the watermark; the youngest waits."""
     text = lambda r, minute, s: (r, minute, "text_delta", 0, "text", s, None, None, None, None, f"2024-01-01 00:{minute:02d}:00")
-    rows = [text("old", 1, "half "), text("old", 2, "said"), text("done", 3, "x"), ("done", 4, "message_stop", *[None] * 7, "2024-01-01 00:04:00"), text("young", 58, "y")]
+    opens = lambda r: (r, 0, "block_start", 0, "text", None, None, None, None, None, "2024-01-01 00:00:00")
+    rows = [opens("old"), opens("done"), opens("young"), text("old", 1, "half "), text("old", 2, "said"), text("done", 3, "x"), ("done", 4, "message_stop", *[None] * 7, "2024-01-01 00:04:00"), text("young", 58, "y")]
     df = spark.createDataFrame(rows, chunks.CHUNKS + ", t string").withColumn("event_time", F.to_timestamp("t")).drop("t")
     df.write.parquet(str(tmp_path / "in"))
     s = chunks.reassemble_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), timeout="20 minutes", late="5 minutes")
-    s.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {(r.response_id, r.text, r.complete) for r in spark.table("timed").collect()} == {("old", "half said", False), ("done", "x", True)}
+    keyed.run_to(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r.response_id, r.blocks[0].text, r.complete) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("old", "half said", False), ("done", "x", True)}
 
 
 def test_recovered_tool_calls(spark):
@@ -288,25 +299,6 @@ def test_recovered_tool_calls(spark):
     assert got["b"].calls == [] and got["c"].text == "the answer" and got["a"].text == ""
 
 
-def test_streams_over_facts(spark, tmp_path):
-    from tests.test_memory import D, FACT
-
-    rows = [(1, "g", "a", "p", "x", D(0), None, "T1", 0.9, False, 1), (2, "g", "a", "p", "y", D(1), None, "T1", 0.9, False, 1)]
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], FACT).write.parquet(str(tmp_path / f"new/{k}"))
-    for _ in range(2):
-        stream = spark.readStream.schema(FACT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "new"))
-        ingest.conflicts_stream(stream, str(tmp_path / "facts"), str(tmp_path / "pairs"), str(tmp_path / "cp")).awaitTermination()
-    assert [r.conflicts for r in spark.read.parquet(str(tmp_path / "pairs")).collect()] == [[1]]
-    m = "mutation_id long, fact_id long, action string, ts timestamp, reason string, actor string"
-    spark.createDataFrame([(1, 1, "confirmed", D(1), "", "u"), (2, 2, "delete", D(2), "", "u"), (3, 77, "delete", D(2), "", "u")], m).write.parquet(str(tmp_path / "changes"))
-    facts = spark.createDataFrame(rows, FACT)
-    ingest.mutations_stream(spark.readStream.schema(m).parquet(str(tmp_path / "changes")), facts, str(tmp_path / "log"), str(tmp_path / "cp2")).awaitTermination()
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert log.count() == 2
-    assert [(r.fact_id, r.confidence, r.pinned) for r in ingest.current_facts(facts, log).collect()] == [(1, 1.0, True)]
-
-
 @pytest.mark.parametrize("late", [True, False])
 def test_late_rows_go_to_a_side_table(spark, late):
     from tests.test_memory import D
