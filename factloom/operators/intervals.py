@@ -54,31 +54,31 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[
     return spans.hint("merge").join(at, "block").filter("n >= lo and n < hi").select(F.col("row").alias("interval"), "point")
 
 
-def self_overlaps(spans: DataFrame, keys: Sequence[str], few: int = FEW) -> DataFrame:
-    """(a, b): pairs of structs of ``spans(keys, begins, ends, ...)`` with equal keys of which one begins while the other
-    holds, each pair once, in no fixed order.
+def self_overlaps(spans: DataFrame, keys: Sequence[str], ident: str, few: int = FEW) -> DataFrame:
+    """(a, b): pairs of structs of ``spans(keys, ident, begins, ends, ...)`` with equal keys and a.ident < b.ident of which one
+    begins while the other holds, each pair once.
 
-    Keys of at most ``few`` rows meet by a plain join on the key, larger ones by the sweep; both are whole. Rows are told
-    apart by where they stand in a written table.
+    Keys of at most ``few`` rows meet by a plain join on the key, larger ones by the sweep; both are whole.
     """
-    spans = stored(spans.dropna(subset=[*keys, "begins"]).withColumn("row", F.monotonically_increasing_id()), "spans")
-    large = stored(spans.groupBy(*keys).agg(F.count("*").alias("c")).filter(F.col("c") > few).select(*keys), "hot-keys")
-    one = F.struct(*spans.columns)
+    spans = spans.dropna(subset=[*keys, "begins"])
+    one = F.struct(*[c for c in spans.columns if c not in keys])
+    a, b = F.col("a"), F.col("b")
     ends = lambda x: F.coalesce(x["ends"], F.lit("9999-12-31 23:59:59").cast("timestamp"))
     holds = lambda x, t: (x["begins"] <= t) & (t < ends(x))
-    a, b = F.col("a"), F.col("b")
-    if not large.limit(1).count():
-        small = spans
-    else:
-        small = spans.join(large, [*keys], "left_anti")
-    met = small.select(*keys, one.alias("a")).join(small.select(*keys, one.alias("b")), [*keys]).filter(a["row"] < b["row"])
-    met = met.filter(holds(a, b["begins"]) | holds(b, a["begins"])).select("a", "b")
-    if not large.limit(1).count():
-        return met
-    hot = stored(spans.join(large, [*keys], "left_semi"), "hot-spans")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        met = rows.select(*keys, one.alias("a")).join(rows.select(*keys, one.alias("b")), [*keys]).filter(a[ident] < b[ident])
+        return met.filter(holds(a, b["begins"]) | holds(b, a["begins"]))
+
+    counts = spans.groupBy(*keys).agg(F.count("*").alias("c")).filter(F.col("c") > few).select(*keys)
+    if not counts.limit(1).count():
+        return plain(spans)
+    large = stored(counts, "hot-keys")
+    hot = stored(spans.join(large, [*keys], "left_semi").withColumn("row", F.monotonically_increasing_id()), "hot-spans")
     found = points_in_intervals(hot.select(*keys, "row", "begins", "ends"), hot.select(*keys, "row", F.col("begins").alias("t")), keys)
-    found = found.filter("interval <> point")
-    row = lambda name, key: hot.select(F.col("row").alias(key), one.alias(name)).hint("merge")
-    both = found.join(row("a", "interval"), "interval").join(row("b", "point"), "point")
-    # Two that begin at once each hold the other's beginning.
-    return met.union(both.filter((a["begins"] < b["begins"]) | (a["row"] < b["row"]) | ~holds(b, a["begins"])).select("a", "b"))
+    side = lambda name, key, *more: hot.select(*more, F.col("row").alias(key), one.alias(name)).hint("merge")
+    both = found.filter("interval <> point").join(side("a", "interval", *keys), "interval").join(side("b", "point"), "point")
+    # Two that begin at once each hold the other's beginning: such a pair comes from both sides.
+    both = both.filter((a[ident] != b[ident]) & ((a["begins"] < b["begins"]) | (a[ident] < b[ident]) | ~holds(b, a["begins"])))
+    turned = F.when(a[ident] < b[ident], F.struct("a", "b")).otherwise(F.struct(b.alias("a"), a.alias("b")))
+    return plain(spans.join(large, [*keys], "left_anti")).select(*keys, "a", "b").union(both.select(*keys, turned.alias("p")).select(*keys, "p.a", "p.b"))

@@ -90,12 +90,11 @@ def conflict_pairs(facts: DataFrame, anchor: str | None = None, few: int = FEW)
     """
     live = facts if anchor is None else as_of(facts, anchor)
     rows = live.select(*KEY, "fact_id", "object", F.col("valid_at").alias("begins"), F.col("invalid_at").alias("ends"))
-    met = self_overlaps(rows, KEY, few)
+    met = self_overlaps(rows, KEY, "fact_id", few)
     open_end = F.lit(OPEN_END).cast("timestamp")
     both = (F.col("a.begins") < F.coalesce("b.ends", open_end)) & (F.col("b.begins") < F.coalesce("a.ends", open_end))
-    met = met.filter((F.col("a.fact_id") != F.col("b.fact_id")) & (F.col("a.object") != F.col("b.object")) & both)
-    met = met.select(F.when(F.col("a.fact_id") < F.col("b.fact_id"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p"))
-    return met.select(*[F.col(f"p.a.{k}").alias(k) for k in KEY], F.col("p.a.fact_id").alias("e1"), F.col("p.b.fact_id").alias("e2"), F.col("p.a.object").alias("o1"), F.col("p.b.object").alias("o2"))
+    met = met.filter((F.col("a.object") != F.col("b.object")) & both)
+    return met.select(*KEY, F.col("a.fact_id").alias("e1"), F.col("b.fact_id").alias("e2"), F.col("a.object").alias("o1"), F.col("b.object").alias("o2"))
 
 
 def conflict_keys(facts: DataFrame) -> DataFrame:

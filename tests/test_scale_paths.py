@@ -85,7 +85,7 @@ def test_samples_take_no_whole_bucket(spark):
     for picked in (ev.sample_needles(rows, 10, 1), ev.quota_sample(rows, 7, 1), ev.diverse_pick(rows, 10, "c", "row_idx")):
         assert "WindowGroupLimit" in picked._jdf.queryExecution().executedPlan().toString()
     got = [r.n_needles for r in ev.sample_needles(rows, 10, 1).collect()]
-    assert len(got) == 10 and all(got.count(k) >= 3 for k in (2, 4, 8))
+    assert len(got) == 10 and all(got.count(k) >= 2 for k in (2, 4, 8))
     few = rows.filter("row_idx < 6")
     assert ev.sample_needles(few, 10, 1).count() == 6
 
