@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, id_as_text, id_from_text
+from factloom.llm.common import crc_mod, id_as_text, id_from_text, text_hash
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Bounds of the training sample: documents, and windows of each.
-MAX_DOCS, MAX_WINDOWS = 3_000, 4
+#: Bounds of the training sample: labelled documents, and windows of all of them. Documents are taken whole or not at all.
+MAX_DOCS, MAX_WINDOWS = 3_000, 16_000
 #: Windows that go through the network at once.
 BATCH = 256
 UNKNOWN = "und"
@@ -38,11 +38,6 @@ def windows(text: str) -> np.ndarray:
     return out.reshape(rows, WINDOW)
 
 
-def spread(w: np.ndarray) -> np.ndarray:
-    """At most MAX_WINDOWS of a text's windows, at even distances from the first to the last."""
-    return w[np.unique(np.linspace(0, len(w) - 1, MAX_WINDOWS).round().astype(int))]
-
-
 @dataclass
 class Network:
     languages: list[str]
@@ -120,20 +115,30 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 4, r
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Train on a bounded sample, chosen by a hash of the id; MAX_WINDOWS windows of each text, spread over the whole of it,
-    reach the driver. None without labels."""
-    usable = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    """Train on a bounded sample of labelled documents; None without any.
+
+    Documents come in the order of a hash of their id, MAX_DOCS at most, as long as all windows of a document fit within
+    MAX_WINDOWS; one that does not fit is passed over. Of the documents that are taken every window is trained on. The
+    driver sees their ids and sizes, and then those windows.
+    """
+    usable = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = usable.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(MAX_DOCS).select("doc_id").distinct()
+    rows = usable.select("doc_id", "lang", text_hash(), F.octet_length("text").alias("size"), order.alias("o")).orderBy("o", "doc_id", "text_hash", "lang").limit(MAX_DOCS).collect()
+    taken, left = {}, MAX_WINDOWS
+    for r in rows:
+        key, n = (r["doc_id"], r["lang"], r["text_hash"]), -(-r["size"] // WINDOW)
+        if key not in taken and n <= left:
+            taken[key], left = True, left - n
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, lang, w.tobytes()) for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if has_letter(t) for w in spread(windows(t))]
+            out = [(i, lang, w.tobytes()) for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if has_letter(t) for w in windows(t)]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "window"])
 
-    some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").mapInPandas(cut, "doc_id long, lang string, window binary")
-    # Rows that repeat an id or a window add nothing but weight; the bound holds for them, too.
-    some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "window").limit(MAX_DOCS * MAX_WINDOWS)
+    keys = docs.sparkSession.createDataFrame(list(taken), "doc_id long, lang string, text_hash long")
+    some = usable.select("doc_id", "lang", "text", text_hash()).join(F.broadcast(keys), ["doc_id", "lang", "text_hash"])  # at most MAX_DOCS
+    # Rows that repeat an id and its text add nothing.
+    some = some.select("doc_id", "lang", "text").mapInPandas(cut, "doc_id long, lang string, window binary").distinct()
     rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in some.collect())
     if not rows:
         return None
@@ -146,7 +151,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if there was nothing to learn from.
-    Ids may be null or repeat; extra columns are ignored; an empty table gives an empty result.
+    Ids may be null or repeat; of languages that are equally likely the first in order is taken. Long texts vote with all
+    their windows. Extra columns are ignored; an empty table gives an empty result.
     """
 
     def votes(texts: list[str | None]) -> list[tuple[str, float]]:

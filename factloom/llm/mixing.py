@@ -151,15 +151,16 @@ def repeat_rows(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     ends = r.groupBy("source", "end_block").agg(F.max(place).alias("upto_row"))
     p = per_source.alias("p").join(stored(whole, "mix-whole").alias("w"), F.expr("p.source <=> w.source"), "left").join(stored(ends, "mix-ends").alias("x"), F.expr("p.source <=> x.source"), "left")
     # One row per source, written first: Spark broadcasts it if it is small and merges if it is not.
-    plan = stored(p.select(F.struct("p.source", "p.passes", "w.upto_block", "x.end_block", "x.upto_row").alias("_plan")), "mix-places")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    block, passes = F.substring(F.md5(key), 1, BLOCK_DIGITS), F.col("_plan.passes").cast("string")
-    here = F.struct(_md5(F.col("doc_id").cast("string"), passes).alias("m"), F.col("doc_id").alias("i"))
-    again = (_md5(block, passes) <= F.col("_plan.upto_block")) | ((block == F.col("_plan.end_block")) & (here <= F.col("_plan.upto_row")))
-    again = F.coalesce(again, F.lit(False)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    times = F.col("_plan.passes") + F.when(again, 1).otherwise(0)
-    out = docs.join(plan, F.expr("source <=> _plan.source")).filter(times > 0)
-    return out.withColumn("_draw", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(docs.columns)
+    plan = stored(p.select(F.struct("p.source", "p.passes", "w.upto_block", "x.end_block", "x.upto_row").alias("plan")), "mix-places")
+    # A row travels as one struct, so no name of its columns can clash with the plan's.
+    own, at = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lambda c: F.col(f"row.{c}")
+    block, passes = F.substring(F.md5(F.coalesce(at("doc_id").cast("string"), F.lit(""))), 1, BLOCK_DIGITS), F.col("plan.passes").cast("string")
+    here = F.struct(_md5(at("doc_id").cast("string"), passes).alias("m"), at("doc_id").alias("i"))
+    again = (_md5(block, passes) <= F.col("plan.upto_block")) | ((block == F.col("plan.end_block")) & (here <= F.col("plan.upto_row")))
+    again = F.coalesce(again, F.lit(False)) & F.coalesce(at("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    times = F.col("plan.passes") + F.when(again, 1).otherwise(0)
+    out = docs.select(own).join(plan, at("source").eqNullSafe(F.col("plan.source"))).filter(times > 0)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
 
 
 #: The query's parameters.

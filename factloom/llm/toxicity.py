@@ -23,7 +23,6 @@ from factloom.llm.wordhash import shingles
 
 #: Bounds of the training sample, in documents; their whole texts count. Scoring has no such bounds.
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 6_000
-MAX_FEATURES = 8_192
 #: Beginnings of longer words that count as features, in characters.
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,9 +62,9 @@ class Model:
 
 
 def text_key(text: str | None) -> bytes:
-    """The least hashes of a text's word runs: of texts that share them one is trained on, since copies would make rare
+    """A digest of all of a text's word runs: of texts that have the same ones one is trained on, since copies would make rare
     words look like evidence."""
-    return shingles(text, 3)[:2].tobytes()
+    return hashlib.blake2b(shingles(text, 3).tobytes(), digest_size=16).digest()
 
 
 def train_nnpu(kept: list[list[tuple[int, float]]], positives: int, names: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
@@ -121,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample, chosen by a hash of the id, of rows outside the held-out fifth.
 
     Positives: labelled toxic. Unlabelled: any documents. Prior: the toxic part of the labels, over all of them. Features
-    are those that stand in more positive texts than the unlabelled ones let expect. Texts stay with the executors: the
-    driver sees at most MAX_FEATURES features and their counts in the sample.
+    are those that stand in more positive texts than the unlabelled ones let expect, all of them. Texts stay with the
+    executors: the driver sees those features and their counts in the sample, which is what bounds them.
     """
     train = labels.filter((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     prior = float(train.agg(F.avg("toxic").alias("prior")).first()["prior"] or 0.0)
@@ -136,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     each = texts.select("p", "doc_id", F.explode(F.arrays_zip("words", "counts")).alias("f")).select("p", "doc_id", "f.words", "f.counts")
     seen = each.groupBy("words").agg(F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("u")).filter("n >= 2")
     z = (F.col("n") - ratio * F.col("u")) / F.sqrt(ratio * F.col("u") + 1.0)
-    found = seen.withColumn("z", z).filter("z >= 3.0").orderBy(F.desc("z"), "words").limit(MAX_FEATURES).select("words")
+    found = seen.withColumn("z", z).filter("z >= 3.0").orderBy(F.desc("z"), "words").select("words")
     names = [r["words"] for r in found.collect()]
     at = docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, words string")
-    used = each.join(F.broadcast(at), "words").groupBy("p", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "counts"))).alias("f"))
+    used = each.join(at.hint("merge"), "words").groupBy("p", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "counts"))).alias("f"))
     rows = texts.select("p", "doc_id").join(used.hint("merge"), ["p", "doc_id"], "left").collect()
     rows.sort(key=lambda r: (not r["p"], r["doc_id"]))
     return train_nnpu([[(f["k"], f["counts"]) for f in r["f"] or []] for r in rows], sizes.get(True, 0), names, prior)
@@ -149,7 +148,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
     Null and empty texts get the score of a text without evidence. Ids may be null or repeat; a null id counts as the
-    empty text in the fold. Without confirmed toxic rows the model has no features and scores 0. Extra columns are
+    empty text in the fold. Repeated rows and long texts are scored like others, whole. Without confirmed toxic rows the model has no features and scores 0. Extra columns are
     ignored, and an empty table gives an empty result.
     """
 

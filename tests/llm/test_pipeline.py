@@ -31,8 +31,8 @@ def corpus(spark, tmp_path_factory):
         rows.append([500 + k, " ".join([*long, *long, *long, *long]), "en", "s2"])  # near copies
     rows += [[600, None, None, None], [601, "", "en", "s0"], [602, None, "en", "s0"]]
     d = str(tmp_path_factory.mktemp("corpus"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, times long"
-    spark.createDataFrame([(*r, len(r[1] or ""), "x", 1) for r in rows], schema).write.parquet(f"{d}/documents.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, times long, _id string, _hash string, _plan string, _draw string, row string, plan string, rejected string"
+    spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, *map(str, range(7))) for r in rows], schema).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d, rows
 
@@ -47,6 +47,7 @@ def test_stages_and_run(spark, corpus):
         docs = spark.read.parquet(f"{d}/{name}")
         seen[name] = docs.collect()
         assert name == "packing" or docs.columns == columns
+        assert name == "packing" or {tuple(r[-7:]) for r in seen[name]} == {tuple(map(str, range(7)))}  # names that clash change nothing
 
     text = {r[0]: r[1] for r in rows}
     model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
