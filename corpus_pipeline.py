@@ -13,35 +13,54 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` but the rejected ones. A row is known by its id, null or not, and its text, so rows that share an id
     with a rejected one but not its text stay.
 
-    The rejected ones are written first, so that Spark knows how large they are and picks the join.
+    The rejected ones are written first, so that Spark knows how large they are and picks the join. Columns may have any
+    names and come back as they are.
     """
-    gone = stored(verdicts.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
+    gone = stored(verdicts.filter("not kept").select(F.struct("doc_id", "text_hash").alias("rejected")).distinct(), "rejected")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # as one struct, its columns clash with nothing
+    same = F.col("row.doc_id").eqNullSafe(F.col("rejected.doc_id")) & (text_hash("row.text") == F.col("rejected.text_hash"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier calls toxic go; it learns from the labels outside the held-out fifth."""
+    """Rows that the classifier calls toxic go; it learns from the labels outside the held-out fifth.
+
+    Null and empty texts show nothing and stay; each row is judged by its whole text, repeated rows alike.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(~toxicity.toxic("text", model))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for spacing, the row with the smallest id stays."""
+    """Of texts that are equal but for spacing, the row with the smallest id stays.
+
+    Null and empty texts are one text; null ids go if a row with an id has the text. Rows that repeat id and text stay.
+    """
     return _without(docs, exact_dedup.exact_dedup(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity 0.8."""
+    """One document of each group of near copies stays: shingles of five words, similarity 0.8.
+
+    Null and empty texts are near nothing and stay. Ties do not occur: the smallest id stays, and rows that repeat it.
+    """
     return _without(docs, near_dedup.near_dedup(docs, words=5))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is drawn once at least; small sources are repeated up to twice."""
+    """Each document is drawn once at least; small sources are repeated up to twice.
+
+    A null source is a source. Rows without words are drawn once in each whole pass. Rows that share an id are drawn alike.
+    """
     return mixing.repeat_rows(docs, max_repeats=mixing.MAX_REPEATS)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each drawn document stands: bucket, batch and slot."""
+    """Where each drawn document stands: bucket, batch and slot.
+
+    Rows without words stand in the first bucket, longer ones than a batch in one of their own. Each stage gives an empty
+    table for an empty table.
+    """
     return packing.pack(docs)
 
 
