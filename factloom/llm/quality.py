@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import id_as_text, id_from_text, stored
@@ -22,8 +22,10 @@ SYMBOLS = "#*$%&|<>"
 _LETTERS = np.array([c for c in range(128) if chr(c).isalpha()])
 PARTS = ("x0", "x1", "x2", "x3", "x4")
 P = len(PARTS)
-#: Rows of a block, and the least rows of a group with an estimate of its own; smaller groups share one.
-BLOCK, LEAST = 1_000, 60
+#: Rows, about, of a block that starting values come from; rows as which the estimate over all groups counts in each.
+BLOCK, PRIOR = 1_000, 20.0
+#: Concentration steps over whole groups; classes of squared distances for each factor of e; their median for normal vectors.
+STEPS, CLASSES, MEDIAN = 2, 100, 4.351
 #: Rows of a table of groups, some 200 bytes each, up to which it is broadcast.
 FEW = 20_000
 #: Squared distances of a normal vector of P parts lie below these with 0.975 and 0.999999.
@@ -159,10 +161,11 @@ def _with_group(rows: DataFrame, per_group: DataFrame, how: str = "inner") -> Da
     return rows.join(F.broadcast(per_group) if few else per_group.hint("merge"), ["g_lang", "g_source"], how)
 
 
-def _mean_and_scatter(rows: DataFrame) -> DataFrame:
-    """Moments about the current centre, from partial sums."""
+def _mean_and_scatter(rows: DataFrame, shrunk: float = 1.0) -> DataFrame:
+    """(g_lang, g_source, n, moments) about the current centre, from partial sums; scatter is divided by ``shrunk``."""
     d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
     sums = rows.groupBy("g_lang", "g_source").agg(
+        F.count("*").alias("n"),
         *[F.first(f"m{i}").alias(f"o{i}") for i in range(P)],
         *[F.avg(d[i]).alias(f"a{i}") for i in range(P)],
         *[F.avg(d[i] * d[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)],
@@ -170,18 +173,61 @@ def _mean_and_scatter(rows: DataFrame) -> DataFrame:
     return sums.select(
         "g_lang",
         "g_source",
+        "n",
         *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(P)],
-        *[((F.col(f"s{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / SHRUNK).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
+        *[((F.col(f"s{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / shrunk).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
     )
 
 
+def _drawn_together(groups: DataFrame, moments: DataFrame) -> DataFrame:
+    """Whitening of each group's moments ``(n, m*, c*)``, mixed with the moments over all groups as if those were PRIOR rows.
+
+    The mixture's scatter has what lies between its parts. A group without rows takes the whole's. One row of moments comes
+    to the driver.
+    """
+    moments = stored(moments, "moments")
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    whole = moments.agg(
+        *[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"m{i}") for i in range(P)],
+        *[(F.sum(F.col("n") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))) / F.sum("n")).alias(f"c{i}{j}") for i, j in pairs],
+    ).first()
+    pm = [float(whole[f"m{i}"] or 0.0) for i in range(P)]
+    pc = {(i, j): float(whole[f"c{i}{j}"] or 0.0) - pm[i] * pm[j] for i, j in pairs}
+    g = _with_group(groups.select("g_lang", "g_source"), moments, "left")
+    n = F.coalesce("n", F.lit(0))
+    own, rest = n / (n + PRIOR), PRIOR / (n + PRIOR)
+    m = [F.coalesce(f"m{i}", F.lit(pm[i])) for i in range(P)]
+    mixed = [(own * m[i] + rest * pm[i]).alias(f"m{i}") for i in range(P)]
+    spread = [(own * F.coalesce(f"c{i}{j}", F.lit(0.0)) + rest * pc[i, j] + own * rest * (m[i] - pm[i]) * (m[j] - pm[j])).alias(f"c{i}{j}") for i, j in pairs]
+    return stored(_whitening(g.select("g_lang", "g_source", *mixed, *spread)), "estimates")
+
+
+def _scales(rows: DataFrame) -> DataFrame:
+    """(g_lang, g_source, half): the squared distance ``d2`` below which half of a group's rows lie, drawn towards that of all
+    rows in the same way. Rows are counted by classes of distances, of which there is a bounded number."""
+    cls = F.floor(F.log(F.col("d2") + 1e-12) * CLASSES).cast("int")
+    counts = stored(rows.groupBy("g_lang", "g_source", cls.alias("cls")).agg(F.count("*").alias("c")), "distance-classes")
+
+    def half(of: DataFrame, keys: list[str]) -> DataFrame:
+        key = Window.partitionBy(*keys)
+        upto = F.sum("c").over(key.orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        r = of.withColumn("upto", upto).withColumn("n", F.sum("c").over(key)).filter(F.col("upto") * 2 >= F.col("n"))
+        return r.groupBy(*keys).agg(F.exp((F.min("cls") + 1) / CLASSES).alias("half"), F.max("n").alias("n"))
+
+    # The classes of all rows are a few thousand counts in one window.
+    whole = half(counts.groupBy("cls").agg(F.sum("c").alias("c")).withColumn("k", F.lit(0)), ["k"]).first()
+    by = half(counts, ["g_lang", "g_source"])
+    drawn = (F.col("n") * F.col("half") + PRIOR * float(whole["half"] if whole else 1.0)) / (F.col("n") + PRIOR)
+    return stored(by.select("g_lang", "g_source", drawn.alias("half")), "scales")
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
-    Null and empty texts have zero counts and fail the base rules. Null languages and sources are groups like others;
-    groups with fewer than LEAST rows that pass the base rules share one estimate, and if the shared group is smaller
-    than that too, its rows are kept (distance null). Rows that fail the base rules take no part in the estimates.
-    Repeated rows count as rows. An empty table gives an empty result; other columns are ignored.
+    Null and empty texts have zero counts and fail the base rules. Null languages and sources are groups like others.
+    Rows that fail the base rules take no part in the estimates. Repeated rows count as rows, and rows with equal
+    statistics have equal verdicts. Long texts are read whole. An empty table gives an empty result; other columns are
+    ignored.
     """
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -189,32 +235,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     good = rows.filter("not base_failed").select("doc_id", *PARTS, text("lang").alias("g_lang"), text("source").alias("g_source"))
     sizes = stored(good.groupBy("g_lang", "g_source").agg(F.count("*").alias("size")), "group-sizes")
-    small = F.col("size") < LEAST
-    names = [F.when(small, "*").otherwise(F.col(c)).alias(c) for c in ("g_lang", "g_source")]
-    own = _with_group(good, sizes).select("doc_id", *PARTS, *names, F.when(small, None).otherwise(F.col("size")).alias("size"))
-    shared = sizes.filter(small).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
-    own = own.withColumn("size", F.coalesce("size", F.lit(shared))).filter(F.col("size") >= LEAST)
     # Blocks of about BLOCK rows, dealt by the hash of the row and its place, so that repeated rows are spread, too. What is
     # dealt is written before it is used, so a lost task changes nothing.
     block = F.pmod(F.xxhash64("doc_id", *PARTS, F.monotonically_increasing_id()), F.greatest(F.lit(1), F.col("size").cast("long") / BLOCK).cast("long"))
-    own = stored(own.withColumn("block", block), "vectors")
-
-    def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(PARTS)].sort_values(list(PARTS)).to_numpy(dtype=float)
-        if len(x) < 4 * P:  # a block that hashing left almost empty
-            return pd.DataFrame(columns=["g_lang", "g_source", *_MOMENTS])
-        m, c = mcd(x)
-        return pd.DataFrame([[key[0], key[1], *m, *c[np.tril_indices(P)]]], columns=["g_lang", "g_source", *_MOMENTS])
-
-    per_block = own.groupBy("g_lang", "g_source", "block").applyInPandas(estimate, "g_lang string, g_source string, " + ", ".join(f"{c} double" for c in _MOMENTS))
-    first = per_block.groupBy("g_lang", "g_source").agg(*[F.avg(c).alias(c) for c in _MOMENTS])
-    first = stored(_whitening(first), "first-estimates")
-    near = _with_group(own.select("doc_id", *PARTS, "g_lang", "g_source"), first).filter(_distance() <= WEIGHT_CUT)
-    final = stored(_whitening(_mean_and_scatter(near)), "estimates")
+    own = stored(_with_group(good, sizes).withColumn("block", block), "vectors")
+    names = ["g_lang", "g_source", "n", *_MOMENTS]
+
+    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, c = mcd(pdf[list(PARTS)].sort_values(list(PARTS)).to_numpy(dtype=float))
+        return pd.DataFrame([[key[0], key[1], len(pdf), *m, *c[np.tril_indices(P)]]], columns=names)
+
+    blocks = own.groupBy("g_lang", "g_source", "block").applyInPandas(start, "g_lang string, g_source string, n long, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in _MOMENTS]
+    now = _drawn_together(sizes, blocks.groupBy("g_lang", "g_source").agg(F.sum("n").alias("n"), *mean))
+    own = own.select("doc_id", *PARTS, "g_lang", "g_source")
+    for step in range(STEPS + 1):
+        far = _with_group(own, now).withColumn("d2", _distance())
+        near = _with_group(far, _scales(far))
+        last = step == STEPS  # the nearest half, and at last all rows that are no outliers at the scale of the half
+        limit = F.col("half") * (WEIGHT_CUT / MEDIAN if last else 1.0)
+        now = _drawn_together(sizes, _mean_and_scatter(near.filter(F.col("d2") <= limit), SHRUNK if last else 1.0))
     by_row = rows.select(*counts, "base_failed", *PARTS, text("lang").alias("g_lang"), text("source").alias("g_source"))
-    # From the row's group to the group whose estimate it takes, on the small tables.
-    taken = sizes.select(F.col("g_lang").alias("r_lang"), F.col("g_source").alias("r_source"), *names)
-    taken = stored(taken.join(final, ["g_lang", "g_source"], "left").drop("g_lang", "g_source").withColumnsRenamed({"r_lang": "g_lang", "r_source": "g_source"}), "taken")
-    out = _with_group(by_row, taken, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
+    out = _with_group(by_row, now, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= REJECT_CUT, F.lit(True))
     return out.select(*counts, "base_failed", "distance", kept.alias("kept"))

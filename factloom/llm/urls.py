@@ -1,7 +1,7 @@
 """URL filter by a tree of path templates (DataFrame functions).
 
 Rules on hosts and path beginnings decide first. The pages that they decide are labels for the rest. Below each host, a
-tree of templates grows one path segment at a time, on distinct paths: variable segments (numbers, dates, digests, mixed
+tree of templates grows from fork to fork, on distinct paths: variable segments (numbers, dates, digests, mixed
 identifiers, and rare words where there are many) become wildcards, and sibling branches whose labels do not differ
 statistically become one branch, so that what lies below them is looked at together. A template is rejected when its
 smoothed part of blocked labels is large; each level is smoothed towards the one above.
@@ -89,12 +89,35 @@ def _merged(branches: DataFrame) -> DataFrame:
     return one.select("host", "template", "name", "chain").join(sums, ["host", "template", "chain"]).drop("chain")
 
 
+def _to_next_fork(tree: DataFrame) -> DataFrame:
+    """Follow the segments that all paths at a node share, in one step, to where a path ends or they part.
+
+    Such segments have no siblings to be generalised or merged with, so each only smooths the node's own part once more:
+    after k of them the way from the prior to that part is the k-th power of one step's. What paths share is what the
+    least and the greatest of them share.
+    """
+    tree = stored(tree, "paths")
+    shared = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    node = tree.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("b").alias("nb"), F.sum("a").alias("na"), F.first("prior").alias("p"))
+    node = node.withColumn("k", F.when(shared == 0, F.size("lo")).otherwise(shared - 1).cast("int"))
+    labels = F.col("nb") + F.col("na")
+    part, left = F.try_divide("nb", labels), F.pow(SMOOTH / (labels + SMOOTH), F.col("k"))
+    prior = F.when(labels > 0, part + (F.col("p") - part) * left).otherwise(F.col("p"))
+    way = F.concat("template", F.array_join(F.transform(F.slice("lo", F.lit(1), F.col("k")), lambda s: F.concat(F.lit("/"), s)), ""))
+    node = stored(node.filter("k > 0").select("host", "template", "k", way.alias("to"), prior.alias("further")), "shared-ways")
+    on = tree.join(node, ["host", "template"], "left")
+    k = F.coalesce("k", F.lit(0))
+    return on.select("host", "segs", F.slice("rest", k + 1, F.size("rest")).alias("rest"), *_SUMS, F.coalesce("to", "template").alias("template"), F.coalesce("further", "prior").alias("prior"))
+
+
 def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     Null urls and urls without ``://`` have an empty host and path; they are a host like others. ``purity`` is the
     smoothed blocked part of the pages that end at the row's template. On a host without labels nothing is blocked beyond
-    the rules. Repeated rows and null ids pass through; an empty table gives an empty result; other columns are ignored.
+    the rules. Repeated rows and null ids pass through, and equal urls have equal verdicts; an empty table gives an empty
+    result; other columns are ignored. The driver's loop goes from fork to fork, so a long path that shares its segments
+    with no other, or all of them, takes one round.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -104,25 +127,28 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rows = stored(rows.withColumn("segs", segs), "url-rows")
     count = lambda said: F.sum(F.when(F.col("said") == said, 1).otherwise(0))
     paths = stored(rows.groupBy("host", "segs").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a")), "paths")
-    whole = paths.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.max(F.size("segs")).alias("deep")).first()
+    whole = paths.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
     labelled = (whole["b"] or 0) + (whole["a"] or 0)
     overall = (whole["b"] / labelled) if labelled else 0.0
     hosts = paths.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
     part = (F.col("hb") + SMOOTH * overall) / (F.col("hb") + F.col("ha") + SMOOTH)
     hosts = stored(hosts.select("host", F.when(F.col("hb") + F.col("ha") > 0, part).otherwise(0.0).alias("prior")), "hosts")
-    tree = paths.join(hosts, "host").withColumn("template", F.lit(""))
-    ended = [tree.filter(F.size("segs") == 0)]  # each level goes on with the paths that are longer
-    for d in range(whole["deep"] or 0):
-        at = tree.filter(F.size("segs") > d).withColumn("seg", F.get("segs", F.lit(d)))
-        kids = stored(at.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("prior").alias("prior")), f"kids-{d}")
-        named = stored(_generalised(kids), f"names-{d}")
+    tree = paths.join(hosts, "host").select("host", "segs", F.col("segs").alias("rest"), *_SUMS, F.lit("").alias("template"), "prior")
+    ended = []
+    while True:
+        tree = _to_next_fork(tree)
+        ended.append(tree.filter(F.size("rest") == 0))
+        at = stored(tree.filter(F.size("rest") > 0).withColumn("seg", F.get("rest", F.lit(0))), "forks")
+        if not at.limit(1).count():
+            break
+        kids = stored(at.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("prior").alias("prior")), "kids")
+        named = stored(_generalised(kids), "names")
         branches = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("prior").alias("prior"))
-        to = _merged(stored(branches, f"branches-{d}"))
-        to = stored(named.select("host", "template", "seg", "name").join(to, ["host", "template", "name"]).drop("name"), f"to-{d}")
+        to = _merged(stored(branches, "branches"))
+        to = stored(named.select("host", "template", "seg", "name").join(to, ["host", "template", "name"]).drop("name"), "branches-to")
         at = at.drop("prior").join(to, ["host", "template", "seg"])
-        tree = stored(at.select("host", "segs", *_SUMS, F.col("to").alias("template"), F.col("purity").alias("prior")), f"paths-{d}")
-        ended.append(tree.filter(F.size("segs") == d + 1))
-    tree = stored(reduce(DataFrame.unionByName, ended), "tree")
+        tree = at.select("host", "segs", F.slice("rest", 2, F.size("rest")).alias("rest"), *_SUMS, F.col("to").alias("template"), F.col("purity").alias("prior"))
+    tree = stored(reduce(DataFrame.unionByName, ended).select("host", "segs", *_SUMS, "template", "prior"), "tree")
     leaves = tree.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.first("prior").alias("prior"))
     pure = leaves.select("host", "template", ((F.col("b") + SMOOTH * F.col("prior")) / (F.col("b") + F.col("a") + SMOOTH)).alias("purity"))
     judged = stored(tree.select("host", "segs", "template").join(stored(pure, "purity"), ["host", "template"]), "judged")

@@ -47,25 +47,64 @@ def test_quality_counts_and_verdicts(docs):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def robust(x, group):
+    """Squared distances by numpy alone: starts, concentration steps, re-weighting, all drawn towards the whole."""
+    p, k = quality.P, quality.PRIOR
+    each = {g: np.flatnonzero(group == g) for g in sorted(set(group))}
+
+    def together(moments):
+        n = np.array([m[0] for m in moments.values()], float)
+        pm = sum(a * m[1] for a, m in zip(n, moments.values(), strict=True)) / n.sum()
+        pc = sum(a * (m[2] + np.outer(m[1], m[1])) for a, m in zip(n, moments.values(), strict=True)) / n.sum() - np.outer(pm, pm)
+        out = {}
+        for g in each:
+            a, m, c = moments.get(g, (0, pm, np.zeros((p, p))))
+            own = a / (a + k)
+            out[g] = own * m + (1 - own) * pm, own * c + (1 - own) * pc + own * (1 - own) * np.outer(m - pm, m - pm) + quality.RIDGE * np.eye(p)
+        return out
+
+    def distances(now):
+        d2 = np.zeros(len(x))
+        for g, rows in each.items():
+            d = x[rows] - now[g][0]
+            d2[rows] = np.einsum("ij,jk,ik->i", d, np.linalg.inv(now[g][1]), d)
+        return d2
+
+    def half(d2):
+        cls = np.sort(np.floor(np.log(d2 + 1e-12) * quality.CLASSES))
+        return np.exp((cls[-(-len(cls) // 2) - 1] + 1) / quality.CLASSES)
+
+    starts = {g: (len(r), *quality.mcd(x[r][np.lexsort(x[r].T[::-1])])) for g, r in each.items()}
+    now = together(starts)
+    for step in range(quality.STEPS + 1):
+        d2, last, moments = distances(now), step == quality.STEPS, {}
+        for g, rows in each.items():
+            limit = (len(rows) * half(d2[rows]) + k * half(d2)) / (len(rows) + k) * (quality.WEIGHT_CUT / quality.MEDIAN if last else 1)
+            near = x[rows[d2[rows] <= limit]]
+            if len(near):
+                moments[g] = len(near), near.mean(axis=0), np.cov(near.T, bias=True).reshape(p, p) / (quality.SHRUNK if last else 1)
+        now = together(moments)
+    return distances(now)
+
+
 def test_quality_verdicts_against_brute_force(spark):
-    """Estimates, re-weighting and distances of one group by numpy alone: every verdict and distance."""
     rng = random.Random(4)
     make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
-    texts = [make(rng.randint(5, 200)) for _ in range(150)] + ["## $$ %% " * 30 + make(40)] * 3 + ["1 2 3 4 5 6 7 8 9 10 " + make(5)]
+    odd = "## $$ %% " * 30
+    texts = [make(rng.randint(5, 200)) for _ in range(150)] + [odd + make(40)] * 3 + ["1 2 3 4 5 6 7 8 9 10 " + make(5)]
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(500 + i, make(40), None, f"s{i % 2}") for i in range(20)]
+    signs = " ".join(rng.choice(["##", "$$", "%%", "||"]) + rng.choice("abcd") + str(rng.randint(0, 10**6)) for _ in range(100))
+    rows += [(600, make(60), "de", None), (601, signs, "fr", None)]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    made = {i: quality.text_statistics(t) for i, t in enumerate(texts)}
+    made = {i: quality.text_statistics(t) for i, t, *_ in rows}
     good = [i for i, s in made.items() if s[0] >= 10 and 100 * s[4] <= 20 * s[0]]
-    x = np.array([made[i][5:] for i in good])
-    m, c = quality.mcd(x[np.lexsort(x.T[::-1])])
-    square = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + quality.RIDGE * np.eye(quality.P)), x - m)
-    near = x[square(m, c) <= quality.WEIGHT_CUT]
-    want = square(near.mean(axis=0), np.cov(near.T, bias=True) / quality.SHRUNK)
+    groups = {i: f"{lang}/{source}" for i, _, lang, source in rows}
+    want = robust(np.array([made[i][5:] for i in good]), np.array([groups[i] for i in good]))
     assert len(got) == len(rows)
     for i, d in zip(good, want, strict=True):
         assert abs(got[i].distance - np.sqrt(d)) < 1e-6 and got[i].kept == (d <= quality.REJECT_CUT)
     assert all(got[i].base_failed and not got[i].kept for i in made if i not in good)
-    assert all(got[500 + i].kept and got[500 + i].distance is None for i in range(20))  # too few, even together
+    assert got[600].kept and not got[601].kept  # groups of one row
 
 
 def test_quality_empty(empty):

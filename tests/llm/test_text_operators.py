@@ -191,3 +191,19 @@ def test_urls_differ_below_a_deep_id(spark):
     rows = urls.judge_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
     got = {r.path: (r.verdict, r.template.rsplit("/", 2)[1:]) for r in rows}
     assert len(rows) == 42 and got["/a/b/c/99/spam"] == ("block", ["#num", "spam"]) and got["/a/b/c/99/ok"] == ("allow", ["#num", "ok"])
+
+
+def test_long_urls_take_no_more_rounds(spark, monkeypatch):
+    """A path of 2,000 segments alone, and one that all pages share, are followed in one step; values are those of single steps."""
+    calls, stored = [], urls.stored
+    monkeypatch.setattr(urls, "stored", lambda df, tag="": calls.append(tag) or stored(df, tag))
+    short = [f"http://h.net/a/{x}/b/{k}" for x in "cd" for k in range(4)]
+    rules = (("block", "h.net", "/a/c/b/1"), ("allow", "h.net", "/a/d"))
+    judge = lambda pages: {r.path: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()}
+    judge(short)
+    n = len(calls)
+    way = "/x" * 1_995
+    got = judge([*short, f"http://k.net{way}/1", f"http://k.net{way}/2", "http://l.net" + "/y" * 2_000])
+    assert len(calls) - n <= n and got["/y" * 2_000].template == "/y" * 2_000 and got[f"{way}/2"].template == f"{way}/#num"
+    block = (1 + urls.SMOOTH * 1 / 5) / (5 + urls.SMOOTH)  # one blocked and four allowed on the host
+    assert got["/a/c/b/1"].verdict == "block" and got["/a/d/b/1"].purity < block
