@@ -21,17 +21,21 @@ def load_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(gid, start, node, distance): nodes within ``depth`` directed steps, with their shortest distance, start at 0."""
+    """(gid, start, node, distance): nodes within ``depth`` directed steps, with their shortest distance, start at 0.
+
+    ``starts(gid, start[, depth])`` may have depths of their own; a walk ends at its own one.
+    """
     e = stored(edges.select("gid", F.col("src").alias("node"), F.col("dst").alias("next")), "edges")  # read at every level
-    front = starts.select("gid", "start", F.col("start").alias("node")).distinct()
+    own = F.col("depth") if "depth" in starts.columns else F.lit(depth)
+    front = starts.select("gid", "start", own.alias("limit")).groupBy("gid", "start").agg(F.max("limit").alias("limit")).withColumn("node", F.col("start"))
     seen = front.withColumn("distance", F.lit(0))
     for d in range(1, depth + 1):
-        step = front.join(e, ["gid", "node"]).select("gid", "start", F.col("next").alias("node")).distinct()
+        step = front.filter(F.col("limit") >= d).join(e, ["gid", "node"]).select("gid", "start", "limit", F.col("next").alias("node")).distinct()
         front = stored(step.join(seen.select("gid", "start", "node"), ["gid", "start", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("distance", F.lit(d)))
         if front.limit(1).count() == 0:
             break
-    return seen
+    return seen.select("gid", "start", "node", "distance")
 
 
 def bfs_frontier(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -76,11 +80,11 @@ def neighbors(facts: DataFrame, starts: DataFrame, depth: int, anchor: str, tier
 def run_graph_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(task_id, pred): sorted node sets for tasks (task_id, gid, op, start, depth); op is ``bfs`` or ``parents``.
 
-    The deepest task bounds the loop; tasks of all depths share the levels.
+    Tasks of all depths share the levels; each start walks as deep as its own deepest task asks.
     """
     bfs = tasks.filter("op = 'bfs'")
     deepest = bfs.agg(F.max("depth")).first()[0] or 0
-    levels = bfs_levels(edges, bfs.select("gid", "start"), deepest)
+    levels = bfs_levels(edges, bfs.select("gid", "start", "depth"), deepest)
     a = bfs.filter("depth >= 1").join(levels.withColumnRenamed("distance", "depth"), ["gid", "start", "depth"]).select("task_id", "node")
     up = tasks.filter("op = 'parents'").select("task_id", "gid", F.col("start").alias("node"))
     b = up.join(parents(edges, up), ["gid", "node"]).select("task_id", F.col("parent").alias("node"))

@@ -189,6 +189,18 @@ def nth_needle(spark: SparkSession, d: str) -> DataFrame:
     return needles.nth_needle(pairs, asked)
 
 
+def needle_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What each lookup answers: its token before what was found, or nothing. Requests are whole texts, of which some repeat."""
+    m = fx.messages(spark, d)
+    user = F.concat(F.lit("Write about "), F.when(F.col("msg_idx") % 4 < 2, F.lit("the first thing")).otherwise(F.col("text")))
+    m = m.select("conv_id", "msg_idx", "role", F.when(F.col("role") == "user", user).otherwise(F.col("text")).alias("text"))
+    pairs = needles.turn_pairs(m)
+    asked = pairs.select("conv_id", F.col("pair_index").alias("n"), F.col("user_text").alias("request"))
+    asked = asked.select((F.col("conv_id") * 1_000_000 + F.col("n")).alias("lookup_id"), "conv_id", "request", (1 + F.col("n") % 3).cast("int").alias("position"))
+    found = needles.nth_needle(pairs, asked)
+    return found.select("lookup_id", needles.needle_answer(F.col("found"), F.concat(F.lit("tok"), (F.col("lookup_id") % 7).cast("string"), F.lit(" "))).alias("answer"), F.col("candidates").cast("long").alias("candidates"))
+
+
 def atomic_groups(spark: SparkSession, d: str) -> DataFrame:
     return context.atomic_groups(fx.messages(spark, d)).select("conv_id", "msg_idx", "group_no")
 
@@ -405,6 +417,11 @@ q as (select conv_id * 1000000 + pair_index as lookup_id, conv_id, lower(u) as r
 keys as (select conv_id, u, norm, min(pair_index) as first, count(*) as candidates from n group by all),
 c as (select q.*, coalesce((select any_value(u) from keys k where k.conv_id = q.conv_id and k.u = q.request), (select arg_min(u, first) from keys k where k.conv_id = q.conv_id and k.norm = q.norm)) as key from q)
 select lookup_id, n.a as found, coalesce(k.candidates, 0) as candidates from c left join keys k on k.conv_id = c.conv_id and k.u = c.key left join n on n.conv_id = c.conv_id and n.u = c.key and n.pos = c.position""",
+    "needle_answers": f"""with {fx.MESSAGES}, t as (select conv_id, msg_idx, role, case when role = 'user' then 'Write about ' || case when msg_idx % 4 < 2 then 'the first thing' else text end else text end as text from messages),
+w as (select *, lead(role) over (partition by conv_id order by msg_idx) as nr, lead(text) over (partition by conv_id order by msg_idx) as a from t),
+p as (select conv_id, text as u, a, row_number() over (partition by conv_id order by msg_idx) - 1 as n from w where role = 'user' and nr = 'assistant'),
+q as (select *, row_number() over (partition by conv_id, u order by n) as pos, count(*) over (partition by conv_id, u) as c from p)
+select p.conv_id * 1000000 + p.n as lookup_id, coalesce('tok' || ((p.conv_id * 1000000 + p.n) % 7) || ' ' || x.a, '') as answer, q.c as candidates from q p join q using (conv_id, u, n) left join q x on x.conv_id = p.conv_id and x.u = p.u and x.pos = 1 + p.n % 3""",
     "atomic_groups": f"with {GROUPED} select conv_id, msg_idx, group_no::bigint as group_no from grouped",
     "last_user_query": f"with {fx.MESSAGES} select conv_id, arg_max(text, msg_idx) as query from messages where role = 'user' and not pure_tool_result group by conv_id",
     "virtualize_report": f"""with {RECAP} select conv_id, outcome, original_messages, original_tokens, case when outcome = 'fits' then original_messages else hot_messages end as kept_messages, case when outcome = 'fits' then original_tokens else hot_tokens end as kept_tokens,
@@ -434,4 +451,4 @@ union all select 'episode_id is unique', (select count(*) from (select episode_i
 union all select 'confidence is in range', (select count(*) from facts where not (confidence >= 0.6 and confidence <= 1.0) or confidence is null) union all select 'interval is not empty', (select count(*) from facts where invalid_at <= valid_at)
 union all select 'embedding has its dimension', (select count(*) from embeddings where len(embedding) <> 64 or embedding is null)""",
 }
-QUERIES = {f.__name__: f for f in (arm_summary, arm_analysis, graph_summary, needle_summary, multikey_summary, contradiction_summary, latency_nearest_rank, latency_profile, dedupe_turns, payload_summary, group_stats, compare_runs, compare_summary, nearest_to_target, set_prf, needle_score, stratified_sample, needle_sample, needle_sample_cut, call_profile, turn_pairs, nth_needle, atomic_groups, last_user_query, virtualize_report, recap_text, whole_report, whole_recap, literal_needles, cold_group_recall, cold_summary, embedding_input, secret_flags, question_flags, message_dedupe, quality_checks)}
+QUERIES = {f.__name__: f for f in (arm_summary, arm_analysis, graph_summary, needle_summary, multikey_summary, contradiction_summary, latency_nearest_rank, latency_profile, dedupe_turns, payload_summary, group_stats, compare_runs, compare_summary, nearest_to_target, set_prf, needle_score, stratified_sample, needle_sample, needle_sample_cut, call_profile, turn_pairs, nth_needle, needle_answers, atomic_groups, last_user_query, virtualize_report, recap_text, whole_report, whole_recap, literal_needles, cold_group_recall, cold_summary, embedding_input, secret_flags, question_flags, message_dedupe, quality_checks)}

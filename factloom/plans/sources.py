@@ -74,6 +74,24 @@ def request_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.hint("merge").join(heads2.select("request_id", "system"), "request_id")
 
 
+def request_roundtrip_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with images, tool results among texts, and calls: through shape 1, and through shape 2, as text."""
+    m = fx.messages(spark, d)
+    said = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    user = F.concat(F.lit('[{"type":"text","text":'), said, F.lit('},{"type":"image","source":{"type":"base64","media_type":"image/png","data":"QUJD"}},{"type":"image","source":{"type":"url","url":"http://u/i.png"}},{"type":"tool_result","tool_use_id":"t","content":"res"}]'))
+    results = F.concat(F.lit('[{"type":"tool_result","tool_use_id":"t","content":'), said, F.lit('},{"type":"tool_result","tool_use_id":"u","content":[{"type":"text","text":"b"}],"is_error":true}]'))
+    other = F.concat(F.lit('[{"type":"text","text":"a "},{"type":"text","text":'), said, F.lit('},{"type":"tool_use","id":"t","name":"f","input":{"n":1}}]'))
+    content = F.when(F.col("role") != "user", other).when(F.col("pure_tool_result"), results).otherwise(user)
+    one = F.concat(F.lit('{"role":"'), "role", F.lit('","content":'), content, F.lit("}"))
+    per = m.select("conv_id", F.struct("msg_idx", one.alias("j")).alias("m")).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("m")), lambda x: x["j"]), ",").alias("ms"))
+    raw = per.select(F.col("conv_id").cast("string").alias("request_id"), F.concat(F.lit('{"model":"claude-x","max_tokens":10,"messages":['), "ms", F.lit("]}")).alias("body"))
+    heads, first, _ = rq.normalize_one(raw)
+    _, again, _ = rq.normalize_one(rq.denormalize_one(heads, first))
+    _, other = rq.normalize_two(rq.denormalize_two(heads, first))
+    text = lambda df, way: df.select("request_id", F.lit(way).alias("way"), F.col("msg_idx").cast("long").alias("msg_idx"), "role", rq.message_text(F.col("blocks")).alias("text"))
+    return text(again, "one").unionByName(text(other, "two"))
+
+
 def graph_task_parse(spark: SparkSession, d: str) -> DataFrame:
     e = fx.edges(spark, d).withColumn("task_id", F.expr("cast(cast(substr(src, 2) as int) div 50 as int)"))
     text = F.array_join(F.sort_array(F.collect_set(F.concat("src", F.lit(" -> "), "dst"))), "\n")
@@ -148,6 +166,10 @@ select 's' || o_custkey as session_id, case f when 0 then 'file:/p/' || o_orderk
 case f when 0 then '# Read /p/' || o_orderkey when 1 then '# Bash list' || chr(10) || '$ ls ' || o_orderkey when 2 then '# Grep ' || o_orderpriority when 3 then '# WebFetch http://u/x' else '# Other' end || chr(10) || chr(10) || body as text from o where length(body) >= 24""",
     "normalized_requests": f"select conv_id::varchar as request_id, (row_number() over (partition by conv_id order by turn) - 1)::bigint as msg_idx, role, 1::bigint as n_blocks, text, {TOK.format('text')} as tokens from conversations where role <> 'system'",
     "request_roundtrip": "select conv_id::varchar as request_id, count(*) as n_messages, sum(length(text))::bigint as n_chars, 'be kind' as system from conversations where role <> 'system' group by conv_id",
+    "request_roundtrip_mixed": f"""with {fx.MESSAGES}, m as (select *, row_number() over (partition by conv_id order by msg_idx) - 1 as k from messages), n as (select unnest(['one', 'two']) as way)
+select conv_id::varchar as request_id, way, k::bigint as msg_idx, role, case when role <> 'user' then case way when 'one' then 'a ' || chr(10) || text else 'a ' || text end || chr(10) || '[tool_use f({{"n":1}})]'
+  when pure_tool_result then '[tool_result: ' || text || ']' || chr(10) || case way when 'one' then '[tool_result (error): b]' else '[tool_result: b]' end
+  else text || chr(10) || '[image: image/png]' || chr(10) || '[image: url]' || chr(10) || case way when 'one' then '[tool_result: res]' else 'res' end end as text from m, n""",
     "graph_task_parse": f"""with {fx.EDGES}, t as (select cast(substr(src, 2) as int) // 50 as task_id, count(*) as n_edges, count(distinct src) as n_src, min(src) as start from edges group by 1) select task_id, case when task_id % 2 = 0 then 'bfs' else 'parents' end as op, start, case when task_id % 2 = 0 then 2 end as depth, null::varchar as error, n_edges, n_src from t""",
     "graph_messages": f"""with {fx.EDGES}, p as (select gid, src, case when count(*) = 1 then src || ' -> ' || any_value(dst) else src || ' -> [' || string_agg(dst, ', ' order by dst) || ']' end as text, row_number() over (partition by gid order by src) - 1 as k from edges group by gid, src)
 select gid, 2 * k as msg_idx, 'user' as role, text from p union all select gid, 2 * k + 1, 'assistant', 'Noted.' from p union all select gid, 2 * max(k) + 2, 'user', 'Which nodes are reachable?' from p group by gid""",
@@ -157,4 +179,4 @@ select gid, 2 * k as msg_idx, 'user' as role, text from p union all select gid,
     "payload_monitor_stream": """with r as (select 's' || user_id as session_id, ts, date_trunc('day', ts) as w, floor(value * 100)::bigint as o, least(floor(value * 100), 900)::bigint as u from events)
 select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, session_id, count(*) as turns, max(u) as max_outbound, max(o) as max_original, count(*) filter (u > 800) as turns_over, count(*) filter (u > 800) > 0 as alert from r group by w, session_id""",
 }
-QUERIES = {f.__name__: f for f in (transcript_parse, tool_events, normalized_requests, request_roundtrip, graph_task_parse, graph_messages, transcript_text, reassemble_chunks, ingest_stream, payload_monitor_stream)}
+QUERIES = {f.__name__: f for f in (transcript_parse, tool_events, normalized_requests, request_roundtrip, request_roundtrip_mixed, graph_task_parse, graph_messages, transcript_text, reassemble_chunks, ingest_stream, payload_monitor_stream)}

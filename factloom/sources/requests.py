@@ -65,8 +65,8 @@ def _as_blocks(content: Column) -> Column:
     return F.when(_string(content).isNotNull(), one).otherwise(F.coalesce(F.transform(_items(content), _block_one), F.array().cast(f"array<{BLOCK}>")))
 
 
-def _head(raw: DataFrame) -> DataFrame:
-    return raw.select("request_id", "body", _get(F.col("body"), "$.model").alias("model"), F.coalesce(_get(F.col("body"), "$.max_tokens").try_cast("int"), F.lit(MAX_TOKENS)).alias("max_tokens"), F.coalesce(_get(F.col("body"), "$.stream") == "true", F.lit(False)).alias("stream"))
+def _head(raw: DataFrame, *more: Column) -> DataFrame:
+    return raw.select("request_id", *more, _get(F.col("body"), "$.model").alias("model"), F.coalesce(_get(F.col("body"), "$.max_tokens").try_cast("int"), F.lit(MAX_TOKENS)).alias("max_tokens"), F.coalesce(_get(F.col("body"), "$.stream") == "true", F.lit(False)).alias("stream"))
 
 
 def _messages(raw: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def _messages(raw: DataFrame) -> DataFrame:
 def normalize_one(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shape 1, ``raw(request_id, body)``: (requests with system text, messages with blocks, rejected rows and why)."""
     system = _texts(_field("body", "system"), "\n\n")
-    heads = _head(raw).join(raw.select("request_id", system.alias("system")), "request_id").drop("body")
+    heads = _head(raw, system.alias("system"))
     m = _messages(raw)
     good = F.col("role").isin("user", "assistant")
     bad = m.filter(~F.coalesce(good, F.lit(False))).select("request_id", "msg_idx", F.concat(F.lit("bad role: "), F.coalesce("role", F.lit("none"))).alias("error"))
@@ -109,7 +109,7 @@ def normalize_two(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     of tool results; other roles are skipped."""
     m = _messages(raw)
     sys = m.filter(F.col("role").isin("system", "developer")).groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("msg_idx", _texts(F.col("content"), "\n").alias("t")))), lambda x: x["t"]), "\n\n").alias("system"))
-    heads = _head(raw).drop("body").join(sys.hint("merge"), "request_id", "left")
+    heads = _head(raw).join(sys.hint("merge"), "request_id", "left")
     m = m.filter(F.col("role").isin("user", "assistant", "tool"))
     order = Window.partitionBy("request_id").orderBy("msg_idx")
     starts = F.when((F.col("role") == "tool") & (F.lag("role").over(order) == "tool"), 0).otherwise(1)
@@ -171,15 +171,35 @@ def denormalize_one(heads: DataFrame, messages: DataFrame) -> DataFrame:
     return out.select("request_id", F.concat(F.lit('{"model":'), _quote(F.col("model")), F.lit(',"max_tokens":'), F.col("max_tokens").cast("string"), F.lit(","), system, F.coalesce("ms", F.lit('"messages":[]')), F.lit("}")).alias("body"))
 
 
+def _part_two_out(b: Column) -> Column:
+    url = F.when(b["data_b64"].isNotNull(), F.concat(F.lit("data:"), b["media_type"], F.lit(";base64,"), b["data_b64"])).otherwise(F.coalesce(b["url"], F.lit("")))
+    said = lambda t: F.to_json(F.struct(F.lit("text").alias("type"), t.alias("text")))
+    return (
+        F.when(b["type"] == "text", said(b["text"]))
+        .when(b["type"] == "image", F.to_json(F.struct(F.lit("image_url").alias("type"), F.struct(url.alias("url")).alias("image_url"))))
+        .when(b["type"] == "tool_result", said(F.coalesce(b["result_text"], F.lit(""))))
+        .when(b["type"] == "tool_use", F.to_json(F.struct(b["type"].alias("type"), b["tool_name"].alias("name"), b["tool_input"].alias("input"))))
+        .otherwise(b["payload"])
+    )
+
+
 def denormalize_two(heads: DataFrame, messages: DataFrame) -> DataFrame:
-    """(request_id, body) in shape 2; a user message of tool results becomes a tool message for each of them."""
+    """(request_id, body) in shape 2; a user message of tool results becomes a tool message for each of them.
+
+    Texts of a message are joined as they stand. A user message with images or other blocks goes out as parts, tool results
+    among them as text, opaque blocks as they came. An assistant message without text has null content.
+    """
     m = messages.withColumn("pure", is_pure_tool_result(F.col("role"), F.col("blocks")))
     each = m.filter("pure").select("request_id", "msg_idx", F.posexplode("blocks").alias("k", "b"))
     tool = F.to_json(F.struct(F.lit("tool").alias("role"), F.col("b.tool_use_id").alias("tool_call_id"), F.coalesce("b.result_text", F.lit("")).alias("content")))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+    plain = F.forall("blocks", lambda b: b["type"] == "text")
+    parts = F.concat(F.lit("["), F.array_join(F.transform("blocks", _part_two_out), ","), F.lit("]"))
+    silent = (F.col("role") == "assistant") & ~F.exists("blocks", lambda b: b["type"] == "text")
+    content = F.when(silent, "null").when((F.col("role") == "assistant") | plain, _quote(text)).otherwise(parts)
     call = lambda b: F.to_json(F.struct(b["tool_use_id"].alias("id"), F.lit("function").alias("type"), F.struct(b["tool_name"].alias("name"), b["tool_input"].alias("arguments")).alias("function")))
     calls = F.transform(F.filter("blocks", lambda b: b["type"] == "tool_use"), call)
-    said = F.concat(F.lit('{"role":'), _quote(F.col("role")), F.lit(',"content":'), _quote(text), F.when(F.size(calls) > 0, F.concat(F.lit(',"tool_calls":['), F.array_join(calls, ","), F.lit("]"))).otherwise(""), F.lit("}"))
+    said = F.concat(F.lit('{"role":'), _quote(F.col("role")), F.lit(',"content":'), content, F.when(F.size(calls) > 0, F.concat(F.lit(',"tool_calls":['), F.array_join(calls, ","), F.lit("]"))).otherwise(""), F.lit("}"))
     rows = m.filter("not pure").select("request_id", "msg_idx", F.lit(0).alias("k"), said.alias("j")).unionByName(each.select("request_id", "msg_idx", "k", tool.alias("j")))
     first = heads.filter(F.coalesce("system", F.lit("")) != "").select("request_id", F.lit(-1).alias("msg_idx"), F.lit(0).alias("k"), F.to_json(F.struct(F.lit("system").alias("role"), F.col("system").alias("content"))).alias("j"))
     ms = _collect(rows.unionByName(first), F.col("j"), ["msg_idx", "k"])
