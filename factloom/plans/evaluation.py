@@ -102,7 +102,9 @@ def dedupe_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_summary(spark: SparkSession, d: str) -> DataFrame:
-    return ev.payload_summary(ev.dedupe_turns(_turns(spark, d)), 800)
+    """Turns over a threshold, and turns at it or over it."""
+    t = ev.dedupe_turns(_turns(spark, d))
+    return ev.payload_summary(t, 900).withColumn("inclusive", F.lit(False)).unionByName(ev.payload_summary(t, 900, inclusive=True).withColumn("inclusive", F.lit(True)))
 
 
 def group_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +397,8 @@ select size, count(*) as n, min(calls) as calls_min, max(calls) as calls_max, bo
 from s join a using (size) group by size""".replace("list_contains(answers", "list_contains(s.answers"),
     "dedupe_turns": f"with {TURNS} select session_id, original_messages, record_id, original_tokens, outbound_tokens, logical_turn from deduped",
     "payload_summary": f"""with {TURNS}, r as (select *, row_number() over (partition by session_id order by outbound_tokens) - 1 as i, count(*) over (partition by session_id) as n from deduped)
-select session_id, count(*) as turns, max(outbound_tokens) as max_outbound, max(original_tokens) as max_original, count(*) filter (outbound_tokens > 800) as turns_over, bool_or(outbound_tokens < original_tokens) as ever_virtualized, count(*) filter (outbound_tokens > 800) = 0 as passed, max(outbound_tokens) filter (i = n // 2) as median_outbound from r group by session_id""",
+select session_id, count(*) as turns, max(outbound_tokens) as max_outbound, max(original_tokens) as max_original, count(*) filter (outbound_tokens > 900 or (e and outbound_tokens = 900)) as turns_over, bool_or(outbound_tokens < original_tokens) as ever_virtualized, count(*) filter (outbound_tokens > 900 or (e and outbound_tokens = 900)) = 0 as passed, max(outbound_tokens) filter (i = n // 2) as median_outbound, e as inclusive
+from r, (select unnest([false, true]) as e) group by session_id, e""",
     "group_stats": f"""with {fx.FACTS}, {fx.EPISODES}, e as (select group_id, count(*) as episodes, count(distinct session_id) as sessions, array_to_string(list_sort(list(distinct source))[:10], ',') as sources, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') as last_event from episodes group by group_id),
 f as (select group_id, count(*) as facts from facts group by group_id) select group_id, coalesce(episodes, 0) as episodes, coalesce(sessions, 0) as sessions, sources, last_event, coalesce(facts, 0) as facts from e full join f using (group_id)""",
     "compare_runs": f"""with {RUNS}, r as (select row_idx, arm, min(status) as status, min(strict) as a, min(lenient) as b from runs group by all), d as (select *, case when status = 'ok' then round(b - a, 6) end as delta from r)

@@ -95,3 +95,17 @@ def test_sessions_and_late_rows(spark):
     assert sorted((r.session_id, m(r.begins), m(r.ends), r.turns, r.max_outbound, r.max_original, r.turns_over) for r in out.filter("kind = 'session'").collect()) == [
         ("a", 0, 25, 3, 15, 30, 1), ("a", 58, 68, 1, 1, 1, 0), ("b", 3, 13, 1, 1, 1, 0), ("b", 60, 70, 1, 2, 2, 0)]
     assert sorted((r.session_id, m(r.begins), r.outbound_tokens) for r in out.filter("kind = 'late'").collect()) == [("a", 1, 9), ("b", 5, 7)]
+
+
+def test_batches_go_to_a_function(spark, tmp_path):
+    """Messages to whatever ingests them, such as a commit of episodes; a restart hands on nothing twice."""
+    from factloom.sources import commits
+    from factloom.streaming import ingest
+
+    root = new_folder(spark, "episodes")
+    said(spark, "abc").write.parquet(str(tmp_path / "in"))
+    taken = []
+    for _ in range(2):
+        stream = spark.readStream.schema(MESSAGES).parquet(str(tmp_path / "in"))
+        ingest.ingest_to(stream, lambda b: taken.append(commits.commit(root, len(taken), {"episodes": b.select("seq", "text")})), str(tmp_path / "cp")).awaitTermination()
+    assert taken == [True] and commits.read_table(spark, root, "episodes", "seq long, text string").count() == 3
