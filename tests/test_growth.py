@@ -47,3 +47,17 @@ def test_a_vector_is_compared_once(spark, shared, sharing, asking, k, monkeypatc
         assert [(-r.score, r.fact_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q.query_id] == want
     ids, held = vectors.scoped(sharing, "fact_id", ("T1", "T2"), shared)
     assert held.count() == ids.select("scope", "item").distinct().count() <= 3 * 122 < ids.count() / 10
+
+
+def test_candidates_are_ranked_where_they_meet(spark, shared, sharing, asking, monkeypatch):
+    """Buckets that hold most items: no pair of a query and a candidate leaves its task but the best."""
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 30)
+    every = sharing.join(shared, "vec_id")
+    found = vectors.knn_approx(asking, sharing, 5, tables=6, bits=3, shared=shared)
+    apart = vectors.knn_approx(asking, every, 5, tables=6, bits=3)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.fact_id, r.score) for r in df.collect())
+    assert rows(found) == rows(apart) and len(rows(found)) == 5 * asking.count()
+    near = vectors.knn(asking, every, 5)
+    assert found.join(near, ["query_id", "fact_id"]).count() >= 0.9 * near.count()
+    plan = apart._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan
