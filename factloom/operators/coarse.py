@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions.storage import stored
 from factloom.operators.temporal import tier_filter
-from factloom.operators.vectors import ITEM_BLOCK, cosine, knn, recall_at, sized
+from factloom.operators.vectors import QUERY_BLOCK, cosine, meet, ranked, recall_at, scoped, sized
 
 #: Bounds of the sample on which the index is fitted, and of the queries on which its reach is measured.
 SAMPLE, PROBE_QUERIES = 20_000, 64
 #: Dimensions of one part of a code; a part is one byte.
 PART_DIM, CODES = 4, 256
+#: Items whose codes one task reads, of several cells or a part of one; queries that it scores at once.
+BIN, AT_ONCE = 65_536, 64
 
 
 def _means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -45,13 +47,17 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CoarseIndex:
-    """``items(group_id, id, cell, code, embedding)`` as written, and the model that made the cells and codes."""
+    """``items(id, cell, code, embedding)`` and ``held(scope, item, head, cell, code)`` as written, and the model that made the
+    cells and codes. With vectors that rows share, items are vectors; ``ids(scope, item, id)`` are the rows that have them."""
 
     dim: int
     centres: np.ndarray
     books: list[np.ndarray]
     items: DataFrame
+    held: DataFrame
+    ids: DataFrame
     id_col: str
+    shared: DataFrame | None
 
 
 def unit(vectors: Sequence, dim: int) -> np.ndarray:
@@ -61,10 +67,16 @@ def unit(vectors: Sequence, dim: int) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
-def fit_index(items: DataFrame, dim: int, cells: int | None = None, id_col: str = "fact_id", tiers: Sequence[str] | None = ("T1", "T2"), seed: int = 7) -> CoarseIndex:
-    """Fit on at most SAMPLE items and store all of them. ``cells`` is by default about a quarter of the root of their number."""
-    rows = items if tiers is None else tier_filter(items, tiers)
-    rows = rows.select("group_id", F.col(id_col).alias("id"), "embedding")
+def fit_index(items: DataFrame, dim: int, cells: int | None = None, id_col: str = "fact_id", tiers: Sequence[str] | None = ("T1", "T2"), seed: int = 7, shared: DataFrame | None = None) -> CoarseIndex:
+    """Fit on at most SAMPLE items and store all of them. ``cells`` is by default about a quarter of the root of their number.
+
+    With ``shared(vec_id, embedding)``, as :func:`knn` has it, a vector is stored once, whatever number of rows name it."""
+    ids, all_held = scoped(items, id_col, tiers, shared)
+    if shared is None:
+        rows = (items if tiers is None else tier_filter(items, tiers)).select(F.col(id_col).alias("id"), "embedding", "group_id")
+    else:
+        heads = all_held.select("scope", "item", "head")
+        rows = shared.select(F.col("vec_id").alias("id"), "embedding").join(heads.select(F.col("item").alias("id")).distinct(), "id", "left_semi")
     n = rows.count()
     cells = cells or max(1, min(4_096, round(math.sqrt(n) / 4)))
     # A hashed order picks the same sample wherever the rows stand; only SAMPLE of them reach the driver.
@@ -80,54 +92,73 @@ def fit_index(items: DataFrame, dim: int, cells: int | None = None, id_col: str
             codes = np.stack([_nearest(v[:, p * PART_DIM : p * PART_DIM + b.shape[1]], b) for p, b in enumerate(books)], axis=1).astype(np.uint8)
             yield pdf.assign(cell=_nearest(v, centres), code=[c.tobytes() for c in codes])
 
-    schema = f"group_id string, id {dict(rows.dtypes)['id']}, embedding {dict(rows.dtypes)['embedding']}, cell int, code binary"
-    return CoarseIndex(dim, centres, books, stored(rows.mapInPandas(encode, schema), "coarse"), id_col)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", cell int, code binary"
+    made = stored(rows.mapInPandas(encode, schema), "coarse")
+    if shared is None:
+        scopes = F.explode(F.array_compact(F.array_distinct(F.array("group_id", F.lit("*"))))).alias("scope")
+        held = made.select(scopes, F.col("id").alias("item"), F.col("id").alias("head"), "cell", "code")
+    else:
+        held = heads.join(made.select(F.col("id").alias("item"), "cell", "code"), "item").select("scope", "item", "head", "cell", "code")
+    return CoarseIndex(dim, centres, books, made, stored(held, "coarse-held"), ids, id_col, shared)
 
 
 def search_index(index: CoarseIndex, queries: DataFrame, k: int, probes: int, depth: int) -> DataFrame:
     """Top-k of each of ``queries(query_id, q, scope)``: (query_id, id, score, rank), scores rounded to six digits, ties by id.
 
-    Items and queries meet by scope and cell, items of large cells in parts, so a hot tenant or cell is many tasks. Each
-    task ranks by codes; of all tasks' rows the ``depth`` best of a query are read as vectors.
+    A scope's cells are laid end to end and cut into bins of about BIN items, so small cells share a task and a large one is
+    several. A query comes to the bins of its cells; a bin scores the codes of those cells only, AT_ONCE queries at a time,
+    and gives ``depth`` rows a query. Of all bins' rows the ``depth`` best of a query are read as vectors.
     """
     dim, books, centres = index.dim, index.books, index.centres
     probes = min(probes, len(centres))
 
-    def nearest_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            q = unit(pdf["q"], dim)
-            cells = np.argsort((centres**2).sum(axis=1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), probes), "q": np.repeat(np.array([*map(list, q), None], dtype=object)[:-1], probes), "scope": np.repeat(pdf["scope"].to_numpy(), probes), "cell": cells.ravel()})
-
-    serves = F.explode(F.array_distinct(F.array("group_id", F.lit("*")))).alias("scope")
-    parts = index.items.select(serves, "cell").groupBy("scope", "cell").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("parts"))
-    parts = stored(parts, "coarse-parts")
-    asked = queries.select("query_id", "q", "scope").mapInPandas(nearest_cells, "query_id long, q array<double>, scope string, cell int")
-    asked = asked.hint("merge").join(parts, ["scope", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("scope", "cell", "part", "query_id", "q")
-    held = index.items.select(serves, "cell", "id", "code").hint("merge").join(parts, ["scope", "cell"])
-    held = held.select("scope", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "code")
-
-    def by_codes(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(its):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
+    @F.pandas_udf("array<int>")
+    def nearest_cells(qs: pd.Series) -> pd.Series:
+        q = unit(qs, dim)
+        cells = np.argsort((centres**2).sum(axis=1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(cells.astype(np.int32)), dtype=object)
+
+    place = Window.partitionBy("scope").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = index.held.groupBy("scope", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(place), F.lit(0)))
+    nq = queries.groupBy("scope").agg((1 + F.floor(F.count("*") / QUERY_BLOCK)).cast("int").alias("nq"))
+    cells = stored(cells.hint("merge").join(nq, "scope"), "coarse-cells")  # written, so Spark knows that it is small
+    at = lambda slot: F.floor((F.col("before") + slot) / BIN).cast("int")
+    near = stored(queries.select("scope", "query_id", F.explode(nearest_cells("q")).alias("cell")), "coarse-probes")
+    asked = near.join(cells, ["scope", "cell"]).select("scope", "query_id", "cell", "nq", F.explode(F.sequence(at(F.lit(0)), at(F.col("n") - 1))).alias("bin"))
+    asked = asked.groupBy("scope", "bin", "query_id").agg(F.collect_list("cell").alias("cells"), F.pmod(F.xxhash64("query_id"), F.first("nq")).cast("int").alias("qb"))
+    asked = asked.hint("merge").join(queries.select("query_id", "q"), "query_id").select("scope", "bin", "qb", "query_id", "q", "cells")
+    held = index.held.join(cells, ["scope", "cell"]).withColumn("bin", at(F.pmod(F.xxhash64("item"), F.col("n"))))
+    held = held.select("scope", "bin", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "item", "head", "cell", "code")
+
+    def by_codes(key: tuple, its: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [np.zeros(0, dtype=np.int64)], "item": [np.zeros(0, dtype=np.int64)], "head": [np.zeros(0, dtype=np.int64)], "near": [np.zeros(0)]}
+        its = its.sort_values("cell", kind="stable")
         codes = np.frombuffer(b"".join(its["code"]), np.uint8).reshape(len(its), len(books))
-        q = np.stack(qs["q"].to_numpy())
-        near = np.zeros((len(qs), len(its)))
-        for p, b in enumerate(books):  # what each code of a part adds to the score
-            near += (q[:, p * PART_DIM : p * PART_DIM + b.shape[1]] @ b.T)[:, codes[:, p]]
-        keep = min(depth, len(its))
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        ids = its["id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat(qs["query_id"].to_numpy(), keep), "id": ids[best].ravel(), "near": np.take_along_axis(near, best, axis=1).ravel()})
-
-    keys = ["scope", "cell", "part"]
-    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda i, q: by_codes(q, i), "query_id long, id long, near double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= depth).select("query_id", "id")
-    scored = near.hint("merge").join(queries.select("query_id", "q"), "query_id").hint("merge").join(index.items.select("id", "embedding"), "id")
-    scored = scored.select("query_id", F.col("id").alias(index.id_col), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), index.id_col)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        found, begins, counts = np.unique(its["cell"].to_numpy(), return_index=True, return_counts=True)
+        items, heads, keep = its["item"].to_numpy(), its["head"].to_numpy(), min(depth, len(its))
+        for start in range(0, len(qs) if len(its) else 0, AT_ONCE):
+            some = qs.iloc[start : start + AT_ONCE]
+            q, asks = unit(some["q"], dim), [set(c) for c in some["cells"]]
+            adds = [q[:, p * PART_DIM : p * PART_DIM + b.shape[1]] @ b.T for p, b in enumerate(books)]  # what each code of a part adds to the score
+            near = np.full((len(some), len(its)), -np.inf)
+            for cell, begin, count in zip(found, begins, counts, strict=True):
+                rows = np.flatnonzero([cell in a for a in asks])
+                if len(rows):
+                    near[rows, begin : begin + count] = sum(a[rows][:, codes[begin : begin + count, p]] for p, a in enumerate(adds))
+            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+            score = np.take_along_axis(near, best, axis=1)
+            r, c = np.nonzero(score > -np.inf)
+            for name, x in (("query_id", some["query_id"].to_numpy()[r]), ("item", items[best[r, c]]), ("head", heads[best[r, c]]), ("near", score[r, c])):
+                out[name].append(x)
+        return pd.DataFrame({n: np.concatenate(x) for n, x in out.items()}).assign(scope=key[0])
+
+    keys = ["scope", "bin", "qb"]
+    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(by_codes, "scope string, query_id long, item long, head long, near double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "item")
+    near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= depth).drop("r", "near")
+    scored = near.hint("merge").join(queries.select("query_id", "q"), "query_id").hint("merge").join(index.items.select(F.col("id").alias("item"), "embedding"), "item")
+    scored = scored.select("scope", "query_id", "item", "head", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return ranked(scored, index.ids, k, index.id_col, index.shared)
 
 
 def reach(index: CoarseIndex, queries: DataFrame, k: int, target: float = 0.95, seed: int = 5) -> tuple[int, int]:
@@ -137,7 +168,9 @@ def reach(index: CoarseIndex, queries: DataFrame, k: int, target: float = 0.95,
     hash of their id and written once.
     """
     few = stored(queries.select("query_id", "q", "scope").orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(PROBE_QUERIES), "reach")
-    exact = stored(knn(few, index.items.withColumnRenamed("id", index.id_col), k, index.id_col, tiers=None), "reach-exact")
+    held = index.held.select("scope", "item", "head").join(index.items.select(F.col("id").alias("item"), F.col("embedding").alias("v")), "item")
+    asked = few.select("scope", F.col("query_id").alias("id"), F.col("q").alias("v"))
+    exact = stored(ranked(meet(asked, held, ["scope"], k, QUERY_BLOCK), index.ids, k, index.id_col, index.shared), "reach-exact")
     n, probes, depth = index.items.count(), max(1, len(index.centres) // 16), 4 * k
     while True:
         found = recall_at(search_index(index, few, k, probes, depth), exact, few, index.id_col)

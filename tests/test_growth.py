@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import vectors
+from factloom.operators import coarse, vectors
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +61,18 @@ def test_candidates_are_ranked_where_they_meet(spark, shared, sharing, asking, m
     assert found.join(near, ["query_id", "fact_id"]).count() >= 0.9 * near.count()
     plan = apart._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan
+
+
+def test_the_trained_index_reads_in_bins(spark, shared, sharing, asking, monkeypatch):
+    """Several bins, cells over more than one bin, vectors that rows share: with all cells and items, the exact answer."""
+    monkeypatch.setattr(coarse, "BIN", 25)
+    monkeypatch.setattr(coarse, "AT_ONCE", 2)
+    monkeypatch.setattr(coarse, "QUERY_BLOCK", 3)
+    good = asking.filter("query_id < 120")
+    index = coarse.fit_index(sharing, 16, cells=4, shared=shared)
+    assert index.items.count() == 122
+    near = vectors.knn(good, sharing, 5, shared=shared)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.fact_id, r.score) for r in df.collect())
+    assert rows(coarse.search_index(index, good, 5, 4, 1_000)) == rows(near)
+    probes, depth = coarse.reach(index, good, 5)
+    assert depth <= 80 and coarse.search_index(index, good, 5, probes, depth).join(near, ["query_id", "fact_id"]).count() >= 0.9 * near.count()
