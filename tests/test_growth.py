@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import coarse, vectors
+from factloom.operators import coarse, inference, vectors
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,13 @@ def test_the_trained_index_reads_in_bins(spark, shared, sharing, asking, monkeyp
     assert rows(coarse.search_index(index, good, 5, 4, 1_000)) == rows(near)
     probes, depth = coarse.reach(index, good, 5)
     assert depth <= 80 and coarse.search_index(index, good, 5, probes, depth).join(near, ["query_id", "fact_id"]).count() >= 0.9 * near.count()
+
+
+def test_inference_takes_shared_vectors(spark, shared, sharing, asking):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    facts = sharing.select("*", F.lit("a").alias("subject"), F.lit("p").alias("predicate"), F.col("fact_id").cast("string").alias("object"), now.alias("valid_at"), F.lit(None).cast("timestamp").alias("invalid_at"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.fact_id) for r in df.collect())
+    every, at = facts.join(shared, "vec_id"), "2024-02-01 00:00:00"
+    for one, other in zip(inference.seeds(asking, facts, facts, at, shared=shared), inference.seeds(asking, every, facts, at), strict=True):
+        assert rows(one) == rows(other) != []
+    assert rows(vectors.recall_facts(asking, facts, facts, at, shared=shared)) == rows(vectors.recall_facts(asking, every, facts, at)) != []
