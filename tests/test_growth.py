@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import coarse, inference, vectors
+from factloom.operators import coarse, evaluation, inference, vectors
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,11 @@ def test_inference_takes_shared_vectors(spark, shared, sharing, asking):
     for one, other in zip(inference.seeds(asking, facts, facts, at, shared=shared), inference.seeds(asking, every, facts, at), strict=True):
         assert rows(one) == rows(other) != []
     assert rows(vectors.recall_facts(asking, facts, facts, at, shared=shared)) == rows(vectors.recall_facts(asking, every, facts, at)) != []
+
+
+def test_triples_are_normalised_once(spark):
+    t = "array<struct<s:string,p:string,o:string>>"
+    rows = spark.createDataFrame([([(" A", "p", "B")], [("a", "p", "b"), ("c", "p", "d")], 5.0), ([], [("a", "p", "b")], 7.0)], f"pred {t}, gold {t}, latency_ms double")
+    out = evaluation.extract_eval(rows)
+    assert [(r.n, r.mean_f1, r.p95_ms) for r in out.collect()] == [(2, 0.333333, 7.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") == 2
