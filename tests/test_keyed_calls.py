@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from pyspark.sql import Row
 
 from factloom.streaming import keyed
@@ -69,3 +71,18 @@ def test_spans_are_read_and_written_at_once():
         assert len(handle.calls) <= 2 * (batch + 1)
     assert seen == list(range(3_000))  # 50 are remembered, so none of 120 in turn is known when it comes again
     assert sum(len(e[0]) for e in handle.kept["spans"].entries) <= 100
+
+
+@pytest.mark.parametrize("most_pairs", [1_000_000, 7])
+def test_facts_of_many_keys_share_calls(monkeypatch, most_pairs):
+    monkeypatch.setattr(keyed, "MOST_PAIRS", most_pairs)
+    known, handle = started(keyed.KnownFacts())
+    rows = [(f"k{i % 50}", i, f"o{i // 50 % 3}", keyed._OPEN if i % 2 else 10, 5 if i % 5 else 20) for i in range(600)]
+    frame = pd.DataFrame(rows, columns=["key", "fact_id", "object", "ends", "begins"]).assign(own=True)
+    known.handleInitialState((0, 0), frame[:200].drop(columns=["begins", "own"]), None)
+    found = {}
+    for a, b in ((200, 400), (400, 600)):
+        for part in known.handleInputRows((0, 0), iter([frame[a : b - 50], frame[b - 50 : b]]), None):
+            found |= {r.fact_id: [int(i) for i in r.conflicts] for r in part.itertuples()}
+    want = {r[1]: [f[1] for f in rows[: r[1]] if f[0] == r[0] and f[2] != r[2] and (f[3] == keyed._OPEN or f[3] > r[4])] for r in rows[200:]}
+    assert found == {i: c for i, c in want.items() if c} and len(handle.calls) <= 5
