@@ -86,3 +86,21 @@ def test_facts_of_many_keys_share_calls(monkeypatch, most_pairs):
             found |= {r.fact_id: [int(i) for i in r.conflicts] for r in part.itertuples()}
     want = {r[1]: [f[1] for f in rows[: r[1]] if f[0] == r[0] and f[2] != r[2] and (f[3] == keyed._OPEN or f[3] > r[4])] for r in rows[200:]}
     assert found == {i: c for i, c in want.items() if c} and len(handle.calls) <= 5
+
+
+def test_changes_of_many_facts_share_calls():
+    folded, handle = started(keyed.FoldedFacts())
+    folded.handleInitialState((0,), Row(fact_id=list(range(500)), confidence=[0.5] * 500, pinned=[None] * 500, ends=[None] * 500), None)
+    change = lambda m, f, a: Row(fact_id=f, mutation_id=m, action=a, at=m, reason="r", actor="u")
+    out = []
+    for batch, action in enumerate(("confirmed", "delete", "invalidate", "confirmed")):
+        out += folded.handleInputRows((0,), iter([change(batch * 1_000 + f, f, action) for f in range(batch % 2, 502, 1 + batch % 2)]), None)
+    last = {}
+    for r in out:
+        if r.kind == "fact":
+            assert r.version == (last[r.fact_id].version if r.fact_id in last else 0) + 1
+            last[r.fact_id] = r
+    assert {i for i, r in last.items() if r.deleted} == set(range(1, 500, 2))
+    assert all((round(last[i].confidence, 6), last[i].pinned, last[i].ends) == (0.7, True, 2_000 + i) for i in range(0, 500, 2))
+    assert sum(r.kind == "unknown" for r in out) == 2 + 1 + 252 + 251
+    assert len(handle.calls) <= 1 + 2 * 4
