@@ -104,3 +104,18 @@ def test_changes_of_many_facts_share_calls():
     assert all((round(last[i].confidence, 6), last[i].pinned, last[i].ends) == (0.7, True, 2_000 + i) for i in range(0, 500, 2))
     assert sum(r.kind == "unknown" for r in out) == 2 + 1 + 252 + 251
     assert len(handle.calls) <= 1 + 2 * 4
+
+
+def test_windows_of_many_sessions_share_calls():
+    windows, handle = started(keyed.SessionWindows(10, 5))
+    row = lambda s, t, n: Row(session_id=s, at=t, outbound_tokens=n, original_tokens=n)
+    names = [None, *(f"s{i}" for i in range(99))]
+    rows = [row(s, t, t) for t in (30, 0, 9, 18) for s in names]
+    out = list(windows.handleInputRows((0,), iter(rows), at_watermark(0)))
+    out += windows.handleInputRows((0,), iter([row(s, t, 1) for s in names for t in (38, 3)]), at_watermark(28))
+    assert sorted(((r.kind, r.session_id or "", r.begins, r.ends, r.turns, r.turns_over) for r in out)) == sorted(
+        w for s in names for w in (("session", s or "", 0, 28, 3, 2), ("late", s or "", 3, None, None, None))
+    )
+    out = list(windows.handleExpiredTimer((0,), at_watermark(48), None))
+    assert [(r.begins, r.ends, r.turns) for r in out] == [(30, 48, 2)] * 100 and not handle.timers
+    assert len(handle.calls) <= 5 * 3
